@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from purselake.llm import exact_dedup
+from purselake.llm import exact_dedup, packing, token_files
 
 QUERIES = {
+    "op1_best_fit_packing": packing.op1_best_fit_packing,
+    "op5_token_files": token_files.op5_token_files,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
 }
 
