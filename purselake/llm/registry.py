@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from purselake.llm import exact_dedup, packing, token_files
+from purselake.llm import exact_dedup, jaccard_join, license_scan, packing, token_files, toxicity
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op5_token_files": token_files.op5_token_files,
+    "op6_license_scan": license_scan.op6_license_scan,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+    "op9_ngram_jaccard_join": jaccard_join.op9_ngram_jaccard_join,
 }
 
 ORACLE_SQL = {
