@@ -1,21 +1,57 @@
-"""Corpus pipeline: stages over ``documents``, each written and read again."""
+"""Corpus pipeline: stages over ``documents``, each written and read again.
+
+1. toxicity: rows that the subsequence-kernel SVM rejects go.
+2. exact_dedup: of equal texts the row of the smallest doc_id stays.
+3. near_dedup: of each class of the chosen-path Jaccard join one document stays.
+4. pii: personal data is replaced by its kind; every document stays.
+5. packing: all documents are packed into sequences of 4096 tokens.
+
+Stages 1 to 4 return the columns of their input. Each is fitted, where it has a model,
+on the tables of ``sf_dir`` or on its own input, and works on every row it is given.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from purselake.llm import exact_dedup as exact
+from purselake.llm import jaccard_join, packing, pii, toxicity
 from purselake.llm.common import staged, table
-from purselake.llm.exact_dedup import deduplicated
 
 
-def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return deduplicated(docs)
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    scored = toxicity.score_documents(docs, toxicity.fitted(spark, sf_dir))
+    return scored.filter(F.col("predicted") == 0).select(*docs.columns)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return exact.deduplicated(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard_join.one_per_class(docs)
+
+
+def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pii.redacted(docs, pii.train(pii.training_texts(docs)))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
 STAGES = [
-    ("exact_dedup", exact_dedup),
+    ("toxicity", drop_toxic),
+    ("exact_dedup", drop_copies),
+    ("near_dedup", drop_near_copies),
+    ("pii", redact),
+    ("packing", pack),
 ]
 
+#: A kernel machine, a random tree and a field have no SQL; tests use brute force.
 ORACLE_SQL = None
 
 
