@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-from purselake.llm import exact_dedup, jaccard_join, license_scan, packing, token_files, toxicity
+from purselake.llm import exact_dedup, fingerprints, html_text, jaccard_join, license_scan, packing, pii, sentence_pieces, token_files, toxicity
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
+    "op2_html_extraction": html_text.op2_html_extraction,
+    "op3_pii": pii.op3_pii,
+    "op4_sentencepiece": sentence_pieces.op4_sentencepiece,
     "op5_token_files": token_files.op5_token_files,
     "op6_license_scan": license_scan.op6_license_scan,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_ngram_jaccard_join": jaccard_join.op9_ngram_jaccard_join,
+    "op10_document_fingerprints": fingerprints.op10_document_fingerprints,
 }
 
+#: The others have no SQL; tests/llm checks them by brute force or round trips.
 ORACLE_SQL = {
     "op8_exact_dedup": exact_dedup.OP8_SQL,
 }
