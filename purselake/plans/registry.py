@@ -2,5 +2,28 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    """Register a (spark, sf_dir) callable under ``name``, with its SQL if it has one."""
+
+    def keep(f):
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return keep
+
+
+def load_all() -> None:
+    from purselake.plans import scalars  # noqa: F401
+
+
+load_all()
