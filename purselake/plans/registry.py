@@ -23,7 +23,7 @@ def query(name: str, sql: str | None = None):
 
 
 def load_all() -> None:
-    from purselake.plans import scalars  # noqa: F401
+    from purselake.plans import relational, scalars  # noqa: F401
 
 
 load_all()
