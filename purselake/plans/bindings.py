@@ -70,6 +70,7 @@ class Lake:
         p = self.part
         edition = F.col("p_size") % 10 + 2017
         kind = F.col("p_partkey") % 3
+        book = F.floor(F.col("p_partkey") / 3) % 3
         slug = F.when(kind == 0, F.concat(F.lit("fy_"), (edition - 2).cast("string"), F.lit("_actuals")))
         slug = slug.when(kind == 1, F.concat(F.lit("fy_"), (edition - 1).cast("string"), F.lit("_total"))).otherwise(F.concat(F.lit("fy_"), edition.cast("string"), F.lit("_request")))
         return p.select(
@@ -80,7 +81,7 @@ class Lake:
             edition.cast("int").alias("edition_year"),
             slug.alias("amount_type"),
             F.col("p_name").alias("title"),
-            F.when(kind == 0, "R-1").when(kind == 1, "P-1").otherwise("P-1R").alias("exhibit"),
+            F.when(book == 0, "R-1").when(book == 1, "P-1").otherwise("P-1R").alias("exhibit"),
             F.col("p_retailprice").cast("decimal(18,2)").alias("amount_thousands"),
         )
 
@@ -125,7 +126,7 @@ SQL = {
     CAST(p_size % 10 + 2017 AS INTEGER) AS edition_year,
     CASE p_partkey % 3 WHEN 0 THEN concat('fy_', p_size % 10 + 2015, '_actuals') WHEN 1 THEN concat('fy_', p_size % 10 + 2016, '_total')
       ELSE concat('fy_', p_size % 10 + 2017, '_request') END AS amount_type,
-    p_name AS title, CASE p_partkey % 3 WHEN 0 THEN 'R-1' WHEN 1 THEN 'P-1' ELSE 'P-1R' END AS exhibit,
+    p_name AS title, CASE (p_partkey // 3) % 3 WHEN 0 THEN 'R-1' WHEN 1 THEN 'P-1' ELSE 'P-1R' END AS exhibit,
     CAST(p_retailprice AS DECIMAL(18,2)) AS amount_thousands
   FROM part)""",
     "lk": """lk AS (
