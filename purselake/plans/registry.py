@@ -23,7 +23,7 @@ def query(name: str, sql: str | None = None):
 
 
 def load_all() -> None:
-    from purselake.plans import entities, graph_text, marts, quality, relational, scalars, schedule  # noqa: F401
+    from purselake.plans import entities, graph_text, ingest, marts, quality, relational, scalars, schedule  # noqa: F401
 
 
 load_all()
