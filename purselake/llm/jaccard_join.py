@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from purselake.llm.common import documents_only, hot_aware_join, staged, table
+from purselake.llm.common import documents_only, hot_aware_join, likely_in, staged, table
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -85,7 +85,9 @@ def least_hashes(shingles: np.ndarray) -> np.ndarray:
 
 
 def with_sets(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, set (64-bit hash of the shingle set), sketch, shingles."""
+    """doc_id, text_hash, set (64-bit hash of the shingle set), sketch, roots (the set's
+    buckets one level below the ``RUNS`` roots), shingles."""
+    nodes = mix(np.arange(1, RUNS + 1, dtype=np.uint64)).view(np.int64)
 
     def build(frames):
         for frame in frames:
@@ -93,14 +95,19 @@ def with_sets(docs: DataFrame) -> DataFrame:
             for doc_id, text in zip(frame["doc_id"], frame["text"]):
                 s = shingle_set(text)
                 name = int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "big", signed=True)
-                rows.append((doc_id, name, least_hashes(s).tobytes() if len(s) else None, s.tobytes()))
-            out = pd.DataFrame(rows, columns=["doc_id", "set", "sketch", "shingles"])
+                if len(s):
+                    sketch = least_hashes(s)
+                    roots = child_buckets(np.broadcast_to(sketch, (RUNS, COORDINATES)), nodes)[1].tolist()
+                    rows.append((doc_id, name, sketch.tobytes(), roots, s.tobytes()))
+                else:
+                    rows.append((doc_id, name, None, None, b""))
+            out = pd.DataFrame(rows, columns=["doc_id", "set", "sketch", "roots", "shingles"])
             out["doc_id"] = frame["doc_id"].astype("Int64").values
             out.insert(1, "text_hash", frame["text_hash"].values)
             yield out
 
     rows = documents_only(docs).select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash"))
-    return rows.mapInPandas(build, "doc_id long, text_hash long, set long, sketch binary, shingles binary")
+    return rows.mapInPandas(build, "doc_id long, text_hash long, set long, sketch binary, roots array<long>, shingles binary")
 
 
 def child_buckets(sketches: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -118,41 +125,47 @@ def _sketches(column) -> np.ndarray:
     return np.frombuffer(b"".join(column), dtype=np.uint32).reshape(-1, COORDINATES)
 
 
-def descend(rows: DataFrame, runs: int = 0) -> DataFrame:
-    """(bucket, set) one level below; ``runs`` roots for every row, or its own bucket."""
+def descend(rows: DataFrame) -> DataFrame:
+    """(bucket, set) one level below the buckets of ``rows`` (bucket, set, sketch)."""
 
     def split(frames):
         for frame in frames:
             sets, sketches = frame["set"].to_numpy(np.int64), _sketches(frame["sketch"])
-            for run in range(runs or 1):
-                root = mix(np.full(len(sets), run + 1, dtype=np.uint64)).view(np.int64)
-                row, child = child_buckets(sketches, root if runs else frame["bucket"].to_numpy(np.int64))
-                yield pd.DataFrame({"bucket": child, "set": sets[row]})
+            row, child = child_buckets(sketches, frame["bucket"].to_numpy(np.int64))
+            yield pd.DataFrame({"bucket": child, "set": sets[row]})
 
     return rows.mapInPandas(split, "bucket long, set long")
 
 
-def small_buckets(sketches: DataFrame, limit: int = BUCKET, depth: int = DEPTH, runs: int = RUNS) -> DataFrame:
+def one_each(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """(set, column) of the ``wanted`` sets; other rows are filtered before the shuffle."""
+    count = wanted.count()
+    near = likely_in(rows.select("set", column).filter(F.col(column).isNotNull()), "set", wanted, count)
+    return near.groupBy("set").agg(F.first(column).alias(column)).join(wanted, "set", "left_semi")
+
+
+def small_buckets(rows: DataFrame, limit: int = BUCKET, depth: int = DEPTH) -> DataFrame:
     """(bucket, set): all buckets of two to ``limit`` sets (see the module's text)."""
-    spark, done, level = sketches.sparkSession, [], descend(sketches, runs)
+    roots = rows.filter(F.col("roots").isNotNull()).groupBy("set").agg(F.first("roots").alias("roots"))
+    done, level = [], roots.select(F.explode("roots").alias("bucket"), "set")
     for left in range(depth - 1, -1, -1):
         level = staged(level, "paths")
         sizes = staged(level.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "sizes")
-        total = level.count()
-        sized = staged(hot_aware_join(level, sizes, "bucket", "n", total), "sized")
+        sized = staged(likely_in(level, "bucket", sizes, sizes.count()).join(sizes, "bucket"), "sized")
         done.append(sized.filter(F.col("n") <= limit).select("bucket", "set"))
         large = sized.filter(F.col("n") > limit)
         if large.isEmpty():
             break
         if left:
+            sketches = one_each(rows, "sketch", large.select("set").distinct())
             level = descend(large.select("bucket", "set").join(sketches, "set"))
             continue
         blocks = F.ceil(F.col("n") / (limit // 2)).cast("long")
         own = F.pmod(F.xxhash64("set"), blocks)
         pairs = large.select("set", "bucket", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
         done.append(pairs.select(F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("bucket"), "set"))
-    out = spark.createDataFrame([], "bucket long, set long")
-    for d in done:
+    out = done[0]
+    for d in done[1:]:
         out = out.unionByName(d)
     return out
 
@@ -260,10 +273,9 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     members = rows.select("doc_id", "text_hash", "set")
     total = rows.count()
     classes = staged(rows.groupBy("set").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_id")), "classes")
-    unique = rows.select("set", "sketch", "shingles").filter(F.col("sketch").isNotNull())
-    sketches = staged(unique.groupBy("set").agg(F.first("sketch").alias("sketch")), "sketches")
-    buckets = staged(small_buckets(sketches), "buckets").distinct()
-    lists = buckets.groupBy("set").agg(F.collect_list("bucket").alias("buckets"))
+    buckets = staged(small_buckets(rows), "buckets").distinct()
+    lists = staged(buckets.groupBy("set").agg(F.collect_list("bucket").alias("buckets")), "lists")
+    sketches = one_each(rows, "sketch", lists.select("set"))
     brief = F.unhex(F.expr("array_join(transform(sequence(0, 63), i -> substring(hex(sketch), 8 * i + 1, 2)), '')"))
     held = lists.join(sketches, "set").select("set", "buckets", brief.alias("brief")).select(F.explode("buckets").alias("bucket"), "*")
     pairs = (
@@ -272,8 +284,9 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
         .mapInPandas(lambda frames: by_bucket(frames, candidates, ["bucket", "set", "place", "partners"]), "bucket long, set long, place int, partners array<int>")
     )
     pairs = staged(pairs, "pairs")
-    wanted = pairs.select("set").distinct()
-    shingles = unique.join(wanted, "set", "left_semi").groupBy("set").agg(F.first("shingles").alias("shingles")).join(classes.select("set", "copies"), "set")
+    wanted = staged(pairs.select("set").distinct(), "wanted")
+    copies = likely_in(classes.select("set", "copies"), "set", wanted, wanted.count())
+    shingles = one_each(rows, "shingles", wanted).join(copies, "set")
     found = (
         pairs.join(shingles, "set")
         .repartition("bucket")
