@@ -21,8 +21,8 @@ from purselake.llm.common import staged, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scored = toxicity.score_documents(docs, toxicity.fitted(spark, sf_dir))
-    return scored.filter(F.col("predicted") == 0).select(*docs.columns)
+    boxed = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    return toxicity.score_documents(boxed, toxicity.fitted(spark, sf_dir)).filter("predicted = 0").select("row.*")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

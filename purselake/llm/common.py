@@ -46,6 +46,16 @@ def documents_only(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+def with_text_ids(docs: DataFrame) -> DataFrame:
+    """``documents_only`` with doc_id as text, for functions over pandas frames: a column
+    of whole numbers with nulls would turn into floats there and lose digits."""
+    return documents_only(docs).select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), "text")
+
+
+def with_long_ids(df: DataFrame) -> DataFrame:
+    return df.withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
 def hot_aware_join(left: DataFrame, right: DataFrame, key: str, weight: str, total: int, share: int = 400) -> DataFrame:
     """Inner join of many ``left`` rows with the one ``right`` row of their key.
 

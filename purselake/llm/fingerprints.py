@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from purselake.llm.common import documents_only, table
+from purselake.llm.common import documents_only, table, with_long_ids
 
 IDENTITY = 8
 LANES = 256
@@ -138,12 +138,13 @@ def document_fingerprints(docs: DataFrame) -> DataFrame:
                     sha = hashlib.sha256(edited_text.encode("utf-8", "surrogatepass")).hexdigest()
                     out.append((last_id, len(last_text), sha, as_text(last), as_text(edited), likeness(last, edited), likeness(last, own)))
                 before = None if extra else (doc_id, text, own)
-            yield pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(out, columns=names)
 
-    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    schema = "doc_id string, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     names = [x.split()[0] for x in schema.split(", ")]
     rows = with_next(docs)
-    return rows.repartition("bucket").sortWithinPartitions("bucket", "extra", "no_id", "doc_id", "text").mapInPandas(pairs, schema)
+    in_order = rows.repartition("bucket").sortWithinPartitions("bucket", "extra", "no_id", "doc_id", "text")
+    return with_long_ids(in_order.select("extra", F.col("doc_id").cast("string"), "text").mapInPandas(pairs, schema))
 
 
 def op10_document_fingerprints(spark, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from purselake.llm.common import documents_only, hot_aware_join, likely_in, staged, table
+from purselake.llm.common import hot_aware_join, likely_in, staged, table, with_long_ids, with_text_ids
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -102,12 +102,11 @@ def with_sets(docs: DataFrame) -> DataFrame:
                 else:
                     rows.append((doc_id, name, None, None, b""))
             out = pd.DataFrame(rows, columns=["doc_id", "set", "sketch", "roots", "shingles"])
-            out["doc_id"] = frame["doc_id"].astype("Int64").values
             out.insert(1, "text_hash", frame["text_hash"].values)
             yield out
 
-    rows = documents_only(docs).select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash"))
-    return rows.mapInPandas(build, "doc_id long, text_hash long, set long, sketch binary, roots array<long>, shingles binary")
+    rows = with_text_ids(docs).select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    return with_long_ids(rows.mapInPandas(build, "doc_id string, text_hash long, set long, sketch binary, roots array<long>, shingles binary"))
 
 
 def child_buckets(sketches: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from purselake.llm.common import documents_only, staged, table
+from purselake.llm.common import staged, table, with_long_ids, with_text_ids
 from purselake.llm.wordbpe import batches, encoder
 
 CAPACITY = 4096
@@ -88,7 +88,7 @@ def best_fit(lengths: list[int], capacity: int) -> tuple[list[int], list[int]]:
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
-    """Pieces of all documents: doc_id, piece, start, length, ids_crc32, deal [, ids].
+    """Pieces of all documents: doc_id (as text), piece, start, length, ids_crc32, deal [, ids].
 
     ``ids_crc32`` is of the ids as little-endian unsigned 32-bit integers; ``deal``
     is a pseudo-random number that spreads pieces over groups.
@@ -108,11 +108,11 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
                         row += 1
                         out.append((ids_of[at], k, start, len(part), zlib.crc32(part), zlib.crc32(b"%d:%d" % (task, row)), *([part] if with_ids else [])))
                     at += 1
-                yield pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"})
+                yield pd.DataFrame(out, columns=names)
 
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "deal"] + ["ids"] * with_ids
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, deal long" + ", ids array<long>" * with_ids
-    return documents_only(docs).select(F.col("doc_id").cast("long"), "text").mapInPandas(cut, schema)
+    schema = "doc_id string, piece int, start long, length long, ids_crc32 long, deal long" + ", ids array<long>" * with_ids
+    return with_text_ids(docs).mapInPandas(cut, schema)
 
 
 def packed(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
@@ -132,7 +132,7 @@ def packed(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> D
     full = pieces.filter(F.col("length") >= capacity).select(
         *columns, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset")
     )
-    return full.unionByName(in_groups)
+    return with_long_ids(full.unionByName(in_groups))
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from purselake.llm.common import documents_only, new_folder, table
+from purselake.llm.common import documents_only, new_folder, table, with_long_ids
 from purselake.llm.wordbpe import batches, encoder
 
 BLOCK = 1 << 16
@@ -70,7 +70,7 @@ def unpack_chunk(block_ids, plane_bytes, width: int, payload: bytes, bits: bool
     return np.concatenate(parts) if parts else np.zeros(0, dtype=f"<u{width}")
 
 
-CHUNK_SCHEMA = "shard int, chunk int, first long, doc_ids array<long>, lengths array<long>, block_ids array<int>, plane_bytes array<int>, width int, payload binary"
+CHUNK_SCHEMA = "shard int, chunk int, first long, doc_ids array<string>, lengths array<long>, block_ids array<int>, plane_bytes array<int>, width int, payload binary"
 
 
 def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = END_ID, bits: bool = False) -> None:
@@ -87,7 +87,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
             return pd.DataFrame([(shard, chunk, first, held_ids, [len(x) for x in held], block_ids, plane_bytes, ids.dtype.itemsize, payload)], columns=names)
 
         for frame in frames:
-            doc_ids, at = [None if pd.isna(x) else int(x) for x in frame["doc_id"]], 0
+            doc_ids, at = frame["doc_id"].tolist(), 0
             for texts in batches(frame["text"].tolist()):
                 for ids in worker.encode(texts):
                     if held and size + len(ids) + 1 > CHUNK_IDS:
@@ -104,7 +104,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
     names = [x.split()[0] for x in CHUNK_SCHEMA.split(", ")]
     order = [F.col("doc_id").asc_nulls_last(), F.col("row")]
     rows = documents_only(docs).select(F.col("doc_id").cast("long"), "text", F.monotonically_increasing_id().alias("row"))
-    chunks = rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInPandas(encode, CHUNK_SCHEMA)
+    chunks = rows.repartitionByRange(*order).sortWithinPartitions(*order).select(F.col("doc_id").cast("string"), "text").mapInPandas(encode, CHUNK_SCHEMA)
     chunks.write.option("compression", "none").parquet(folder)
 
 
@@ -126,13 +126,13 @@ def read_token_files(spark: SparkSession, folder: str, with_ids: bool = False, b
                 out, at = [], 0
                 for doc_id, n in zip(c.doc_ids, c.lengths):
                     own = ids[at : at + n]
-                    out.append((None if pd.isna(doc_id) else int(doc_id), c.base + c.first + at, n, zlib.crc32(own), *([own] if with_ids else [])))
+                    out.append((doc_id, c.base + c.first + at, n, zlib.crc32(own), *([own] if with_ids else [])))
                     at += int(n)
-                yield pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"})
+                yield pd.DataFrame(out, columns=names)
 
     names = ["doc_id", "start", "n_tokens", "ids_crc32"] + ["ids"] * with_ids
-    schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
-    return chunks.join(F.broadcast(bases), "shard").mapInPandas(decode, schema)
+    schema = "doc_id string, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
+    return with_long_ids(chunks.join(F.broadcast(bases), "shard").mapInPandas(decode, schema))
 
 
 def op5_token_files(spark, sf_dir: str) -> DataFrame:
