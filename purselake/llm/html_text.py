@@ -4,7 +4,7 @@ A page becomes a sequence of tokens, tags and words. Words score positive and ta
 negative, with weights learned from labelled pages: those that mark their article
 (``<article>`` or ``<main>``), at most ``SAMPLE`` of them. A word's weight is the log
 ratio of being inside or outside the article, by the nearest telling element around
-it; where no page shows an element, ``PRIOR`` stands in. One linear scan finds the
+it (elements that never hold main text count once, as a tag); where no page shows an element, ``PRIOR`` stands in. One linear scan finds the
 contiguous region of the highest score. The region's blocks are the text, without
 what stands in elements that never hold main text (``SKIP``, or ``HINTS`` in a class,
 id or role).
@@ -46,9 +46,10 @@ HINTS = re.compile(
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog status".split())
 # Weight of a word by its nearest telling element where labelled pages show none.
-PRIOR = {"skip": -3.0, "a": -1.0, "li": 0.3, "div": 0.3, "body": 0.2, "section": 0.3}
+PRIOR = {"a": -1.0, "li": 0.3, "div": 0.3, "body": 0.2, "section": 0.3}
 WORD_PRIOR = 1.0
 TAG_COST = -0.02
+NOISE_COST = -0.5
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)([^>]*)(?:>|\Z)|[^<]+|<", re.S)
 _HINTED = re.compile(r"""(?is)\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
@@ -126,12 +127,12 @@ def learned_weights(pages: list[str]) -> dict[str, float]:
     for page in pages:
         for kind, value, near, noise, article in tokens(page):
             if kind == "text" and (n := len(value.split())):
-                (inside if article and not noise else outside)["skip" if noise else near] += n
+                if not noise:
+                    (inside if article else outside)[near] += n
     weights = {}
     for near in {*inside, *outside}:
         ratio = math.log((inside[near] + 1) / (outside[near] + 1))
         weights[near] = max(0.1, min(ratio, 3.0)) if ratio > 0 else max(ratio, -3.0)
-    weights["skip"] = min(weights.get("skip", PRIOR["skip"]), -1.0)
     return weights
 
 
@@ -139,12 +140,16 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
     if not page:
         return ""
     parts: list[str] = []
+    in_noise = False
     sequence: list[tuple[float, str | None]] = []
     for kind, value, near, noise, _ in tokens(page):
         if kind == "text":
-            key = "skip" if noise else near
-            weight = weights.get(key, PRIOR.get(key, WORD_PRIOR))
-            sequence.append((weight * len(value.split()), None if noise else value))
+            if noise:
+                # An element that never holds main text counts once, like a tag.
+                sequence.append((0.0 if in_noise else NOISE_COST, None))
+            else:
+                sequence.append((weights.get(near, PRIOR.get(near, WORD_PRIOR)) * len(value.split()), value))
+            in_noise = noise
         else:
             sequence.append((TAG_COST, "\n" if kind == "break" else None))
     # The best contiguous region, by one scan over running sums.
