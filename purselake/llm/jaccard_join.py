@@ -41,7 +41,7 @@ SIMILARITY = 0.8
 COORDINATES = 128
 RUNS = 16
 BRANCH = 0.7
-BUCKET = 1024
+BUCKET = 2048
 DEPTH = 6
 #: Share of 64 one-byte least hashes in which candidates agree: 4.4 deviations below 0.8.
 LIKELY = 0.58
