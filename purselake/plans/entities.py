@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from purselake.functions import exprs as X
 from purselake.operators import aggs, linking, windows
 from purselake.plans.bindings import Lake, with_sql
-from purselake.plans.marts import XWALK_SQL, N, crosswalk
+from purselake.plans.marts import XWALK_SQL, crosswalk, n_rows
 from purselake.plans.registry import query
 from purselake.plans.relational import money
 from purselake.plans.scalars import TOKENS_SQL
@@ -119,7 +119,7 @@ def e09(spark, sf):
     """Pairs are projected from counts; none is built."""
     lake = Lake(spark, sf)
     a = lake.transactions().groupBy("fiscal_year", "award_type").agg(F.countDistinct("award_id").alias("awards"))
-    n = lake.lines().groupBy((F.col("edition_year") - 20).alias("fiscal_year")).agg(N.alias("lines"))
+    n = lake.lines().groupBy((F.col("edition_year") - 20).alias("fiscal_year")).agg(n_rows().alias("lines"))
     return n.join(a, "fiscal_year").withColumn("pairs", F.col("lines") * F.col("awards")).withColumn("allowed", F.col("pairs") <= 500_000)
 
 
@@ -154,7 +154,7 @@ def e14(spark, sf):
     c = lake.lineitem.join(p, "l_partkey").select(F.col("l_orderkey").alias("award_id"), "pe_bli", "account").distinct()
     members = lake.lines().filter("edition_year = 2020").select("pe_bli", "account", "organization").distinct()
     m = c.join(members, ["pe_bli", "account"]).select("award_id", "pe_bli", "organization").distinct()
-    return m.groupBy("award_id", "pe_bli").agg(N.alias("n"), F.min("organization").alias("organization")).filter("n = 1").drop("n")
+    return m.groupBy("award_id", "pe_bli").agg(n_rows().alias("n"), F.min("organization").alias("organization")).filter("n = 1").drop("n")
 
 
 @query("E15_money_color_filter", """WITH j AS (SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE [o_custkey % 7, o_custkey % 5] END AS a, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE [o_orderkey % 6] END AS l FROM orders) SELECT o_orderkey FROM j WHERE l IS NOT NULL AND (a IS NULL OR list_has_any(a, l))""")
@@ -167,7 +167,7 @@ def e15(spark, sf):
 @query("E16_classify_shared_keys", with_sql("ln", "SELECT pe_bli, CASE WHEN count(DISTINCT account) = count(*) THEN 'ACCOUNT' WHEN count(DISTINCT organization) = count(*) THEN 'ORGANIZATION' ELSE 'UNRESOLVED' END AS split_by FROM (SELECT DISTINCT pe_bli, account, organization FROM ln WHERE edition_year = 2021) GROUP BY 1 HAVING count(*) > 1"))
 def e16(spark, sf):
     m = Lake(spark, sf).lines().filter("edition_year = 2021").select("pe_bli", "account", "organization").distinct()
-    s = m.groupBy("pe_bli").agg(N.alias("n"), F.countDistinct("account").alias("a"), F.countDistinct("organization").alias("o")).filter("n > 1")
+    s = m.groupBy("pe_bli").agg(n_rows().alias("n"), F.countDistinct("account").alias("a"), F.countDistinct("organization").alias("o")).filter("n > 1")
     return s.select("pe_bli", linking.first_true([(F.col("a") == F.col("n"), "ACCOUNT"), (F.col("o") == F.col("n"), "ORGANIZATION")], "UNRESOLVED").alias("split_by"))
 
 
@@ -191,7 +191,7 @@ def e18(spark, sf):
 @query("E19_precision_tally", "SELECT method, confirmed, sampled FROM (SELECT o_orderpriority AS method, year(o_orderdate) AS y, count(*) AS sampled, count(*) FILTER (WHERE o_orderstatus = 'F') AS confirmed, max(year(o_orderdate)) OVER (PARTITION BY o_orderpriority) AS m FROM orders GROUP BY o_orderpriority, year(o_orderdate)) WHERE y = m")
 def e19(spark, sf):
     o = Lake(spark, sf).orders.withColumn("y", F.year("o_orderdate"))
-    t = o.groupBy(F.col("o_orderpriority").alias("method"), "y").agg(N.alias("sampled"), F.count_if(F.col("o_orderstatus") == "F").alias("confirmed"))
+    t = o.groupBy(F.col("o_orderpriority").alias("method"), "y").agg(n_rows().alias("sampled"), F.count_if(F.col("o_orderstatus") == "F").alias("confirmed"))
     return windows.tied_top(t, ["method"], [F.col("y").desc()]).drop("y")
 
 
@@ -307,7 +307,7 @@ def e32(spark, sf):
 def e33(spark, sf):
     q = F.col("quantity")
     c = Lake(spark, sf).transactions().select("sub_agency", linking.first_true([(q > 40, "a"), (q > 20, "b"), (q > 5, "c")], "d").alias("class"))
-    n = c.groupBy("sub_agency", "class").agg(N.alias("n"))
+    n = c.groupBy("sub_agency", "class").agg(n_rows().alias("n"))
     return n.withColumn("share", windows.share_of_total("n", ["sub_agency"]))
 
 
@@ -319,7 +319,7 @@ def e34(spark, sf):
     s = d.select("doc_id", F.explode(F.split("text", "[.;\\n]+")).alias("sentence")).select("doc_id", F.trim("sentence").alias("sentence")).filter(F.ilike("sentence", F.lit("% the %")))
     w = s.select("doc_id", "sentence", F.explode(F.array_distinct(F.split(F.lower("sentence"), "[^a-z]+"))).alias("b"))
     h = w.filter(F.col("b").isin("worthless", "clown", "idiot", "moron", "scum")).distinct()
-    return h.groupBy("doc_id", "sentence").agg(N.alias("n"), F.min("b").alias("successor")).filter("n = 1").drop("n")
+    return h.groupBy("doc_id", "sentence").agg(n_rows().alias("n"), F.min("b").alias("successor")).filter("n = 1").drop("n")
 
 
 @query("E35_contradictory_claims", "SELECT o_orderkey, o_custkey FROM (SELECT *, lag(o_orderpriority) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS before FROM orders) WHERE before IS NOT NULL AND before <> o_orderpriority")

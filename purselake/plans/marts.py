@@ -12,7 +12,9 @@ from purselake.plans.registry import query
 from purselake.plans.relational import CANDIDATES_SQL, HHI_SQL, RANGE_SQL, candidates, money, range_rules
 from purselake.plans.scalars import CLASS_SQL, OFFERS, OFFERS_SQL, competed_class
 
-N = F.count(F.lit(1))
+
+def n_rows():
+    return F.count(F.lit(1))
 
 
 def tier_rank(c):
@@ -35,13 +37,13 @@ SELECT k.family_key, d.recipient_name AS display_name, d.recipient_id AS dominan
 FROM (SELECT family_key, count(*) AS n, sum(total_obligation) AS t, max(CASE confidence WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END) AS w FROM xk GROUP BY 1) k JOIN d ON k.family_key = d.family_key AND d.n = 1"""))
 def m01(spark, sf):
     best = F.min(F.struct(F.col("total_obligation").isNull(), -F.col("total_obligation"), "recipient_name", "recipient_id"))
-    f = crosswalk(Lake(spark, sf)).groupBy("family_key").agg(best.alias("b"), N.alias("uei_count"), F.sum("total_obligation").alias("t"), F.max(tier_rank(F.col("confidence"))).alias("w"))
+    f = crosswalk(Lake(spark, sf)).groupBy("family_key").agg(best.alias("b"), n_rows().alias("uei_count"), F.sum("total_obligation").alias("t"), F.max(tier_rank(F.col("confidence"))).alias("w"))
     return f.select("family_key", F.col("b.recipient_name").alias("display_name"), F.col("b.recipient_id").alias("dominant_id"), "uei_count", money(F.col("t"), "total_obligation"), X.recode(F.col("w"), {1: "high", 2: "medium"}, "low").alias("worst_confidence"))
 
 
 @query("M02_dim_geography", with_sql("tx pl", "SELECT pop_state, pop_district, count(*) AS transaction_count, CAST(sum(obligation) AS DOUBLE) AS total_obligation FROM tx JOIN pl USING (customer_id) WHERE pop_state <> '' GROUP BY 1, 2"))
 def m02(spark, sf):
-    return Lake(spark, sf).located().filter("pop_state <> ''").groupBy("pop_state", "pop_district").agg(N.alias("transaction_count"), money(F.sum("obligation"), "total_obligation"))
+    return Lake(spark, sf).located().filter("pop_state <> ''").groupBy("pop_state", "pop_district").agg(n_rows().alias("transaction_count"), money(F.sum("obligation"), "total_obligation"))
 
 
 @query("M03_dim_lobbyists", """WITH c AS (SELECT c_custkey AS name, o_orderkey, CASE WHEN o_orderpriority = '5-LOW' THEN '' ELSE o_orderpriority END AS pos FROM orders JOIN customer ON o_custkey = c_custkey),
@@ -96,7 +98,7 @@ def programs(lake):
 @query("M06_dim_recipients", with_sql("tx xw", "SELECT recipient_id, recipient_name, parent_name, CAST(sum(obligation) AS DOUBLE) AS total_obligation, count(*) AS transaction_count, min(fiscal_year) AS first_fiscal_year, max(fiscal_year) AS last_fiscal_year FROM tx JOIN xw USING (recipient_id) GROUP BY 1, 2, 3"))
 def m06(spark, sf):
     lake = Lake(spark, sf)
-    t = lake.transactions().groupBy("recipient_id").agg(money(F.sum("obligation"), "total_obligation"), N.alias("transaction_count"), F.min("fiscal_year").alias("first_fiscal_year"), F.max("fiscal_year").alias("last_fiscal_year"))
+    t = lake.transactions().groupBy("recipient_id").agg(money(F.sum("obligation"), "total_obligation"), n_rows().alias("transaction_count"), F.min("fiscal_year").alias("first_fiscal_year"), F.max("fiscal_year").alias("last_fiscal_year"))
     return t.join(lake.recipients().select("recipient_id", "recipient_name", "parent_name"), "recipient_id")
 
 
@@ -135,7 +137,7 @@ def decade_series(lake):
     shared = aggs.collisions(ln.filter("edition_year >= 2026 AND title IS NOT NULL"), ["pe_bli", "amount_type"], "account").select("pe_bli", "amount_type", F.lit(True).alias("shared"))
     keyed = ln.filter(F.col("exhibit").isin("R-1", "P-1")).join(F.broadcast(shared), ["pe_bli", "amount_type"], "left").withColumn("account", F.when(F.col("shared"), F.col("account")))
     sums = keyed.join(F.broadcast(candidates(lake)), ["edition_year", "amount_type"]).groupBy("pe_bli", "account", "edition_year", "scenario", "priority", "fy", "amount_type")
-    sums = sums.agg(F.sum("amount_thousands").alias("amount"), N.alias("n_source_rows"), aggs.single_source(F.col("line_id")).alias("source_id"))
+    sums = sums.agg(F.sum("amount_thousands").alias("amount"), n_rows().alias("n_source_rows"), aggs.single_source(F.col("line_id")).alias("source_id"))
     best = windows.pick_first(sums, ["pe_bli", "account", "edition_year", "scenario"], [F.col("priority")])
     check = ln.filter("exhibit <> 'P-1R'").groupBy("pe_bli", "edition_year", "amount_type").agg(F.sum("amount_thousands").alias("s"))
     agrees = best.join(check, ["pe_bli", "edition_year", "amount_type"]).filter(F.col("account").isNotNull() | (F.abs(F.col("s") - F.col("amount")) <= 0.5))
@@ -210,7 +212,7 @@ def m13(spark, sf):
 
 @query("M25_program_trajectory", with_sql("ln", _TRAJ_SQL + f", p AS (SELECT pe_bli, account, count(*) AS n_org_components, sum(actuals) AS actuals, sum(total) AS total, sum(request) AS request FROM traj GROUP BY 1, 2) SELECT pe_bli, account, n_org_components, {_TRAJ_OUT} FROM p"))
 def m25(spark, sf):
-    p = trajectory(Lake(spark, sf)).groupBy("pe_bli", "account").agg(N.alias("n_org_components"), *[F.sum(c).alias(c) for c in ("actuals", "total", "request")])
+    p = trajectory(Lake(spark, sf)).groupBy("pe_bli", "account").agg(n_rows().alias("n_org_components"), *[F.sum(c).alias(c) for c in ("actuals", "total", "request")])
     return with_change(p)
 
 
@@ -297,12 +299,12 @@ def m17(spark, sf):
     cols = ["fiscal_year", "state", "agency", "family", "competed_class", "offers"]
     grouped = f.groupingSets([[F.col(c) for c in s] for s in sets], *[F.col(c) for c in cols])
     level = F.when(F.grouping("family") == 0, "agency>family").when(F.grouping("competed_class") == 0, "class>offers").otherwise("state>agency")
-    return grouped.agg(level.alias("level"), money(F.sum("obligation"), "amount"), N.alias("line_count")).select("level", *cols, "amount", "line_count")
+    return grouped.agg(level.alias("level"), money(F.sum("obligation"), "amount"), n_rows().alias("line_count")).select("level", *cols, "amount", "line_count")
 
 
 @query("M18_family_obligations_by_year", with_sql("tx xw", "SELECT family_key, fiscal_year, CAST(sum(obligation) AS DOUBLE) AS total_obligation, count(*) AS transaction_count, count(DISTINCT recipient_id) AS uei_count FROM tx JOIN xw USING (recipient_id) GROUP BY 1, 2"))
 def m18(spark, sf):
-    return Lake(spark, sf).family_transactions().filter("family_key IS NOT NULL").groupBy("family_key", "fiscal_year").agg(money(F.sum("obligation"), "total_obligation"), N.alias("transaction_count"), F.countDistinct("recipient_id").alias("uei_count"))
+    return Lake(spark, sf).family_transactions().filter("family_key IS NOT NULL").groupBy("family_key", "fiscal_year").agg(money(F.sum("obligation"), "total_obligation"), n_rows().alias("transaction_count"), F.countDistinct("recipient_id").alias("uei_count"))
 
 
 _EVENT_COLS = ["event_type", "key", "headline_value", "comparison_value", "pct_change", "fiscal_year", "units"]
@@ -382,7 +384,7 @@ SELECT family, filing_year, filings_count, CAST(income AS DOUBLE) AS lobbying_in
 def m21(spark, sf):
     lake = Lake(spark, sf)
     counted = resolved_filings(lake).filter(F.col("resolution").isin("registration", "original", "amendment_counted"))
-    a = counted.groupBy((F.col("registrant") % 100).alias("family"), "filing_year").agg(N.alias("filings_count"), money(F.sum(F.col("income_usd").try_cast("decimal(20,2)")), "lobbying_income_usd"))
+    a = counted.groupBy((F.col("registrant") % 100).alias("family"), "filing_year").agg(n_rows().alias("filings_count"), money(F.sum(F.col("income_usd").try_cast("decimal(20,2)")), "lobbying_income_usd"))
     o = lake.transactions().groupBy(F.col("recipient_id").alias("family")).agg(money(F.sum("obligation"), "family_obligations_usd"))
     return a.join(o, "family", "left")
 
@@ -401,7 +403,7 @@ def m22(spark, sf):
     n = j.groupBy("pe_bli", "basis").agg(F.countDistinct("award_id").alias("award_count"))
     g = f.groupBy("pe_bli", "basis").agg(
         (F.sum(F.col("p") * F.col("p")) * 10000 / F.nullif(F.sum("p") * F.sum("p"), F.lit(0.0))).alias("hhi"), F.max_by("family", "p").alias("top_family"),
-        N.alias("family_count"), F.count_if(F.col("p") > 0).alias("positive_family_count"), F.sum("p").alias("program_dollars"),
+        n_rows().alias("family_count"), F.count_if(F.col("p") > 0).alias("positive_family_count"), F.sum("p").alias("program_dollars"),
     )
     return g.join(n, ["pe_bli", "basis"]).filter("award_count >= 3 AND positive_family_count >= 2 AND program_dollars > 0")
 
@@ -475,7 +477,7 @@ cp AS (SELECT *, CASE WHEN ambiguity IS NOT NULL THEN 'ambiguous' WHEN action_da
 def duplicate_copies(lake):
     """Keys first: only repeated keys' rows are classified."""
     t = lake.transactions()
-    keys = t.groupBy("award_type", "transaction_key").agg(N.alias("copies"), F.countDistinct("fiscal_year").alias("fiscal_years"), F.count("action_date").alias("dated"), F.countDistinct("action_date").alias("dates"), F.max("action_date").alias("newest")).filter("copies > 1")
+    keys = t.groupBy("award_type", "transaction_key").agg(n_rows().alias("copies"), F.countDistinct("fiscal_year").alias("fiscal_years"), F.count("action_date").alias("dated"), F.countDistinct("action_date").alias("dates"), F.max("action_date").alias("newest")).filter("copies > 1")
     why = F.when(F.col("copies") != 2, "more than two copies").when(F.col("fiscal_years") != 2, "both copies sit in one fiscal year").when(F.col("dated") != 2, "a copy has no date").when(F.col("dates") != 2, "both copies carry the same date")
     c = t.join(keys, ["award_type", "transaction_key"]).withColumn("ambiguity", why)
     return c.withColumn("resolution", F.when(F.col("ambiguity").isNotNull(), "ambiguous").when(F.col("action_date") == F.col("newest"), "keep").otherwise("retire"))

@@ -8,7 +8,7 @@ from purselake.functions import exprs as X
 from purselake.operators import aggs, joins, linking
 from purselake.plans import entities, graph_text, marts
 from purselake.plans.bindings import Lake, with_sql
-from purselake.plans.marts import N
+from purselake.plans.marts import n_rows
 from purselake.plans.registry import query
 from purselake.plans.relational import RANGE_SQL, money, range_rules
 from purselake.quality import checks
@@ -49,7 +49,7 @@ def qc05(spark, sf):
 @query("QC06_no_overlap", with_sql("ln", f", {RANGE_SQL} SELECT a.account, a.rule_id AS id_a, b.rule_id AS id_b, (SELECT count(*) FROM ln WHERE ln.account = a.account) AS lines FROM rules a JOIN rules b ON a.account = b.account AND a.rule_id < b.rule_id AND a.first_edition <= b.last_edition AND b.first_edition <= a.last_edition"))
 def qc06(spark, sf):
     pairs = checks.no_overlap(range_rules(spark), ["account"], "rule_id", "first_edition", "last_edition")
-    return pairs.join(Lake(spark, sf).lines().groupBy("account").agg(N.alias("lines")), "account")
+    return pairs.join(Lake(spark, sf).lines().groupBy("account").agg(n_rows().alias("lines")), "account")
 
 
 @query("QC07_complete", "SELECT k, 'right' AS missing_on FROM (SELECT o_custkey AS k FROM orders EXCEPT SELECT s_suppkey FROM supplier) UNION ALL SELECT k, 'left' FROM (SELECT s_suppkey AS k FROM supplier EXCEPT SELECT o_custkey FROM orders)")
@@ -60,7 +60,7 @@ def qc07(spark, sf):
 
 @query("QC08_pinned_value", "SELECT n_regionkey, count(*) AS n FROM nation GROUP BY 1 HAVING count(*) IS DISTINCT FROM 4")
 def qc08(spark, sf):
-    return checks.pinned_value(Lake(spark, sf).nation.groupBy("n_regionkey").agg(N.alias("n")), "n", 4)
+    return checks.pinned_value(Lake(spark, sf).nation.groupBy("n_regionkey").agg(n_rows().alias("n")), "n", 4)
 
 
 @query("QC09_consistency_rule", "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_shipdate < o_orderdate AND o_orderstatus = 'F'")
@@ -82,7 +82,7 @@ def v01(spark, sf):
     lake = Lake(spark, sf)
     top = lake.transactions().groupBy("recipient_id").agg(F.sum("obligation").alias("s")).orderBy(F.col("s").desc(), "recipient_id").limit(50)
     j = top.join(lake.recipients(), "recipient_id", "left")
-    return j.agg(N.alias("top_n"), F.count("family_key").alias("resolved"), (F.count("family_key") / N).alias("rate"))
+    return j.agg(n_rows().alias("top_n"), F.count("family_key").alias("resolved"), (F.count("family_key") / n_rows()).alias("rate"))
 
 
 @query("V02_golden_families", with_sql("xw", ", g(pattern) AS (VALUES ('%00001_'), ('%00002'), ('nothing%')) SELECT pattern, count(DISTINCT family_key) AS families FROM g LEFT JOIN xw ON recipient_name ILIKE pattern GROUP BY 1"))
@@ -102,13 +102,13 @@ def v03(spark, sf):
 @query("V04_mapping_rate", "SELECT count(*) AS areas, count(*) FILTER (WHERE p_type <> 'PROMO') AS mapped, count(*) FILTER (WHERE p_type <> 'PROMO') >= 0.8 * count(*) AS passed FROM part")
 def v04(spark, sf):
     mapped = F.count_if(F.col("p_type") != "PROMO")
-    return Lake(spark, sf).part.agg(N.alias("areas"), mapped.alias("mapped"), (mapped >= 0.8 * N).alias("passed"))
+    return Lake(spark, sf).part.agg(n_rows().alias("areas"), mapped.alias("mapped"), (mapped >= 0.8 * n_rows()).alias("passed"))
 
 
 @query("V05_mart_invariants", with_sql("tx", ", h AS (SELECT sub_agency, sum(p * p) * 10000 / (sum(p) * sum(p)) AS hhi FROM (SELECT sub_agency, recipient_id, CAST(sum(greatest(obligation, 0)) AS DOUBLE) AS p FROM tx GROUP BY 1, 2) GROUP BY 1) SELECT count(*) AS marts, count(*) FILTER (WHERE hhi < 0 OR hhi > 10000) AS out_of_range FROM h"))
 def v05(spark, sf):
     h = aggs.hhi(Lake(spark, sf).transactions(), ["sub_agency"], "recipient_id", "obligation")
-    return h.agg(N.alias("marts"), F.count_if((F.col("hhi") < 0) | (F.col("hhi") > 10000)).alias("out_of_range"))
+    return h.agg(n_rows().alias("marts"), F.count_if((F.col("hhi") < 0) | (F.col("hhi") > 10000)).alias("out_of_range"))
 
 
 _DEPT = "WITH a AS (SELECT o_custkey % 50 AS d, sum(CAST(o_totalprice AS DECIMAL(18,2))) AS t FROM orders GROUP BY 1), b AS (SELECT o_custkey % 50 AS d, sum(CAST(o_totalprice AS DECIMAL(18,2))) AS t FROM orders WHERE o_orderkey % 400 <> 0 GROUP BY 1)"
@@ -119,40 +119,40 @@ def v06(spark, sf):
     o = Lake(spark, sf).orders.withColumn("d", F.col("o_custkey") % 50)
     total = F.sum(F.col("o_totalprice").cast("decimal(18,2)"))
     a, b = o.groupBy("d").agg(total.alias("t")), o.filter("o_orderkey % 400 <> 0").groupBy("d").agg(total.alias("u"))
-    return a.join(b, "d", "full_outer").agg(N.alias("departments"), F.count_if(F.abs(F.col("t") - F.col("u")) <= F.col("t") / 200).alias("within"))
+    return a.join(b, "d", "full_outer").agg(n_rows().alias("departments"), F.count_if(F.abs(F.col("t") - F.col("u")) <= F.col("t") / 200).alias("within"))
 
 
 @query("V07_capture_coverage", "SELECT count(*) AS captured, max(l_orderkey) + 1 AS expected, count(*) * 1.0 / (max(l_orderkey) + 1) >= 0.8 AS passed FROM (SELECT DISTINCT l_orderkey FROM lineitem)")
 def v07(spark, sf):
     k = Lake(spark, sf).lineitem.select("l_orderkey").distinct()
-    return k.agg(N.alias("captured"), (F.max("l_orderkey") + 1).alias("expected"), (N / (F.max("l_orderkey") + 1) >= 0.8).alias("passed"))
+    return k.agg(n_rows().alias("captured"), (F.max("l_orderkey") + 1).alias("expected"), (n_rows() / (F.max("l_orderkey") + 1) >= 0.8).alias("passed"))
 
 
 @query("V08_comparable_pairs", "SELECT count(*) AS pairs FROM (SELECT o_orderpriority, year(o_orderdate) FROM orders GROUP BY 1, 2 HAVING count(DISTINCT o_orderstatus) = 3)")
 def v08(spark, sf):
     g = Lake(spark, sf).orders.groupBy("o_orderpriority", F.year("o_orderdate").alias("y")).agg(F.countDistinct("o_orderstatus").alias("k")).filter("k = 3")
-    return g.agg(N.alias("pairs"))
+    return g.agg(n_rows().alias("pairs"))
 
 
 @query("V09_match_rate", f"WITH t AS ({entities._TIER_SQL}) SELECT count(*) AS top, count(*) FILTER (WHERE tier <> 'none') AS matched FROM (SELECT c_custkey FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 50) JOIN t USING (c_custkey)")
 def v09(spark, sf):
     lake = Lake(spark, sf)
     top = lake.customer.orderBy(F.col("c_acctbal").desc(), "c_custkey").limit(50).select("c_custkey")
-    return top.join(entities.client_tiers(lake), "c_custkey").agg(N.alias("top"), F.count_if(F.col("tier") != "none").alias("matched"))
+    return top.join(entities.client_tiers(lake), "c_custkey").agg(n_rows().alias("top"), F.count_if(F.col("tier") != "none").alias("matched"))
 
 
 @query("V10_mention_integrity", "SELECT count(*) AS mentions, count(DISTINCT l_partkey) AS codes, count(*) FILTER (WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size < 49)) AS orphans FROM lineitem")
 def v10(spark, sf):
     lake = Lake(spark, sf)
     known = lake.part.filter("p_size < 49").select(F.col("p_partkey").alias("l_partkey"), F.lit(True).alias("known"))
-    return lake.lineitem.join(known, "l_partkey", "left").agg(N.alias("mentions"), F.countDistinct("l_partkey").alias("codes"), F.count_if(F.col("known").isNull()).alias("orphans"))
+    return lake.lineitem.join(known, "l_partkey", "left").agg(n_rows().alias("mentions"), F.countDistinct("l_partkey").alias("codes"), F.count_if(F.col("known").isNull()).alias("orphans"))
 
 
 @query("V11_coverage_accuracy_gates", with_sql("ln", ", c AS (SELECT DISTINCT pe_bli, account FROM ln), d AS (SELECT DISTINCT pe_bli, account FROM ln WHERE exhibit = 'R-1') SELECT (SELECT count(*) FROM c) AS listed, (SELECT count(*) FROM d) AS detailed, (SELECT count(*) FROM d) * 1.0 / (SELECT count(*) FROM c) AS coverage"))
 def v11(spark, sf):
     ln = Lake(spark, sf).lines()
     k = ln.groupBy("pe_bli", "account").agg(F.bool_or(F.col("exhibit") == "R-1").alias("d"))
-    return k.agg(N.alias("listed"), F.count_if("d").alias("detailed"), (F.count_if("d") / N).alias("coverage"))
+    return k.agg(n_rows().alias("listed"), F.count_if("d").alias("detailed"), (F.count_if("d") / n_rows()).alias("coverage"))
 
 
 @query("V12_independent_recomputes", with_sql("tx pl lk", marts._PUB + ", m AS (SELECT pop_state, count(DISTINCT award_id) AS n FROM tx JOIN pl USING (customer_id) WHERE award_id IN (SELECT award_id FROM pub) GROUP BY 1) SELECT count(*) AS compared, 0 AS differing FROM m"))
@@ -165,7 +165,7 @@ def v12(spark, sf):
     o = lake.orders.join(good, F.col("o_orderkey") == F.col("l_orderkey"), "left_semi").join(lake.places(), F.col("o_custkey") == F.col("customer_id"))
     raw = o.groupBy("pop_state").agg(F.countDistinct("o_orderkey").alias("raw"))
     j = mart.join(raw, "pop_state", "full_outer")
-    return j.agg(N.alias("compared"), F.count_if(~F.col("n").eqNullSafe(F.col("raw"))).cast("int").alias("differing"))
+    return j.agg(n_rows().alias("compared"), F.count_if(~F.col("n").eqNullSafe(F.col("raw"))).cast("int").alias("differing"))
 
 
 @query("V13_snapshot_pins", "SELECT 'orders' AS table_name, count(*) AS row_count, bit_xor(CAST(o_orderkey * 31 + o_custkey AS BIGINT)) AS pin FROM orders UNION ALL SELECT 'customer', count(*), bit_xor(CAST(c_custkey * 31 + c_nationkey AS BIGINT)) FROM customer")
@@ -174,7 +174,7 @@ def v13(spark, sf):
     lake = Lake(spark, sf)
 
     def pin(df, name, digest):
-        return df.agg(N.alias("row_count"), F.bit_xor(digest.cast("long")).alias("pin")).withColumn("table_name", F.lit(name))
+        return df.agg(n_rows().alias("row_count"), F.bit_xor(digest.cast("long")).alias("pin")).withColumn("table_name", F.lit(name))
 
     return pin(lake.orders, "orders", F.col("o_orderkey") * 31 + F.col("o_custkey")).unionByName(pin(lake.customer, "customer", F.col("c_custkey") * 31 + F.col("c_nationkey")))
 
@@ -195,19 +195,19 @@ def v15(spark, sf):
     comp = graph_text.graphs.components(e, "a", "b")
     side = lambda c: comp.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}"))
     j = e.join(side("a"), "a").join(side("b"), "b")
-    return j.agg(N.alias("edges"), F.count_if(F.col("relation") == "split").alias("splits"), F.count_if(F.col("c_a") != F.col("c_b")).cast("int").alias("crossing"))
+    return j.agg(n_rows().alias("edges"), F.count_if(F.col("relation") == "split").alias("splits"), F.count_if(F.col("c_a") != F.col("c_b")).cast("int").alias("crossing"))
 
 
 @query("V16_ranged_decision_integrity", with_sql("ln", marts._ERA_SQL + " SELECT r.rule_id, count(era.line_id) AS bound FROM rules r LEFT JOIN era ON era.decision_id = r.rule_id GROUP BY 1"))
 def v16(spark, sf):
-    bound = marts.era_map(Lake(spark, sf)).groupBy(F.col("decision_id").alias("rule_id")).agg(N.alias("n"))
+    bound = marts.era_map(Lake(spark, sf)).groupBy(F.col("decision_id").alias("rule_id")).agg(n_rows().alias("n"))
     return range_rules(spark).select("rule_id").join(bound, "rule_id", "left").select("rule_id", F.coalesce("n", F.lit(0)).alias("bound"))
 
 
 @query("V17_edition_leakage", with_sql("ln", "SELECT edition_year, count(*) FILTER (WHERE CAST(regexp_extract(amount_type, '[0-9]+') AS INTEGER) > edition_year) AS leaked, count(*) AS lines FROM ln GROUP BY 1"))
 def v17(spark, sf):
     year = F.regexp_extract("amount_type", "[0-9]+", 0).cast("int")
-    return Lake(spark, sf).lines().groupBy("edition_year").agg(F.count_if(year > F.col("edition_year")).alias("leaked"), N.alias("lines"))
+    return Lake(spark, sf).lines().groupBy("edition_year").agg(F.count_if(year > F.col("edition_year")).alias("leaked"), n_rows().alias("lines"))
 
 
 @query("V18_sampled_recompute", with_sql("tx", ", s AS (SELECT sub_agency, recipient_id FROM (SELECT *, row_number() OVER (PARTITION BY sub_agency ORDER BY sha256(concat('3|', recipient_id)), recipient_id) AS n FROM (SELECT DISTINCT sub_agency, recipient_id FROM tx)) WHERE n <= 10) SELECT sub_agency, recipient_id, CAST(sum(obligation) AS DOUBLE) AS total FROM tx JOIN s USING (sub_agency, recipient_id) GROUP BY 1, 2"))
@@ -220,11 +220,11 @@ def v18(spark, sf):
 @query("V19_answer_freshness", "SELECT o_orderstatus, count(*) AS answer, abs(count(*) - (SELECT count(*) FROM orders) / 3.0) <= 0.05 * count(*) AS fresh FROM orders GROUP BY 1")
 def v19(spark, sf):
     o = Lake(spark, sf).orders
-    stored = o.agg((N / 3.0).alias("stored"))
-    return o.groupBy("o_orderstatus").agg(N.alias("answer")).crossJoin(F.broadcast(stored)).select("o_orderstatus", "answer", (F.abs(F.col("answer") - F.col("stored")) <= 0.05 * F.col("answer")).alias("fresh"))
+    stored = o.agg((n_rows() / 3.0).alias("stored"))
+    return o.groupBy("o_orderstatus").agg(n_rows().alias("answer")).crossJoin(F.broadcast(stored)).select("o_orderstatus", "answer", (F.abs(F.col("answer") - F.col("stored")) <= 0.05 * F.col("answer")).alias("fresh"))
 
 
 @query("V20_fact_id_integrity", with_sql("ln", ", f AS (SELECT left(sha256(concat_ws('|', pe_bli, account, edition_year, amount_type, line_id)), 16) AS id FROM ln) SELECT count(*) AS facts, count(*) - count(DISTINCT id) AS repeated FROM f"))
 def v20(spark, sf):
     ids = Lake(spark, sf).lines().select(X.row_fact_id(*[F.col(c) for c in ("pe_bli", "account", "edition_year", "amount_type", "line_id")]).alias("id"))
-    return ids.agg(N.alias("facts"), (N - F.countDistinct("id")).alias("repeated"))
+    return ids.agg(n_rows().alias("facts"), (n_rows() - F.countDistinct("id")).alias("repeated"))
