@@ -26,6 +26,7 @@ score; further columns are ignored.
 from __future__ import annotations
 
 import re
+import sys
 import zlib
 from collections import Counter
 from dataclasses import dataclass
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 
 from purselake.llm.common import crc_mod, documents_only, table
 
-SAMPLE = 6000
+SAMPLE = 3000
 LANDMARKS = 96
 MINING = 4
 DECAY = 0.8
@@ -124,15 +125,20 @@ class Machine:
 def kernel_with(words: list[str], landmarks: list[str]) -> np.ndarray:
     """Kernel matrix of words (first windows) and landmarks."""
     first = lambda ws: encode_words([w[:WIDTH] for w in ws])[0]
-    tables = np.zeros((len(landmarks), CODES**3), dtype=np.float32)
     keys, weights = triple_features(first(landmarks))
+    used = np.unique(keys)
+    column = np.zeros(CODES**3, dtype=np.int32)  # 0: no landmark has the triple
+    column[used] = np.arange(1, len(used) + 1)
+    tables = np.zeros((len(landmarks), len(used) + 1), dtype=np.float32)
     for z in range(len(landmarks)):
-        np.add.at(tables[z], keys[z], weights[z])
+        np.add.at(tables[z], column[keys[z]], weights[z])
+    tables[:, 0] = 0
     out = np.zeros((len(words), len(landmarks)))
     for at in range(0, len(words), 1000):
         keys, weights = triple_features(first(words[at : at + 1000]))
+        places = column[keys]
         for z in range(len(landmarks)):
-            out[at : at + 1000, z] = (tables[z][keys] * weights).sum(axis=1)
+            out[at : at + 1000, z] = (tables[z][places] * weights).sum(axis=1)
     return out
 
 
@@ -165,7 +171,7 @@ def train(texts: list[str], toxic: list[int]) -> Machine:
     nothing = Machine(np.zeros(CODES**3, dtype=np.float32), 0.0, 0.0, 0.0, prior)
     if not len(labels) or labels.min() == labels.max():
         return nothing
-    bags = [words_of(t) for t in texts]
+    bags = [frozenset(map(sys.intern, words_of(t))) for t in texts]  # equal words share their memory
     bad, good = Counter(), Counter()
     groups: dict[str, list[set]] = {}
     for bag, y in zip(bags, labels):
@@ -192,13 +198,13 @@ def train(texts: list[str], toxic: list[int]) -> Machine:
     clean = sorted(w for w in good if w not in marked and len(w) >= 3)
     rng = np.random.default_rng(7)
     common = [w for w, _ in good.most_common(1500) if w not in marked and len(w) >= 3]
-    negative = sorted({*common, *rng.choice(clean, min(6000, len(clean)), replace=False).tolist()})
+    negative = sorted({*common, *(clean[i] for i in rng.choice(len(clean), min(6000, len(clean)), replace=False))})
     # The hardest clean words, those nearest to a marker, are negatives too.
     near = kernel_with(clean[:60000], markers[:24]).max(axis=1)
     negative = sorted({*negative, *(clean[i] for i in np.argsort(-near[:60000])[:1500])})
     pos = [w for w in markers if positive[w]]
     spread = [v for w in pos for v in disguises(w)]
-    landmarks = [*pos[: LANDMARKS // 2], *rng.choice(negative, min(LANDMARKS // 2, len(negative)), replace=False).tolist()]
+    landmarks = [*pos[: LANDMARKS // 2], *(negative[i] for i in rng.choice(len(negative), min(LANDMARKS // 2, len(negative)), replace=False))]
     gram = kernel_with(landmarks, landmarks)
     values, vectors = np.linalg.eigh((gram + gram.T) / 2)
     keep = values > 1e-6 * values.max()
