@@ -255,6 +255,8 @@ _MARGINS: dict[str, dict[str, float]] = {}
 
 def score_texts(machine: Machine, key: str, texts: list[str]) -> np.ndarray:
     """Scores of texts; ``key`` names the machine in this worker's word cache."""
+    if key not in _MARGINS:
+        _MARGINS.clear()  # an earlier machine's words are of no more use
     known = _MARGINS.setdefault(key, {})
     if len(known) > CACHE_WORDS:
         known.clear()
