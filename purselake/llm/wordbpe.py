@@ -2,7 +2,8 @@
 
 The word-level BPE file drops white space and never merges across it, so a
 text's ids are the ids of its white-space-separated words in order. Words recur;
-each worker keeps the ids of those it has met (bounded, emptied when full) and
+each worker keeps the ids of those it has met (two generations, bounded; a full one
+becomes the older one) and
 asks the library only for new ones. Of a new word that is plain letters and then
 plain punctuation, the parts are looked up apart, as the file splits there too.
 Only the ASCII white-space characters separate words here; any other white space
@@ -16,7 +17,8 @@ import re
 
 import numpy as np
 
-CACHE_WORDS = 400_000
+CACHE_WORDS = 160_000
+CACHE_PARTS = 400_000
 _SPACES = "\t\n\v\f\r"
 _SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:-@\[-`{-~]*)\Z")
 
@@ -32,6 +34,7 @@ class WordEncoder:
         self.ends_word = np.zeros(1 << 8 * self.width if self.width == 2 else self.tokenizer.get_vocab_size(), dtype=bool)
         self.ends_word[[i for piece, i in self.tokenizer.get_vocab().items() if piece.endswith("</w>")]] = True
         self.words: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {"": b""}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
@@ -53,24 +56,32 @@ class WordEncoder:
             out += [raw[a:b] for a, b in zip([0, *cuts], cuts)]
         return out
 
-    def _learn(self, words: set[str]) -> None:
-        parts, whole, split = self.parts, [], []
-        for w in words:
-            m = _SIMPLE.match(w)
+    def _learn(self, new: set[str]) -> None:
+        known, parts, simple = self.words, self.parts, _SIMPLE.match
+        whole, later, need = [], [], set()
+        for w in new:
+            m = simple(w)
             if m is None:
                 whole.append(w)
+                continue
+            a, b = m.groups()
+            a = a.lower()
+            if a in parts and b in parts:
+                known[w] = parts[a] + parts[b]
             else:
-                split.append((w, m[1].lower(), m[2]))
-        need = list({x for _, a, b in split for x in (a, b) if x not in parts})
+                later.append((w, a, b))
+                need.update((a, b))
+        need = list(need.difference(parts))
         parts.update(zip(need, self._encode_parts(need)))
-        self.words.update([(w, parts[a] + parts[b]) for w, a, b in split])
-        self.words.update(zip(whole, self._encode(whole)))
+        for w, a, b in later:
+            known[w] = parts[a] + parts[b]
+        known.update(zip(whole, self._encode(whole)))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
         if len(self.words) > CACHE_WORDS:
-            self.words = {"": b""}
-        if len(self.parts) > CACHE_WORDS:
+            self.older, self.words = self.words, {"": b""}
+        if len(self.parts) > CACHE_PARTS:
             self.parts = {"": b""}
         split = []
         for t in texts:
@@ -80,7 +91,9 @@ class WordEncoder:
             split.append(t.split(" "))
         new = set().union(*split).difference(self.words)
         if new:
-            self._learn(new)
+            again = new.intersection(self.older)
+            self.words.update(zip(again, map(self.older.__getitem__, again)))
+            self._learn(new - again)
         get = self.words.__getitem__
         return [np.frombuffer(b"".join(map(get, s)), dtype=self.dtype) for s in split]
 
@@ -95,7 +108,7 @@ def encoder(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
-def batches(texts, max_chars: int = 4_000_000):
+def batches(texts, max_chars: int = 2_000_000):
     """Consecutive slices of ``texts`` of about ``max_chars`` characters."""
     batch, size = [], 0
     for t in texts:
