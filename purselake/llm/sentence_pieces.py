@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from purselake.llm.common import documents_only, staged, table
+from purselake.llm.common import staged, table, with_long_ids, with_text_ids
 
 GIANT = 32768
 CHUNK = 16384
@@ -195,14 +195,14 @@ def backtrace(p: Pieces, text: str, a: int, b: int, left: tuple, right: tuple) -
 
 def encoded(docs: DataFrame, model_path: str) -> DataFrame:
     """doc_id, ids of every document."""
-    rows = documents_only(docs)
+    rows = with_text_ids(docs)
     short, long_ = rows.filter(F.length("text") <= GIANT), rows.filter(F.length("text") > GIANT)
 
     @F.pandas_udf("array<int>")
     def encode(texts: pd.Series) -> pd.Series:
         from purselake.llm.wordbpe import batches
 
-        return pd.Series([ids for some in batches(texts.tolist()) for ids in pieces(model_path).model.encode(some, num_threads=1)], dtype=object)
+        return pd.Series([np.array(ids, dtype=np.int32) for some in batches(texts.tolist(), 500_000) for ids in pieces(model_path).model.encode(some, num_threads=1)], dtype=object)
 
     def split(frames):
         cuttable = pieces(model_path).cuttable
@@ -212,12 +212,12 @@ def encoded(docs: DataFrame, model_path: str) -> DataFrame:
 
     names = ["doc_id", "row", "number", "open", "stretch", "text", "a", "b"]
     numbered = long_.select("doc_id", F.monotonically_increasing_id().alias("row"), "text")
-    chunks = staged(numbered.mapInPandas(split, "doc_id long, row long, number int, open boolean, stretch int, text string, a int, b int"), "chunks")
+    chunks = staged(numbered.mapInPandas(split, "doc_id string, row long, number int, open boolean, stretch int, text string, a int, b int"), "chunks")
 
     @F.pandas_udf("array<int>")
     def encode_closed(texts: pd.Series, numbers: pd.Series) -> pd.Series:
         # The library's own leading mark stands for the space at a later chunk's start.
-        return pd.Series([pieces(model_path).model.encode(t[1:] if n else t) for t, n in zip(texts, numbers)], dtype=object)
+        return pd.Series([np.array(pieces(model_path).model.encode(t[1:] if n else t), dtype=np.int32) for t, n in zip(texts, numbers)], dtype=object)
 
     def matrices(frames):
         for frame in frames:
@@ -248,7 +248,7 @@ def encoded(docs: DataFrame, model_path: str) -> DataFrame:
     opened = opened.join(states, ["row", "number"]).select("doc_id", "row", "number", encode_open("text", "a", "b", "state").alias("ids"))
     parts = closed.unionByName(opened).groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("number", "ids"))).alias("parts"))
     joined = parts.select("doc_id", F.flatten(F.transform("parts", lambda x: x["ids"])).alias("ids"))
-    return short.select("doc_id", encode("text").alias("ids")).unionByName(joined)
+    return with_long_ids(short.select("doc_id", encode("text").alias("ids")).unionByName(joined))
 
 
 def decoded(rows: DataFrame, model_path: str) -> DataFrame:
@@ -256,7 +256,8 @@ def decoded(rows: DataFrame, model_path: str) -> DataFrame:
 
     @F.pandas_udf("string")
     def decode(ids: pd.Series) -> pd.Series:
-        return pd.Series(pieces(model_path).model.decode([np.asarray(x).tolist() for x in ids], num_threads=1) if len(ids) else [], dtype=object)
+        model = pieces(model_path).model
+        return pd.Series([model.decode(np.asarray(x).tolist()) for x in ids], dtype=object)
 
     return rows.withColumn("text", decode("ids"))
 
