@@ -1,34 +1,41 @@
-"""Toxicity by a subsequence string-kernel support vector machine.
-
-Kernel: two words share every subsequence of three characters; a shared one counts
-``DECAY`` to the power of the stretch it spans in either word, over at most
-``SPAN`` characters, and the sum is divided by a norm of the words' lengths. Gaps
-and inserted characters only lower a value, so ``id-iot`` stays near ``idiot``.
-
-Training: from labelled sentences of at most ``SAMPLE`` documents, words that mark
-toxic sentences are told from words of clean ones. ``LANDMARKS`` of them span the
-Nystroem space in which a linear SVM (squared hinge) is fitted. A document's margin
-is that of its worst word; a logistic curve fitted on the sample's documents turns
-margins into scores, with the threshold that errs least there at 0.5.
-
-Scoring: the machine is a weighted sum of kernels with landmarks, so it is one
-weight a character triple (64**3 numbers, broadcast to the tasks whatever the
-corpus); a word's margin is the sum over its triples. Runs of single characters
-("i d i o t") also count joined. Workers keep the margins of words they have met.
-
-Cases: null or empty text has no words and scores like a clean text; words longer
-than ``WIDTH`` are read in overlapping windows, so nothing is cut off; repeated rows
-get equal results; an empty table gives an empty result; with no positive or no
-negative label every score is the share of toxic labels. Only the text enters a
-score; further columns are ignored.
+"""Toxicity by a subsequence string-kernel support vector machine with Nystroem landmarks.
+
+Kernel: a text is a bag of windows, stretches of at most ``WIDTH`` characters of its
+words. Two windows share every subsequence of three characters; a shared one counts
+``DECAY`` to the power of the stretch it spans in either window, over at most ``SPAN``
+characters. The sum is divided by both windows' norms and raised to ``POWER``, and two
+texts' kernel is the mean over their pairs of windows. Gaps and inserted characters
+only lower a value; runs of single characters ("i d i o t", "i.d.i.o.t") also count
+joined.
+
+Training, on at most ``SAMPLE`` labelled documents (of near copies, one):
+
+1. Landmarks are windows of the sample, ``PER_ROUND`` a round: those unlike the ones so
+   far whose triples are most over-represented in toxic documents or, every other round,
+   in those that the landmarks so far leave unexplained.
+2. Labelled sentences (a document's label is its sentences') are mapped to the Nystroem
+   space of the landmarks, where a linear SVM (squared hinge) is fitted.
+3. A document's own SVM reads the kernel means of its whole text with the landmarks,
+   the worst sentence's margin and the share of sentences of positive margin (margins of
+   machines that did not see the document). A logistic curve turns its margins, again
+   of machines that did not see the document, into scores.
+
+Scoring: a word's kernels with the landmarks are sums over its windows, so workers keep
+them for words that recur (at most ``CACHE_WORDS``), and a document's means are sums over
+its words.
+
+Cases: null or empty text has no windows and scores as such a text does; words of any
+length are read in overlapping windows, so nothing is cut off; very long texts are read
+in stretches of bounded memory; repeated rows get equal results; an empty table gives an
+empty result; with no positive or no negative label every score is the share of toxic
+labels. Only the text enters a score; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
-import sys
+import uuid
 import zlib
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,205 +44,302 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from purselake.llm.common import crc_mod, documents_only, table
+from purselake.llm.wordbpe import batches
 
 SAMPLE = 3000
-LANDMARKS = 96
-MINING = 4
-DECAY = 0.8
-SPAN = 7
-WIDTH = 24
-CACHE_WORDS = 300_000
+ROUNDS, PER_ROUND, DIVERSITY = 12, 8, 0.5
+DECAY, SPAN, POWER = 0.8, 6, 4
+WIDTH, STEP = 7, 2
+SENTENCE_WORDS = 20
+FOLDS = 5
+CACHE_WORDS = 250_000
+STRETCH = 50_000
 CODES = 64
+RATE = 300.0
+DOCUMENT_COST, SENTENCE_COST = 0.02, 10.0
 _RUNS = re.compile(r"(?<!\S)(?:\S\s+){2,}\S(?!\S)")
+_DOTTED = re.compile(r"\b(?:\w[^\w\s]){2,}\w\b")
+_INSIDE = re.compile(r"[^\w]")
 _SENTENCE = re.compile(r"[.!?]+\s+|\n+")
 _EDGES = ".,;:!?\"'()[]{}|*%&$#"
 
-_ODD = [np.uint64(x) for x in (2654435761, 2246822519, 3266489917)]
-
 _TRIPLES = [(i, j, k) for i in range(WIDTH) for k in range(i + 2, min(i + SPAN, WIDTH)) for j in range(i + 1, k)]
 _I, _J, _K = (np.array(x) for x in zip(*_TRIPLES))
-_WEIGHT = DECAY ** (_K - _I + 1.0)
+_WEIGHT = (DECAY ** (_K - _I + 1.0)).astype(np.float32)
 
 
-def words_of(text: str) -> set[str]:
-    """Distinct lower-case words without edge punctuation, and joined single characters."""
+def sentences_of(text: str) -> list[list[str]]:
+    """Lower-case words of each sentence; sentences of over ``SENTENCE_WORDS`` words come
+    in stretches of so many."""
     low = text.lower()
-    out = {w.strip(_EDGES) for w in set(low.split())}
-    for run in _RUNS.findall(low):
-        out.add("".join(run.split()))
-    out.discard("")
+    odd = bool(_RUNS.search(low) or _DOTTED.search(low))
+    out = []
+    for sentence in _SENTENCE.split(low):
+        words = sentence.split()
+        if odd:
+            words += ["".join(run.split()) for run in _RUNS.findall(sentence)]
+            words += [_INSIDE.sub("", run) for run in _DOTTED.findall(sentence)]
+        if len(words) <= SENTENCE_WORDS:
+            if words:
+                out.append(words)
+        else:
+            out += [words[i : i + SENTENCE_WORDS] for i in range(0, len(words), SENTENCE_WORDS)]
     return out
 
 
-def encode_words(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(codes of each window padded with 0, index of its word)."""
-    windows, owner = [], []
-    for n, w in enumerate(words):
-        for at in range(0, max(len(w) - WIDTH // 2, 1), WIDTH // 2):
-            windows.append(w[at : at + WIDTH])
-            owner.append(n)
+def windows_of(word: str) -> list[str]:
+    """Windows of a word without its edge punctuation; none of punctuation alone."""
+    word = word.strip(_EDGES)
+    return [word[i : i + WIDTH] for i in range(0, max(len(word) - WIDTH + STEP, 1), STEP)] if word else []
+
+
+def encode_windows(windows: list[str]) -> np.ndarray:
+    """Codes of each window's characters, padded with 0."""
     points = np.array([w.ljust(WIDTH, "\0") for w in windows], dtype=f"<U{WIDTH}").view("<u4").reshape(len(windows), WIDTH)
     letter, digit = (points >= 97) & (points <= 122), (points >= 48) & (points <= 57)
     other = np.where(points < 128, CODES - 1, 37 + points % 26)
-    return np.where(letter, points - 96, np.where(digit, points - 21, np.where(points == 0, 0, other))).astype(np.int64), np.array(owner)
-
-
-def norms(codes: np.ndarray) -> np.ndarray:
-    """Length norm of each window: the kernel of a word of distinct characters with itself."""
-    lengths = (codes > 0).sum(axis=1)
-    by_length = np.array([np.sqrt((_WEIGHT[_K < n] ** 2).sum()) for n in range(WIDTH + 1)])
-    return np.maximum(by_length[lengths], DECAY**3)
+    return np.where(letter, points - 96, np.where(digit, points - 21, np.where(points == 0, 0, other))).astype(np.int32)
 
 
 def triple_features(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(triple of each place, weight of each place divided by the norm; 0 at padding)."""
+    """(triple of each place, its weight over the window's norm; 0 at padding)."""
     keys = (codes[:, _I] * CODES + codes[:, _J]) * CODES + codes[:, _K]
-    weights = np.where(codes[:, _K] > 0, _WEIGHT, 0.0) / norms(codes)[:, None]
-    return keys, weights
-
-
-@dataclass
-class Machine:
-    """Margin of a word: sum of ``weights`` over its triples, plus ``bias``."""
-
-    weights: np.ndarray
-    bias: float
-    slope: float
-    centre: float
-    prior: float
-
-    def margins(self, words: list[str]) -> np.ndarray:
-        out = np.full(len(words), self.bias)
-        for at in range(0, len(words), 2000):
-            some = words[at : at + 2000]
-            codes, owner = encode_words(some)
-            keys, weights = triple_features(codes)
-            values = (self.weights[keys] * weights).sum(axis=1) + self.bias
-            best = np.full(len(some), -np.inf)
-            np.maximum.at(best, owner, values)
-            out[at : at + len(some)] = best
-        return out
-
-    def score(self, margin: np.ndarray) -> np.ndarray:
-        if self.slope == 0:
-            return np.full(len(margin), self.prior)
-        return 1 / (1 + np.exp(-np.clip(self.slope * (margin - self.centre), -30, 30)))
-
-
-def kernel_with(words: list[str], landmarks: list[str]) -> np.ndarray:
-    """Kernel matrix of words (first windows) and landmarks."""
-    first = lambda ws: encode_words([w[:WIDTH] for w in ws])[0]
-    keys, weights = triple_features(first(landmarks))
-    used = np.unique(keys)
-    column = np.zeros(CODES**3, dtype=np.int32)  # 0: no landmark has the triple
-    column[used] = np.arange(1, len(used) + 1)
-    tables = np.zeros((len(landmarks), len(used) + 1), dtype=np.float32)
-    for z in range(len(landmarks)):
-        np.add.at(tables[z], column[keys[z]], weights[z])
-    tables[:, 0] = 0
-    out = np.zeros((len(words), len(landmarks)))
-    for at in range(0, len(words), 1000):
-        keys, weights = triple_features(first(words[at : at + 1000]))
-        places = column[keys]
+    weights = np.where(codes[:, _K] > 0, _WEIGHT, np.float32(0))
+    order = np.argsort(keys, axis=1, kind="stable")
+    sorted_keys, running = np.take_along_axis(keys, order, 1), np.cumsum(np.take_along_axis(weights, order, 1), axis=1)
+    last = np.ones(keys.shape, dtype=bool)
+    last[:, :-1] = sorted_keys[:, 1:] != sorted_keys[:, :-1]
+    row, place = np.nonzero(last)
+    ends = running[row, place]
+    before = np.concatenate([[0], ends[:-1]]) * np.concatenate([[False], row[1:] == row[:-1]])[: len(row)]
+    norm = np.sqrt(np.bincount(row, (ends - before) ** 2, minlength=len(keys)))
+    return keys, (weights / np.maximum(norm, DECAY**3)[:, None]).astype(np.float32)
+
+
+class Kernel:
+    """Kernels of windows with a list of landmark windows."""
+
+    def __init__(self, landmarks: list[str]):
+        self.landmarks = landmarks
+        keys, weights = triple_features(encode_windows(landmarks))
+        used = np.unique(keys[weights > 0])
+        self.column = np.zeros(CODES**3, dtype=np.int32)  # 0: no landmark has the triple
+        self.column[used] = np.arange(1, len(used) + 1)
+        self.table = np.zeros((len(used) + 1, len(landmarks)), dtype=np.float32)
         for z in range(len(landmarks)):
-            out[at : at + 1000, z] = (tables[z][places] * weights).sum(axis=1)
+            np.add.at(self.table[:, z], self.column[keys[z]], weights[z])
+        self.table[0] = 0
+
+    def of(self, keys: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(keys), len(self.landmarks)), dtype=np.float32)
+        for at in range(0, len(keys), 2000):
+            column, own, part = self.column[keys[at : at + 2000]], weights[at : at + 2000], out[at : at + 2000]
+            for place in range(keys.shape[1]):
+                rows = np.flatnonzero((column[:, place] > 0) & (own[:, place] > 0))
+                part[rows] += self.table[column[rows, place]] * own[rows, place, None]
+        return out**POWER
+
+
+def add_runs(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Sums of consecutive rows, ``counts`` of them each (0 gives 0)."""
+    out = np.zeros((len(counts), values.shape[1]), dtype=values.dtype)
+    starts = np.cumsum(counts) - counts
+    for k in range(int(counts.max(initial=0))):
+        rows = np.flatnonzero(counts > k)
+        out[rows] += values[starts[rows] + k]
     return out
 
 
-def linear_svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 300) -> tuple[np.ndarray, float]:
-    """Squared-hinge SVM by Newton steps on the rows inside the margin."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    w = np.zeros(x.shape[1])
-    ridge = np.eye(x.shape[1])
-    ridge[-1, -1] = 1e-6
+def linear_svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 40) -> tuple[np.ndarray, float]:
+    """Squared-hinge SVM (y is -1 or 1) by Newton steps on the rows inside the margin."""
+    n = x.shape[1]
+    w, ridge = np.zeros(n + 1), np.r_[np.ones(n), 1e-6]
     for _ in range(rounds):
-        inside = y * (x @ w) < 1
-        a, b, c = x[inside], y[inside], cost[inside]
-        new = np.linalg.solve(ridge + (a * c[:, None]).T @ a, a.T @ (c * b))
-        if np.abs(new - w).max() < 1e-8:
+        gram, pull = np.diag(ridge), np.zeros(n + 1)
+        for at in range(0, len(x), 8192):
+            some = np.c_[x[at : at + 8192].astype(float), np.ones(len(x[at : at + 8192]))]
+            inside = y[at : at + 8192] * (some @ w) < 1
+            some, c = some[inside], cost[at : at + 8192][inside]
+            gram += (some * c[:, None]).T @ some
+            pull += some.T @ (c * y[at : at + 8192][inside])
+        new = np.linalg.solve(gram, pull)
+        if np.abs(new - w).max() < 1e-5:
             break
         w = new
     return w[:-1], float(w[-1])
 
 
-def disguises(word: str) -> list[str]:
-    """The word with one inserted character, at each inner place, and with all places gapped."""
-    inserted = [f"{word[:i]}{c}{word[i:]}" for i in range(1, len(word)) for c in ("-", "x", word[i])]
-    return [*inserted, ".".join(word)]
+def sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
+def logistic(x: np.ndarray, y: np.ndarray, weight: float, rounds: int = 40) -> np.ndarray:
+    """Weights (the last is the constant) of a ridge logistic fit."""
+    x = np.c_[x, np.ones(len(x))]
+    w, ridge = np.zeros(x.shape[1]), np.r_[np.full(x.shape[1] - 1, weight), 1e-6]
+    for _ in range(rounds):
+        p = sigmoid(x @ w)
+        step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(ridge), x.T @ (p - y) + ridge * w)
+        w = w - step
+        if np.abs(step).max() < 1e-6:
+            break
+    return w
+
+
+@dataclass
+class Machine:
+    """``sentence`` maps a window's kernels to its part of a sentence's margin; a
+    document's features are centred, scaled and weighed by ``weights``."""
+
+    kernel: Kernel | None
+    sentence: np.ndarray
+    sentence_bias: float
+    centre: np.ndarray
+    scale: np.ndarray
+    weights: np.ndarray
+    bias: float
+    slope: float
+    shift: float
+    prior: float
+
+    def score(self, features: np.ndarray) -> np.ndarray:
+        if self.kernel is None:
+            return np.full(len(features), self.prior)
+        margin = (features - self.centre) / self.scale @ self.weights + self.bias
+        return sigmoid(self.slope * margin + self.shift)
+
+
+def nothing(prior: float) -> Machine:
+    one = np.ones(0)
+    return Machine(None, one, 0.0, one, one, one, 0.0, 0.0, 0.0, prior)
+
+
+def document_features(means: np.ndarray, worst: np.ndarray, share: np.ndarray) -> np.ndarray:
+    return np.c_[np.log1p(RATE * means), worst, share]
+
+
+def sentence_statistics(margin: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(worst margin, share of positive margins) of each document's sentences."""
+    worst = np.full(n, -2.0)
+    np.maximum.at(worst, owner, np.clip(margin, -2, 5))
+    share = np.bincount(owner, margin > 0, minlength=n) / np.maximum(np.bincount(owner, minlength=n), 1)
+    return worst, share
+
+
+def distinct_documents(texts: list[str], labels: list[int]) -> list[int]:
+    """Places of the documents of which no earlier one is a near copy: two of the three
+    least hashes of their word triples are equal."""
+    odd = [np.uint64(x) for x in (2654435761, 2246822519, 3266489917)]
+    seen: set[tuple] = set()
+    out = []
+    for n, (text, y) in enumerate(zip(texts, labels)):
+        words = text.lower().split()
+        grams = {" ".join(words[i : i + 3]) for i in range(max(len(words) - 2, 1))}
+        hashes = np.array([zlib.crc32(g.encode()) for g in grams], dtype=np.uint64)
+        a, b, c = (int(((hashes * o) & np.uint64(0xFFFFFFFF)).min()) for o in odd)
+        pairs = {(y, 0, a, b), (y, 1, a, c), (y, 2, b, c)}
+        if not pairs & seen:
+            out.append(n)
+        seen |= pairs
+    return out
 
 
 def train(texts: list[str], toxic: list[int]) -> Machine:
     """Fit the machine on documents and their labels (0/1)."""
-    labels = np.array(toxic)
-    prior = float(labels.mean()) if len(labels) else 0.0
-    nothing = Machine(np.zeros(CODES**3, dtype=np.float32), 0.0, 0.0, 0.0, prior)
-    if not len(labels) or labels.min() == labels.max():
-        return nothing
-    bags = [frozenset(map(sys.intern, words_of(t))) for t in texts]  # equal words share their memory
-    bad, good = Counter(), Counter()
-    groups: dict[str, list[set]] = {}
-    for bag, y in zip(bags, labels):
-        (bad if y else good).update(bag)
-        if y and bag:
-            hashes = np.array([zlib.crc32(w.encode()) for w in bag], dtype=np.uint64)
-            least = [int(((hashes * odd) & np.uint64(0xFFFFFFFF)).min()) for odd in _ODD]
-            for w in bag:
-                for own, h in zip(groups.setdefault(w, [set() for _ in _ODD]), least):
-                    own.add(h)
-    n_bad, n_good = labels.sum(), len(labels) - labels.sum()
-    # Near copies share most of their least word hashes: a word counts once a group of them.
-    support = {w: min(map(len, own)) for w, own in groups.items()}
-    lift = {w: np.log((c + 0.5) / (n_bad + 1)) - np.log((good[w] + 0.5) / (n_good + 1)) for w, c in bad.items() if support[w] >= max(3, 0.05 * n_bad) and len(w) >= 3}
-    markers = sorted((w for w, v in lift.items() if v > np.log(8) and good[w] <= 0.002 * n_good + 1), key=lambda w: (-lift[w] * bad[w], w))[:200]
-    if not markers:
-        return nothing
-    marked = set(markers)
-    positive: Counter = Counter()
-    for text, y in zip(texts, labels):
-        if y:
-            for sentence in _SENTENCE.split(text):
-                positive.update(words_of(sentence) & marked)
-    clean = sorted(w for w in good if w not in marked and len(w) >= 3)
-    rng = np.random.default_rng(7)
-    common = [w for w, _ in good.most_common(1500) if w not in marked and len(w) >= 3]
-    negative = sorted({*common, *(clean[i] for i in rng.choice(len(clean), min(6000, len(clean)), replace=False))})
-    # The hardest clean words, those nearest to a marker, are negatives too.
-    near = kernel_with(clean[:60000], markers[:24]).max(axis=1)
-    negative = sorted({*negative, *(clean[i] for i in np.argsort(-near[:60000])[:1500])})
-    pos = [w for w in markers if positive[w]]
-    spread = [v for w in pos for v in disguises(w)]
-    landmarks = [*pos[: LANDMARKS // 2], *(negative[i] for i in rng.choice(len(negative), min(LANDMARKS // 2, len(negative)), replace=False))]
-    gram = kernel_with(landmarks, landmarks)
-    values, vectors = np.linalg.eigh((gram + gram.T) / 2)
-    keep = values > 1e-6 * values.max()
-    project = vectors[:, keep] / np.sqrt(values[keep])
-    for _ in range(MINING):
-        words = pos + spread + negative
-        y = np.array([1.0] * (len(pos) + len(spread)) + [-1.0] * len(negative))
-        cost = np.array([2000.0 / len(pos)] * len(pos) + [2000.0 / max(len(spread), 1)] * len(spread) + [10.0] * len(negative))
-        w, bias = linear_svm(kernel_with(words, landmarks) @ project, y, cost)
-        alpha = project @ w
-        total = np.zeros(CODES**3, dtype=np.float64)
-        keys, weights = triple_features(encode_words([z[:WIDTH] for z in landmarks])[0])
-        for z in range(len(landmarks)):
-            np.add.at(total, keys[z], alpha[z] * weights[z])
-        machine = Machine(total.astype(np.float32), bias, 1.0, 0.0, prior)
-        # The clean words nearest to the wrong side join the negatives.
-        worst = np.argsort(-machine.margins(clean))[:400]
-        negative = sorted({*negative, *(clean[i][:WIDTH] for i in worst)})
-    index = {w: n for n, w in enumerate(sorted(set().union(*bags)))}
-    known = machine.margins(list(index))
-    margin = np.array([known[[index[w] for w in bag]].max() if bag else bias for bag in bags])
-    order = np.argsort(margin)
-    m, t = margin[order], labels[order]
-    errors = (1 - t).sum() + np.concatenate([[0], np.cumsum(t) - np.cumsum(1 - t)])
-    best = np.flatnonzero(errors == errors.min())
-    runs = np.split(best, np.flatnonzero(np.diff(best) > 1) + 1)
-    cut = max(runs, key=lambda r: m[min(r[-1], len(m) - 1)] - m[max(r[0] - 1, 0)])[0]
-    low, high = m[max(cut - 1, 0)], m[min(cut, len(m) - 1)]
-    machine.centre = float((low + high) / 2)
-    machine.slope = float(8 / max(m[-1] - m[0], 1e-6))
-    return machine
+    prior = float(np.mean(toxic)) if len(toxic) else 0.0
+    kept = distinct_documents(texts, toxic)
+    labels = np.array([toxic[n] for n in kept], dtype=int)
+    n_docs = len(labels)
+    vocabulary: dict[str, int] = {}
+    windows, sentence, owner = [], [], []
+    for n, at in enumerate(kept):
+        for words in sentences_of(texts[at]):
+            own = [vocabulary.setdefault(u, len(vocabulary)) for w in words for u in windows_of(w)]
+            windows.append(np.array(own, dtype=np.int32))
+            sentence.append(np.full(len(own), len(owner), dtype=np.int32))
+            owner.append(n)
+    if not owner or labels.min() == labels.max():
+        return nothing(prior)
+    names, owner = list(vocabulary), np.array(owner)
+    windows, sentence = np.concatenate(windows), np.concatenate(sentence)
+    document = owner[sentence]
+    length = np.maximum(np.bincount(document, minlength=n_docs), 1)
+    keys, weights = triple_features(encode_windows(names))
+    share = np.minimum(1 / length, 0.05)
+
+    def sums(x: np.ndarray, group: np.ndarray, n: int) -> np.ndarray:
+        out = np.empty((n, x.shape[1]), dtype=np.float32)
+        for z in range(x.shape[1]):
+            out[:, z] = np.bincount(group, x[windows, z], minlength=n)
+        return out
+
+    def over_represented(residual: np.ndarray) -> np.ndarray:
+        """Each window's kernel with the difference of unexplained toxic and other documents."""
+        pull = np.where(residual > 0, residual / max(residual[residual > 0].sum(), 1e-9), residual / -min(residual[residual < 0].sum(), -1e-9))
+        by_window = [np.bincount(windows, (p * share)[document], minlength=len(names)) for p in (pull, np.abs(pull))]
+        difference, spread = (np.bincount(keys.ravel(), (weights * w[:, None]).ravel(), minlength=CODES**3) for w in by_window)
+        return ((difference / np.sqrt(spread + 1e-4)).astype(np.float32)[keys] * weights).sum(axis=1)
+
+    landmarks: list[int] = []
+    residual = labels - labels.mean()
+    values = np.zeros((len(names), ROUNDS * PER_ROUND), dtype=np.float32)
+    means = np.zeros((n_docs, 0))
+    for turn in range(ROUNDS):
+        pull = residual if turn % 2 else labels - labels.mean()
+        candidates = np.argsort(-over_represented(pull), kind="stable")[: 40 * PER_ROUND]
+        near = Kernel([names[i] for i in [*candidates, *landmarks]]).of(keys[candidates], weights[candidates]) ** (1 / POWER)
+        nearest = near[:, len(candidates) :].max(axis=1) if landmarks else np.zeros(len(candidates))
+        new = []
+        for i in range(len(candidates)):
+            if len(new) < PER_ROUND and nearest[i] < DIVERSITY:
+                new.append(int(candidates[i]))
+                nearest = np.maximum(nearest, near[:, i])
+        if not new:
+            break
+        added = Kernel([names[i] for i in new]).of(keys, weights)
+        values[:, len(landmarks) : len(landmarks) + len(new)] = added
+        landmarks += new
+        means = np.hstack([means, sums(added, document, n_docs) / length[:, None]])
+        features = np.log1p(RATE * means)
+        features = (features - features.mean(axis=0)) / (features.std(axis=0) + 1e-6)
+        residual = labels - sigmoid(np.c_[features, np.ones(n_docs)] @ logistic(features, labels, 10.0))
+
+    kernel = Kernel([names[i] for i in landmarks])
+    values = values[:, : len(landmarks)]
+    gram = values[landmarks].astype(float)
+    eigen, vectors = np.linalg.eigh((gram + gram.T) / 2)
+    good = eigen > 1e-4 * eigen.max()
+    project = vectors[:, good] / np.sqrt(eigen[good])
+    n_sentences = len(owner)
+    size = np.maximum(np.bincount(sentence, minlength=n_sentences), 1)
+    mapped = sums(values, sentence, n_sentences)
+    for at in range(0, n_sentences, 8192):
+        mapped[at : at + 8192, : project.shape[1]] = mapped[at : at + 8192] @ project / size[at : at + 8192, None]
+    mapped = mapped[:, : project.shape[1]]
+    y = np.where(labels == 1, 1.0, -1.0)
+    # Each class weighs alike, and so does each of its documents.
+    cost = (SENTENCE_COST * n_docs / 2 / np.where(labels == 1, labels.sum(), n_docs - labels.sum()))[owner] / np.bincount(owner, minlength=n_docs)[owner]
+    fold = np.arange(n_docs) % FOLDS
+    margin = np.zeros(n_sentences)
+    for k in range(FOLDS):
+        seen = fold[owner] != k
+        if labels[fold != k].min() < labels[fold != k].max():
+            w, b = linear_svm(mapped[seen], y[owner][seen], cost[seen])
+            margin[~seen] = mapped[~seen] @ w + b
+    w, sentence_bias = linear_svm(mapped, y[owner], cost)
+    features = document_features(means, *sentence_statistics(margin, owner, n_docs))
+    centre, scale = features.mean(axis=0), features.std(axis=0) + 1e-6
+    x = (features - centre) / scale
+    even = np.full(n_docs, DOCUMENT_COST)
+    unseen = np.zeros(n_docs)
+    for k in range(FOLDS):
+        others = fold != k
+        if labels[others].min() < labels[others].max():
+            v, b = linear_svm(x[others], y[others], even[others])
+            unseen[~others] = x[~others] @ v + b
+    v, bias = linear_svm(x, y, even)
+    slope, shift = logistic(unseen[:, None], labels, 1e-2)
+    return Machine(kernel, project @ w, sentence_bias, centre, scale, v, bias, float(slope), float(shift), prior)
 
 
 def training_sample(labels: DataFrame, docs: DataFrame, limit: int = SAMPLE) -> tuple[list[str], list[int]]:
@@ -250,31 +354,80 @@ def training_sample(labels: DataFrame, docs: DataFrame, limit: int = SAMPLE) ->
     return found["text"].tolist(), found["toxic"].astype(int).tolist()
 
 
-_MARGINS: dict[str, dict[str, float]] = {}
+class Reader:
+    """A worker's cache of words: sums over a word's windows of the kernels with the
+    landmarks, of their part of a sentence's margin, and the number of windows."""
+
+    def __init__(self, machine: Machine):
+        self.machine = machine
+        self.place: dict[str, int] = {}
+        self.rows = np.zeros((0, len(machine.sentence)), dtype=np.float32)
+        self.tail = np.zeros((0, 2))
+
+    def _learn(self, words: list[str]) -> None:
+        split = [windows_of(w) for w in words]
+        counts = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
+        windows = [u for own in split for u in own]
+        values = self.machine.kernel.of(*triple_features(encode_windows(windows))) if windows else np.zeros((0, len(self.machine.sentence)))
+        start, need = len(self.place), len(self.place) + len(words)
+        if need > len(self.rows):
+            more = max(need, start + start // 2, 4096) - len(self.rows)
+            self.rows = np.concatenate([self.rows, np.zeros((more, self.rows.shape[1]), dtype=np.float32)])
+            self.tail = np.concatenate([self.tail, np.zeros((more, 2))])
+        self.rows[start:need] = add_runs(values, counts)
+        self.tail[start:need, 0] = self.rows[start:need] @ self.machine.sentence
+        self.tail[start:need, 1] = counts
+        self.place.update(zip(words, range(start, need)))
+
+    def stretch(self, sentences: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row of each word, place of each sentence's first word, its margin)."""
+        words = [w for s in sentences for w in s]
+        if len(self.place) > CACHE_WORDS:
+            self.place = {}
+        new = list(dict.fromkeys(words).keys() - self.place.keys())
+        for i in range(0, len(new), 4000):
+            self._learn(new[i : i + 4000])
+        ids = np.fromiter(map(self.place.__getitem__, words), dtype=np.int64, count=len(words))
+        starts = np.cumsum([0, *map(len, sentences[:-1])])
+        part, count = (np.add.reduceat(self.tail[ids, k], starts) for k in range(2))
+        return ids, starts, part / np.maximum(count, 1) + self.machine.sentence_bias
+
+    def features(self, texts: list[str]) -> np.ndarray:
+        """Document features of texts, read in stretches of about ``STRETCH`` words."""
+        m, per = len(self.machine.sentence), STRETCH // SENTENCE_WORDS
+        split = [sentences_of(t) for t in texts]
+        owner = np.repeat(np.arange(len(texts)), [len(s) for s in split])
+        sentences = [s for own in split for s in own]
+        total, windows, margins = np.zeros((len(texts), m)), np.zeros(len(texts)), [np.zeros(0)]
+        for at in range(0, len(sentences), per):
+            ids, starts, margin = self.stretch(sentences[at : at + per])
+            margins.append(margin)
+            document = owner[at : at + per]
+            cuts = starts[np.flatnonzero(np.diff(document, prepend=-1))]
+            for n, own in zip(np.unique(document), np.split(ids, cuts[1:])):
+                used, count = np.unique(own, return_counts=True)
+                total[n] += count.astype(np.float32) @ self.rows[used]
+                windows[n] += count @ self.tail[used, 1]
+        worst, share = sentence_statistics(np.concatenate(margins), owner, len(texts))
+        return document_features(total / np.maximum(windows, 1)[:, None], worst, share)
+
+
+_READERS: dict[str, Reader] = {}
 
 
 def score_texts(machine: Machine, key: str, texts: list[str]) -> np.ndarray:
     """Scores of texts; ``key`` names the machine in this worker's word cache."""
-    if key not in _MARGINS:
-        _MARGINS.clear()  # an earlier machine's words are of no more use
-    known = _MARGINS.setdefault(key, {})
-    if len(known) > CACHE_WORDS:
-        known.clear()
-    bags = [words_of(t) for t in texts]
-    new = list(set().union(*bags).difference(known)) if bags else []
-    if new:
-        known.update(zip(new, machine.margins(new).tolist()))
-    return machine.score(np.array([max(map(known.__getitem__, b), default=machine.bias) for b in bags]))
+    if machine.kernel is None:
+        return np.full(len(texts), machine.prior)
+    if key not in _READERS:
+        _READERS.clear()  # an earlier machine's words are of no more use
+        _READERS[key] = Reader(machine)
+    return machine.score(_READERS[key].features(texts))
 
 
 def score_documents(docs: DataFrame, machine: Machine) -> DataFrame:
     """``docs`` with all its columns plus ``score`` and ``predicted``."""
-    import uuid
-
-    from purselake.llm.wordbpe import batches
-
-    spark = docs.sparkSession
-    shared, key = spark.sparkContext.broadcast(machine), uuid.uuid4().hex
+    shared, key = docs.sparkSession.sparkContext.broadcast(machine), uuid.uuid4().hex
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:

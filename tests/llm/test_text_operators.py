@@ -167,7 +167,7 @@ def machine(spark):
 
 
 def naive_kernel(a, b):
-    """Shared three-character subsequences, weighed by the stretches they span."""
+    """Shared three-character subsequences, weighed by the stretches they span, over norms."""
     from collections import defaultdict
     from itertools import combinations
 
@@ -176,33 +176,68 @@ def naive_kernel(a, b):
         for i, j, k in combinations(range(len(w)), 3):
             if k - i < toxicity.SPAN:
                 f[w[i] + w[j] + w[k]] += toxicity.DECAY ** (k - i + 1)
-        return f
+        return f, max(sum(v * v for v in f.values()) ** 0.5, toxicity.DECAY**3)
 
-    x, y = features(a), features(b)
-    return sum(v * y[u] for u, v in x.items() if u in y)
+    (x, n), (y, m) = features(a), features(b)
+    return (sum(v * y[u] for u, v in x.items() if u in y) / n / m) ** toxicity.POWER
 
 
 def test_kernel_matches_the_definition():
-    words, marks = ["idiot", "id-iot", "abcabc", "worthless"], ["idiot", "abc", "less"]
-    n = {w: toxicity.norms(toxicity.encode_words([w])[0])[0] for w in words + marks}
-    want = [[naive_kernel(a, b) / n[a] / n[b] for b in marks] for a in words]
-    assert np.allclose(toxicity.kernel_with(words, marks), want, atol=1e-5)
+    words, marks = ["idiot", "id-iot", "abcabca", "aaaaaaa", "ab", "worthle"], ["idiot", "abcab", "less", "aaaa"]
+    got = toxicity.Kernel(marks).of(*toxicity.triple_features(toxicity.encode_windows(words)))
+    assert np.allclose(got, [[naive_kernel(a, b) for b in marks] for a in words], atol=1e-5)
+
+
+def naive_features(machine, text):
+    means, margins, n = 0, [], 0
+    for sentence in toxicity.sentences_of(text):
+        own = [[naive_kernel(u, z) for z in machine.kernel.landmarks] for w in sentence for u in toxicity.windows_of(w)]
+        total = np.sum(own, axis=0) if own else np.zeros(len(machine.sentence))
+        margins.append(total @ machine.sentence / max(len(own), 1) + machine.sentence_bias)
+        means, n = means + total, n + len(own)
+    margins = np.array(margins)
+    worst, share = (margins.clip(-2, 5).max(), (margins > 0).mean()) if len(margins) else (-2.0, 0.0)
+    return np.r_[np.log1p(toxicity.RATE * (means + np.zeros(len(machine.sentence))) / max(n, 1)), worst, share]
+
+
+def test_document_features_match_the_definition(machine, monkeypatch):
+    texts = ["You idiot. What a fine day!\nNo more -- of this", "", "... !!", "word " * 50 + "moron", "i d i o t and s.c.u.m here"]
+    want = np.array([naive_features(machine, t) for t in texts])
+    assert np.allclose(toxicity.Reader(machine).features(texts), want, atol=1e-3)
+    monkeypatch.setattr(toxicity, "STRETCH", 20)
+    monkeypatch.setattr(toxicity, "CACHE_WORDS", 5)
+    assert np.allclose(toxicity.Reader(machine).features(texts), want, atol=1e-3)
 
 
 def test_gapped_and_inserted_insults_score_above_clean(machine):
     clean = toxicity.score_texts(machine, "t", ["the quick brown fox reads a book", "thing that is there and other", ""])
-    bad = toxicity.score_texts(machine, "t", ["you idiot", "what a stuupid thing", "the cl-own ran", "i d i o t", "trassh here"])
+    bad = toxicity.score_texts(machine, "t", ["you idiot", "what a stuupid thing", "the cl-own ran", "i d i o t", "trassh here", "i.d.i.o.t"])
     assert bad.min() >= 0.5 > clean.max()
 
 
-def test_held_out_accuracy(spark, machine):
-    folder = "/root/testdata/sf0.01"
-    rows = {r.doc_id: r for r in toxicity.op7_toxicity(spark, folder).collect()}
-    insults = re.compile(r"\b(?:idiot|clown|worthless|scum|moron|disgusting|pathetic|trash|loser|stupid)\b", re.I)
-    held = [r for r in spark.read.parquet(f"{folder}/documents.parquet").collect() if zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
-    assert all(rows[r.doc_id].held_out for r in held)
-    agree = [bool(insults.search(r.text)) == bool(rows[r.doc_id].predicted) for r in held]
-    assert sum(agree) / len(agree) >= 0.98
+def test_near_copies_train_once():
+    text = " ".join(f"w{i}" for i in range(80))
+    assert toxicity.distinct_documents([text, text + " x", "other words here now", text], [1, 1, 1, 0]) == [0, 2, 3]
+
+
+def auc(score, y):
+    order = np.argsort(np.argsort(score)) + 1.0
+    return (order[y == 1].sum() - (y == 1).sum() * ((y == 1).sum() + 1) / 2) / ((y == 1).sum() * (y == 0).sum())
+
+
+def test_held_out_accuracy(spark):
+    """Against ``labels.toxic`` on rows that training never sees, by language."""
+    folder = "/root/testdata/sf0.1"
+    found = toxicity.op7_toxicity(spark, folder).filter("held_out")
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    rows = found.join(labels, "doc_id").join(spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "lang"), "doc_id").toPandas()
+    assert (rows.doc_id.map(lambda d: zlib.crc32(str(d).encode()) % 5) == 0).all()
+    y, score = rows.toxic.to_numpy(), rows.score.to_numpy()
+    recall = {lang: float(part[part.toxic == 1].predicted.mean()) for lang, part in rows.groupby("lang")}
+    print("AUC", auc(score, y), "recall", recall)
+    assert auc(score, y) >= 0.9
+    assert rows[y == 0].predicted.mean() <= 0.02
+    assert recall["en"] >= 0.85 and min(recall.values()) >= 0.3 and rows[y == 1].predicted.mean() >= 0.7
 
 
 @pytest.mark.parametrize("docs", ["odd_docs", "no_docs"])
@@ -213,8 +248,9 @@ def test_toxicity_of_odd_rows(request, docs, machine):
 
 
 def test_no_labels_give_the_share():
-    assert toxicity.train([], []).score(np.array([1.0]))[0] == 0.0
-    assert toxicity.train(["a b c"], [1]).score(np.array([1.0]))[0] == 1.0
+    assert toxicity.score_texts(toxicity.train([], []), "none", ["a b c"])[0] == 0.0
+    assert toxicity.score_texts(toxicity.train(["a b c"], [1]), "one", ["a b c"])[0] == 1.0
+    assert toxicity.score_texts(toxicity.train(["", ""], [0, 1]), "empty", ["a b c"])[0] == 0.5
 
 
 # op10 ----------------------------------------------------------------------------------
