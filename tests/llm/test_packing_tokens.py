@@ -115,35 +115,43 @@ def test_sentence_pieces(request, docs, piece_file):
     assert sorted((r.text for r in got)) == sorted(model.decode(i) for _, i in want)
 
 
-def scanned(p, text):
-    """The whole max-plus scan on one machine."""
-    chunks = sentence_pieces.split_document(text, p.cuttable)
-    out, i = [], 0
-    while i < len(chunks):
-        n, opened, stretch, t, a, b = chunks[i]
-        if not opened:
-            out += p.model.encode(t[1:] if n else t)
-            i += 1
-            continue
-        j = i
-        while j < len(chunks) and chunks[j][1] and chunks[j][2] == stretch:
-            j += 1
-        states = sentence_pieces.boundary_states([sentence_pieces.transfer(p, c[3], c[4], c[5]) for c in chunks[i:j]])
-        for c, (left, right) in zip(chunks[i:j], states):
-            out += sentence_pieces.backtrace(p, c[3], c[4], c[5], left, right)
-        i = j
-    return out
-
-
-def test_open_chunks_match_the_library(piece_file, monkeypatch):
-    monkeypatch.setattr(sentence_pieces, "GIANT", 120)
-    monkeypatch.setattr(sentence_pieces, "CHUNK", 40)
-    p = sentence_pieces.pieces(piece_file)
+def piece_texts():
     rng = random.Random(2)
-    texts = ["x" * 700, " " * 333, "ab" * 300 + " " * 300 + "é中" * 150, "the cat " * 5 + "\n" * 300, "thequickbrownfox" * 40]
-    texts += ["".join(rng.choice("aehintrs") for _ in range(rng.randint(200, 500))) for _ in range(15)]
-    for t in texts:
-        assert scanned(p, t) == p.model.encode(t)
+    texts = ["x" * 700, " " * 333, "ab" * 300 + " " * 300 + "é中" * 150, "the cat " * 5 + "\n" * 300, "thequickbrownfox" * 40, "", " ", "\n", " \n ", "▁a ▁▁b▁" * 20, "😀 é" * 50]
+    texts += ["x" * 400 + " ", "ab" * 200 + " ", "word " * 66 + "x" * 200 + " "]
+    texts += ["".join(rng.choice("aehintrs") for _ in range(rng.randint(100, 500))) for _ in range(15)]
+    texts += ["".join(rng.choice("ae ht\n ,.▁é中") for _ in range(rng.randint(1, 400))) for _ in range(100)]
+    return texts + ["".join(rng.choice(["the ", "  ", "ing", "\n", "tion", " a", "x" * 20, "    "]) for _ in range(rng.randint(1, 60))) for _ in range(60)]
+
+
+@pytest.mark.parametrize("chunk, spread", [(16, 1 << 20), (40, 100), (4096, 1 << 20)])
+def test_chunks_scan_to_the_library_encoding(spark, piece_file, monkeypatch, chunk, spread):
+    monkeypatch.setattr(sentence_pieces, "CHUNK", chunk)
+    monkeypatch.setattr(sentence_pieces, "SPREAD", spread)
+    model, texts = sentence_pieces.pieces(piece_file).model, piece_texts()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: list(r.ids) for r in sentence_pieces.encoded(docs, piece_file).collect()}
+    assert got == {n: model.encode(t) for n, t in enumerate(texts)}
+    sums = {r.doc_id: (r.n_pieces, r.ids_crc32, r.n_chars, r.text_crc32) for r in sentence_pieces.digests(docs, piece_file).collect()}
+    assert sums == {n: (len(i), crc(i), len(model.decode(i)), zlib.crc32(model.decode(i).encode())) for n, i in ((n, model.encode(t)) for n, t in enumerate(texts))}
+
+
+def test_boundaries_of_given_documents_pass_through_matrices(sample, piece_file):
+    chunks = [c for r in sample.collect() for c in sentence_pieces.split_document(r.text or "")]
+    assert sum(count > 1 for _, count, *_ in chunks) > 50
+
+
+def test_long_texts_with_a_last_space(spark, piece_file):
+    texts = ["x" * 40000 + " ", "ab" * 20000 + " ", "word " * 6600 + "x" * 20000 + " "]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = sentence_pieces.pieces(piece_file).model
+    got = {r.doc_id: (r.n_pieces, r.ids_crc32) for r in sentence_pieces.digests(docs, piece_file).collect()}
+    assert got == {n: (len(i), crc(i)) for n, i in enumerate(map(model.encode, texts))}
+
+
+def test_joined_checksums():
+    a, b = b"hello" * 7, b"world!" * 1000
+    assert sentence_pieces.joined_crc(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
 
 
 def test_products_of_matrices_are_associative():
