@@ -1,7 +1,8 @@
 """Token-id files: byte- or bit-plane shuffled, zstandard-compressed id blocks.
 
-Documents are sorted by doc_id into shards (one task each), encoded, and gathered
-into chunks of whole documents. A chunk's ids are split into blocks of ``BLOCK``;
+Documents are encoded where they are read; their ids, two bytes each, are written and
+then sorted by doc_id into shards (one task each), so that texts never cross the network.
+A shard is gathered into chunks of whole documents. A chunk's ids are split into blocks of ``BLOCK``;
 each block is transposed into planes and each plane compressed. A chunk is one
 record of a Parquet folder that Spark commits, so a lost executor or a retried
 task leaves no torn file: (shard, chunk, first, doc_ids, lengths, block_ids,
@@ -24,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from purselake.llm.common import documents_only, new_folder, table, with_long_ids
+from purselake.llm.common import new_folder, staged, table, with_long_ids, with_text_ids
 from purselake.llm.wordbpe import batches, encoder
 
 BLOCK = 1 << 16
@@ -73,38 +74,53 @@ def unpack_chunk(block_ids, plane_bytes, width: int, payload: bytes, bits: bool
 CHUNK_SCHEMA = "shard int, chunk int, first long, doc_ids array<string>, lengths array<long>, block_ids array<int>, plane_bytes array<int>, width int, payload binary"
 
 
+ENCODED_SCHEMA = "doc_id string, ids binary"
+
+
+def encoded_documents(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> DataFrame:
+    """(doc_id as text, ids as the bytes of little-endian integers) of every document."""
+
+    def encode(frames):
+        worker = encoder(tokenizer_path)
+        end = np.array([end_id], dtype=worker.dtype).tobytes()
+        for frame in frames:
+            at, ids_of = 0, frame["doc_id"]
+            for texts in batches(frame["text"].tolist()):
+                yield pd.DataFrame({"doc_id": ids_of[at : at + len(texts)], "ids": [x + end for x in worker.encode_bytes(texts)]})
+                at += len(texts)
+
+    return with_text_ids(docs).mapInPandas(encode, ENCODED_SCHEMA)
+
+
 def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = END_ID, bits: bool = False) -> None:
     """Encode every document and write the chunks, in ascending doc_id order."""
+    width = encoder(tokenizer_path).width
 
-    def encode(frames):
+    def gather(frames):
         shard, chunk, first = TaskContext.get().partitionId(), 0, 0
-        worker = encoder(tokenizer_path)
         held, held_ids, size = [], [], 0
 
         def flush():
-            ids = np.concatenate(held)
+            ids = np.frombuffer(b"".join(held), dtype=f"<u{width}")
             block_ids, plane_bytes, payload = pack_chunk(ids, bits)
-            return pd.DataFrame([(shard, chunk, first, held_ids, [len(x) for x in held], block_ids, plane_bytes, ids.dtype.itemsize, payload)], columns=names)
+            return pd.DataFrame([(shard, chunk, first, held_ids, [len(x) // width for x in held], block_ids, plane_bytes, width, payload)], columns=names)
 
         for frame in frames:
-            doc_ids, at = frame["doc_id"].tolist(), 0
-            for texts in batches(frame["text"].tolist()):
-                for ids in worker.encode(texts):
-                    if held and size + len(ids) + 1 > CHUNK_IDS:
-                        yield flush()
-                        chunk, first = chunk + 1, first + size
-                        held, held_ids, size = [], [], 0
-                    held.append(np.append(ids, end_id).astype(worker.dtype))
-                    held_ids.append(doc_ids[at])
-                    size += len(held[-1])
-                    at += 1
+            for doc_id, ids in zip(frame["doc_id"].tolist(), frame["ids"].tolist()):
+                if held and size + len(ids) // width > CHUNK_IDS:
+                    yield flush()
+                    chunk, first = chunk + 1, first + size
+                    held, held_ids, size = [], [], 0
+                held.append(ids)
+                held_ids.append(doc_id)
+                size += len(ids) // width
         if held:
             yield flush()
 
     names = [x.split()[0] for x in CHUNK_SCHEMA.split(", ")]
-    order = [F.col("doc_id").asc_nulls_last(), F.col("row")]
-    rows = documents_only(docs).select(F.col("doc_id").cast("long"), "text", F.monotonically_increasing_id().alias("row"))
-    chunks = rows.repartitionByRange(*order).sortWithinPartitions(*order).select(F.col("doc_id").cast("string"), "text").mapInPandas(encode, CHUNK_SCHEMA)
+    order = [F.col("number").asc_nulls_last(), F.col("row")]
+    rows = staged(encoded_documents(docs, tokenizer_path, end_id), "encoded").select("*", F.col("doc_id").cast("long").alias("number"), F.monotonically_increasing_id().alias("row"))
+    chunks = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "ids").mapInPandas(gather, CHUNK_SCHEMA)
     chunks.write.option("compression", "none").parquet(folder)
 
 

@@ -1,7 +1,9 @@
 """Whole-text encoding with a ``tokenizers`` file, by cached words.
 
-The word-level BPE file drops white space and never merges across it, so a
-text's ids are the ids of its white-space-separated words in order. Words recur;
+A file that lower-cases, drops white space and ends words with a sign never merges
+across white space, so a text's ids are those of its white-space-separated words in
+order. The file's settings are read when it is loaded; with any others, whole texts go
+to the library. Words recur;
 each worker keeps the ids of those it has met (two generations, bounded; a full one
 becomes the older one) and
 asks the library only for new ones. Of a new word that is plain letters and then
@@ -12,23 +14,42 @@ stays inside a word and is left to the library.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 
 import numpy as np
 
-CACHE_WORDS = 160_000
+CACHE_WORDS = 240_000
 CACHE_PARTS = 400_000
 _SPACES = "\t\n\v\f\r"
+_ENDS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:-@\[-`{-~]*)\Z")
 
 
+def splits_at_white_space(settings: dict) -> bool:
+    """Whether a file's settings are those that encoding by words relies on."""
+    steps = lambda part, key: (part or {}).get(key, [part] if part else [])
+    normal = steps(settings["normalizer"], "normalizers")
+    split = next((s for s in steps(settings["pre_tokenizer"], "pretokenizers") if s["type"] == "Split"), None)
+    return (
+        {s["type"] for s in normal} == {"NFC", "Replace", "Lowercase"}
+        and [(s["pattern"], s["content"]) for s in normal if s["type"] == "Replace"] == [({"Regex": r"\s+"}, " ")]
+        and split is not None
+        and (split["behavior"], split["invert"]) == ("Removed", True)
+        and split["pattern"].get("Regex", "").endswith(r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+        and settings["model"].get("end_of_word_suffix") == "</w>"
+        and not settings.get("post_processor")
+    )
+
+
 class WordEncoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.by_words = splits_at_white_space(json.loads(self.tokenizer.to_str()))
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.dtype = np.dtype(f"<u{self.width}")
         self.ends_word = np.zeros(1 << 8 * self.width if self.width == 2 else self.tokenizer.get_vocab_size(), dtype=bool)
@@ -60,12 +81,16 @@ class WordEncoder:
         known, parts, simple = self.words, self.parts, _SIMPLE.match
         whole, later, need = [], [], set()
         for w in new:
-            m = simple(w)
-            if m is None:
-                whole.append(w)
-                continue
-            a, b = m.groups()
-            a = a.lower()
+            a = w.rstrip(_ENDS)
+            if a.isalpha() and a.isascii():
+                a, b = a.lower(), w[len(a) :]
+            else:
+                m = simple(w)
+                if m is None:
+                    whole.append(w)
+                    continue
+                a, b = m.groups()
+                a = a.lower()
             if a in parts and b in parts:
                 known[w] = parts[a] + parts[b]
             else:
@@ -79,6 +104,12 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
+        return [np.frombuffer(x, dtype=self.dtype) for x in self.encode_bytes(texts)]
+
+    def encode_bytes(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, as the bytes of an array of ``dtype``."""
+        if not self.by_words:
+            return self._encode(texts)
         if len(self.words) > CACHE_WORDS:
             self.older, self.words = self.words, {"": b""}
         if len(self.parts) > CACHE_PARTS:
@@ -95,7 +126,7 @@ class WordEncoder:
             self.words.update(zip(again, map(self.older.__getitem__, again)))
             self._learn(new - again)
         get = self.words.__getitem__
-        return [np.frombuffer(b"".join(map(get, s)), dtype=self.dtype) for s in split]
+        return [b"".join(map(get, s)) for s in split]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}

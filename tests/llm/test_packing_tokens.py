@@ -158,3 +158,18 @@ def test_products_of_matrices_are_associative():
     rng = np.random.default_rng(4)
     a, b, c = (np.where(rng.random(s) < 0.5, 0.0, -np.inf) for s in ((3, 4), (4, 5), (5, 2)))
     assert (sentence_pieces.combine(sentence_pieces.combine(a, b), c) == sentence_pieces.combine(a, sentence_pieces.combine(b, c))).all()
+
+
+def test_other_settings_go_to_the_library(word_file, tmp_path):
+    import json
+
+    from purselake.llm.wordbpe import splits_at_white_space
+
+    settings = json.load(open(word_file))
+    assert splits_at_white_space(settings)
+    settings["normalizer"]["normalizers"] = [s for s in settings["normalizer"]["normalizers"] if s["type"] != "Lowercase"]
+    assert not splits_at_white_space(settings)
+    other = tmp_path / "cased.json"
+    other.write_text(json.dumps(settings))
+    texts = ["One TWO  three", "", "\n x"]
+    assert [x.tolist() for x in WordEncoder(str(other)).encode(texts)] == brute_ids(str(other), texts)
