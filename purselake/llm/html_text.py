@@ -1,20 +1,30 @@
 """Main text of web pages by a maximum-scoring subsequence.
 
-A page becomes a sequence of tokens, tags and words. Words score positive and tags
-negative, with weights learned from labelled pages: those that mark their article
-(``<article>`` or ``<main>``), at most ``SAMPLE`` of them. A word's weight is the log
-ratio of being inside or outside the article, by the nearest telling element around
-it (elements that never hold main text count once, as a tag); where no page shows an element, ``PRIOR`` stands in. One linear scan finds the
-contiguous region of the highest score. The region's blocks are the text, without
-what stands in elements that never hold main text (``SKIP``, or ``HINTS`` in a class,
-id or role).
+A page becomes a sequence of words and tags, each with a score; one linear scan finds
+the contiguous region of the highest sum, whose words are the text. Weights are learned
+from labelled pages, those that mark their article (``<article>`` or ``<main>``), at
+most ``SAMPLE`` of them:
+
+* A word stands in a chain of open elements. Each name, class, id and role of the chain
+  (but for the marks themselves) has a weight, fitted by logistic regression on the
+  labelled words; a word's score is their sum, which is positive for words like those of
+  articles and negative for words like those of menus, links, adverts and footers.
+  Regression shrinks towards ``prior_weight``, which stands in for names that labelled
+  pages do not show.
+* A tag's score is negative: ``TAG_COST``, and more the more often the labelled pages
+  show the tag outside their articles.
+
+Words of a negative score inside the region (an advert in an article) are left out; a
+run of them between two tags scores once, ``RUN_COST`` of a word, so that a long advert
+does not part an article.
 
 Character references are decoded; white space inside a block becomes one space;
-blocks are joined by one newline. Cases: null or empty html, and pages without words,
-give the empty text; unclosed tags, comments and scripts end with the page; a ``<``
-that starts no tag is text; a page is read whole whatever its length; repeated rows
-give repeated results; an empty table gives an empty result; further columns are
-ignored. If no labelled page exists, ``PRIOR`` gives all weights.
+blocks are joined by one newline. Cases: null or empty html, and pages without words of
+positive score, give the empty text; unclosed tags, comments and scripts end with the
+page; a ``<`` that starts no tag is text; a page is read whole whatever its length, in
+time linear in it, however deep its elements nest; repeated rows give repeated results;
+an empty table gives an empty result; further columns are ignored. If no labelled page
+exists, ``prior_weight`` gives all weights.
 """
 
 from __future__ import annotations
@@ -22,8 +32,8 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import Counter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,127 +41,177 @@ from pyspark.sql import functions as F
 from purselake.llm.common import table
 
 SAMPLE = 1000
+CHAIN = 12
+RIDGE, STEPS = 3e-3, 400
+TAG_COST, OUTSIDE_COST = -0.02, -0.05
+TOP = 3.0
+RUN_COST = 0.25
 
 # Element names.
-SKIP = frozenset("nav header footer aside form script style noscript template svg iframe button select option textarea input label dialog menu head title object canvas figcaption".split())
 BLOCKS = frozenset("address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe".split())
-#: Elements that close an open <p>.
-CLOSES_P = BLOCKS - {"br"}
-TELLING = ("a", "li", "p", "h1", "h2", "h3", "h4", "h5", "h6", "td", "th", "blockquote", "pre", "dd", "dt", "section", "div", "body")
-HINTS = re.compile(
-    r"(?i)(?:^|[\s_-])(?:ads?|advert\w*|adverts?|sponsor\w*|promo\w*|banner|sidebar\w*|side-?bar|nav\w*|menu\w*|breadcrumb\w*|footer|masthead|header|site-header|page-header|notices?|cookie\w*|consent|popup|modal|"
-    r"comments?|comment-?list|discussion|disqus|replies|respond|related|share|sharing|social|subscribe|newsletter|widget\w*|toolbar|pagination|pager|hidden)(?:$|[\s_-])"
+SELDOM_MAIN = frozenset("nav header footer aside form svg button select option label dialog menu head object canvas figcaption".split())
+SELDOM_MAIN_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog status".split())
+SELDOM_MAIN_NAMES = re.compile(
+    r"(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|sidebar\w*|nav\w*|menu\w*|breadcrumb\w*|footer|masthead|header|notices?|cookie\w*|consent|popup|modal|"
+    r"comments?|discussion|replies|respond|related|shar(?:e|ing)|social|subscribe|newsletter|widget\w*|toolbar|pagination|pager|hidden)"
 )
-ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog status".split())
-# Weight of a word by its nearest telling element where labelled pages show none.
-PRIOR = {"a": -1.0, "li": 0.3, "div": 0.3, "body": 0.2, "section": 0.3}
-WORD_PRIOR = 1.0
-TAG_COST = -0.02
-NOISE_COST = -0.5
+MARKS = ("article", "main")
+
+
+def prior_weight(key: str) -> float:
+    """Weight of an element name, ``.class``, ``#id``, ``@role`` or ``?hidden`` before
+    any page is seen; ``*`` is every word's."""
+    if key == "*":
+        return 1.0
+    if key[0] in ".#":
+        return -6.0 if any(SELDOM_MAIN_NAMES.fullmatch(part) for part in re.split(r"[\s_-]+", key[1:])) else 0.0
+    if key[0] == "@":
+        return -6.0 if key[1:] in SELDOM_MAIN_ROLES else 0.0
+    if key == "?hidden" or key in SELDOM_MAIN:
+        return -6.0
+    return -0.7 if key == "a" else 0.0
+
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)([^>]*)(?:>|\Z)|[^<]+|<", re.S)
-_HINTED = re.compile(r"""(?is)\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
+_ATTRIBUTE = re.compile(r"""(?is)\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 
 
-def is_noise(name: str, attributes: str) -> bool:
-    """Whether an element never holds main text."""
-    if name in SKIP:
-        return True
-    if not attributes or name in ("html", "body", "article", "main"):
-        return False
-    for key, value in _HINTED.findall(attributes):
-        value = value.strip("\"'")
-        key = key.lower()
-        if key == "hidden" or (key == "aria-hidden" and value.lower() == "true"):
-            return True
-        if (key == "role" and value.lower() in ROLES) or (key in ("class", "id") and HINTS.search(value)):
-            return True
-    return False
+def keys_of(name: str, attributes: str) -> list[str]:
+    """What an element's opening tag says of it."""
+    if name in MARKS:
+        return []
+    out = [name]
+    for key, value in _ATTRIBUTE.findall(attributes) if attributes else ():
+        key, value = key.lower(), value.strip("\"'").lower()
+        if key == "class":
+            out += [f".{c}" for c in value.split()]
+        elif key in ("id", "role") and value:
+            out.append(("#" if key == "id" else "@") + value)
+        elif key == "hidden" or value == "true":
+            out.append("?hidden")
+    return out
 
 
 def tokens(page: str):
-    """(kind, value, element, noise, in_article) of a page in order; kind is 'tag',
-    'break' (a block boundary) or 'text' (a decoded run of text)."""
-    stack: list[tuple[str, bool]] = []
-    noise = article = 0
+    """(kind, value, chain, in_article) of a page in order; kind is 'tag', 'break' (a
+    block boundary) or 'text' (a decoded run of text). A chain is the sorted keys of the
+    open elements, of which the outermost ``CHAIN`` and the innermost count."""
+    names: list[str] = []
+    chains: list[tuple[str, ...]] = [()]
+    blocks: list[int] = []  # places of the open block elements
+    count: dict[str, int] = {}
     at, end = 0, len(page)
+
+    def close_to(depth: int) -> None:
+        while len(names) > depth:
+            count[names.pop()] -= 1
+            chains.pop()
+        while blocks and blocks[-1] >= depth:
+            blocks.pop()
+
     while at < end:
         m = _TOKEN.match(page, at)
         at = m.end()
         name = m[2] or m[5]
+        inside = count.get("article", 0) + count.get("main", 0) > 0
         if name is None:
             run = m[0]
-            if run.startswith("<!") or run.startswith("<?"):
-                continue
-            near = next((n for n, _ in reversed(stack) if n in TELLING), "body")
-            yield "text", html.unescape(run), near, noise > 0, article > 0
+            if not run.startswith(("<!", "<?")):
+                yield "text", html.unescape(run), chains[-1], inside
             continue
         name, closing = name.lower(), bool(m[1] or m[4])
-        block = name in BLOCKS
+        kind = "break" if name in BLOCKS else "tag"
         if closing:
-            if any(n == name for n, _ in stack):
-                while stack:
-                    n, noisy = stack.pop()
-                    noise -= noisy
-                    article -= n in ("article", "main")
-                    if n == name:
-                        break
-            yield ("break" if block else "tag"), name, name, noise > 0, article > 0
+            if count.get(name):
+                depth = len(names) - 1
+                while names[depth] != name:
+                    depth -= 1
+                close_to(depth)
+            yield kind, name, chains[-1], inside
             continue
-        if name in CLOSES_P and stack and any(n == "p" for n, _ in stack):
-            # A new block ends an open paragraph and what is open inside it.
-            k = max(i for i, (n, _) in enumerate(stack) if n == "p")
-            if not any(n in BLOCKS for n, _ in stack[k + 1 :]):
-                for n, noisy in stack[k:]:
-                    noise -= noisy
-                del stack[k:]
+        if name in BLOCKS and name != "br" and blocks and names[blocks[-1]] == "p":
+            close_to(blocks[-1])  # a new block ends an open paragraph and what is open in it
         attributes = m[3] if m[2] else m[6]
-        yield ("break" if block else "tag"), name, name, noise > 0, article > 0
+        yield kind, name, chains[-1], inside
         if name in VOID or attributes.rstrip().endswith("/"):
             continue
-        noisy = is_noise(name, attributes)
         if name in RAW:
             stop = re.compile(rf"(?i)</{name}\b[^>]*>").search(page, at)
             at = stop.end() if stop else end
             continue
-        stack.append((name, noisy))
-        noise += noisy
-        article += name in ("article", "main")
-
-
-def learned_weights(pages: list[str]) -> dict[str, float]:
-    """Weight of a word by its nearest telling element, from pages that mark their article."""
-    inside, outside = Counter(), Counter()
-    for page in pages:
-        for kind, value, near, noise, article in tokens(page):
-            if kind == "text" and (n := len(value.split())):
-                if not noise:
-                    (inside if article else outside)[near] += n
-    weights = {}
-    for near in {*inside, *outside}:
-        ratio = math.log((inside[near] + 1) / (outside[near] + 1))
-        weights[near] = max(0.1, min(ratio, 3.0)) if ratio > 0 else max(ratio, -3.0)
-    return weights
-
-
-def main_text(page: str | None, weights: dict[str, float]) -> str:
+        if name in BLOCKS:
+            blocks.append(len(names))
+        names.append(name)
+        count[name] = count.get(name, 0) + 1
+        outer, own = chains[-1], keys_of(name, attributes)
+        fresh = [k for k in own if k not in outer] if own else own
+        chains.append((outer + tuple(fresh))[:CHAIN] if fresh and len(outer) < CHAIN else outer)
+
+
+class Weights:
+    """Scores of words by chain and of tags by name."""
+
+    def __init__(self, words: dict[str, float], tags: dict[str, float]):
+        self.words, self.tags, self.known = words, tags, {}
+
+    def word(self, chain: tuple[str, ...]) -> float:
+        if chain not in self.known:
+            if len(self.known) > 20_000:
+                self.known.clear()
+            total = sum(self.words.get(k, prior_weight(k)) for k in ("*", *chain))
+            self.known[chain] = max(-TOP, min(TOP, total))
+        return self.known[chain]
+
+    def tag(self, name: str) -> float:
+        return self.tags.get(name, TAG_COST)
+
+
+def fitted_weights(words: list[tuple[tuple[str, ...], bool, int]], tags: list[tuple[str, bool, int]]) -> Weights:
+    """Weights from (chain, in the article, number of words) and (tag, in the article, number)."""
+    total = sum(n for *_, n in words)
+    if not total or len({inside for _, inside, _ in words}) < 2:
+        return Weights({}, {})
+    keys = sorted({k for chain, _, _ in words for k in chain} | {"*"})
+    place = {k: i for i, k in enumerate(keys)}
+    rows = [np.array([place[k] for k in ("*", *chain)]) for chain, _, _ in words]
+    owner, columns = np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.concatenate(rows)
+    y, n = np.array([float(inside) for _, inside, _ in words]), np.array([m for *_, m in words]) / total
+    prior = np.array([prior_weight(k) for k in keys])
+    w, speed = prior.copy(), np.zeros(len(keys))
+    for _ in range(STEPS):
+        p = 1 / (1 + np.exp(-np.clip(np.bincount(owner, w[columns], minlength=len(rows)), -30, 30)))
+        gradient = np.bincount(columns, (n * (p - y))[owner], minlength=len(keys)) + RIDGE * (w - prior)
+        speed = 0.9 * speed - gradient
+        w = w + speed
+    shown: dict[str, list[int]] = {}
+    for name, inside, m in tags:
+        shown.setdefault(name, [0, 0])[inside] += m
+    costs = {name: TAG_COST + OUTSIDE_COST * math.log1p(out / (own + 1)) for name, (out, own) in shown.items()}
+    return Weights(dict(zip(keys, w.tolist())), costs)
+
+
+def page_counts(page: str) -> list[tuple[str, list[str], bool, int]]:
+    """('word' or tag name, chain, in the article, number) of one page."""
+    found: dict[tuple, int] = {}
+    for kind, value, chain, inside in tokens(page):
+        key, n = (("word", chain, inside), len(value.split())) if kind == "text" else ((f"<{value}", (), inside), 1)
+        if n and value not in MARKS:
+            found[key] = found.get(key, 0) + n
+    return [(kind, list(chain), inside, n) for (kind, chain, inside), n in found.items()]
+
+
+def main_text(page: str | None, weights: Weights) -> str:
     if not page:
         return ""
-    parts: list[str] = []
-    in_noise = False
     sequence: list[tuple[float, str | None]] = []
-    for kind, value, near, noise, _ in tokens(page):
+    for kind, value, chain, _ in tokens(page):
         if kind == "text":
-            if noise:
-                # An element that never holds main text counts once, like a tag.
-                sequence.append((0.0 if in_noise else NOISE_COST, None))
-            else:
-                sequence.append((weights.get(near, PRIOR.get(near, WORD_PRIOR)) * len(value.split()), value))
-            in_noise = noise
+            score, n = weights.word(chain), len(value.split())
+            sequence.append((score * n, value) if score > 0 else (RUN_COST * score * min(n, 1), None))
         else:
-            sequence.append((TAG_COST, "\n" if kind == "break" else None))
+            sequence.append((weights.tag(value), "\n" if kind == "break" else None))
     # The best contiguous region, by one scan over running sums.
     best, best_at, running, start = 0.0, (0, 0), 0.0, 0
     for i, (s, _) in enumerate(sequence):
@@ -160,28 +220,36 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
         running += s
         if running > best:
             best, best_at = running, (start, i + 1)
-    out = []
-    for _, value in sequence[best_at[0] : best_at[1]]:
+    parts, out = [], []
+    for _, value in [*sequence[best_at[0] : best_at[1]], (0.0, "\n")]:
         if value == "\n":
             if parts:
                 out.append(" ".join("".join(parts).split()))
                 parts = []
         elif value is not None:
             parts.append(value)
-    if parts:
-        out.append(" ".join("".join(parts).split()))
     return "\n".join(b for b in out if b)
 
 
-def labelled_pages(pages: DataFrame, limit: int = SAMPLE) -> list[str]:
+def learned_weights(pages: DataFrame, limit: int = SAMPLE) -> Weights:
+    """Weights from at most ``limit`` labelled pages, taken by hash. Executors count; the
+    driver sees sums by distinct chain."""
     marked = pages.filter(F.lower("html").rlike("<(article|main)[ >]")).select("html", F.xxhash64("html").alias("h"))
     total = marked.count()
     if total > 2 * limit:
         marked = marked.filter(F.pmod("h", F.lit(total)) < 2 * limit)
-    return [r["html"] for r in marked.orderBy("h", "html").limit(limit).collect()]
+
+    def count(frames):
+        for frame in frames:
+            yield pd.DataFrame([c for page in frame["html"] for c in page_counts(page)], columns=["kind", "chain", "inside", "n"])
+
+    counts = marked.orderBy("h", "html").limit(limit).select("html").mapInPandas(count, "kind string, chain array<string>, inside boolean, n long")
+    rows = counts.groupBy("kind", "chain", "inside").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("pages")).orderBy(F.col("pages").desc(), "kind", "chain", "inside").limit(20_000).collect()
+    words = [(tuple(r.chain), r.inside, r.n) for r in rows if r.kind == "word"]
+    return fitted_weights(words, [(r.kind[1:], r.inside, r.n) for r in rows if r.kind != "word"])
 
 
-def extract(pages: DataFrame, weights: dict[str, float]) -> DataFrame:
+def extract(pages: DataFrame, weights: Weights) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
 
     @F.pandas_udf("string")
@@ -194,4 +262,4 @@ def extract(pages: DataFrame, weights: dict[str, float]) -> DataFrame:
 
 def op2_html_extraction(spark, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    return extract(pages, learned_weights(labelled_pages(pages)))
+    return extract(pages, learned_weights(pages))

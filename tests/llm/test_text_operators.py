@@ -18,38 +18,82 @@ PAGE = (
 )
 
 
+@pytest.fixture(scope="module")
 def weights(spark):
-    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
-    return html_text.learned_weights(html_text.labelled_pages(pages))
+    return html_text.learned_weights(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"))
+
+
+def article_text(page):
+    import html
+
+    inner = re.search("<article>(.*?)(?:</article>|$)", page, re.S)[1]
+    blocks = [" ".join(html.unescape(re.sub("</?b>", "", x)).split()) for x in re.split("</?(?:p|h1|br)>", inner)]
+    return "\n".join(b for b in blocks if b)
+
+
+BODY = "Big & small\nFirst bold line here.\nSecond para\nx"
+
+
+@pytest.mark.parametrize("opens, closes", [("<article>", "</article>"), ("<div class='post'>", "</div>"), ("", ""), ("<section id=text>", "</section>")])
+def test_main_text_of_a_page_with_everything(weights, opens, closes):
+    page = PAGE.replace("<article>", opens).replace("</article>", closes)
+    assert html_text.main_text(page, weights) == BODY
+    assert html_text.main_text(page, html_text.Weights({}, {})) == BODY.removesuffix("\nx")  # no labelled page
 
 
-def test_main_text_of_a_page_with_everything(spark):
-    assert html_text.main_text(PAGE, weights(spark)) == "Big & small\nFirst bold line here.\nSecond para\nx"
+def test_comments_and_notices_inside_an_article_go(weights):
+    page = "<body><article><h1>Head</h1><div class=notice>Please log in to read on</div><p>" + "Words of the text. " * 5 + "</p><div class='comments'><p>First!</p><p>Second one</p></div><p>More of it here.</p></article></body>"
+    assert html_text.main_text(page, weights) == "Head\n" + " ".join(["Words of the text."] * 5) + "\nMore of it here."
+
+
+def test_the_scan_sets_the_borders(weights):
+    menu = "<nav><ul>" + "<li><a href=x>menu item</a></li>" * 12 + "</ul></nav>"
+    page = f"<body><p>Stray words.</p>{menu}<p>" + "Main words go on. " * 20 + f"</p>{menu}<p>Stray again.</p></body>"
+    assert html_text.main_text(page, weights) == " ".join(["Main words go on."] * 20)
+    words = [v for kind, v, chain, _ in html_text.tokens(page) if kind == "text" and weights.word(chain) > 0]
+    assert "Stray words." in words and "Stray again." in words  # without the scan they would stay
+
+
+def test_weights_come_from_the_pages_not_the_lists(spark, weights, monkeypatch):
+    monkeypatch.setattr(html_text, "prior_weight", lambda key: 0.0)
+    counts = [c for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect() for c in html_text.page_counts(r.html)]
+    bare = html_text.fitted_weights([(tuple(ch), i, n) for k, ch, i, n in counts if k == "word"], [(k[1:], i, n) for k, ch, i, n in counts if k != "word"])
+    assert bare.words["footer"] < 0 < bare.words["p"]
+    for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect():
+        assert html_text.main_text(r.html, bare) == article_text(r.html)
 
 
 @pytest.mark.parametrize("page, text", [(None, ""), ("", ""), ("<p></p>", ""), ("<script>x", ""), ("a < b and <!-- c", "a < b and"), ("<p>one<p>two", "one\ntwo")])
-def test_odd_pages(spark, page, text):
-    assert html_text.main_text(page, weights(spark)) == text
+def test_odd_pages(weights, page, text):
+    assert html_text.main_text(page, weights) == text
 
 
-def test_articles_of_all_pages(spark):
-    import html
+def test_long_and_deep_pages_take_linear_time(weights):
+    import time
+
+    for unit in ("<b>x", "<div>y", "<p>z", "<a href='>", "<", "</i>", "<i><b></i>"):
+        start = time.process_time()
+        html_text.main_text(unit * 20_000, weights)
+        short = time.process_time() - start
+        start = time.process_time()
+        html_text.main_text(unit * 80_000, weights)
+        assert time.process_time() - start < 10 * short + 1
 
+
+def test_articles_of_all_pages(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     got = {r.page_id: r for r in html_text.op2_html_extraction(spark, "/root/testdata/sf0.001").collect()}
     for r in pages.collect():
-        inner = re.search("<article>(.*?)(?:</article>|$)", r.html, re.S)[1]
-        blocks = [" ".join(html.unescape(re.sub("</?b>", "", x)).split()) for x in re.split("</?(?:p|h1|br)>", inner)]
-        assert got[r.page_id].text == "\n".join(b for b in blocks if b)
+        assert got[r.page_id].text == article_text(r.html)
         assert got[r.page_id].n_chars == len(got[r.page_id].text)
 
 
 def test_pages_with_nulls_and_none(spark):
     schema = "page_id long, url string, html string, text string"
     df = spark.createDataFrame([(1, None, None, "x"), (None, "u", "<p>Hi there you", "x")], schema)
-    assert {(r.page_id, r.url, r.text, r.n_chars) for r in html_text.extract(df, {}).collect()} == {(1, None, "", 0), (None, "u", "Hi there you", 12)}
+    assert {(r.page_id, r.url, r.text, r.n_chars) for r in html_text.extract(df, html_text.learned_weights(df)).collect()} == {(1, None, "", 0), (None, "u", "Hi there you", 12)}
     none = spark.createDataFrame([], schema)
-    assert html_text.extract(none, html_text.learned_weights(html_text.labelled_pages(none))).count() == 0
+    assert html_text.extract(none, html_text.learned_weights(none)).count() == 0
 
 
 # op3 -----------------------------------------------------------------------------------
