@@ -1,19 +1,22 @@
 """Personal data by patterns and a skip-chain conditional random field.
 
-Four patterns give the base spans (see ``base_spans``). Tokens that look like data
-(an @ sign, or four digits or more, or a digit group with a plus, dot or bracket) are
-the nodes of a field with labels none, email, ip, card and phone. Neighbouring nodes
-share chain potentials; nodes whose digits or letters agree, however far apart, share
-skip potentials, so that a number written once as a phone number is one everywhere in
-the document. Loopy sum-product message passing runs ``ROUNDS`` rounds over the whole
-document. Nodes in base spans are clamped to them; any other node whose belief in a
-kind reaches ``BELIEF`` adds a span. Added spans never touch a base span, and base
-spans always stay.
+Four patterns give the base spans (see ``base_spans``). The nodes of a field with labels
+none, email, ip, card and phone are tokens that look like data (an @ sign, or four digits
+or more, or a digit group with a plus, dot or bracket) and words that stand as the local
+part of an address elsewhere in the document ("ann.b at home" beside ann.b@home.org).
+Neighbouring nodes share chain potentials. Nodes that are alike, however far apart, share
+skip potentials: equal digits, the same last seven digits, equal addresses or equal local
+parts; so a number written once as a phone number is one everywhere in the document.
+Loopy sum-product message passing runs ``ROUNDS`` rounds over the whole document. Nodes
+in base spans are clamped to them; any other node whose belief in a kind reaches
+``BELIEF`` adds a span. Added spans never touch a base span, and base spans always stay.
 
 Weights come from maximum pseudo-likelihood on the base labels of at most ``SAMPLE``
-documents, with node features blanked at random, once with the known label of a twin, so that
-chain and skip evidence is weighed as well as form. Skip groups link each node with the next one of the same
-key, so edges are linear in tokens, however often a value repeats.
+documents. A node outside base spans that is like one inside is unlabelled, not a
+negative. Node features are blanked at random, once with the known label of a twin, so
+that chain and skip evidence is weighed as well as form. Executors turn documents into
+nodes; the driver sees how often each kind of node occurs. Each node is linked with the
+next one of the same key, so edges are linear in tokens, however often a value repeats.
 
 Cases: null and empty texts have no spans; a text is read whole whatever its length;
 repeated rows give repeated results; an empty table gives an empty result; without
@@ -36,7 +39,9 @@ from purselake.llm.common import documents_only, table
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE = 4000
 ROUNDS = 12
-BELIEF = 0.8
+BELIEF = 0.9
+KINDS_OF_NODES = 20_000
+NONE_WEIGHT = 0.3
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -45,6 +50,7 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _NODE = re.compile(r"[^\s,;|\"'<>=]*[@0-9][^\s,;|\"'<>=]*")
 _SPACE = re.compile(r"\s")
+_WORD = re.compile(r"[A-Za-z0-9._%+-]{4,}")
 
 
 def luhn(digits: str) -> bool:
@@ -91,8 +97,13 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out, key=lambda x: (x[0], x[2]))
 
 
+def local_part(token: str) -> str:
+    return token.rpartition("@")[0].lower()
+
+
 def nodes_of(text: str) -> list[tuple[int, int]]:
-    """Spans of tokens that look like data, without edge punctuation."""
+    """Spans of tokens that look like data, without edge punctuation, and of words that
+    are the local part of one of them."""
     out = []
     for m in _NODE.finditer(text):
         token = m[0]
@@ -103,6 +114,19 @@ def nodes_of(text: str) -> list[tuple[int, int]]:
         inner = token[a:b]
         if "@" in inner or sum("0" <= c <= "9" for c in inner) >= 4 or inner[0] in "+(":
             out.append((m.start() + a, m.start() + b))
+    locals_ = {local_part(text[a:b]) for a, b in out if "@" in text[a:b]}
+    if any(len(x) >= 4 for x in locals_):
+        low, taken, at = text.lower(), out, 0
+        words = []
+        for m in _WORD.finditer(low):
+            if m[0].rstrip(".-") not in locals_ and m[0] not in locals_:
+                continue
+            while at < len(taken) and taken[at][1] <= m.start():
+                at += 1
+            end = m.end() if m[0] in locals_ else m.start() + len(m[0].rstrip(".-"))
+            if len(low) == len(text) and (at == len(taken) or taken[at][0] >= end):
+                words.append((m.start(), end))
+        out = sorted(out + words)
     return out
 
 
@@ -139,19 +163,25 @@ def features(text: str, span: tuple[int, int]) -> list[int]:
     return found
 
 
+def keys_of(token: str) -> list[str]:
+    """What tokens have in common that are alike: digits or their last seven, an address
+    or its local part."""
+    if "@" in token:
+        return [x for x in (token.lower(), local_part(token)) if len(x) >= 4]
+    d = digits_of(token)
+    out = [d[-7:]] if len(d) >= 4 else []
+    return out + [token.lower()] if any(c.isalpha() for c in token) else out
+
+
 def edges_of(text: str, nodes: list[tuple[int, int]]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """(chain edges, skip edges). A key is the token's last seven digits, or its letters
-    and digits where an @ stands."""
-    chain = [(i, i + 1) for i in range(len(nodes) - 1) if len(_SPACE.findall(text[nodes[i][1] : nodes[i + 1][0]])) <= 1 and nodes[i + 1][0] - nodes[i][1] <= 3]
+    """(chain edges, skip edges)."""
+    chain = [(i, i + 1) for i in range(len(nodes) - 1) if nodes[i + 1][0] - nodes[i][1] <= 3 and len(_SPACE.findall(text[nodes[i][1] : nodes[i + 1][0]])) <= 1]
     skip, seen = [], {}
     for i, (a, b) in enumerate(nodes):
-        token = text[a:b]
-        key = token.lower().replace("@", "") if "@" in token else digits_of(token)[-7:]
-        if len(key) < 4:
-            continue
-        if key in seen:
-            skip.append((seen[key], i))
-        seen[key] = i
+        for key in keys_of(text[a:b]):
+            if key in seen and (not skip or skip[-1] != (seen[key], i)):
+                skip.append((seen[key], i))
+            seen[key] = i
     return chain, skip
 
 
@@ -207,47 +237,57 @@ def clamped_labels(nodes, base) -> dict[int, int]:
     return out
 
 
-def train(texts: list[str], steps: int = 300) -> Field | None:
-    """Maximum pseudo-likelihood on the base labels of ``texts``."""
+def node_rows(text: str) -> list[tuple[list[int], list[int], int]]:
+    """(features, labels around, label) of a document's nodes for training: labels around
+    are the left neighbour's, the right neighbour's and the twins', -1 for none."""
+    nodes = nodes_of(text)
+    if not nodes:
+        return []
+    given = clamped_labels(nodes, base_spans(text))
+    y = [given.get(i, 0) for i in range(len(nodes))]
+    chain, skip = edges_of(text, nodes)
+    around = [[-1, -1, -1] for _ in nodes]
+    for a, b in chain:
+        around[b][0], around[a][1] = y[a], y[b]
+    for a, b in skip:
+        around[b][2] = max(around[b][2], y[a])
+        around[a][2] = max(around[a][2], y[b])
+    out = [(features(text, span), around[i], y[i]) for i, span in enumerate(nodes) if y[i] or around[i][2] <= 0]
+    # The first plain word stands for those that are no nodes: form alone makes no data of one.
+    plain = next((m.span() for m in _WORD.finditer(text) if m[0].isalpha() and m.span() not in nodes), None)
+    return [*out, (features(text, plain), [-1, -1, -1], 0)] if plain else out
+
+
+def train(counted: list[tuple[list[int], list[int], int, int]], steps: int = 300, blanks: int = 3) -> Field | None:
+    """Maximum pseudo-likelihood on (features, labels around, label, number of such nodes)."""
     k = len(KINDS) + 1
-    rows, labels = [], []
+    rows, labels, numbers = [], [], []
     rng = np.random.default_rng(11)
-    for text in texts:
-        nodes = nodes_of(text)
-        if not nodes:
-            continue
-        given = clamped_labels(nodes, base_spans(text))
-        y = [given.get(i, 0) for i in range(len(nodes))]
-        chain, skip = edges_of(text, nodes)
-        near = np.zeros((len(nodes), 3 * k))
-        for a, b in chain:
-            near[b, y[a]] += 1  # left neighbour's label
-            near[a, k + y[b]] += 1  # right neighbour's label
-        for a, b in skip:
-            near[b, 2 * k + y[a]] += 1
-            near[a, 2 * k + y[b]] += 1
-        for i, span in enumerate(nodes):
-            x = np.zeros(FEATURES)
-            x[features(text, span)] = 1
-            blank = lambda: x * np.concatenate([[1], rng.random(FEATURES - 1) < 0.5])  # noqa: E731, B023
-            # A repeat of the node: what it looks like is blurred, its twin's label is known.
-            repeat = np.zeros(3 * k)
-            repeat[2 * k + y[i]] = 1
-            for copy, around in ((x, near[i]), (blank(), near[i]), (blank(), repeat)):
-                rows.append(np.concatenate([copy, around]))
-                labels.append(y[i])
+    for found, around, label, n in counted:
+        x, near, repeat = np.zeros(FEATURES), np.zeros(3 * k), np.zeros(3 * k)
+        x[found] = 1
+        for place, other in enumerate(around):
+            if other >= 0:
+                near[place * k + other] = 1
+        repeat[2 * k + label] = 1  # a repeat of the node: its form is blurred, its twin's label known
+        n = n * (1 if label else NONE_WEIGHT)
+        blank = [x * np.concatenate([[1], rng.random(FEATURES - 1) < 0.5]) for _ in range(blanks)]
+        for copy, given, share in ((x, near, 1), *((c, near, 1 / blanks) for c in blank), *((c, repeat, 1 / blanks) for c in blank), (x * 0, repeat, 1)):
+            rows.append(np.concatenate([copy, given]))
+            labels.append(label)
+            numbers.append(n * share)
     if not rows or max(labels) == 0:
         return None
     x, y = np.array(rows), np.eye(k)[labels]
-    weight = 1 / np.sqrt(y.sum(axis=0) + 1)
-    row_weight = (y @ weight)[:, None]
-    row_weight /= row_weight.mean()
+    numbers = np.array(numbers)
+    row_weight = numbers * (y @ (1 / np.sqrt((y * numbers[:, None]).sum(axis=0) + 1)))
+    row_weight = (row_weight / row_weight.sum())[:, None]
     w, speed = np.zeros((x.shape[1], k)), np.zeros((x.shape[1], k))
     for _ in range(steps):
         z = x @ w
         p = np.exp(z - z.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
-        gradient = x.T @ (row_weight * (p - y)) / len(x) + 2e-4 * w
+        gradient = x.T @ (row_weight * (p - y)) + 2e-4 * w
         speed = 0.9 * speed - 2.0 * gradient
         w = w + speed
     chain = (w[FEATURES : FEATURES + k] + w[FEATURES + k : FEATURES + 2 * k].T) / 2
@@ -276,13 +316,30 @@ def written(spans) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, b, k in spans)
 
 
-def training_texts(docs: DataFrame, limit: int = SAMPLE) -> list[str]:
-    """At most ``limit`` texts that hold a digit or an @ sign, taken by hash."""
+def training_nodes(docs: DataFrame, limit: int = SAMPLE) -> list[tuple[list[int], list[int], int, int]]:
+    """Nodes of at most ``limit`` documents that hold a digit or an @ sign, taken by hash:
+    the ``KINDS_OF_NODES`` most frequent kinds and how often each occurs."""
     rows = documents_only(docs).filter(F.col("text").rlike("[0-9@]")).select("text", F.xxhash64("text", "doc_id").alias("h"))
     total = rows.count()
     if total > 2 * limit:
         rows = rows.filter(F.pmod("h", F.lit(total)) < 2 * limit)
-    return [r["text"] for r in rows.orderBy("h", "text").limit(limit).collect()]
+
+    def nodes(frames):
+        for frame in frames:
+            yield pd.DataFrame([r for text in frame["text"] for r in node_rows(text)], columns=["found", "around", "label"])
+
+    columns = ["found", "around", "label"]
+    found = rows.orderBy("h", "text").limit(limit).select("text").mapInPandas(nodes, "found array<int>, around array<int>, label int")
+    counts = found.groupBy(*columns).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), *columns).limit(KINDS_OF_NODES)
+    return [(list(r.found), list(r.around), r.label, r.n) for r in counts.collect()]
+
+
+def training_texts(docs: DataFrame, limit: int = SAMPLE) -> list:
+    return training_nodes(docs, limit)
+
+
+def fitted(docs: DataFrame, limit: int = SAMPLE) -> Field | None:
+    return train(training_nodes(docs, limit))
 
 
 def find(docs: DataFrame, field: Field | None) -> DataFrame:
@@ -328,4 +385,4 @@ def redacted(docs: DataFrame, field: Field | None) -> DataFrame:
 
 def op3_pii(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return find(docs, train(training_texts(docs)))
+    return find(docs, fitted(docs))

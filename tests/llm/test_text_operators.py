@@ -123,15 +123,37 @@ def test_base_spans(sample):
         assert pii.base_spans(t) == brute_spans(t), t
 
 
-def test_field_repeats_labels_and_keeps_base(sample):
-    field = pii.train(pii.training_texts(sample) + ["call +1 (222) 333-4444 or +1 (555) 333-7777, bob@x.org, 10.2.3.4"] * 20)
-    text = "call +1 (222) 333-4444 now; later 333-4444 again"
+def counted_nodes(texts):
+    from collections import Counter
+
+    counts = Counter((tuple(f), tuple(a), y) for t in texts for f, a, y in pii.node_rows(t))
+    return [(list(f), list(a), y, n) for (f, a, y), n in counts.items()]
+
+
+PLANTED = [
+    ("call +1 (222) 333-4444 now; later 333-4444 again and 222-333-4444", "222-333-4444", 3),
+    ("mail ann.bell@site.org or write ann.bell at site", "ann.bell", 0),
+]
+
+
+@pytest.mark.parametrize("text, value, kind", PLANTED)
+def test_skip_potentials_add_repeats_and_keep_base(sample, text, value, kind):
+    field = pii.train(counted_nodes([r.text for r in sample.collect()] + ["call +1 (222) 333-4444 or +1 (555) 333-7777, bob@x.org, 10.2.3.4"] * 20))
+    without = pii.Field(field.unary, field.chain, field.skip * 0)
     base, spans = pii.all_spans(text, field)
+    at = text.rindex(value)
+    assert (at, at + len(value), kind) in set(spans) - set(base)
+    assert (at, at + len(value), kind) not in pii.all_spans(text, without)[1]
     assert set(base) <= set(spans)
-    for a, b, k in set(spans) - set(base):
+    for a, b, _ in set(spans) - set(base):
         assert all(b <= x or a >= y for x, y, _ in base)
 
 
+def test_words_far_from_data_are_no_nodes():
+    assert pii.nodes_of("ann.bell met bob; x@y.z wrote") == [(18, 23)]
+    assert pii.node_rows("") == [] and pii.train([]) is None
+
+
 def test_message_passing_agrees_with_enumeration():
     rng = np.random.default_rng(0)
     f = pii.Field(rng.normal(size=(pii.FEATURES, 3)), rng.normal(size=(3, 3)), rng.normal(size=(3, 3)))
@@ -152,7 +174,7 @@ def test_message_passing_agrees_with_enumeration():
 @pytest.mark.parametrize("docs", ["odd_docs", "no_docs"])
 def test_pii_of_odd_rows(request, docs):
     docs = request.getfixturevalue(docs)
-    field = pii.train(pii.training_texts(docs))
+    field = pii.fitted(docs)
     rows = [(r.doc_id, r.text or "") for r in docs.collect()]
     got = sorted(((r.doc_id, r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256) for r in pii.find(docs, field).collect()), key=repr)
     want = []
