@@ -112,14 +112,13 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     words = staged(repeated_words(digests, bits), "words")
     holder = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(columns)])
     boxed = docs.select(text_digest(F.col("text")).alias("digest"), F.col("doc_id").alias("id"), holder.alias("row"))
-    marked = with_suspicion(boxed, words, bits)
+    marked = with_suspicion(boxed.withColumn("place", F.monotonically_increasing_id()), words, bits)
     unbox = [F.col(f"row.c{i}").alias(c) for i, c in enumerate(columns)]
     alone = marked.filter(~F.col("suspect")).select(*unbox)
     chosen = (
         marked.filter("suspect")
         .groupBy("digest")
-        .agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("best"))
-        .select("best.row")
+        .agg(F.min_by("row", F.struct(F.col("id").isNull().alias("no_id"), "id", "place")).alias("row"))
         .select(*unbox)
     )
     return alone.unionByName(chosen)

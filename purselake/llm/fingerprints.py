@@ -39,7 +39,7 @@ from purselake.llm.common import documents_only, table, with_long_ids
 IDENTITY = 8
 LANES = 256
 ROWS_PER_RANGE = 4000
-MAX_RANGES = 1024
+MAX_RANGES = 1 << 16
 _START = np.uint64(0x1B873593)
 _M = np.uint64(0x9E3779B97F4A7C15)
 
@@ -109,9 +109,13 @@ def with_next(docs: DataFrame) -> DataFrame:
     n = rows.count()
     ranges = min(max(1, n // ROWS_PER_RANGE), MAX_RANGES)
     cuts = sorted(set(rows.approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 0.2 / ranges))) if ranges > 1 else []
-    bucket = F.when(F.col("doc_id").isNull(), F.lit(len(cuts))).otherwise(
-        F.size(F.filter(F.array(*[F.lit(int(c)) for c in cuts]).cast("array<long>"), lambda c: c <= F.col("doc_id"))) if cuts else F.lit(0)
-    )
+    shared = docs.sparkSession.sparkContext.broadcast(np.array(cuts, dtype=np.int64))  # 512 KB at most
+
+    @F.pandas_udf("int")
+    def place(ids: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(shared.value, ids.to_numpy(dtype=np.int64), side="right"), dtype="int32")
+
+    bucket = F.when(F.col("doc_id").isNull(), F.lit(len(cuts))).otherwise(place(F.coalesce("doc_id", F.lit(0).cast("long"))) if cuts else F.lit(0))
     dealt = rows.withColumn("bucket", bucket)
     heads = dealt.groupBy("bucket").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text")).alias("head"))
     order = Window.orderBy("bucket")

@@ -315,12 +315,22 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
 
 def one_per_class(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` with all columns, one of each class: that of the least
-    (doc_id, text)."""
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash"))
-    keep = staged(jaccard_classes(docs).groupBy("class_set").agg(first.alias("k")).select("k.doc_id", "k.text_hash"), "keep")
-    keep = keep.select(F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_hash"))
-    same = docs["doc_id"].cast("long").eqNullSafe(keep["kept_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == keep["kept_hash"])
-    return docs.join(keep, same, "left_semi")
+    (doc_id, text hash); of rows equal in both, any one."""
+    rows = jaccard_classes(docs).groupBy("class_set", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "n"))
+    keep = staged(rows.groupBy("class_set").agg(first.alias("k")).select(F.col("k.doc_id").alias("kept_id"), F.col("k.text_hash").alias("kept_hash"), "k.n"), "keep")
+
+    def kept(chosen: DataFrame) -> DataFrame:
+        same = docs["doc_id"].cast("long").eqNullSafe(chosen["kept_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == chosen["kept_hash"])
+        return docs.join(chosen, same, "left_semi")
+
+    alone, repeated = keep.filter("n = 1"), keep.filter("n > 1")
+    if repeated.isEmpty():
+        return kept(alone)
+    holder = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    boxed = kept(repeated).select(F.col("doc_id").alias("id"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("hash"), holder.alias("row"))
+    one = boxed.groupBy("id", "hash").agg(F.first("row").alias("row")).select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)])
+    return kept(alone).unionByName(one)
 
 
 def op9_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:

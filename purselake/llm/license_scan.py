@@ -7,6 +7,10 @@ with a gate substring are scanned; of those, a family's rules run only where its
 keyword occurs as a word. Of overlapping detections the longer interval
 suppresses what it contains, and otherwise the rule of higher priority stays.
 
+Long texts are scanned in blocks of ``BLOCK`` characters that see ``REACH`` more on both
+sides, more than any detection is long, and keep what starts in them; so the work is
+linear in a text, however dense its detections.
+
 Words are maximal runs of digits, a-z and non-ASCII characters after lower-casing
 A-Z. Base phrases (MIT License, Apache License, General Public License) are
 counted at every place, and their labels always stay.
@@ -27,6 +31,7 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BASE_PHRASE = "(?<= )(?:mit|apache|general public) license(?= )"
+BLOCK, REACH = 2000, 300
 GATE = ("licen", "spdx", "copyleft", "public domain")
 
 # Label, keyword that gates the family, name, short id.
@@ -117,13 +122,13 @@ def spaces(c: Column) -> Column:
     return F.length(c) - F.length(F.replace(c, F.lit(" ")))
 
 
-# Intervals of one rule in ``words``: the marked text is cut at the marks, and every
+# Intervals of one rule in a block's text: the marked text is cut at the marks, and every
 # second part is a match.
 _INTERVALS = r"""
 flatten(transform(
   filter(rules, r -> array_contains(present, r.keyword)),
   r -> aggregate(
-    split(regexp_replace(words, r.regex, '\u0001$0\u0002'), '[\u0001\u0002]'),
+    split(regexp_replace(block.text, r.regex, '\u0001$0\u0002'), '[\u0001\u0002]'),
     named_struct('at', 0, 'k', 0, 'found', cast(array() as array<struct<start:int,stop:int,rank:int,label:string,weight:double>>)),
     (a, p) -> named_struct('at', a.at + length(p), 'k', a.k + 1, 'found',
       if(a.k % 2 = 1, array_append(a.found, named_struct('start', a.at, 'stop', a.at + length(p), 'rank', r.rank, 'label', r.label, 'weight', r.weight)), a.found)),
@@ -137,6 +142,21 @@ filter(found, d -> not exists(found, e ->
       and not (d.start <= e.start and d.stop >= e.stop))))
 """
 
+_BLOCKS = f"""
+transform(sequence(0, cast((length(words) - 1) div {BLOCK} as int)), i ->
+  named_struct('own', i * {BLOCK}, 'base', greatest(i * {BLOCK} - {REACH}, 0),
+    'text', substring(words, greatest(i * {BLOCK} - {REACH}, 0) + 1, {BLOCK + REACH} + i * {BLOCK} - greatest(i * {BLOCK} - {REACH}, 0))))
+"""
+
+# What starts in a block's own part, by character of the whole text.
+_DETECTIONS = f"""
+flatten(transform({_BLOCKS}, block -> transform(
+  filter(
+    element_at(transform(array({_INTERVALS}), found -> {_UNSUPPRESSED}), 1),
+    d -> d.start + block.base >= block.own and d.start + block.base < block.own + {BLOCK}),
+  d -> named_struct('start', d.start + block.base, 'stop', d.stop + block.base, 'rank', d.rank, 'label', d.label, 'weight', d.weight))))
+"""
+
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, base counts and places, labels, score, and ``detections``:
@@ -157,7 +177,7 @@ def scan(docs: DataFrame) -> DataFrame:
         F.array_intersect(F.split("words", " "), keywords).alias("present"),
         F.when(F.col("words").isNotNull(), rule_table()).alias("rules"),
     )
-    found = parts.select("*", F.expr(_INTERVALS).alias("found")).drop("rules")
+    found = parts.select("*", F.when(F.size("present") > 0, F.expr(_DETECTIONS)).alias("found")).drop("rules")
     last = F.element_at("parts", -1)
     before_last = F.col("n_words") - (spaces(last) - 1)
     ends_long = F.endswith(F.expr("left(words, length(words) - length(element_at(parts, -1)))"), F.lit(" general public license"))
@@ -168,7 +188,7 @@ def scan(docs: DataFrame) -> DataFrame:
         F.coalesce((F.size("parts") - 1).cast("long"), F.lit(0).cast("long")).alias("n_base"),
         F.when(F.size("parts") > 1, (spaces(F.element_at("parts", 1)) - 1).cast("long")).alias("first_word"),
         F.when(F.size("parts") > 1, (before_last - F.when(ends_long, 3).otherwise(2)).cast("long")).alias("last_word"),
-        F.coalesce(F.expr(_UNSUPPRESSED), F.expr("cast(array() as array<struct<start:int,stop:int,rank:int,label:string,weight:double>>)")).alias("detections"),
+        F.coalesce("found", F.expr("cast(array() as array<struct<start:int,stop:int,rank:int,label:string,weight:double>>)")).alias("detections"),
     )
     base = F.array_compact(
         F.array(*[F.when(F.contains("words", F.lit(f" {p} license ")), F.lit(x)) for p, x in (("apache", "apache"), ("general public", "gpl"), ("mit", "mit"))])

@@ -114,7 +114,15 @@ def test_jaccard_of_odd_rows(request, docs):
     by = defaultdict(set)
     for r, c in zip(rows, classes):
         by[c].add((r.doc_id is None, r.doc_id or 0))
-    assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.distinct().collect()) == sorted(min(v) for v in by.values())
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == sorted(min(v) for v in by.values())
+
+
+def test_one_of_repeated_rows_stays(spark):
+    t, u = "one two three four five six seven eight", "nine ten eleven twelve thirteen fourteen"
+    docs = spark.createDataFrame([(3, t, {"a": 1}), (3, t, {"a": 2}), (4, u, {}), (4, u, {}), (5, t, None)], "doc_id long, text string, text_hash map<string,int>")
+    for kept in (jaccard_join.one_per_class(docs), exact_dedup.deduplicated(docs)):
+        assert kept.columns == docs.columns
+        assert sorted(r.doc_id for r in kept.collect()) == [3, 4]
 
 
 def test_components_of_a_long_chain(spark):

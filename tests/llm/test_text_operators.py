@@ -224,6 +224,45 @@ def test_rules_are_many_ordered_and_suppress(spark):
     assert got[4].labels == "cc-by-nc"
 
 
+def brute_detections(text):
+    """All rules over the whole text, then suppression of each by all others."""
+    words = " " + " ".join(re.findall(license_scan.WORD, text.lower())) + " "
+    found = [(m.start(), m.end(), rank, label) for rank, label, keyword, regex, _ in license_scan.signature_rules() if f" {keyword} " in words for m in re.finditer(regex, words)]
+
+    def beaten(d, e):
+        contained = e[0] <= d[0] and e[1] >= d[1] and (e[1] - e[0] > d[1] - d[0] or e[2] < d[2])
+        overlapped = e[0] < d[1] and d[0] < e[1] and e[2] < d[2] and not (d[0] <= e[0] and d[1] >= e[1])
+        return contained or overlapped
+
+    return sorted(d for d in found if not any(beaten(d, e) for e in found))
+
+
+def test_detections_match_brute_force_in_long_dense_texts(spark):
+    import random
+
+    rng = random.Random(4)
+    bits = ["mit license", "licensed under the apache license version 2 0", "gnu general public license v3", "under", "the", "cc by sa 4 0", "spdx license identifier mit", "license", "bsd 3 clause license", "x" * 30, "é"]
+    texts = [" ".join(rng.choice(bits) for _ in range(n)) for n in (1, 5, 40, 300, 900)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in license_scan.scan(docs).collect():
+        want = brute_detections(texts[r.doc_id])
+        assert sorted((d.start, d.stop, d.rank, d.label) for d in r.detections) == want
+        assert set(r.labels.split(",")) - {""} == {d[3] for d in want} | set(filter(None, r.base_labels.split(",")))
+
+
+def test_dense_license_text_takes_linear_time(spark):
+    import time
+
+    def seconds(n):
+        docs = spark.createDataFrame([(1, "mit license , " * n)], "doc_id long, text string")
+        start = time.time()
+        license_scan.scan(docs).collect()
+        return time.time() - start
+
+    first = seconds(2000)
+    assert seconds(8000) < 6 * first + 2
+
+
 # op7 -----------------------------------------------------------------------------------
 
 
@@ -333,8 +372,9 @@ def test_fingerprints(request, docs, monkeypatch):
         half = len(t) // 2
         edited = t[: len(t) - half] + after[:half]
         f, g = fingerprints.fingerprint(t), fingerprints.fingerprint(edited)
-        want.append((d, len(t), hashlib.sha256(edited.encode()).hexdigest(), fingerprints.as_text(f), fingerprints.as_text(g), fingerprints.likeness(f, g)))
-    got = [(r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, r.near_edited) for r in fingerprints.document_fingerprints(docs).collect()]
+        near_next = fingerprints.likeness(f, fingerprints.fingerprint(after))
+        want.append((d, len(t), hashlib.sha256(edited.encode()).hexdigest(), fingerprints.as_text(f), fingerprints.as_text(g), fingerprints.likeness(f, g), near_next))
+    got = [(r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, r.near_edited, r.near_next) for r in fingerprints.document_fingerprints(docs).collect()]
     assert sorted(got, key=repr) == sorted(want, key=repr)
 
 
