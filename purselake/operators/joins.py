@@ -41,8 +41,13 @@ def asof_join(left: DataFrame, right: DataFrame, eq: list[str], left_t: str, rig
 
 
 def tolerance_match(left: DataFrame, right: DataFrame, keys: list[str], a: str, b: str, tol: float, part: list[str], order: list[Column]) -> DataFrame:
-    """For each left row (``part``), the first right row by ``order`` with |a - b| < tol."""
-    near = left.join(right, keys).filter(F.abs(F.col(a) - F.col(b)) < tol)
+    """For each left row (``part``), the first right row by ``order`` with |a - b| < tol.
+
+    Values are banded by the tolerance, and a left row meets its own band and the two
+    beside it, so a key costs its near rows and not their product."""
+    band = lambda c: F.floor(F.col(c).cast("double") / tol)
+    l = left.withColumn("__band", F.explode(F.array(*[band(a) + i for i in (-1, 0, 1)])))  # noqa: E741
+    near = l.join(right.withColumn("__band", band(b)), [*keys, "__band"]).drop("__band").filter(F.abs(F.col(a) - F.col(b)) < tol)
     return near.withColumn("__n", F.row_number().over(Window.partitionBy(*part).orderBy(*order))).filter("__n = 1").drop("__n")
 
 

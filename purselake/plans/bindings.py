@@ -20,7 +20,9 @@ class Lake:
         self.spark, self.folder = spark, folder
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        table = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        setattr(self, name, table)  # its schema is read once
+        return table
 
     def transactions(self) -> DataFrame:
         """Award transactions: lineitem with its order's date-free columns."""

@@ -311,11 +311,11 @@ def e33(spark, sf):
     return n.withColumn("share", windows.share_of_total("n", ["sub_agency"]))
 
 
-@query("E34_successor_search", """WITH s AS (SELECT doc_id, trim(unnest(string_split_regex(text, '[.;\\n]+'))) AS sentence FROM documents WHERE lang = 'en'), h AS (SELECT DISTINCT doc_id, sentence, b FROM (SELECT doc_id, sentence, unnest(list_distinct(string_split_regex(lower(sentence), '[^a-z]+'))) AS b FROM s WHERE sentence ILIKE '% the %') WHERE b IN ('worthless', 'clown', 'idiot', 'moron', 'scum'))
+@query("E34_successor_search", """WITH s AS (SELECT doc_id, trim(unnest(string_split_regex(text, '[.;\\n]+'))) AS sentence FROM documents), h AS (SELECT DISTINCT doc_id, sentence, b FROM (SELECT doc_id, sentence, unnest(list_distinct(string_split_regex(lower(sentence), '[^a-z]+'))) AS b FROM s WHERE sentence ILIKE '% the %') WHERE b IN ('worthless', 'clown', 'idiot', 'moron', 'scum'))
 SELECT doc_id, sentence, min(b) AS successor FROM h GROUP BY 1, 2 HAVING count(*) = 1""")
 def e34(spark, sf):
     """Sentences with the cue and exactly one known term."""
-    d = Lake(spark, sf).documents.filter("lang = 'en'")
+    d = Lake(spark, sf).documents
     s = d.select("doc_id", F.explode(F.split("text", "[.;\\n]+")).alias("sentence")).select("doc_id", F.trim("sentence").alias("sentence")).filter(F.ilike("sentence", F.lit("% the %")))
     w = s.select("doc_id", "sentence", F.explode(F.array_distinct(F.split(F.lower("sentence"), "[^a-z]+"))).alias("b"))
     h = w.filter(F.col("b").isin("worthless", "clown", "idiot", "moron", "scum")).distinct()

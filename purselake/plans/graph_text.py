@@ -40,11 +40,11 @@ def g03(spark, sf):
     return graphs.longest_path_depth(lineage(Lake(spark, sf)), "a", "b")
 
 
-_CLAUSE_SQL = """cl AS (SELECT doc_id, k AS clause_no, c AS clause FROM (SELECT doc_id, unnest(string_split_regex(text, '[.;\\n]+')) AS c, generate_subscripts(string_split_regex(text, '[.;\\n]+'), 1) AS k FROM documents WHERE lang = 'en'))"""
+_CLAUSE_SQL = """cl AS (SELECT doc_id, k AS clause_no, c AS clause FROM (SELECT doc_id, unnest(string_split_regex(text, '[.;\\n]+')) AS c, generate_subscripts(string_split_regex(text, '[.;\\n]+'), 1) AS k FROM documents))"""
 
 
 def clauses(lake):
-    d = lake.documents.filter("lang = 'en'")
+    d = lake.documents
     return d.select("doc_id", F.posexplode(F.split("text", "[.;\\n]+"))).select("doc_id", (F.col("pos") + 1).alias("clause_no"), F.col("col").alias("clause"))
 
 
@@ -131,10 +131,10 @@ def t03(spark, sf):
     return g.join(F.broadcast(names), "name", "left_semi").select("doc_id", "name")
 
 
-@query("T04_lexicon_candidates", f"""WITH {_CLAUSE_SQL}, c AS (SELECT doc_id, clause_no, clause, regexp_extract(clause, '\\b([A-Z]{{3,8}})\\b', 1) AS candidate FROM cl), q AS (SELECT *, row_number() OVER (PARTITION BY candidate ORDER BY doc_id, clause_no) AS n FROM c WHERE candidate <> '')
+@query("T04_lexicon_candidates", f"""WITH {_CLAUSE_SQL}, c AS (SELECT doc_id, clause_no, clause, regexp_extract(clause, '(?:^|[^A-Za-z0-9_])([A-Z]{{3,8}})(?:$|[^A-Za-z0-9_])', 1) AS candidate FROM cl), q AS (SELECT *, row_number() OVER (PARTITION BY candidate ORDER BY doc_id, clause_no) AS n FROM c WHERE candidate <> '')
 SELECT candidate, doc_id, clause_no, n FROM q WHERE n <= 3""")
 def t04(spark, sf):
-    c = clauses(Lake(spark, sf)).withColumn("candidate", F.regexp_extract("clause", r"\b([A-Z]{3,8})\b", 1)).filter("candidate <> ''")
+    c = clauses(Lake(spark, sf)).withColumn("candidate", F.regexp_extract("clause", r"(?:^|[^A-Za-z0-9_])([A-Z]{3,8})(?:$|[^A-Za-z0-9_])", 1)).filter("candidate <> ''")
     n = F.row_number().over(Window.partitionBy("candidate").orderBy("doc_id", "clause_no"))
     return c.select("candidate", "doc_id", "clause_no", n.alias("n")).filter("n <= 3")
 

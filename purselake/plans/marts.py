@@ -397,15 +397,17 @@ def m22(spark, sf):
     lake = Lake(spark, sf)
     t = lake.family_transactions().withColumn("family", F.coalesce("family_key", F.col("recipient_id").cast("string")))
     award = t.groupBy("award_id", "family").agg(F.sum(X.positive_part(F.col("obligation"))).alias("p"))
+    # An award of several families counts once, with the first of them.
+    counts = F.row_number().over(Window.partitionBy("award_id").orderBy("family")) == 1
+    award = award.withColumn("counted", counts.cast("long"))
     basis = F.explode(F.when(F.col("confidence") == "high", F.array(F.lit("all"), F.lit("high"))).otherwise(F.array(F.lit("all")))).alias("basis")
     j = award.join(published(lake).select("pe_bli", "award_id", basis), "award_id")
-    f = j.groupBy("pe_bli", "basis", "family").agg(F.sum("p").cast("double").alias("p"))
-    n = j.groupBy("pe_bli", "basis").agg(F.countDistinct("award_id").alias("award_count"))
+    f = j.groupBy("pe_bli", "basis", "family").agg(F.sum("p").cast("double").alias("p"), F.sum("counted").alias("counted"))
     g = f.groupBy("pe_bli", "basis").agg(
         (F.sum(F.col("p") * F.col("p")) * 10000 / F.nullif(F.sum("p") * F.sum("p"), F.lit(0.0))).alias("hhi"), F.max_by("family", "p").alias("top_family"),
-        n_rows().alias("family_count"), F.count_if(F.col("p") > 0).alias("positive_family_count"), F.sum("p").alias("program_dollars"),
+        n_rows().alias("family_count"), F.count_if(F.col("p") > 0).alias("positive_family_count"), F.sum("p").alias("program_dollars"), F.sum("counted").alias("award_count"),
     )
-    return g.join(n, ["pe_bli", "basis"]).filter("award_count >= 3 AND positive_family_count >= 2 AND program_dollars > 0")
+    return g.filter("award_count >= 3 AND positive_family_count >= 2 AND program_dollars > 0")
 
 
 @query("M24_program_lobbying", with_sql("fl ln", _RESOLVED_SQL + """, mt AS (SELECT f2.filing_id, concat('Brand#', f2.filing_id % 25) AS pe_bli FROM fl f2 UNION ALL SELECT filing_id, concat('Brand#', registrant % 25) FROM fl), one AS (SELECT DISTINCT filing_id, pe_bli FROM mt),
@@ -475,12 +477,14 @@ cp AS (SELECT *, CASE WHEN ambiguity IS NOT NULL THEN 'ambiguous' WHEN action_da
 
 
 def duplicate_copies(lake):
-    """Keys first: only repeated keys' rows are classified."""
-    t = lake.transactions()
-    keys = t.groupBy("award_type", "transaction_key").agg(n_rows().alias("copies"), F.countDistinct("fiscal_year").alias("fiscal_years"), F.count("action_date").alias("dated"), F.countDistinct("action_date").alias("dates"), F.max("action_date").alias("newest")).filter("copies > 1")
+    """One window over each key's rows; two copies differ where their least and greatest do."""
+    w = Window.partitionBy("award_type", "transaction_key")
+    differ = lambda c: (F.min(c).over(w) != F.max(c).over(w)).cast("int") + 1
+    t = lake.transactions().select("award_type", "transaction_key", "fiscal_year", "action_date", "part_id")
+    t = t.withColumn("copies", F.count(F.lit(1)).over(w)).withColumn("fiscal_years", differ("fiscal_year")).withColumn("dated", F.count("action_date").over(w))
+    c = t.withColumn("dates", differ("action_date")).withColumn("newest", F.max("action_date").over(w)).filter("copies > 1")
     why = F.when(F.col("copies") != 2, "more than two copies").when(F.col("fiscal_years") != 2, "both copies sit in one fiscal year").when(F.col("dated") != 2, "a copy has no date").when(F.col("dates") != 2, "both copies carry the same date")
-    c = t.join(keys, ["award_type", "transaction_key"]).withColumn("ambiguity", why)
-    return c.withColumn("resolution", F.when(F.col("ambiguity").isNotNull(), "ambiguous").when(F.col("action_date") == F.col("newest"), "keep").otherwise("retire"))
+    return c.withColumn("ambiguity", why).withColumn("resolution", F.when(F.col("ambiguity").isNotNull(), "ambiguous").when(F.col("action_date") == F.col("newest"), "keep").otherwise("retire"))
 
 
 @query("M31_audit_duplicate_copies", with_sql("tx", _COPIES_SQL + " SELECT award_type, transaction_key, fiscal_year, action_date, part_id, copies, ambiguity, resolution FROM cp"))

@@ -99,9 +99,9 @@ _STOP_SQL = ", ".join(f"'{w}'" for w in X.STOP_WORDS)
 TOKENS_SQL = f"list_sort(list_distinct(list_filter(string_split_regex(lower({{}}), '[^a-z0-9]+'), lambda w: length(w) > 3 AND w NOT IN ({_STOP_SQL}))))"
 
 
-@query("P12_tokens", f"SELECT doc_id, array_to_string({TOKENS_SQL.format('text')}, ' ') AS words FROM documents WHERE lang = 'en'")
+@query("P12_tokens", f"SELECT doc_id, array_to_string({TOKENS_SQL.format('text')}, ' ') AS words FROM documents")
 def p12(spark, sf):
-    return Lake(spark, sf).documents.filter("lang = 'en'").select("doc_id", F.array_join(X.tokens(F.col("text")), " ").alias("words"))
+    return Lake(spark, sf).documents.select("doc_id", F.array_join(X.tokens(F.col("text")), " ").alias("words"))
 
 
 @query("P13_title_jaccard", """WITH p AS (SELECT p_partkey, string_split(trim(p_name), ' ') AS a, string_split(trim(concat(lower(p_type), ' ', p_name)), ' ') AS b FROM part)
@@ -167,9 +167,9 @@ def p22(spark, sf):
     return Lake(spark, sf).nation.select("n_nationkey", X.normalize_service_heading(F.concat(F.lit(" .*US&nbsp; "), F.col("n_name"), F.lit("&#160;Dept. *"))).alias("heading"))
 
 
-@query("P23_alnum_words", "SELECT doc_id, trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9\\s]', '', 'g'), '\\s+', ' ', 'g')) AS words FROM documents WHERE lang = 'en'")
+@query("P23_alnum_words", "SELECT doc_id, trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9\\s]', '', 'g'), '\\s+', ' ', 'g')) AS words FROM documents")
 def p23(spark, sf):
-    return Lake(spark, sf).documents.filter("lang = 'en'").select("doc_id", X.alnum_words(F.col("text")).alias("words"))
+    return Lake(spark, sf).documents.select("doc_id", X.alnum_words(F.col("text")).alias("words"))
 
 
 @query("P24_slugify", "SELECT o_orderkey, trim(regexp_replace(lower(concat(o_orderpriority, ' / ', o_orderstatus, '!')), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM orders")
@@ -217,9 +217,9 @@ def p31(spark, sf):
     return Lake(spark, sf).events.select("event_id", X.stale_flag(status, F.col("ts"), F.col("user_id") % 5, now).alias("stale"))
 
 
-@query("P32_fold_quote_text", "SELECT doc_id, trim(regexp_replace(translate(concat(text, ' “x” – y'), '‐‑‒–—‘’“”', '-----''''\"\"'), '\\s+', ' ', 'g')) AS folded FROM documents WHERE lang = 'en'")
+@query("P32_fold_quote_text", "SELECT doc_id, trim(regexp_replace(translate(concat(text, ' “x” – y'), '‐‑‒–—‘’“”', '-----''''\"\"'), '\\s+', ' ', 'g')) AS folded FROM documents")
 def p32(spark, sf):
-    return Lake(spark, sf).documents.filter("lang = 'en'").select("doc_id", X.fold_quote_text(F.concat("text", F.lit(" “x” – y"))).alias("folded"))
+    return Lake(spark, sf).documents.select("doc_id", X.fold_quote_text(F.concat("text", F.lit(" “x” – y"))).alias("folded"))
 
 
 @query("P33_announced_value", "SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_tax > 0.03 THEN l_extendedprice ELSE 0 END AS announced FROM lineitem")
