@@ -69,17 +69,38 @@ def e05(spark, sf):
     return r.select("family_key", "recipient_name", (share < 15).alias("close"))
 
 
-_TIER_SQL = """WITH c AS (SELECT c_custkey, upper(c_name) AS raw, concat('CUSTOMER ', CAST(CAST(right(c_name, 9) AS BIGINT) % 150 AS VARCHAR)) AS clean FROM customer), f AS (SELECT concat('CUSTOMER ', CAST(s_suppkey AS VARCHAR)) AS family, s_suppkey % 3 AS kind FROM supplier WHERE s_suppkey < 120)
-SELECT c_custkey, CASE WHEN f.kind = 0 THEN 'exact' WHEN f.kind = 1 THEN 'alias' WHEN f.kind = 2 THEN 'contiguous' WHEN raw LIKE '%9' THEN 'raw_name' ELSE 'none' END AS tier FROM c LEFT JOIN f ON c.clean = f.family"""
+# Clients as filers write them: with an article and a suffix, by an alias, inside a longer
+# name, by the raw name, run together, or not at all.
+_CLIENT = ("concat('The Supplier ', n, ', Inc.')", "concat('SUP ', n)", "concat('Friends of Supplier ', n, ' Group')", "concat('Supplier#', lpad(n, 9, '0'))", "concat('Supplier', n)", "concat('Customer ', n)")
+_CASES = " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(_CLIENT))
+_NORM = "trim(regexp_replace(regexp_replace(trim(regexp_replace(upper({}), '[^A-Z0-9 ]+', ' ', 'g')), ' +', ' ', 'g'), '^THE | (INC|LLC)$', '', 'g'))"
+_TIER_SQL = f"""WITH c AS (SELECT c_custkey, raw, {_NORM.format('raw')} AS clean FROM (SELECT c_custkey, CASE c_custkey % 6 {_CASES} END AS raw FROM (SELECT c_custkey, CAST(c_custkey % 150 AS VARCHAR) AS n FROM customer))),
+f AS (SELECT upper(s_name) AS raw, concat('SUPPLIER ', s_suppkey) AS family, concat('SUP ', s_suppkey) AS alias FROM supplier)
+SELECT c_custkey, CASE WHEN clean IN (SELECT family FROM f) THEN 'exact' WHEN clean IN (SELECT alias FROM f) THEN 'alias'
+ WHEN EXISTS (SELECT 1 FROM f WHERE contains(concat(' ', c.clean, ' '), concat(' ', family, ' '))) THEN 'contiguous'
+ WHEN upper(c.raw) IN (SELECT raw FROM f) THEN 'raw_name' WHEN replace(clean, ' ', '') IN (SELECT replace(family, ' ', '') FROM f) THEN 'residue' ELSE 'none' END AS tier FROM c"""
 
 
 def client_tiers(lake):
-    """Tier of each client by set joins on its normalized name."""
-    c = lake.customer.select("c_custkey", F.upper("c_name").alias("raw"), F.concat(F.lit("CUSTOMER "), (F.substring("c_name", -9, 9).cast("long") % 150).cast("string")).alias("clean"))
-    f = lake.supplier.filter("s_suppkey < 120").select(F.concat(F.lit("CUSTOMER "), F.col("s_suppkey").cast("string")).alias("clean"), (F.col("s_suppkey") % 3).alias("kind"))
-    j = c.join(f, "clean", "left")
-    rules = [(F.col("kind") == 0, "exact"), (F.col("kind") == 1, "alias"), (F.col("kind") == 2, "contiguous"), (F.col("raw").endswith("9"), "raw_name")]
-    return j.select("c_custkey", linking.first_true(rules, "none").alias("tier"))
+    """Tier of each client by set joins on its normalized name: a family's name, its alias,
+    its name as contiguous words, its raw name, its name run together."""
+    n = (F.col("c_custkey") % 150).cast("string")
+    kind = F.expr(f"CASE c_custkey % 6 {_CASES} END")
+    raw = lake.customer.select("c_custkey", n.alias("n")).select("c_custkey", kind.alias("raw"))
+    c = raw.select("c_custkey", F.upper("raw").alias("raw"), X.normalize_name(F.col("raw")).alias("clean")).withColumn("words", F.split("clean", " "))
+    family = F.concat(F.lit("SUPPLIER "), F.col("s_suppkey").cast("string"))
+    f = lake.supplier.select(F.upper("s_name").alias("raw"), family.alias("family"), F.concat(F.lit("SUP "), F.col("s_suppkey").cast("string")).alias("alias"))
+    # Contiguous words: each run of as many words as some family has is looked up.
+    sizes = sorted(r[0] for r in f.select(F.size(F.split("family", " "))).distinct().limit(16).collect())
+    runs = F.flatten(F.array(*[F.expr(f"if(size(words) >= {k}, transform(sequence(0, size(words) - {k}), i -> array_join(slice(words, i + 1, {k}), ' ')), cast(array() as array<string>))") for k in sizes or [1]]))
+    held = c.select("c_custkey", F.explode(F.array_distinct(runs)).alias("family")).join(f.select("family").distinct(), "family", "left_semi").select("c_custkey", F.lit(True).alias("contiguous")).distinct()
+    known = lambda col, name: f.select(F.col(col).alias(name), F.lit(True).alias(f"in_{name}")).distinct()
+    squeezed = f.select(F.replace("family", F.lit(" "), F.lit("")).alias("run"), F.lit(True).alias("in_run")).distinct()
+    j = c.withColumn("run", F.replace("clean", F.lit(" "), F.lit("")))
+    j = j.join(known("family", "exact"), F.col("clean") == F.col("exact"), "left").join(known("alias", "alias"), F.col("clean") == F.col("alias"), "left")
+    j = j.join(held, "c_custkey", "left").join(known("raw", "raw"), "raw", "left").join(squeezed, "run", "left")
+    rules = [(F.col("in_exact"), "exact"), (F.col("in_alias"), "alias"), (F.col("contiguous"), "contiguous"), (F.col("in_raw"), "raw_name"), (F.col("in_run"), "residue")]
+    return j.select("c_custkey", linking.first_true([(F.coalesce(r, F.lit(False)), label) for r, label in rules], "none").alias("tier"))
 
 
 @query("E06_client_match_tier", _TIER_SQL)

@@ -9,7 +9,7 @@ from purselake.functions import exprs as X
 from purselake.operators import graphs, windows
 from purselake.plans.bindings import Lake, with_sql
 from purselake.plans.registry import query
-from purselake.plans.scalars import _STOP_SQL
+from purselake.plans.scalars import _STOP_SQL, TOKENS_SQL
 
 # Lineage edges: pairs of part keys by a modular rule.
 _EDGES_SQL = "ed AS (SELECT p_partkey AS a, p_partkey + 1 + p_size % 3 AS b, CASE p_size % 4 WHEN 0 THEN 'rename' WHEN 1 THEN 'split' ELSE 'transfer' END AS relation, CAST(2017 + p_partkey % 9 AS INTEGER) AS fiscal_year FROM part WHERE p_partkey % 7 < 4 AND p_partkey + 1 + p_size % 3 IN (SELECT p_partkey FROM part))"
@@ -104,31 +104,62 @@ def t01(spark, sf):
     return terms(Lake(spark, sf))
 
 
-_MENTION_TERMS = ("worthless", "clown", "license", "version", "general", "token")
+# Programs of the text jobs: the benchmark's items. The longest word is a program's code, the
+# next its alias, the words of its first sentence its title.
+_WORDS_SQL = "list_filter(string_split_regex(lower({}), '[^a-z0-9]+'), lambda x: x <> '')"
+_PROGRAM_SQL = f"""pg AS (SELECT item_id, regexp_extract(text, '^[^.\n]*') AS title, list_sort(list_distinct(list_transform(list_filter({_WORDS_SQL.format('text')}, lambda x: length(x) > 3), lambda x: concat(lpad(CAST(99 - length(x) AS VARCHAR), 2, '0'), x)))) AS ranked FROM benchmark),
+mt AS (SELECT item_id, 0 AS rank, substr(ranked[1], 3) AS term FROM pg WHERE len(ranked) >= 1 UNION ALL SELECT item_id, 1, substr(ranked[2], 3) FROM pg WHERE len(ranked) >= 2 UNION ALL SELECT item_id, 2, unnest({TOKENS_SQL.format('title')}) FROM pg)"""
+BROADCAST_TERMS = 100_000
 
 
-@query("T02_find_mentions", f"""WITH w AS (SELECT DISTINCT doc_id, unnest(string_split_regex(lower(text), '[^a-z0-9]+')) AS term FROM documents), t(term, code) AS (VALUES {', '.join(f"('{t}', 'C{i % 3}')" for i, t in enumerate(_MENTION_TERMS))}),
-m AS (SELECT doc_id, code, count(*) AS n, min(term) AS matched_term FROM w JOIN t USING (term) GROUP BY 1, 2) SELECT doc_id, code, matched_term, CASE WHEN n >= 2 THEN 'title_tokens' ELSE 'alias' END AS evidence_kind,
-substr(text, greatest(strpos(lower(text), matched_term) - 40, 1), 120) AS snippet FROM m JOIN documents USING (doc_id)""")
+def words(c):
+    return F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+"), lambda x: x != "")
+
+
+def programs(lake):
+    """item_id, title, code, alias of each benchmark item."""
+    long_first = F.array_sort(F.transform(F.array_distinct(F.filter(words(F.col("text")), lambda x: F.length(x) > 3)), lambda x: F.struct((-F.length(x)).alias("n"), x.alias("w"))))
+    p = lake.benchmark.select("item_id", F.regexp_extract("text", r"^[^.\n]*", 0).alias("title"), long_first.alias("ranked"))
+    return p.select("item_id", "title", F.try_element_at("ranked", F.lit(1))["w"].alias("code"), F.try_element_at("ranked", F.lit(2))["w"].alias("alias"))
+
+
+def small(df, limit: int = BROADCAST_TERMS):
+    """``df`` marked for broadcast if it has at most ``limit`` rows."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
+@query("T02_find_mentions", f"""WITH {_PROGRAM_SQL}, w AS (SELECT DISTINCT doc_id, unnest({_WORDS_SQL.format('text')}) AS term FROM documents),
+m AS (SELECT doc_id, item_id, min(rank) AS rank, arg_min(term, concat(rank, term)) AS matched_term, count(*) FILTER (WHERE rank = 2) AS n FROM w JOIN mt USING (term) GROUP BY 1, 2)
+SELECT doc_id, item_id, matched_term, CASE rank WHEN 0 THEN 'code' WHEN 1 THEN 'alias' ELSE 'title_tokens' END AS evidence_kind, substr(text, greatest(strpos(lower(text), matched_term) - 40, 1), 120) AS snippet FROM m JOIN documents USING (doc_id) WHERE rank < 2 OR n >= 2""")
 def t02(spark, sf):
-    """Inverted index: words equi-join the terms; no document meets every term."""
+    """Inverted index: words equi-join the terms, so no document meets every term. Code
+    beats alias beats two words of one title. Snippets are cut where the word is found."""
     lake = Lake(spark, sf)
-    t = spark.createDataFrame([(t, f"C{i % 3}") for i, t in enumerate(_MENTION_TERMS)], "term string, code string")
-    w = lake.documents.select("doc_id", F.explode(F.array_distinct(F.split(F.lower("text"), "[^a-z0-9]+"))).alias("term"))
-    m = w.join(F.broadcast(t), "term").groupBy("doc_id", "code").agg(F.count(F.lit(1)).alias("n"), F.min("term").alias("matched_term"))
-    at = F.greatest(F.expr("locate(matched_term, lower(text))") - 40, F.lit(1))
-    j = m.join(lake.documents.select("doc_id", "text"), "doc_id")
-    return j.select("doc_id", "code", "matched_term", F.when(F.col("n") >= 2, "title_tokens").otherwise("alias").alias("evidence_kind"), F.substring("text", at, F.lit(120)).alias("snippet"))
+    p = programs(lake)
+    kinds = [p.select("item_id", F.lit(rank).alias("rank"), F.col(c).alias("term")).filter("term IS NOT NULL") for rank, c in enumerate(("code", "alias"))]
+    t = kinds[0].union(kinds[1]).union(p.select("item_id", F.lit(2).alias("rank"), F.explode(X.tokens(F.col("title"))).alias("term")))
+    w = lake.documents.select("doc_id", "text", F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
+    at = F.greatest(F.expr("locate(term, lower(text))") - 40, F.lit(1))
+    found = w.join(small(t), "term").select("doc_id", "item_id", "rank", "term", F.substring("text", at, F.lit(120)).alias("snippet"))
+    best = F.min(F.struct("rank", "term", "snippet")).alias("best")
+    m = found.groupBy("doc_id", "item_id").agg(best, F.count_if(F.col("rank") == 2).alias("n")).filter("best.rank < 2 OR n >= 2")
+    kind = F.when(F.col("best.rank") == 0, "code").when(F.col("best.rank") == 1, "alias").otherwise("title_tokens")
+    return m.select("doc_id", "item_id", F.col("best.term").alias("matched_term"), kind.alias("evidence_kind"), "best.snippet")
 
 
-@query("T03_name_index_match", """WITH w AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS ws FROM documents), g AS (SELECT DISTINCT doc_id, concat_ws(' ', ws[i], ws[i+1], ws[i+2]) AS name FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w))
-SELECT doc_id, name FROM g WHERE name IN ('under the mit', 'the mit license', 'gnu general public', 'under the apache', 'the and of')""")
+NAME_WORDS = (2, 3, 4, 5)
+_GRAMS_SQL = " UNION ".join(f"SELECT doc_id, array_to_string(list_slice(ws, i, i + {n - 1}), ' ') AS name FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - {n - 2})) AS i FROM w)" for n in NAME_WORDS)
+
+
+@query("T03_name_index_match", f"""WITH w AS (SELECT doc_id, {_WORDS_SQL.format('text')} AS ws FROM documents), g AS ({_GRAMS_SQL}),
+nm AS (SELECT DISTINCT array_to_string(list_slice({_WORDS_SQL.format('text')}, 1, 2 + item_id % 4), ' ') AS name FROM benchmark) SELECT DISTINCT doc_id, name FROM g WHERE length(name) >= 3 AND name IN (SELECT name FROM nm)""")
 def t03(spark, sf):
-    names = spark.createDataFrame([(x,) for x in ("under the mit", "the mit license", "gnu general public", "under the apache", "the and of")], "name string")
-    ws = Lake(spark, sf).documents.select("doc_id", F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda x: x != "").alias("ws")).filter("size(ws) >= 3")
-    grams = F.expr("transform(sequence(1, size(ws) - 2), i -> concat_ws(' ', ws[i - 1], ws[i], ws[i + 1]))")
-    g = ws.select("doc_id", F.explode(F.array_distinct(grams)).alias("name"))
-    return g.join(F.broadcast(names), "name", "left_semi").select("doc_id", "name")
+    """Names of two to five words as contiguous n-grams, one gram length for each."""
+    lake = Lake(spark, sf)
+    names = lake.benchmark.select(F.array_join(F.slice(words(F.col("text")), F.lit(1), (2 + F.col("item_id") % 4).cast("int")), " ").alias("name")).filter("length(name) >= 3").distinct()
+    ws = lake.documents.select("doc_id", words(F.col("text")).alias("ws"))
+    grams = F.flatten(F.array(*[F.expr(f"if(size(ws) >= {n}, transform(sequence(0, size(ws) - {n}), i -> array_join(slice(ws, i + 1, {n}), ' ')), cast(array() as array<string>))") for n in NAME_WORDS]))
+    return ws.select("doc_id", F.explode(F.array_distinct(grams)).alias("name")).join(small(names), "name", "left_semi").select("doc_id", "name")
 
 
 @query("T04_lexicon_candidates", f"""WITH {_CLAUSE_SQL}, c AS (SELECT doc_id, clause_no, clause, regexp_extract(clause, '(?:^|[^A-Za-z0-9_])([A-Z]{{3,8}})(?:$|[^A-Za-z0-9_])', 1) AS candidate FROM cl), q AS (SELECT *, row_number() OVER (PARTITION BY candidate ORDER BY doc_id, clause_no) AS n FROM c WHERE candidate <> '')
@@ -139,15 +170,29 @@ def t04(spark, sf):
     return c.select("candidate", "doc_id", "clause_no", n.alias("n")).filter("n <= 3")
 
 
-@query("T05_search_rank", """WITH q(query_id, term) AS (VALUES (1, 'license'), (1, 'apache'), (2, 'worthless'), (2, 'idiot'), (2, 'clown')), w AS (SELECT doc_id, t AS term, count(*) AS tf FROM (SELECT doc_id, unnest(string_split_regex(lower(text), '[^a-z0-9]+')) AS t FROM documents) GROUP BY 1, 2),
-s AS (SELECT query_id, doc_id, count(*) AS covered, sum(tf) AS score FROM w JOIN q USING (term) GROUP BY 1, 2) SELECT query_id, doc_id, covered, CAST(score AS BIGINT) AS score, r FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY covered DESC, score DESC, doc_id) AS r FROM s) WHERE r <= 10""")
+_HEAD_SQL = "array_to_string(" + _WORDS_SQL + ", ' ')"
+
+
+@query("T05_search_rank", f"""WITH {_PROGRAM_SQL}, q AS (SELECT item_id AS query_id, {_HEAD_SQL.format('title')} AS title, term, term = substr(ranked[1], 3) AS is_alias FROM (SELECT *, unnest(list_distinct(list_concat({TOKENS_SQL.format('title')}, [substr(ranked[1], 3)]))) AS term FROM pg WHERE len(ranked) >= 1)),
+w AS (SELECT doc_id, t AS term, count(*) AS tf FROM (SELECT doc_id, unnest({_WORDS_SQL.format('text')}) AS t FROM documents) GROUP BY 1, 2),
+s AS (SELECT query_id, doc_id, any_value(title) AS title, count(*) AS covered, sum(tf) + 5 * count(*) FILTER (WHERE is_alias) AS score FROM w JOIN q USING (term) GROUP BY 1, 2),
+e AS (SELECT query_id, doc_id, covered, CAST(score AS BIGINT) AS score, title = {_HEAD_SQL.format("regexp_extract(text, '^[^.\n]*')")} AS exact, n_chars FROM s JOIN documents USING (doc_id))
+SELECT query_id, doc_id, exact, covered, score, r FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY exact DESC, covered DESC, score // 5 DESC, n_chars DESC, doc_id) AS r FROM e) WHERE r <= 10""")
 def t05(spark, sf):
-    q = spark.createDataFrame([(1, "license"), (1, "apache"), (2, "worthless"), (2, "idiot"), (2, "clown")], "query_id int, term string")
-    w = Lake(spark, sf).documents.select("doc_id", F.explode(F.split(F.lower("text"), "[^a-z0-9]+")).alias("term"))
-    hits = w.join(F.broadcast(q), "term").groupBy("query_id", "doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    s = hits.groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("covered"), F.sum("tf").alias("score"))
-    r = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("covered").desc(), F.col("score").desc(), "doc_id"))
-    return s.withColumn("r", r).filter("r <= 10")
+    """Exact title, then covered terms, then score (an alias counts five more), scores of one
+    band of five by size, then id. Each query is a program; only words that are terms of
+    one are counted, before any shuffle, and each task keeps what it can rank."""
+    lake = Lake(spark, sf)
+    p = programs(lake).filter("code IS NOT NULL")
+    q = p.select(F.col("item_id").alias("query_id"), F.array_join(words(F.col("title")), " ").alias("title"), "code", F.explode(F.array_distinct(F.concat(X.tokens(F.col("title")), F.array("code")))).alias("term"))
+    head = F.array_join(words(F.regexp_extract("text", r"^[^.\n]*", 0)), " ")
+    w = lake.documents.select("doc_id", head.alias("head"), "n_chars", F.explode(words(F.col("text"))).alias("term"))
+    exact = (F.col("title") == F.col("head")).alias("exact")
+    hits = w.join(small(q), "term").groupBy("query_id", "doc_id", "term", exact, "n_chars", (F.col("term") == F.col("code")).alias("is_alias")).agg(F.count(F.lit(1)).alias("tf"))
+    score = (F.sum("tf") + 5 * F.count_if("is_alias")).cast("long")
+    s = hits.groupBy("query_id", "doc_id", "exact", "n_chars").agg(F.count(F.lit(1)).alias("covered"), score.alias("score"))
+    order = [F.col("exact").desc(), F.col("covered").desc(), F.floor(F.col("score") / 5).desc(), F.col("n_chars").desc(), F.col("doc_id")]
+    return s.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).filter("r <= 10").select("query_id", "doc_id", "exact", "covered", "score", "r")
 
 
 @query("T06_clause_candidates", f"""WITH {_CLAUSE_SQL}, n AS (SELECT *, lag(clause) OVER w AS before, lead(clause) OVER w AS after FROM cl WINDOW w AS (PARTITION BY doc_id ORDER BY clause_no)), k AS (SELECT *, left(sha256(clause), 16) AS clause_id FROM n WHERE regexp_matches(clause, '\\bfrom the\\b') AND regexp_matches(clause, '[0-9]'))
