@@ -110,6 +110,7 @@ _WORDS_SQL = "list_filter(string_split_regex(lower({}), '[^a-z0-9]+'), lambda x:
 _PROGRAM_SQL = f"""pg AS (SELECT item_id, regexp_extract(text, '^[^.\n]*') AS title, list_sort(list_distinct(list_transform(list_filter({_WORDS_SQL.format('text')}, lambda x: length(x) > 3), lambda x: concat(lpad(CAST(99 - length(x) AS VARCHAR), 2, '0'), x)))) AS ranked FROM benchmark),
 mt AS (SELECT item_id, 0 AS rank, substr(ranked[1], 3) AS term FROM pg WHERE len(ranked) >= 1 UNION ALL SELECT item_id, 1, substr(ranked[2], 3) FROM pg WHERE len(ranked) >= 2 UNION ALL SELECT item_id, 2, unnest({TOKENS_SQL.format('title')}) FROM pg)"""
 BROADCAST_TERMS = 100_000
+FILTER_TERMS = 2_000
 
 
 def words(c):
@@ -128,6 +129,19 @@ def small(df, limit: int = BROADCAST_TERMS):
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def term_hits(docs, terms, keep: list[str]):
+    """(doc_id, ``keep``, term) of each distinct word of a document that is a term. A few
+    terms filter the words before they are exploded; more are joined by word, and what is
+    kept of a document joins its hits again."""
+    some = [r[0] for r in terms.select("term").distinct().limit(FILTER_TERMS + 1).collect()]
+    found = F.array_distinct(words(F.col("text")))
+    if len(some) <= FILTER_TERMS:
+        wanted = F.array(*map(F.lit, some)).cast("array<string>")
+        return docs.select("doc_id", *keep, F.array_intersect(found, wanted).alias("ws")).select("doc_id", *keep, F.explode("ws").alias("term"))
+    hits = docs.select("doc_id", found.alias("ws")).select("doc_id", F.explode("ws").alias("term")).join(small(terms.select("term").distinct()), "term", "left_semi")
+    return hits.join(docs.select("doc_id", *keep), "doc_id") if keep else hits
+
+
 @query("T02_find_mentions", f"""WITH {_PROGRAM_SQL}, w AS (SELECT DISTINCT doc_id, unnest({_WORDS_SQL.format('text')}) AS term FROM documents),
 m AS (SELECT doc_id, item_id, min(rank) AS rank, arg_min(term, concat(rank, term)) AS matched_term, count(*) FILTER (WHERE rank = 2) AS n FROM w JOIN mt USING (term) GROUP BY 1, 2)
 SELECT doc_id, item_id, matched_term, CASE rank WHEN 0 THEN 'code' WHEN 1 THEN 'alias' ELSE 'title_tokens' END AS evidence_kind, substr(text, greatest(strpos(lower(text), matched_term) - 40, 1), 120) AS snippet FROM m JOIN documents USING (doc_id) WHERE rank < 2 OR n >= 2""")
@@ -138,7 +152,7 @@ def t02(spark, sf):
     p = programs(lake)
     kinds = [p.select("item_id", F.lit(rank).alias("rank"), F.col(c).alias("term")).filter("term IS NOT NULL") for rank, c in enumerate(("code", "alias"))]
     t = kinds[0].union(kinds[1]).union(p.select("item_id", F.lit(2).alias("rank"), F.explode(X.tokens(F.col("title"))).alias("term")))
-    w = lake.documents.select("doc_id", "text", F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
+    w = term_hits(lake.documents, t, ["text"])
     at = F.greatest(F.expr("locate(term, lower(text))") - 40, F.lit(1))
     found = w.join(small(t), "term").select("doc_id", "item_id", "rank", "term", F.substring("text", at, F.lit(120)).alias("snippet"))
     best = F.min(F.struct("rank", "term", "snippet")).alias("best")
@@ -186,7 +200,8 @@ def t05(spark, sf):
     p = programs(lake).filter("code IS NOT NULL")
     q = p.select(F.col("item_id").alias("query_id"), F.array_join(words(F.col("title")), " ").alias("title"), "code", F.explode(F.array_distinct(F.concat(X.tokens(F.col("title")), F.array("code")))).alias("term"))
     head = F.array_join(words(F.regexp_extract("text", r"^[^.\n]*", 0)), " ")
-    w = lake.documents.select("doc_id", head.alias("head"), "n_chars", F.explode(words(F.col("text"))).alias("term"))
+    d = lake.documents.select("doc_id", head.alias("head"), "n_chars", words(F.col("text")).alias("ws"))
+    w = d.select("doc_id", "head", "n_chars", F.explode("ws").alias("term"))
     exact = (F.col("title") == F.col("head")).alias("exact")
     hits = w.join(small(q), "term").groupBy("query_id", "doc_id", "term", exact, "n_chars", (F.col("term") == F.col("code")).alias("is_alias")).agg(F.count(F.lit(1)).alias("tf"))
     score = (F.sum("tf") + 5 * F.count_if("is_alias")).cast("long")
