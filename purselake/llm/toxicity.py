@@ -52,7 +52,7 @@ DECAY, SPAN, POWER = 0.8, 6, 4
 WIDTH, STEP = 7, 2
 SENTENCE_WORDS = 20
 FOLDS = 5
-CACHE_WORDS = 250_000
+CACHE_WORDS = 150_000
 STRETCH = 50_000
 CODES = 64
 RATE = 300.0
@@ -101,8 +101,11 @@ def encode_windows(windows: list[str]) -> np.ndarray:
     return np.where(letter, points - 96, np.where(digit, points - 21, np.where(points == 0, 0, other))).astype(np.int32)
 
 
-def triple_features(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def triple_features(codes: np.ndarray, rows: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
     """(triple of each place, its weight over the window's norm; 0 at padding)."""
+    if len(codes) > rows:  # in parts, so that what is built on the way stays small
+        parts = [triple_features(codes[at : at + rows], rows) for at in range(0, len(codes), rows)]
+        return np.concatenate([k for k, _ in parts]), np.concatenate([w for _, w in parts])
     keys = (codes[:, _I] * CODES + codes[:, _J]) * CODES + codes[:, _K]
     weights = np.where(codes[:, _K] > 0, _WEIGHT, np.float32(0))
     order = np.argsort(keys, axis=1, kind="stable")
@@ -258,7 +261,7 @@ def train(texts: list[str], toxic: list[int]) -> Machine:
             windows.append(np.array(own, dtype=np.int32))
             sentence.append(np.full(len(own), len(owner), dtype=np.int32))
             owner.append(n)
-    if not owner or labels.min() == labels.max():
+    if not vocabulary or labels.min() == labels.max():
         return nothing(prior)
     names, owner = list(vocabulary), np.array(owner)
     windows, sentence = np.concatenate(windows), np.concatenate(sentence)
@@ -305,6 +308,7 @@ def train(texts: list[str], toxic: list[int]) -> Machine:
         residual = labels - sigmoid(np.c_[features, np.ones(n_docs)] @ logistic(features, labels, 10.0))
 
     kernel = Kernel([names[i] for i in landmarks])
+    del keys, weights
     values = values[:, : len(landmarks)]
     gram = values[landmarks].astype(float)
     eigen, vectors = np.linalg.eigh((gram + gram.T) / 2)
@@ -361,21 +365,19 @@ class Reader:
     def __init__(self, machine: Machine):
         self.machine = machine
         self.place: dict[str, int] = {}
-        self.rows = np.zeros((0, len(machine.sentence)), dtype=np.float32)
-        self.tail = np.zeros((0, 2))
+        room = CACHE_WORDS + STRETCH + SENTENCE_WORDS
+        self.rows = np.zeros((room, len(machine.sentence)), dtype=np.float16)
+        self.tail = np.zeros((room, 2))
 
     def _learn(self, words: list[str]) -> None:
         split = [windows_of(w) for w in words]
         counts = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
         windows = [u for own in split for u in own]
-        values = self.machine.kernel.of(*triple_features(encode_windows(windows))) if windows else np.zeros((0, len(self.machine.sentence)))
+        values = self.machine.kernel.of(*triple_features(encode_windows(windows))) if windows else np.zeros((0, len(self.machine.sentence)), dtype=np.float32)
         start, need = len(self.place), len(self.place) + len(words)
-        if need > len(self.rows):
-            more = max(need, start + start // 2, 4096) - len(self.rows)
-            self.rows = np.concatenate([self.rows, np.zeros((more, self.rows.shape[1]), dtype=np.float32)])
-            self.tail = np.concatenate([self.tail, np.zeros((more, 2))])
-        self.rows[start:need] = add_runs(values, counts)
-        self.tail[start:need, 0] = self.rows[start:need] @ self.machine.sentence
+        sums = add_runs(values, counts)
+        self.rows[start:need] = sums
+        self.tail[start:need, 0] = sums @ self.machine.sentence
         self.tail[start:need, 1] = counts
         self.place.update(zip(words, range(start, need)))
 
@@ -406,7 +408,7 @@ class Reader:
             cuts = starts[np.flatnonzero(np.diff(document, prepend=-1))]
             for n, own in zip(np.unique(document), np.split(ids, cuts[1:])):
                 used, count = np.unique(own, return_counts=True)
-                total[n] += count.astype(np.float32) @ self.rows[used]
+                total[n] += count.astype(np.float32) @ self.rows[used].astype(np.float32)
                 windows[n] += count @ self.tail[used, 1]
         worst, share = sentence_statistics(np.concatenate(margins), owner, len(texts))
         return document_features(total / np.maximum(windows, 1)[:, None], worst, share)

@@ -356,6 +356,8 @@ def test_no_labels_give_the_share():
     assert toxicity.score_texts(toxicity.train([], []), "none", ["a b c"])[0] == 0.0
     assert toxicity.score_texts(toxicity.train(["a b c"], [1]), "one", ["a b c"])[0] == 1.0
     assert toxicity.score_texts(toxicity.train(["", ""], [0, 1]), "empty", ["a b c"])[0] == 0.5
+    assert toxicity.score_texts(toxicity.train(["!!!", ""], [0, 1]), "signs", ["a b c"])[0] == 0.5
+    assert 0 <= toxicity.score_texts(toxicity.train(["a", "b"], [0, 1]), "tiny", ["a b c"])[0] <= 1
 
 
 # op10 ----------------------------------------------------------------------------------
