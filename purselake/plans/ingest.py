@@ -5,7 +5,6 @@ Written tables go to the shared folder: ``spark.checkpoint.dir`` or a folder of
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -21,8 +20,7 @@ from purselake.streaming import jobs as streams
 
 
 def scratch(spark, label: str) -> str:
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="purselake-")
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    return f"{io.shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 @query("S01_read_partitioned_lake", "SELECT CAST(year(o_orderdate) AS INTEGER) AS fy, count(*) AS n, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total, TRUE AS named FROM orders GROUP BY 1")

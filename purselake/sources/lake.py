@@ -2,11 +2,25 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``, which all machines see. Only a session on one machine may
+    do without it and gets a temporary folder."""
+    sc = spark.sparkContext
+    found = sc.getConf().get("spark.checkpoint.dir")
+    if found:
+        return found.rstrip("/")
+    if sc.master != "local" and not sc.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+    return "file://" + tempfile.mkdtemp(prefix="purselake-")
+
+
 def read_partitioned_lake(spark: SparkSession, path: str) -> DataFrame:
     """Hive-partitioned parquet, columns united by name, with the source file's name."""
     return spark.read.option("mergeSchema", True).parquet(path).withColumn("source_file", F.col("_metadata.file_name"))
