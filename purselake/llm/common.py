@@ -17,11 +17,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share: ``spark.checkpoint.dir``, or a
-    temporary folder of our own where that is unset (tests in local mode)."""
+    temporary folder of our own where that is unset on a single machine (tests)."""
     sc = spark.sparkContext
     set_dir = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if set_dir:
         return set_dir.rstrip("/")
+    if sc.master != "local" and not sc.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
     if sc.applicationId not in _OWN_DIRS:
         _OWN_DIRS[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="purselake-")
     return _OWN_DIRS[sc.applicationId]

@@ -334,10 +334,6 @@ def training_nodes(docs: DataFrame, limit: int = SAMPLE) -> list[tuple[list[int]
     return [(list(r.found), list(r.around), r.label, r.n) for r in counts.collect()]
 
 
-def training_texts(docs: DataFrame, limit: int = SAMPLE) -> list:
-    return training_nodes(docs, limit)
-
-
 def fitted(docs: DataFrame, limit: int = SAMPLE) -> Field | None:
     return train(training_nodes(docs, limit))
 
