@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from purselake.llm import exact_dedup, fingerprints, html_text, jaccard_join, license_scan, packing, pii, sentence_pieces, token_files, toxicity
+from purselake.llm import exact_dedup, fill_in_middle, fingerprints, html_text, jaccard_join, license_scan, packing, pii, sentence_pieces, token_align, token_files, topk_search, toxicity
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -15,9 +15,14 @@ QUERIES = {
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_ngram_jaccard_join": jaccard_join.op9_ngram_jaccard_join,
     "op10_document_fingerprints": fingerprints.op10_document_fingerprints,
+    "op11_fill_in_middle": fill_in_middle.op11_fill_in_middle,
+    "op12_cross_tokenizer_alignment": token_align.op12_cross_tokenizer_alignment,
+    "op13_exact_topk": topk_search.op13_exact_topk,
 }
 
 #: The others have no SQL; tests/llm checks them by brute force or round trips.
 ORACLE_SQL = {
     "op8_exact_dedup": exact_dedup.OP8_SQL,
+    "op11_fill_in_middle": fill_in_middle.OP11_SQL,
+    "op13_exact_topk": topk_search.OP13_SQL,
 }
