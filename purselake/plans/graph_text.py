@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from purselake.functions import exprs as X
-from purselake.operators import graphs, windows
+from purselake.operators import graphs, joins, text_index, windows
 from purselake.plans.bindings import Lake, with_sql
 from purselake.plans.registry import query
 from purselake.plans.scalars import _STOP_SQL, TOKENS_SQL
@@ -110,7 +110,6 @@ _WORDS_SQL = "list_filter(string_split_regex(lower({}), '[^a-z0-9]+'), lambda x:
 _PROGRAM_SQL = f"""pg AS (SELECT item_id, regexp_extract(text, '^[^.\n]*') AS title, list_sort(list_distinct(list_transform(list_filter({_WORDS_SQL.format('text')}, lambda x: length(x) > 3), lambda x: concat(lpad(CAST(99 - length(x) AS VARCHAR), 2, '0'), x)))) AS ranked FROM benchmark),
 mt AS (SELECT item_id, 0 AS rank, substr(ranked[1], 3) AS term FROM pg WHERE len(ranked) >= 1 UNION ALL SELECT item_id, 1, substr(ranked[2], 3) FROM pg WHERE len(ranked) >= 2 UNION ALL SELECT item_id, 2, unnest({TOKENS_SQL.format('title')}) FROM pg)"""
 BROADCAST_TERMS = 100_000
-FILTER_TERMS = 2_000
 
 
 def words(c):
@@ -129,36 +128,38 @@ def small(df, limit: int = BROADCAST_TERMS):
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
-def term_hits(docs, terms, keep: list[str]):
-    """(doc_id, ``keep``, term) of each distinct word of a document that is a term. A few
-    terms filter the words before they are exploded; more are joined by word, and what is
-    kept of a document joins its hits again."""
-    some = [r[0] for r in terms.select("term").distinct().limit(FILTER_TERMS + 1).collect()]
-    found = F.array_distinct(words(F.col("text")))
-    if len(some) <= FILTER_TERMS:
-        wanted = F.array(*map(F.lit, some)).cast("array<string>")
-        return docs.select("doc_id", *keep, F.array_intersect(found, wanted).alias("ws")).select("doc_id", *keep, F.explode("ws").alias("term"))
-    hits = docs.select("doc_id", found.alias("ws")).select("doc_id", F.explode("ws").alias("term")).join(small(terms.select("term").distinct()), "term", "left_semi")
-    return hits.join(docs.select("doc_id", *keep), "doc_id") if keep else hits
+def index_of(lake):
+    """The postings of ``documents``, built once a session: term, doc_id, n_chars, text_key, first, n."""
+    docs = lake.documents.withColumn("text_key", text_index.text_key(F.col("text")))
+    return text_index.written_postings(docs, "text", ["doc_id", "n_chars", "text_key"], f"{lake.folder}/documents.parquet")
 
 
 @query("T02_find_mentions", f"""WITH {_PROGRAM_SQL}, w AS (SELECT DISTINCT doc_id, unnest({_WORDS_SQL.format('text')}) AS term FROM documents),
 m AS (SELECT doc_id, item_id, min(rank) AS rank, arg_min(term, concat(rank, term)) AS matched_term, count(*) FILTER (WHERE rank = 2) AS n FROM w JOIN mt USING (term) GROUP BY 1, 2)
 SELECT doc_id, item_id, matched_term, CASE rank WHEN 0 THEN 'code' WHEN 1 THEN 'alias' ELSE 'title_tokens' END AS evidence_kind, substr(text, greatest(strpos(lower(text), matched_term) - 40, 1), 120) AS snippet FROM m JOIN documents USING (doc_id) WHERE rank < 2 OR n >= 2""")
 def t02(spark, sf):
-    """Inverted index: words equi-join the terms, so no document meets every term. Code
-    beats alias beats two words of one title. Snippets are cut where the word is found."""
+    """Code beats alias beats two words of one title. Terms meet the written postings; a text
+    is read again for its mentions alone, no further than the place the index gives. Rows of
+    one doc_id are told apart by their texts; equal rows have the same mentions each."""
     lake = Lake(spark, sf)
-    p = programs(lake)
+    return mentions(lake.documents, index_of(lake), programs(lake))
+
+
+def mentions(docs, index, p):
+    """(doc_id, item_id, matched_term, evidence_kind, snippet) of programs ``p`` (item_id,
+    title, code, alias) in ``docs``, through their postings."""
     kinds = [p.select("item_id", F.lit(rank).alias("rank"), F.col(c).alias("term")).filter("term IS NOT NULL") for rank, c in enumerate(("code", "alias"))]
     t = kinds[0].union(kinds[1]).union(p.select("item_id", F.lit(2).alias("rank"), F.explode(X.tokens(F.col("title"))).alias("term")))
-    w = term_hits(lake.documents, t, ["text"])
-    at = F.greatest(F.expr("locate(term, lower(text))") - 40, F.lit(1))
-    found = w.join(small(t), "term").select("doc_id", "item_id", "rank", "term", F.substring("text", at, F.lit(120)).alias("snippet"))
-    best = F.min(F.struct("rank", "term", "snippet")).alias("best")
-    m = found.groupBy("doc_id", "item_id").agg(best, F.count_if(F.col("rank") == 2).alias("n")).filter("best.rank < 2 OR n >= 2")
+    hits = text_index.term_hits(index.select("term", "doc_id", "text_key", "first"), t.distinct())
+    best = F.min(F.struct("rank", "term", "first")).alias("best")
+    n = F.size(F.collect_set(F.when(F.col("rank") == 2, F.col("term")))).alias("n")  # words of one title
+    m = hits.groupBy("doc_id", "text_key", "item_id").agg(best, n).filter("best.rank < 2 OR n >= 2")
     kind = F.when(F.col("best.rank") == 0, "code").when(F.col("best.rank") == 1, "alias").otherwise("title_tokens")
-    return m.select("doc_id", "item_id", F.col("best.term").alias("matched_term"), kind.alias("evidence_kind"), "best.snippet")
+    m = m.select("doc_id", "text_key", "item_id", F.col("best.term").alias("matched_term"), F.col("best.first").alias("first"), kind.alias("evidence_kind"))
+    found = joins.null_safe(docs.select("doc_id", "text", text_index.text_key(F.col("text")).alias("text_key")), m, ["doc_id", "text_key"])
+    place = F.expr("locate(matched_term, lower(substring(text, 1, first + length(matched_term))))")
+    at = F.greatest(place - 40, F.lit(1))
+    return found.select("doc_id", "item_id", "matched_term", "evidence_kind", F.substring("text", at, F.lit(120)).alias("snippet"))
 
 
 NAME_WORDS = (2, 3, 4, 5)
@@ -194,20 +195,26 @@ e AS (SELECT query_id, doc_id, covered, CAST(score AS BIGINT) AS score, title =
 SELECT query_id, doc_id, exact, covered, score, r FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY exact DESC, covered DESC, score // 5 DESC, n_chars DESC, doc_id) AS r FROM e) WHERE r <= 10""")
 def t05(spark, sf):
     """Exact title, then covered terms, then score (an alias counts five more), scores of one
-    band of five by size, then id. Each query is a program; only words that are terms of
-    one are counted, before any shuffle, and each task keeps what it can rank."""
+    band of five by size, then id. Each query is a program; its terms meet the written
+    postings, exact titles the heads of the documents, and tasks keep what they can rank."""
     lake = Lake(spark, sf)
-    p = programs(lake).filter("code IS NOT NULL")
-    q = p.select(F.col("item_id").alias("query_id"), F.array_join(words(F.col("title")), " ").alias("title"), "code", F.explode(F.array_distinct(F.concat(X.tokens(F.col("title")), F.array("code")))).alias("term"))
-    head = F.array_join(words(F.regexp_extract("text", r"^[^.\n]*", 0)), " ")
-    d = lake.documents.select("doc_id", head.alias("head"), "n_chars", words(F.col("text")).alias("ws"))
-    w = d.select("doc_id", "head", "n_chars", F.explode("ws").alias("term"))
-    exact = (F.col("title") == F.col("head")).alias("exact")
-    hits = w.join(small(q), "term").groupBy("query_id", "doc_id", "term", exact, "n_chars", (F.col("term") == F.col("code")).alias("is_alias")).agg(F.count(F.lit(1)).alias("tf"))
-    score = (F.sum("tf") + 5 * F.count_if("is_alias")).cast("long")
-    s = hits.groupBy("query_id", "doc_id", "exact", "n_chars").agg(F.count(F.lit(1)).alias("covered"), score.alias("score"))
+    return search(lake.documents, index_of(lake), programs(lake).filter("code IS NOT NULL"))
+
+
+def search(docs, index, p, top: int = 10):
+    """The ``top`` documents of each program by the rule of T05."""
+    q = p.select(F.col("item_id").alias("query_id"), "code", F.explode(F.array_distinct(F.concat(X.tokens(F.col("title")), F.array("code")))).alias("term"))
+    hits = text_index.term_hits(index.select("term", "doc_id", "text_key", "n_chars", "n"), q)
+    score = (F.sum("n") + 5 * F.count_if(F.col("term") == F.col("code"))).cast("long")
+    s = hits.groupBy("query_id", "doc_id", "text_key", "n_chars").agg(F.count(F.lit(1)).alias("covered"), score.alias("score"))
+    joined = lambda c: F.array_join(words(c), " ")
+    titles = p.select(F.col("item_id").alias("query_id"), joined(F.col("title")).alias("head"))
+    heads = docs.select("doc_id", text_index.text_key(F.col("text")).alias("text_key"), joined(F.regexp_extract("text", r"^[^.\n]*", 0)).alias("head"))
+    exact = heads.join(small(titles), "head").select("query_id", "doc_id", "text_key", F.lit(True).alias("same")).distinct()
+    s = joins.null_safe(s, exact, ["query_id", "doc_id", "text_key"], "left").withColumn("exact", F.coalesce("same", F.lit(False)))
     order = [F.col("exact").desc(), F.col("covered").desc(), F.floor(F.col("score") / 5).desc(), F.col("n_chars").desc(), F.col("doc_id")]
-    return s.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).filter("r <= 10").select("query_id", "doc_id", "exact", "covered", "score", "r")
+    ranked = s.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
+    return ranked.filter(F.col("r") <= top).select("query_id", "doc_id", "exact", "covered", "score", "r")
 
 
 @query("T06_clause_candidates", f"""WITH {_CLAUSE_SQL}, n AS (SELECT *, lag(clause) OVER w AS before, lead(clause) OVER w AS after FROM cl WINDOW w AS (PARTITION BY doc_id ORDER BY clause_no)), k AS (SELECT *, left(sha256(clause), 16) AS clause_id FROM n WHERE regexp_matches(clause, '\\bfrom the\\b') AND regexp_matches(clause, '[0-9]'))
