@@ -107,7 +107,65 @@ class Lake:
         )
 
 
+    def narratives(self) -> DataFrame:
+        """Program narratives: each document's text and a closing passage about codes. Two
+        documents tell of the same codes, in editions and wordings of their own."""
+        codes = {c: F.expr(e) for c, e in NARRATIVE_CODES.items()}
+        d = self.documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *[e.alias(c) for c, e in codes.items()])
+        year = (2017 + F.col("doc_id") % 9).cast("int")
+        return d.select(F.col("doc_id").alias("narrative_id"), F.col("own").alias("pe_code"), year.alias("fiscal_year"), F.concat("text", F.lit(". "), F.expr(PASSAGE)).alias("body"))
+
+    def items(self) -> DataFrame:
+        """Line items: a code as filed, some with their account's four digits before it."""
+        return self.part.select(F.expr(ITEM_CODE.format("p_partkey")).alias("code"), F.col("p_type").alias("account"), (F.col("p_size") % 10 + 2017).cast("int").alias("edition_year"))
+
+
+def _code(number: str) -> str:
+    return f"concat(lpad(CAST(600000 + {number} AS STRING), 7, '0'), 'F')"
+
+
+# Expressions that Spark and the oracle read alike.
+NARRATIVE_CODES = {"own": _code("doc_id"), "one": _code("CAST(floor(doc_id / 2) AS INT) + 7"), "two": _code("CAST(floor(doc_id / 2) AS INT) + 11")}
+ITEM_CODE = "concat(CASE WHEN {0} % 3 = 0 THEN '5600' ELSE '' END, substr('ABCDEFGH', 1 + CAST({0} % 8 AS INT), 1), lpad(CAST({0} AS STRING), 5, '0'))"
+SHORT_CODE = "concat(substr('ABCDEFGH', 1 + CAST({0} % 8 AS INT), 1), lpad(CAST({0} AS STRING), 5, '0'))"
+_ITEM = {f"item{i}": ITEM_CODE.format(f"((doc_id + {i}) % 200)") for i in (0, 1, 2, 40)} | {"short0": SHORT_CODE.format("(doc_id % 200)")}
+#: A closing passage by the document's number; ``{name}`` is a code.
+_PASSAGES = [
+    "Funding was transferred from PE {one} in FY 2020. The total is $62.4M. Line {item0} continues under {item1}.",
+    "Efforts were realigned to program element {one}: see the summary. It is a continuation of {short0} now {item2}.",
+    "This work was previously funded under PE {one} at $1.5 million and {item0} was previously funded in {item1} and {item2}.",
+    "Formerly PE {one}. The line {item0} continues under {item40} or {item1}.",
+    "In PE {one} F-phase, efforts were transferred to PE {two} for $12.5 million. Nothing else.",
+    "Funds were erroneously transferred to PE {one}. Line {item0} is listed beside {item1}.",
+    "Funds were transferred to PE {one}. The transfer to {one} was rescinded in FY 2021. {short0} previously reflected in {item1}.",
+    "Funds were transferred to PE {one}. Another award was rescinded.",
+    "Work transferred from PE {one} and transferred to PE {two}. It moved; {item0} is a continuation of {item40}.",
+    "Previously budgeted in PE {one}, it was realigned to PE {two}. Merged with 0601234 and split.",
+]
+
+
+def _passage(template: str) -> str:
+    parts = [x for piece in template.split("{") for x in ((piece,) if "}" not in piece else (None, *piece.split("}", 1)))]
+    out, it = [], iter(parts)
+    for x in it:
+        out.append((NARRATIVE_CODES | _ITEM)[next(it)] if x is None else f"'{x}'")
+    return f"concat({', '.join(x for x in out if x != chr(39) * 2)})"
+
+
+PASSAGE = "CASE CAST(doc_id % 10 AS INT) " + " ".join(f"WHEN {i} THEN {_passage(t)}" for i, t in enumerate(_PASSAGES)) + " ELSE '' END"
+
+
 SQL = {
+    "nv": f"""nv AS (
+  SELECT doc_id AS narrative_id, {NARRATIVE_CODES['own']} AS pe_code, CAST(2017 + doc_id % 9 AS INTEGER) AS fiscal_year, concat(coalesce(text, ''), '. ', {PASSAGE}) AS body
+  FROM documents)""",
+    "it": f"""it AS (SELECT {ITEM_CODE.format('p_partkey')} AS code, p_type AS account, CAST(p_size % 10 + 2017 AS INTEGER) AS edition_year FROM part)""",
+    # Clauses: inner points of numbers are hidden while the body is split.
+    "nc": """nc AS (SELECT narrative_id, pe_code, fiscal_year, clause, CAST(clause_no AS INTEGER) AS clause_no, lag(clause) OVER w AS "before", lead(clause) OVER w AS "after" FROM (
+    SELECT narrative_id, pe_code, fiscal_year, unnest(parts) AS clause, generate_subscripts(parts, 1) AS clause_no FROM (
+      SELECT narrative_id, pe_code, fiscal_year, [replace(c, chr(57344), '.') FOR c IN string_split_regex(
+        regexp_replace(regexp_replace(body, '([0-9])\\.([0-9])', '\\1' || chr(57344) || '\\2', 'g'), '([0-9])\\.([0-9])', '\\1' || chr(57344) || '\\2', 'g'), '[.:]') IF regexp_matches(c, '[^ \\t\\r\\n]')] AS parts FROM nv))
+    WINDOW w AS (PARTITION BY narrative_id ORDER BY clause_no))""",
     "tx": """tx AS (
   SELECT concat(l_orderkey, '-', l_linenumber) AS transaction_key,
     CASE WHEN l_linestatus = 'O' THEN 'contract' ELSE 'assistance' END AS award_type,

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from purselake.functions import exprs as X
-from purselake.operators import graphs, joins, text_index, windows
+from purselake.operators import graphs, joins, narratives, text_index, windows
 from purselake.plans.bindings import Lake, with_sql
 from purselake.plans.registry import query
 from purselake.plans.scalars import _STOP_SQL, TOKENS_SQL
@@ -48,12 +48,27 @@ def clauses(lake):
     return d.select("doc_id", F.posexplode(F.split("text", "[.;\\n]+"))).select("doc_id", (F.col("pos") + 1).alias("clause_no"), F.col("col").alias("clause"))
 
 
-@query("G04_extract_stated_edges", f"""WITH {_CLAUSE_SQL}, m AS (SELECT doc_id, clause_no, lower(regexp_extract(clause, '([A-Za-z]+) of the ([A-Za-z]+)', 1)) AS src, lower(regexp_extract(clause, '([A-Za-z]+) of the ([A-Za-z]+)', 2)) AS dst FROM cl)
-SELECT src, dst, doc_id, clause_no FROM (SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY doc_id DESC, clause_no) AS n FROM m WHERE src <> '') WHERE n = 1""")
+_PE = f"(?:pe|program element)\\s+({narratives.CODE})"
+_CUES = [("s", i, rel, f"(?i){cue}\\s+{_PE}") for i, (cue, rel) in enumerate(narratives.FROM_CUES)] + [("t", i, rel, f"(?i){cue}\\s+{_PE}") for i, (cue, rel) in enumerate(narratives.TO_CUES)]
+_CUE_SQL = " UNION ALL ".join(
+    f"SELECT narrative_id, clause_no, '{side}' AS side, {i} AS rule, '{rel}' AS relation, unnest(regexp_extract_all(clause, '{rx}', 1)) AS code, generate_subscripts(regexp_extract_all(clause, '{rx}', 1), 1) AS place FROM nc" for side, i, rel, rx in _CUES
+)
+_NEG = "|".join(narratives.NEGATIONS)
+
+
+@query("G04_extract_stated_edges", with_sql("nv nc", f""", sj AS (SELECT narrative_id, clause_no, unnest(xs) AS x, generate_subscripts(xs, 1) AS place FROM (SELECT narrative_id, clause_no,
+    regexp_extract_all(regexp_extract(clause, '(?is)^(.*)(?:transferred?|realign\\w*)\\s+to\\s+(?:pe|program element)\\s+[0-9]', 1), '(?i)(?:(?:to|from)\\s+)?{_PE}', 0) AS xs FROM nc)),
+h AS ({_CUE_SQL} UNION ALL SELECT narrative_id, clause_no, 's', 9, 'realigned', regexp_extract(x, '({narratives.CODE})$', 1), place FROM sj WHERE NOT regexp_matches(x, '(?i)^(?:to|from)\\s')),
+f AS (SELECT narrative_id, clause_no, side, code, arg_min(relation, rule * 1000 + place) AS relation, min(rule * 1000 + place) AS ord FROM h GROUP BY ALL),
+b AS (SELECT narrative_id, clause_no, s.code AS a, t.code AS b, CASE WHEN s.relation <> 'renamed' THEN s.relation ELSE t.relation END AS relation, s.ord * 1000000 + t.ord AS pos FROM f s JOIN f t USING (narrative_id, clause_no) WHERE s.side = 's' AND t.side = 't' AND s.code <> t.code),
+o AS (SELECT narrative_id, clause_no, CASE side WHEN 's' THEN code ELSE pe_code END AS a, CASE side WHEN 's' THEN pe_code ELSE code END AS b, relation, CASE side WHEN 's' THEN 0 ELSE 100000 END + ord AS pos FROM f JOIN nv USING (narrative_id) WHERE code <> pe_code AND (narrative_id, clause_no) NOT IN (SELECT (narrative_id, clause_no) FROM b)),
+e AS (SELECT x.*, n.fiscal_year, regexp_replace(n.clause, '^[ \\t\\r\\n]+|[ \\t\\r\\n]+$', '', 'g') AS evidence FROM (SELECT * FROM b UNION ALL SELECT * FROM o) x JOIN nc n USING (narrative_id, clause_no)
+  WHERE NOT regexp_matches(lower(n.clause), '{_NEG}') AND NOT (regexp_matches(lower(coalesce(n."after", '')), '{_NEG}') AND list_has_any(string_split_regex(coalesce(n."after", ''), '[^A-Za-z0-9]+'), [x.a, x.b]))),
+r AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY fiscal_year DESC, narrative_id, clause_no, pos) AS r FROM e)
+SELECT a AS from_code, b AS to_code, relation, fiscal_year, narrative_id, clause_no, left(sha256(concat_ws('|', a, b, fiscal_year, relation, evidence)), 16) AS edge_id, evidence FROM r WHERE r = 1"""))
 def g04(spark, sf):
-    rx = "([A-Za-z]+) of the ([A-Za-z]+)"
-    m = clauses(Lake(spark, sf)).select("doc_id", "clause_no", F.lower(F.regexp_extract("clause", rx, 1)).alias("src"), F.lower(F.regexp_extract("clause", rx, 2)).alias("dst")).filter("src <> ''")
-    return windows.pick_first(m, ["src", "dst"], [F.col("doc_id").desc(), F.col("clause_no")]).select("src", "dst", "doc_id", "clause_no")
+    """Rules in order, pairs that a clause names itself, retractions, latest edition first."""
+    return narratives.stated_edges(Lake(spark, sf).narratives(), "narrative_id", "pe_code", "fiscal_year", "body")
 
 
 @query("G05_drop_superseded_edges", f"WITH {_EDGES_SQL} SELECT a, b, fiscal_year FROM ed e WHERE NOT EXISTS (SELECT 1 FROM ed l WHERE l.a = e.b AND l.fiscal_year > e.fiscal_year AND l.relation = 'rename')")
@@ -217,10 +232,8 @@ def search(docs, index, p, top: int = 10):
     return ranked.filter(F.col("r") <= top).select("query_id", "doc_id", "exact", "covered", "score", "r")
 
 
-@query("T06_clause_candidates", f"""WITH {_CLAUSE_SQL}, n AS (SELECT *, lag(clause) OVER w AS before, lead(clause) OVER w AS after FROM cl WINDOW w AS (PARTITION BY doc_id ORDER BY clause_no)), k AS (SELECT *, left(sha256(clause), 16) AS clause_id FROM n WHERE regexp_matches(clause, '\\bfrom the\\b') AND regexp_matches(clause, '[0-9]'))
-SELECT clause_id, doc_id, clause_no, before, after FROM (SELECT *, row_number() OVER (PARTITION BY clause_id ORDER BY doc_id, clause_no) AS r FROM k) WHERE r = 1""")
+@query("T06_clause_candidates", with_sql("nv nc", f""", k AS (SELECT *, list_sort(list_distinct([w FOR w IN regexp_extract_all(clause, '[A-Za-z0-9]+') IF regexp_full_match(w, '[0-9]{{7}}(?:[A-Z][A-Z0-9]{{0,3}})?')])) AS codes, regexp_replace(clause, '^[ \\t\\r\\n]+|[ \\t\\r\\n]+$', '', 'g') AS t FROM nc WHERE regexp_matches(clause, '(?i)\\b(?:{"|".join(narratives.MOVES)})\\b')),
+i AS (SELECT *, left(sha256(concat_ws('|', narrative_id, t)), 16) AS clause_id FROM k WHERE len(codes) > 0), r AS (SELECT *, row_number() OVER (PARTITION BY clause_id ORDER BY narrative_id, clause_no) AS r FROM i)
+SELECT clause_id, narrative_id, clause_no, t AS clause, coalesce(regexp_replace("before", '^[ \\t\\r\\n]+|[ \\t\\r\\n]+$', '', 'g'), '') AS "before", coalesce(regexp_replace("after", '^[ \\t\\r\\n]+|[ \\t\\r\\n]+$', '', 'g'), '') AS "after", array_to_string(codes, ',') AS codes FROM r WHERE r = 1"""))
 def t06(spark, sf):
-    w = Window.partitionBy("doc_id").orderBy("clause_no")
-    n = clauses(Lake(spark, sf)).select("*", F.lag("clause").over(w).alias("before"), F.lead("clause").over(w).alias("after"))
-    k = n.filter(F.col("clause").rlike(r"\bfrom the\b") & F.col("clause").rlike("[0-9]")).withColumn("clause_id", F.substring(F.sha2("clause", 256), 1, 16))
-    return windows.pick_first(k, ["clause_id"], [F.col("doc_id"), F.col("clause_no")]).select("clause_id", "doc_id", "clause_no", "before", "after")
+    return narratives.clause_candidates(Lake(spark, sf).narratives(), "narrative_id", "body")
