@@ -63,11 +63,39 @@ def fallback_join(left: DataFrame, specific: DataFrame, general: DataFrame, keys
     return left.join(a, keys, "left").join(b, general_keys, "left").withColumn(value, F.coalesce("__a", "__b")).drop("__a", "__b")
 
 
+def as_long(df: DataFrame, c: str) -> Column:
+    """Whole numbers in the order of a date, time or number column."""
+    kind = df.schema[c].dataType.typeName()
+    return F.unix_date(c).cast("long") if kind == "date" else F.unix_micros(F.col(c).cast("timestamp")) if kind.startswith("timestamp") else F.col(c).cast("long")
+
+
 def overlap_pairs(ranges: DataFrame, key: list[str], id_: str, lo: str, hi: str) -> DataFrame:
-    """(id_a, id_b) of ranges of one key that overlap."""
-    a = ranges.select(*key, F.col(id_).alias("id_a"), F.col(lo).alias("lo_a"), F.col(hi).alias("hi_a"))
-    b = ranges.select(*key, F.col(id_).alias("id_b"), F.col(lo).alias("lo_b"), F.col(hi).alias("hi_b"))
-    return a.join(b, key).filter("id_a < id_b AND lo_a <= hi_b AND lo_b <= hi_a").select(*key, "id_a", "id_b")
+    """(id_a, id_b) of closed ranges of one key that overlap, id_a < id_b.
+
+    Two ranges overlap where one begins inside the other. A range is covered by the fewest
+    binary blocks (level, number); a beginning lies in one block of each level. Beginnings
+    meet ranges on equal blocks, which happens once for each pair: a key costs its ranges
+    times their levels and its overlaps, not their product. Levels go as far as the longest
+    range needs. A range that ends before it begins, or has a null end, overlaps nothing.
+    """
+    r = ranges.select(*key, F.col(id_).alias("__id"), as_long(ranges, lo).alias("__lo"), as_long(ranges, hi).alias("__hi")).filter("__lo <= __hi")
+    longest = r.agg(F.max(F.col("__hi") - F.col("__lo"))).first()[0] or 0
+    levels = F.sequence(F.lit(0), F.lit((longest + 1).bit_length() - 1))
+    block = lambda k, n: F.struct(k.alias("level"), n.alias("block"))
+
+    bounds = F.expr("transform(__levels, __k -> named_struct('level', __k, 'l', shiftright(__lo - 1, __k) + 1, 'r', shiftright(__hi + 1, __k)))")
+    own = F.flatten(
+        F.transform(
+            F.filter(bounds, lambda x: x["l"] < x["r"]),
+            lambda x: F.filter(F.array(F.when(x["l"] % 2 != 0, block(x["level"], x["l"])), F.when(x["r"] % 2 != 0, block(x["level"], x["r"] - 1))), lambda b: b.isNotNull()),
+        )
+    )
+    r = r.withColumn("__levels", levels)
+    spans = r.select(*key, F.col("__id").alias("a"), F.col("__lo").alias("lo_a"), F.explode(own).alias("b")).select(*key, "a", "lo_a", "b.*")
+    begins = r.select(*key, F.col("__id").alias("b"), F.col("__lo").alias("lo_b"), F.explode(F.expr("transform(__levels, __k -> named_struct('level', __k, 'block', shiftright(__lo, __k)))")).alias("n"))
+    begins = begins.select(*key, "b", "lo_b", "n.*")
+    found = spans.join(begins, [*key, "level", "block"]).filter("a <> b AND (lo_a < lo_b OR a < b)")
+    return found.select(*key, F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b"))
 
 
 def conservation(in_df: DataFrame, out_df: DataFrame, keys: list[str], tol: float = 0.0) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from purselake.functions import exprs as X
-from purselake.operators import aggs, linking, windows
+from purselake.operators import aggs, linking, narratives, windows
 from purselake.plans.bindings import Lake, with_sql
 from purselake.plans.marts import XWALK_SQL, crosswalk, n_rows
 from purselake.plans.registry import query
@@ -90,10 +90,8 @@ def client_tiers(lake):
     c = raw.select("c_custkey", F.upper("raw").alias("raw"), X.normalize_name(F.col("raw")).alias("clean")).withColumn("words", F.split("clean", " "))
     family = F.concat(F.lit("SUPPLIER "), F.col("s_suppkey").cast("string"))
     f = lake.supplier.select(F.upper("s_name").alias("raw"), family.alias("family"), F.concat(F.lit("SUP "), F.col("s_suppkey").cast("string")).alias("alias"))
-    # Contiguous words: each run of as many words as some family has is looked up.
-    sizes = sorted(r[0] for r in f.select(F.size(F.split("family", " "))).distinct().limit(16).collect())
-    runs = F.flatten(F.array(*[F.expr(f"if(size(words) >= {k}, transform(sequence(0, size(words) - {k}), i -> array_join(slice(words, i + 1, {k}), ' ')), cast(array() as array<string>))") for k in sizes or [1]]))
-    held = c.select("c_custkey", F.explode(F.array_distinct(runs)).alias("family")).join(f.select("family").distinct(), "family", "left_semi").select("c_custkey", F.lit(True).alias("contiguous")).distinct()
+    inside = narratives.contiguous_pairs(c.select("c_custkey", "words"), f.select(F.split("family", " ").alias("words")).distinct(), [])
+    held = inside.select(F.col("h_c_custkey").alias("c_custkey"), F.lit(True).alias("contiguous")).distinct()
     known = lambda col, name: f.select(F.col(col).alias(name), F.lit(True).alias(f"in_{name}")).distinct()
     squeezed = f.select(F.replace("family", F.lit(" "), F.lit("")).alias("run"), F.lit(True).alias("in_run")).distinct()
     j = c.withColumn("run", F.replace("clean", F.lit(" "), F.lit("")))
@@ -299,13 +297,21 @@ def e29(spark, sf):
     return Lake(spark, sf).orders.select("o_custkey", "o_orderkey", F.when(F.col("o_orderstatus") == "P", accepted).alias("inherits"))
 
 
-@query("E30_gao_candidates", with_sql("ln", ", t AS (SELECT DISTINCT organization, title FROM ln), c AS (SELECT DISTINCT left(p_type, 1) AS o, p_brand, lower(split_part(p_name, ' ', 2)) AS term, left(p_name, 1) AS organization FROM part) SELECT DISTINCT t.organization, t.title, c.p_brand FROM t JOIN c ON t.organization = c.organization AND contains(concat(' ', lower(t.title), ' '), concat(' ', c.term, ' '))"))
+_WL = "regexp_extract_all(lower({}), '[a-z0-9]+')"
+_ASSESS = "concat(split_part(p_name, ' ', 2), ' ', p_type)", "concat('New ', p_name, ' ', p_type, ' Mk', CAST(p_size AS STRING), ' (Block I)')"
+
+
+@query("E30_gao_candidates", f"""WITH t AS (SELECT DISTINCT left(p_name, 1) AS organization, concat(p_name, ' ', p_type) AS title FROM part), a AS (SELECT p_partkey AS assessment_id, left(p_name, 1) AS organization, unnest([{_ASSESS[0]}, {_ASSESS[1]}]) AS name FROM part),
+m AS (SELECT DISTINCT assessment_id, organization, trim(regexp_replace(name, '\\s*\\([^()]*\\)\\s*$', '')) AS term FROM a),
+w AS (SELECT assessment_id, organization, title, term, {_WL.format('title')} AS tw, {_WL.format('term')} AS mw FROM t JOIN m USING (organization)), p AS (SELECT *, concat(' ', array_to_string(tw, ' '), ' ') AS tp, concat(' ', array_to_string(mw, ' '), ' ') AS mp FROM w)
+SELECT assessment_id, organization, title, term, CASE WHEN len(mw) > 0 AND contains(tp, mp) THEN 'A' ELSE 'B' END AS rule FROM p WHERE (len(mw) > 0 AND contains(tp, mp)) OR (len(tw) >= 3 AND contains(mp, tp))""")
 def e30(spark, sf):
-    """Equi-joined on organization and term: the title's words are exploded."""
-    lake = Lake(spark, sf)
-    t = lake.lines().select("organization", "title").distinct().select("organization", "title", F.explode(F.array_distinct(F.split(F.lower("title"), " "))).alias("term"))
-    c = lake.part.select(F.substring("p_name", 1, 1).alias("organization"), "p_brand", F.lower(F.split_part("p_name", F.lit(" "), F.lit(2))).alias("term")).distinct()
-    return t.join(c, ["organization", "term"]).select("organization", "title", "p_brand").distinct()
+    """Terms in titles and titles of three words in terms, each looked up by its rarest word."""
+    p = Lake(spark, sf).part
+    org = F.substring("p_name", 1, 1).alias("organization")
+    titles = p.select(org, F.concat_ws(" ", "p_name", "p_type").alias("title"))
+    assessments = p.select(F.col("p_partkey").alias("assessment_id"), org, F.expr(_ASSESS[0]).alias("common_name"), F.expr(_ASSESS[1]).alias("program_name"))
+    return narratives.assessment_candidates(titles, assessments, "organization", "title", "assessment_id", ["common_name", "program_name"])
 
 
 @query("E31_crosswalk_precision", "WITH c AS (SELECT o_orderkey AS k FROM orders WHERE o_orderkey % 2 = 0), v AS (SELECT o_orderkey AS k, o_orderstatus = 'F' AS ok FROM orders WHERE o_orderkey % 3 = 0) SELECT count(*) FILTER (WHERE c.k IS NOT NULL AND ok) AS accepted, count(*) FILTER (WHERE c.k IS NOT NULL AND NOT ok) AS rejected, count(*) FILTER (WHERE v.k IS NULL) AS unadjudicated, count(*) FILTER (WHERE c.k IS NULL) AS stale FROM c FULL JOIN v ON c.k = v.k")
@@ -332,15 +338,23 @@ def e33(spark, sf):
     return n.withColumn("share", windows.share_of_total("n", ["sub_agency"]))
 
 
-@query("E34_successor_search", """WITH s AS (SELECT doc_id, trim(unnest(string_split_regex(text, '[.;\\n]+'))) AS sentence FROM documents), h AS (SELECT DISTINCT doc_id, sentence, b FROM (SELECT doc_id, sentence, unnest(list_distinct(string_split_regex(lower(sentence), '[^a-z]+'))) AS b FROM s WHERE sentence ILIKE '% the %') WHERE b IN ('worthless', 'clown', 'idiot', 'moron', 'scum'))
-SELECT doc_id, sentence, min(b) AS successor FROM h GROUP BY 1, 2 HAVING count(*) = 1""")
+_FORMS_SQL = "SELECT code, account, code AS token, 'literal' AS form, [code, regexp_replace(code, '^[0-9]{{4}}([A-Z])', '\\1')] AS own FROM {0} UNION ALL SELECT code, account, regexp_replace(code, '^[0-9]{{4}}([A-Z])', '\\1'), 'short', [code, regexp_replace(code, '^[0-9]{{4}}([A-Z])', '\\1')] FROM {0} WHERE regexp_matches(code, '^[0-9]{{4}}[A-Z]') AND length(code) >= 9"
+
+
+@query("E34_successor_search", with_sql("nv nc it", f""", era AS (SELECT DISTINCT code, account FROM it WHERE edition_year < 2024 AND (code, account) NOT IN (SELECT (code, account) FROM it WHERE edition_year >= 2024)), cur AS (SELECT DISTINCT code, account FROM it WHERE edition_year >= 2024),
+ef AS ({_FORMS_SQL.format('era')}), cf AS ({_FORMS_SQL.format('cur')}),
+t AS (SELECT narrative_id, fiscal_year, clause_no, unnest(list_distinct([w FOR w IN regexp_extract_all(clause, '\\b[A-Z0-9]{{5,}}\\b') IF regexp_matches(w, '[A-Z]') AND regexp_matches(w, '[0-9]')])) AS token FROM nc WHERE regexp_matches(lower(clause), '{"|".join(narratives.CONTINUATIONS)}')),
+o AS (SELECT * FROM t JOIN ef USING (token)), j AS (SELECT DISTINCT o.narrative_id, o.fiscal_year, o.clause_no, o.code, o.account, o.form, o.token, cf.code AS sc, cf.account AS sa FROM o JOIN t USING (narrative_id, clause_no) JOIN cf ON cf.token = t.token WHERE NOT list_contains(o.own, t.token)),
+g AS (SELECT narrative_id, fiscal_year, clause_no, code, account, form, token, count(*) FILTER (WHERE sa = account) AS n_same, count(*) AS n, min(sc) FILTER (WHERE sa = account) AS c_same, min(sc) AS c, min(sa) AS a FROM j GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY code, account ORDER BY form = 'literal' DESC, fiscal_year DESC, narrative_id, clause_no, token) AS r FROM g WHERE n_same = 1 OR (n_same = 0 AND n = 1))
+SELECT code, account, CASE WHEN n_same = 1 THEN c_same ELSE c END AS successor_code, CASE WHEN n_same = 1 THEN account ELSE a END AS successor_account, form AS matched_form, narrative_id, clause_no FROM k WHERE r = 1"""))
 def e34(spark, sf):
-    """Sentences with the cue and exactly one known term."""
-    d = Lake(spark, sf).documents
-    s = d.select("doc_id", F.explode(F.split("text", "[.;\\n]+")).alias("sentence")).select("doc_id", F.trim("sentence").alias("sentence")).filter(F.ilike("sentence", F.lit("% the %")))
-    w = s.select("doc_id", "sentence", F.explode(F.array_distinct(F.split(F.lower("sentence"), "[^a-z]+"))).alias("b"))
-    h = w.filter(F.col("b").isin("worthless", "clown", "idiot", "moron", "scum")).distinct()
-    return h.groupBy("doc_id", "sentence").agg(n_rows().alias("n"), F.min("b").alias("successor")).filter("n = 1").drop("n")
+    """Codes that later editions do not list, in clauses that tell of a continuation."""
+    lake = Lake(spark, sf)
+    items = lake.items()
+    current = items.filter("edition_year >= 2024").select("code", "account").distinct()
+    vanished = items.filter("edition_year < 2024").select("code", "account").distinct().join(current, ["code", "account"], "left_anti")
+    return narratives.successors(vanished, current, lake.narratives(), "narrative_id", "fiscal_year", "body")
 
 
 @query("E35_contradictory_claims", "SELECT o_orderkey, o_custkey FROM (SELECT *, lag(o_orderpriority) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS before FROM orders) WHERE before IS NOT NULL AND before <> o_orderpriority")

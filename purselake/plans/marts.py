@@ -135,7 +135,7 @@ def decade_series(lake):
     independent sum agrees."""
     ln = lake.lines()
     shared = aggs.collisions(ln.filter("edition_year >= 2026 AND title IS NOT NULL"), ["pe_bli", "amount_type"], "account").select("pe_bli", "amount_type", F.lit(True).alias("shared"))
-    keyed = ln.filter(F.col("exhibit").isin("R-1", "P-1")).join(F.broadcast(shared), ["pe_bli", "amount_type"], "left").withColumn("account", F.when(F.col("shared"), F.col("account")))
+    keyed = ln.filter(F.col("exhibit").isin("R-1", "P-1")).join(shared, ["pe_bli", "amount_type"], "left").withColumn("account", F.when(F.col("shared"), F.col("account")))
     sums = keyed.join(F.broadcast(candidates(lake)), ["edition_year", "amount_type"]).groupBy("pe_bli", "account", "edition_year", "scenario", "priority", "fy", "amount_type")
     sums = sums.agg(F.sum("amount_thousands").alias("amount"), n_rows().alias("n_source_rows"), aggs.single_source(F.col("line_id")).alias("source_id"))
     best = windows.pick_first(sums, ["pe_bli", "account", "edition_year", "scenario"], [F.col("priority")])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,9 +22,16 @@ def upsert(existing: DataFrame, new: DataFrame, keys: list[str], keep_old: str,
 def target_slot_match(slots: DataFrame, targets: DataFrame) -> DataFrame:
     """Slots of a target's studio and location, at its clock time if it has one, on its date
     if it has one and else on its weekday."""
-    on = ["studio", "location"]
-    j = slots.join(targets, on)
-    return j.filter((F.col("want_minutes").isNull() | (F.col("want_minutes") == F.col("minutes"))) & F.when(F.col("want_date").isNotNull(), F.col("want_date") == F.col("class_date")).otherwise(F.col("want_dow") == F.col("dow")))
+    out = []
+    for timed in (True, False):
+        for dated in (True, False):
+            some = targets.filter(F.col("want_minutes").isNotNull() == timed).filter(F.col("want_date").isNotNull() == dated)
+            # Each of the four shapes of a target is an equi-join on all that it asks for.
+            asked = ["studio", "location", *["minutes"] * timed, "class_date" if dated else "dow"]
+            wanted = {"minutes": "want_minutes", "class_date": "want_date", "dow": "want_dow"}
+            keyed = some.select("*", *[F.col(wanted[k]).alias(k) for k in asked if k in wanted])
+            out.append(slots.join(keyed, asked).select(*slots.columns, *[c for c in targets.columns if c not in slots.columns]))
+    return reduce(DataFrame.unionByName, out)
 
 
 def outcome_history(jobs: DataFrame, job: str, order: list[Column], status: str, terminal: list[str]) -> DataFrame:
