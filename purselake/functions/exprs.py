@@ -144,11 +144,6 @@ def row_fact_id(*parts: Column) -> Column:
     return F.substring(F.sha2(F.concat(*joined), 256), 1, 16)
 
 
-def keys_digest(line: Column) -> Column:
-    """Aggregate: SHA-256 of the group's sorted lines joined by newlines."""
-    return F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256)
-
-
 def is_synthetic_key(code: Column) -> Column:
     return code.rlike("^[A-Za-z0-9#]+-[A-Za-z0-9]+-L[0-9]+$")
 

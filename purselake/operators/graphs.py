@@ -3,19 +3,10 @@ stays short and a lost executor costs one round at most; loops end on a count of
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from purselake.sources.lake import shared_folder
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from purselake.sources.lake import written
 
 
 def components(edges: DataFrame, src: str, dst: str) -> DataFrame:

@@ -204,7 +204,9 @@ def e17(spark, sf):
 @query("E18_group_chains", with_sql("ln", "SELECT pe_bli, account, string_agg(DISTINCT title, ',' ORDER BY title) AS titles, CAST(sum(amount_thousands) FILTER (WHERE amount_type LIKE '%actuals') AS DOUBLE) AS actuals, sha256(string_agg(concat_ws('|', edition_year, title, line_id), chr(10) ORDER BY concat_ws('|', edition_year, title, line_id))) AS digest FROM ln GROUP BY 1, 2"))
 def e18(spark, sf):
     line = F.concat_ws("|", F.col("edition_year").cast("string"), "title", F.col("line_id").cast("string"))
-    return Lake(spark, sf).lines().groupBy("pe_bli", "account").agg(aggs.ordered_join(F.col("title")).alias("titles"), money(F.sum(F.when(F.col("amount_type").endswith("actuals"), F.col("amount_thousands"))), "actuals"), X.keys_digest(line).alias("digest"))
+    ln = Lake(spark, sf).lines()
+    chains = ln.groupBy("pe_bli", "account").agg(aggs.ordered_join(F.col("title")).alias("titles"), money(F.sum(F.when(F.col("amount_type").endswith("actuals"), F.col("amount_thousands"))), "actuals"))
+    return chains.join(aggs.lines_digest(ln, ["pe_bli", "account"], line), ["pe_bli", "account"])
 
 
 @query("E19_precision_tally", "SELECT method, confirmed, sampled FROM (SELECT o_orderpriority AS method, year(o_orderdate) AS y, count(*) AS sampled, count(*) FILTER (WHERE o_orderstatus = 'F') AS confirmed, max(year(o_orderdate)) OVER (PARTITION BY o_orderpriority) AS m FROM orders GROUP BY o_orderpriority, year(o_orderdate)) WHERE y = m")
@@ -232,8 +234,8 @@ def e21(spark, sf):
 def e22(spark, sf):
     lake = Lake(spark, sf)
     o = lake.orders.filter("o_orderstatus <> 'F'").join(lake.lineitem, F.col("o_orderkey") == F.col("l_orderkey"), "left_semi").join(lake.supplier, F.col("o_custkey") == F.col("s_suppkey"), "left_anti")
-    n = F.row_number().over(Window.partitionBy("o_orderpriority").orderBy("o_orderkey"))
-    return o.select("o_orderkey", "o_orderpriority", F.floor((n - 1) / 80).alias("chunk"))
+    n = windows.numbered(o.select("o_orderkey", "o_orderpriority"), ["o_orderpriority"], [F.col("o_orderkey")])
+    return n.select("o_orderkey", "o_orderpriority", F.floor((F.col("n") - 1) / 80).alias("chunk"))
 
 
 @query("E23_family_arrivals", """WITH e AS (SELECT o_custkey % 100 AS member, 'from' AS side, o_orderdate AS d, o_orderkey FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT o_custkey % 100, 'to', o_orderdate, o_orderkey FROM orders WHERE o_orderstatus = 'P')
@@ -248,7 +250,9 @@ def e23(spark, sf):
 
 @query("E24_member_measure", with_sql("ln", "SELECT account, pe_bli, count(DISTINCT title) AS titles, string_agg(DISTINCT CAST(edition_year AS VARCHAR), ',' ORDER BY CAST(edition_year AS VARCHAR)) AS editions, sha256(string_agg(CAST(line_id AS VARCHAR), chr(10) ORDER BY CAST(line_id AS VARCHAR))) AS digest FROM ln GROUP BY 1, 2"))
 def e24(spark, sf):
-    return Lake(spark, sf).lines().groupBy("account", "pe_bli").agg(F.countDistinct("title").alias("titles"), aggs.ordered_join(F.col("edition_year").cast("string")).alias("editions"), X.keys_digest(F.col("line_id").cast("string")).alias("digest"))
+    ln = Lake(spark, sf).lines()
+    members = ln.groupBy("account", "pe_bli").agg(F.countDistinct("title").alias("titles"), aggs.ordered_join(F.col("edition_year").cast("string")).alias("editions"))
+    return members.join(aggs.lines_digest(ln, ["account", "pe_bli"], F.col("line_id")), ["account", "pe_bli"])
 
 
 @query("E25_family_history", with_sql("tx xw", """, y AS (SELECT family_key, fiscal_year, sum(obligation) AS v FROM tx JOIN xw USING (recipient_id) GROUP BY 1, 2), c AS (SELECT family_key, max(fiscal_year) - min(fiscal_year) + 1 = count(*) AS complete FROM y GROUP BY 1)

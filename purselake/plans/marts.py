@@ -229,8 +229,8 @@ def era_map(lake):
 @query("M30_era_line_map", with_sql("ln", _ERA_SQL + ", dg AS (SELECT decision_id, sha256(string_agg(era_key, chr(10) ORDER BY era_key)) AS sha FROM era WHERE decision_id IS NOT NULL GROUP BY 1) SELECT era.*, sha AS keys_sha FROM era LEFT JOIN dg USING (decision_id)"))
 def m30(spark, sf):
     m = era_map(Lake(spark, sf))
-    digests = m.filter("decision_id IS NOT NULL").groupBy("decision_id").agg(X.keys_digest(F.col("era_key")).alias("keys_sha"))
-    return m.join(F.broadcast(digests), "decision_id", "left")
+    digests = aggs.lines_digest(m.filter("decision_id IS NOT NULL"), ["decision_id"], F.col("era_key"), "keys_sha")
+    return m.join(F.broadcast(digests), "decision_id", "left")  # one row a rule
 
 
 @query("M23_program_decade_series", with_sql("ln", _ERA_SQL + """ SELECT coalesce('D' || decision_id, ln.pe_bli) AS program_key, ln.edition_year, ln.amount_type, CASE WHEN decision_id IS NULL THEN 'native' ELSE 'mapped' END AS map_basis, CAST(sum(amount_thousands) AS DOUBLE) AS amount, string_agg(DISTINCT ln.pe_bli, ',' ORDER BY ln.pe_bli) AS source_keys
@@ -255,22 +255,26 @@ def linked(lake):
     return lake.located().join(bridge, "award_id")
 
 
-def _place(df, *by):
-    return df.groupBy(*by).agg(F.countDistinct("transaction_key").alias("transaction_count"), F.countDistinct("award_id").alias("award_count"), F.countDistinct("recipient_id").alias("recipient_count"), money(F.sum("obligation"), "total_obligation"))
+def _place(df, by, *sums):
+    """Counts and sums of places. A transaction belongs to one award, so transactions are
+    counted inside awards and awards by their rows; recipients are counted apart. No row is
+    expanded, and no task needs a whole place before its rows are added up."""
+    inner = df.groupBy(*by, "award_id").agg(F.countDistinct("transaction_key").alias("n"), *sums)
+    names = [c for c in inner.columns if c not in (*by, "award_id", "n")]
+    awards = inner.groupBy(*by).agg(F.sum("n").alias("transaction_count"), F.count("award_id").alias("award_count"), *[money(F.sum(c), c) for c in names])
+    recipients = df.select(*by, "recipient_id").distinct().groupBy(*by).agg(F.count("recipient_id").alias("recipient_count"))
+    return joins.null_safe(awards, recipients, by)
 
 
 @query("M15_district_programs", with_sql("tx pl lk", _PUB + f" SELECT pop_state, pop_district, pe_bli, {_PLACE_OUT} FROM tx JOIN pl USING (customer_id) JOIN pub USING (award_id) GROUP BY 1, 2, 3"))
 def m15(spark, sf):
-    return _place(linked(Lake(spark, sf)), "pop_state", "pop_district", "pe_bli")
+    return _place(linked(Lake(spark, sf)), ["pop_state", "pop_district", "pe_bli"], F.sum("obligation").alias("total_obligation"))
 
 
 @query("M15_district_programs_by_year", with_sql("tx pl lk", _PUB + f" SELECT pop_state, pop_district, pe_bli, fiscal_year, {_PLACE_OUT}, CAST(sum(greatest(coalesce(obligation, 0), 0)) AS DOUBLE) AS positive_obligation FROM tx JOIN pl USING (customer_id) JOIN pub USING (award_id) GROUP BY 1, 2, 3, 4"))
 def m15_year(spark, sf):
-    by = ("pop_state", "pop_district", "pe_bli", "fiscal_year")
-    return linked(Lake(spark, sf)).groupBy(*by).agg(
-        F.countDistinct("transaction_key").alias("transaction_count"), F.countDistinct("award_id").alias("award_count"), F.countDistinct("recipient_id").alias("recipient_count"),
-        money(F.sum("obligation"), "total_obligation"), money(F.sum(X.positive_part(F.col("obligation"))), "positive_obligation"),
-    )
+    positive = F.sum(X.positive_part(F.col("obligation"))).alias("positive_obligation")
+    return _place(linked(Lake(spark, sf)), ["pop_state", "pop_district", "pe_bli", "fiscal_year"], F.sum("obligation").alias("total_obligation"), positive)
 
 
 @query("M16_district_totals", with_sql("tx pl lk", _PUB + " SELECT pop_state, pop_district, count(DISTINCT award_id) AS award_count, CAST(sum(obligation) AS DOUBLE) AS total_obligation FROM tx JOIN pl USING (customer_id) WHERE award_id IN (SELECT award_id FROM pub) GROUP BY 1, 2"))

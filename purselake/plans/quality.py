@@ -198,10 +198,22 @@ def v15(spark, sf):
     return j.agg(n_rows().alias("edges"), F.count_if(F.col("relation") == "split").alias("splits"), F.count_if(F.col("c_a") != F.col("c_b")).cast("int").alias("crossing"))
 
 
-@query("V16_ranged_decision_integrity", with_sql("ln", marts._ERA_SQL + " SELECT r.rule_id, count(era.line_id) AS bound FROM rules r LEFT JOIN era ON era.decision_id = r.rule_id GROUP BY 1"))
+_RECORDED = 2024
+
+
+@query("V16_ranged_decision_integrity", with_sql("ln", marts._ERA_SQL + f""", d AS (SELECT r.rule_id, count(e.era_key) AS bound, string_agg(e.era_key, chr(10) ORDER BY e.era_key) AS now, string_agg(e.era_key, chr(10) ORDER BY e.era_key) FILTER (WHERE e.edition_year <= {_RECORDED}) AS recorded FROM rules r LEFT JOIN era e ON e.decision_id = r.rule_id GROUP BY 1)
+SELECT rule_id, bound, now IS NOT DISTINCT FROM recorded AS digest_matches, CAST(NULL AS BIGINT) AS undecided FROM d
+UNION ALL SELECT NULL, NULL, NULL, (SELECT count(*) FROM era WHERE decision_id IS NULL AND account IN (SELECT account FROM rules))"""))
 def v16(spark, sf):
-    bound = marts.era_map(Lake(spark, sf)).groupBy(F.col("decision_id").alias("rule_id")).agg(n_rows().alias("n"))
-    return range_rules(spark).select("rule_id").join(bound, "rule_id", "left").select("rule_id", F.coalesce("n", F.lit(0)).alias("bound"))
+    """Per rule: keys it binds and whether the digest recorded when it was decided still
+    holds; and, in a row of its own, keys of ruled accounts that no rule decides."""
+    m = marts.era_map(Lake(spark, sf))
+    recorded = F.when(F.col("edition_year") <= _RECORDED, F.col("era_key"))
+    now = m.filter("decision_id IS NOT NULL").groupBy(F.col("decision_id").alias("rule_id")).agg(n_rows().alias("n"), aggs.multiset_digest(F.col("era_key")).alias("now"), aggs.multiset_digest(recorded).alias("was"))
+    rules = range_rules(spark)
+    per_rule = rules.select("rule_id").join(now, "rule_id", "left").select("rule_id", F.coalesce("n", F.lit(0)).alias("bound"), F.coalesce(F.col("now") == F.col("was"), F.lit(True)).alias("digest_matches"), F.lit(None).cast("long").alias("undecided"))
+    open_keys = m.filter("decision_id IS NULL").join(F.broadcast(rules.select("account").distinct()), "account", "left_semi").agg(n_rows().alias("undecided"))
+    return per_rule.unionByName(open_keys.select(F.lit(None).cast("int").alias("rule_id"), F.lit(None).cast("long").alias("bound"), F.lit(None).cast("boolean").alias("digest_matches"), "undecided"))
 
 
 @query("V17_edition_leakage", with_sql("ln", "SELECT edition_year, count(*) FILTER (WHERE CAST(regexp_extract(amount_type, '[0-9]+') AS INTEGER) > edition_year) AS leaked, count(*) AS lines FROM ln GROUP BY 1"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from purselake.functions import exprs as X
+from purselake.operators import aggs
 from purselake.plans.bindings import Lake, with_sql
 from purselake.plans.registry import query
 
@@ -137,7 +138,7 @@ def p17(spark, sf):
 
 @query("P18_keys_digest", with_sql("ln", "SELECT pe_bli, account, sha256(string_agg(title, chr(10) ORDER BY title)) AS digest FROM ln GROUP BY 1, 2"))
 def p18(spark, sf):
-    return Lake(spark, sf).lines().groupBy("pe_bli", "account").agg(X.keys_digest(F.col("title")).alias("digest"))
+    return aggs.lines_digest(Lake(spark, sf).lines(), ["pe_bli", "account"], F.col("title"))
 
 
 @query("P19_is_synthetic_key", with_sql("ln", "SELECT line_id, concat(account, '-', organization, '-L', line_id) AS era_key, TRUE AS synthetic, FALSE AS native FROM ln"))

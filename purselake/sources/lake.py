@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -21,6 +22,14 @@ def shared_folder(spark: SparkSession) -> str:
     return "file://" + tempfile.mkdtemp(prefix="purselake-")
 
 
+def written(df: DataFrame, label: str) -> DataFrame:
+    """A scan of ``df`` written to the shared folder: lineage ends there."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def read_partitioned_lake(spark: SparkSession, path: str) -> DataFrame:
     """Hive-partitioned parquet, columns united by name, with the source file's name."""
     return spark.read.option("mergeSchema", True).parquet(path).withColumn("source_file", F.col("_metadata.file_name"))
