@@ -43,7 +43,7 @@ def cross_parent_downgrade(xwalk: DataFrame, family: str, parent: str, tier: str
     return xwalk.join(many, family).withColumn(tier, lowered).drop("__k")
 
 
-def first_true(rules: list[tuple[Column, str]], default: str | None) -> Column:
+def first_true(rules: list[tuple[Column, str | Column | None]], default: str | None) -> Column:
     """Label of the first rule that holds."""
     head, *rest = rules
     out = reduce(lambda w, r: w.when(r[0], r[1]), rest, F.when(*head))
@@ -61,3 +61,100 @@ def accounts_match(award: Column, line: Column) -> Column:
     unknown = award.isNull() | (F.size(award) == 0)
     known = line.isNotNull() & (F.size(line) > 0)
     return known & (unknown | F.coalesce(F.arrays_overlap(award, line), F.lit(False)))
+
+
+def review_verdicts(reviews: DataFrame, pair: list[str], row: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(verdicts by pair and row, refuted pairs) of review records.
+
+    A record speaks of the article it names; where it names none, or whether the link cites
+    it is not known, it binds the link. Records of precision samples refute their pair under
+    whatever row, and are no pipeline reviews."""
+    rejects, refutes = F.col("reviewer_verdict").isin("weak", "wrong"), F.col("adversarial_verdict") == "refuted"
+    binds = (F.trim(F.coalesce("article_id", F.lit(""))) == "") | F.coalesce("cites_article", F.lit(True))
+    r = reviews.withColumn("__rejects", F.coalesce(rejects, F.lit(False))).withColumn("__refutes", F.coalesce(refutes, F.lit(False))).withColumn("__binds", binds)
+    sampled = F.coalesce(F.col("record_kind") == "precision_sample", F.lit(False))
+    some = lambda c, name: F.coalesce(F.bool_or(c), F.lit(False)).alias(name)
+    by_row = r.filter(~sampled).groupBy(*pair, *row).agg(
+        F.lit(True).alias("reviewed"),
+        some((F.col("reviewer_verdict") == "link") & (F.col("adversarial_verdict") == "upheld"), "upheld"),
+        some(F.col("__refutes") & F.col("__binds"), "refuted_here"),
+        some(F.col("__rejects") & F.col("__binds"), "rejected_here"),
+        some(F.col("__refutes"), "refuted"),
+        some(F.col("__rejects"), "rejected"),
+    )
+    by_pair = r.filter(sampled & (F.col("__refutes") | F.col("__rejects"))).select(*pair, F.lit(True).alias("sample_refuted")).distinct()
+    return by_row, by_pair
+
+
+#: What a demotion leaves of a link: all others leave it at medium.
+LOW_AFTER = ("account_subagency_not_pinned",)
+
+
+def overlay_grades(links: DataFrame, adjudications: DataFrame, reviews: DataFrame, rulings: DataFrame, pair: list[str], row: list[str]) -> DataFrame:
+    """Links with the decisions of four tables laid over their mechanical ``confidence``.
+
+    Adjudications (one a pair) replace the grade; a ruling of withdrawal, an unpinned
+    sub-agency match, matches nobody adjudicated, reviews that did not uphold an
+    announcement and refutations by samples only lower it, the first that applies. Adds
+    crosswalk_confidence, confidence_source, demotion_reason, award_verdict, pair_reason
+    and adjudication_basis; ``confidence`` becomes the final grade. No table multiplies a
+    link: each is brought to one row a pair (or pair and row) before its join."""
+    by_row, by_pair = review_verdicts(reviews, pair, row)
+    withdrawn = rulings.filter(F.col("ruling") == "withdraw").select(*pair, F.lit(True).alias("withdrawn")).distinct()
+    a = adjudications.select(*pair, "adjudicated_confidence", "award_verdict", "pair_reason", F.col("basis").alias("adjudication_basis"), "lenses_passed", F.lit(True).alias("adjudicated"))
+    j = links.withColumnRenamed("confidence", "crosswalk_confidence").join(a, pair, "left").join(by_row, [*pair, *row], "left").join(by_pair, pair, "left").join(withdrawn, pair, "left")
+    is_ = lambda c: F.coalesce(F.col(c), F.lit(False))
+    overlaid = F.coalesce("adjudicated_confidence", "crosswalk_confidence")
+    pinned = F.coalesce((F.col("award_verdict") == "pinned") & (F.col("pair_reason") == "pinned-here") & (F.col("lenses_passed") == 2), F.lit(False))
+    method, high, free = F.col("method"), overlaid == "high", ~is_("adjudicated")
+    announced = free & (method == "announcement+lexicon") & high
+    shaky = ~is_("upheld") | is_("refuted_here") | is_("rejected_here") | is_("sample_refuted")
+    why_shaky = first_true(
+        [
+            (is_("refuted_here"), "announcement_review_refuted"), (is_("rejected_here"), "announcement_reviewer_rejected"), (is_("upheld"), "precision_sample_refuted"),
+            (is_("refuted"), "announcement_review_refuted"), (is_("rejected"), "announcement_reviewer_rejected"), (is_("reviewed"), "announcement_review_incomplete"),
+        ],
+        "announcement_review_unrecorded",
+    )
+    reason = first_true(
+        [
+            (~F.coalesce(overlaid.isin("high", "medium"), F.lit(False)), None),
+            (is_("withdrawn") & is_("sample_refuted"), "precision_sample_refuted"),
+            (is_("withdrawn"), "line_activity_mismatch"),
+            ((method == "account+subagency") & ~pinned, "account_subagency_not_pinned"),
+            (free & (method == "account+tokens") & (F.col("crosswalk_confidence") == "high"), "account_tokens_unadjudicated"),
+            (announced & shaky, why_shaky),
+            (free & high & is_("sample_refuted"), "precision_sample_refuted"),
+        ],
+        None,
+    )
+    final = F.when(F.col("demotion_reason").isNull(), overlaid).when(is_("withdrawn") | F.col("demotion_reason").isin(*LOW_AFTER), "low").otherwise("medium")
+    source = F.when(is_("adjudicated"), "adjudicated").otherwise("mechanical")
+    out = j.withColumn("demotion_reason", reason).withColumn("confidence", final).withColumn("confidence_source", source)
+    own = [c for c in links.columns if c != "confidence"]
+    return out.select(*own, "confidence", "crosswalk_confidence", "confidence_source", "demotion_reason", "award_verdict", "pair_reason", "adjudication_basis")
+
+
+def grade_links(lines: DataFrame, transactions: DataFrame, aliases: DataFrame, at_least: int = 2) -> DataFrame:
+    """Graded links of lines (code, account, organization, year, words) and awards.
+
+    A candidate award holds the line's account in one of its transactions' account lists,
+    in the line's year. ``at_least`` shared words make it high; else a transaction under a
+    sub-agency whose name holds an alias of the line's organization makes it medium; else
+    the account alone is low. ``matched_obligation`` sums transactions whose whole list is
+    the account. ``transactions``: award, year, accounts, words, sub_agency, obligation."""
+    t = transactions.select("award", "year", F.explode("accounts").alias("account"), F.size("accounts").alias("n"), "words", "sub_agency", "obligation")
+    # One row an award, account and year: what its transactions hold, before any line.
+    awards = t.groupBy("award", "account", "year").agg(
+        F.array_distinct(F.flatten(F.collect_set("words"))).alias("award_words"), F.collect_set(F.lower("sub_agency")).alias("agencies"),
+        F.sum(F.when(F.col("n") == 1, F.col("obligation"))).alias("matched_obligation"),
+    )
+    known = aliases.groupBy("organization").agg(F.collect_set("alias").alias("aliases"))
+    side = lines.groupBy("code", "account", "organization", "year").agg(F.array_distinct(F.flatten(F.collect_set("words"))).alias("line_words")).join(F.broadcast(known), "organization", "left")
+    j = awards.join(side, ["account", "year"])
+    shared = F.size(F.array_intersect("award_words", "line_words"))
+    under = F.exists("agencies", lambda s: F.exists(F.coalesce("aliases", F.array().cast("array<string>")), lambda a: F.contains(s, a)))
+    rules = [(shared >= at_least, "account+tokens"), (under, "account+subagency")]
+    j = j.withColumn("method", first_true(rules, "account")).withColumn("overlap", shared)
+    grade = first_true([(F.col("method") == "account+tokens", "high"), (F.col("method") == "account+subagency", "medium")], "low")
+    return j.select("code", "account", "organization", "year", "award", grade.alias("confidence"), "method", "overlap", "matched_obligation")

@@ -94,6 +94,21 @@ class Lake:
         grouped = li.join(p, li.l_partkey == p.p_partkey).groupBy(F.col("p_brand").alias("pe_bli"), F.col("l_orderkey").alias("award_id")).agg(tier.alias("rank"))
         return grouped.select("pe_bli", "award_id", F.when(F.col("rank") == 3, "high").when(F.col("rank") == 2, "medium").otherwise("low").alias("confidence"))
 
+    def award_links(self) -> DataFrame:
+        """Links of program codes and awards as found, with method, exhibit and year."""
+        return self.lineitem.join(self.part, F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("p_brand").alias("pe_bli"), F.col("l_orderkey").alias("award_id")).agg(*[F.expr(e).alias(c) for c, e in LINK_COLUMNS.items()])
+
+    def link_decisions(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Adjudications, review records and rulings about links."""
+        li = self.lineitem.join(self.part, F.col("l_partkey") == F.col("p_partkey"))
+        pairs = self.award_links()
+        of = li.select(F.col("p_brand").alias("pe_bli"), F.col("l_orderkey").alias("award_id"), *[F.expr(e).alias(c) for c, e in REVIEW_COLUMNS.items()], "l_linenumber").filter("l_linenumber >= 4").drop("l_linenumber")
+        reviews = of.join(pairs.select("pe_bli", "award_id", "exhibit", "fiscal_year"), ["pe_bli", "award_id"])
+        o = pairs.select("pe_bli", "award_id").join(self.orders, F.col("award_id") == F.col("o_orderkey"))
+        adjudications = o.filter(ADJUDICATED).select("pe_bli", "award_id", *[F.expr(e).alias(c) for c, e in ADJUDICATION_COLUMNS.items()])
+        rulings = o.filter("o_orderpriority = '3-MEDIUM' AND o_totalprice < 250000").select("pe_bli", "award_id", F.expr("CASE o_orderstatus WHEN 'F' THEN 'withdraw' WHEN 'P' THEN 'hold' ELSE 'allow' END").alias("ruling"))
+        return adjudications, reviews, rulings
+
     def filings(self) -> DataFrame:
         """Filings: registrant, quarter, type and string amounts from orders."""
         o = self.orders
@@ -155,7 +170,37 @@ def _passage(template: str) -> str:
 PASSAGE = "CASE CAST(doc_id % 10 AS INT) " + " ".join(f"WHEN {i} THEN {_passage(t)}" for i, t in enumerate(_PASSAGES)) + " ELSE '' END"
 
 
+LINK_COLUMNS = {
+    "exhibit": "CASE WHEN max(p_size) >= 25 THEN 'R-1' ELSE 'P-1' END",
+    "fiscal_year": "CAST(min(year(l_shipdate)) AS INT)",
+    "organization": "min(substr(p_name, 1, 1))",
+    "recipient_id": "min(l_suppkey)",
+    "method": "CASE WHEN max(l_tax) >= 0.07 THEN 'announcement+lexicon' WHEN max(l_quantity) >= 40 THEN 'account+tokens' WHEN max(l_quantity) >= 20 THEN 'account+subagency' ELSE 'account' END",
+    "account": "min(p_type)",
+    "confidence": "CASE WHEN max(l_tax) >= 0.07 OR max(l_quantity) >= 35 THEN 'high' WHEN max(l_quantity) >= 20 THEN 'medium' ELSE 'low' END",
+}
+REVIEW_COLUMNS = {
+    "record_kind": "CASE WHEN l_discount >= 0.09 THEN 'precision_sample' ELSE 'pipeline' END",
+    "reviewer_verdict": "CASE l_returnflag WHEN 'N' THEN 'link' WHEN 'A' THEN 'weak' ELSE 'wrong' END",
+    "adversarial_verdict": "CASE WHEN l_quantity <= 8 THEN NULL WHEN l_linestatus = 'O' THEN 'upheld' ELSE 'refuted' END",
+    "article_id": "CASE WHEN l_tax < 0.02 THEN ' ' ELSE CAST(CAST(l_tax * 100 AS INT) AS STRING) END",
+    "cites_article": "CASE WHEN l_quantity > 30 THEN TRUE WHEN l_quantity > 15 THEN FALSE END",
+}
+ADJUDICATED = "o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_totalprice > 60000"
+ADJUDICATION_COLUMNS = {
+    "adjudicated_confidence": "CASE WHEN o_totalprice > 300000 THEN 'high' WHEN o_totalprice > 150000 THEN 'medium' ELSE 'low' END",
+    "award_verdict": "CASE o_orderpriority WHEN '1-URGENT' THEN 'pinned' ELSE 'plausible' END",
+    "pair_reason": "CASE WHEN o_orderstatus = 'F' THEN 'pinned-here' ELSE 'pinned-elsewhere' END",
+    "basis": "concat('order ', CAST(o_orderkey AS STRING))",
+    "lenses_passed": "CASE WHEN o_totalprice > 200000 THEN 2 ELSE 1 END",
+}
+
+
 SQL = {
+    "al": f"""al AS (SELECT p_brand AS pe_bli, l_orderkey AS award_id, {', '.join(f'{e} AS {c}' for c, e in LINK_COLUMNS.items())} FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2),
+adj AS (SELECT pe_bli, award_id, {', '.join(f'{e} AS {c}' for c, e in ADJUDICATION_COLUMNS.items())} FROM al JOIN orders ON award_id = o_orderkey WHERE {ADJUDICATED}),
+rev AS (SELECT r.*, exhibit, fiscal_year FROM (SELECT p_brand AS pe_bli, l_orderkey AS award_id, {', '.join(f'{e} AS {c}' for c, e in REVIEW_COLUMNS.items())} FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber >= 4) r JOIN al USING (pe_bli, award_id)),
+rul AS (SELECT pe_bli, award_id, CASE o_orderstatus WHEN 'F' THEN 'withdraw' WHEN 'P' THEN 'hold' ELSE 'allow' END AS ruling FROM al JOIN orders ON award_id = o_orderkey WHERE o_orderpriority = '3-MEDIUM' AND o_totalprice < 250000)""",
     "nv": f"""nv AS (
   SELECT doc_id AS narrative_id, {NARRATIVE_CODES['own']} AS pe_code, CAST(2017 + doc_id % 9 AS INTEGER) AS fiscal_year, concat(coalesce(text, ''), '. ', {PASSAGE}) AS body
   FROM documents)""",

@@ -114,23 +114,27 @@ def e07(spark, sf):
     return j.select("o_orderkey", F.col("tier").alias("new_tier"), (~stored.eqNullSafe(F.col("tier"))).alias("changed"))
 
 
-_T1, _T2 = TOKENS_SQL.format("p_name"), TOKENS_SQL.format("concat(q.p_name, ' ', q.p_type)")
-_GRADE = f"""WITH a AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_quantity > 30), q AS (SELECT * FROM part)
-SELECT l_orderkey, l_partkey, CASE WHEN len(list_intersect({_T1.replace('p_name', 'o.p_name')}, {_T2})) >= 2 THEN 'high' WHEN o.p_brand = q.p_brand THEN 'medium' ELSE 'low' END AS confidence
-FROM a JOIN part o ON o.p_partkey = a.l_partkey JOIN q ON q.p_partkey = (a.l_partkey * 7 + 3) % (SELECT count(*) FROM part)"""
-
-
-@query("E08_grade_links", _GRADE)
+#: Names by which sub-agencies go, for each organization.
+ALIASES = [("c", "urgent"), ("s", "high"), ("l", "low"), ("l", "not spec"), ("b", "medium")]
+_ALIAS_SQL = "al AS (SELECT * FROM (VALUES " + ", ".join(f"('{o}', '{a}')" for o, a in ALIASES) + ") AS t(organization, alias))"
+_TX_ACCOUNTS = "CASE WHEN l_tax >= 0.06 AND p_type <> 'PROMO' THEN array(p_type, 'PROMO') ELSE array(p_type) END"
+
+
+@query("E08_grade_links", f"""WITH {_ALIAS_SQL}, tr AS (SELECT l_orderkey AS award, CAST(year(l_shipdate) AS INTEGER) AS year, {_TX_ACCOUNTS.replace('array(p_type', '[p_type').replace("'PROMO') ELSE", "'PROMO'] ELSE").replace('[p_type) END', '[p_type] END')} AS accounts, {TOKENS_SQL.format("concat(p_name, ' ', p_type)")} AS words, o_orderpriority AS sub_agency, CAST(l_extendedprice AS DECIMAL(18,2)) AS obligation
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey WHERE l_quantity > 30),
+aw AS (SELECT award, account, year, list_distinct(flatten(list(words))) AS aws, list(DISTINCT lower(sub_agency)) AS ag, CAST(sum(obligation) FILTER (WHERE len(accounts) = 1) AS DOUBLE) AS matched_obligation FROM (SELECT *, unnest(accounts) AS account FROM tr) GROUP BY 1, 2, 3),
+li AS (SELECT p_brand AS code, p_type AS account, left(p_name, 1) AS organization, CAST(p_size % 10 + 2017 AS INTEGER) - 22 AS year, list_distinct(flatten(list({TOKENS_SQL.format("concat(p_name, ' ', p_type)")}))) AS lw FROM part WHERE (p_partkey // 3) % 3 = 0 GROUP BY 1, 2, 3, 4),
+j AS (SELECT *, len(list_intersect(aws, lw)) AS overlap, EXISTS (SELECT 1 FROM al WHERE al.organization = li.organization AND list_has_any([contains(s, al.alias) FOR s IN ag], [TRUE])) AS under FROM aw JOIN li USING (account, year))
+SELECT code, account, organization, year, award, CASE WHEN overlap >= 2 THEN 'high' WHEN under THEN 'medium' ELSE 'low' END AS confidence, CASE WHEN overlap >= 2 THEN 'account+tokens' WHEN under THEN 'account+subagency' ELSE 'account' END AS method, CAST(overlap AS INTEGER) AS overlap, matched_obligation FROM j""")
 def e08(spark, sf):
     lake = Lake(spark, sf)
-    p = lake.part
-    size = p.count()
-    a = lake.lineitem.filter("l_quantity > 30").select("l_orderkey", "l_partkey").distinct()
-    own = p.select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("brand"), X.tokens(F.col("p_name")).alias("mine"))
-    other = p.select(F.col("p_partkey").alias("other"), F.col("p_brand").alias("other_brand"), X.tokens(F.concat("p_name", F.lit(" "), "p_type")).alias("theirs"))
-    j = a.join(own, "l_partkey").withColumn("other", (F.col("l_partkey") * 7 + 3) % size).join(other, "other")
-    rules = [(F.size(F.array_intersect("mine", "theirs")) >= 2, "high"), (F.col("brand") == F.col("other_brand"), "medium")]
-    return j.select("l_orderkey", "l_partkey", linking.first_true(rules, "low").alias("confidence"))
+    words = X.tokens(F.concat("p_name", F.lit(" "), "p_type"))
+    p = lake.part.select("p_partkey", "p_type", words.alias("words"))
+    li = lake.lineitem.filter("l_quantity > 30").join(lake.orders, F.col("l_orderkey") == F.col("o_orderkey")).join(p, F.col("l_partkey") == F.col("p_partkey"))
+    tx = li.select(F.col("l_orderkey").alias("award"), F.year("l_shipdate").alias("year"), F.expr(_TX_ACCOUNTS).alias("accounts"), "words", F.col("o_orderpriority").alias("sub_agency"), F.col("l_extendedprice").cast("decimal(18,2)").alias("obligation"))
+    ln = lake.part.filter("floor(p_partkey / 3) % 3 = 0").select(F.col("p_brand").alias("code"), F.col("p_type").alias("account"), F.substring("p_name", 1, 1).alias("organization"), (F.col("p_size") % 10 + 1995).cast("int").alias("year"), words.alias("words"))
+    graded = linking.grade_links(ln, tx, spark.createDataFrame(ALIASES, "organization string, alias string"))
+    return graded.withColumn("matched_obligation", F.col("matched_obligation").cast("double"))
 
 
 @query("E09_plan_links", with_sql("ln tx", ", a AS (SELECT fiscal_year, award_type, count(DISTINCT award_id) AS awards FROM tx GROUP BY 1, 2), l AS (SELECT edition_year - 20 AS fiscal_year, count(*) AS lines FROM ln GROUP BY 1) SELECT fiscal_year, award_type, lines, awards, lines * awards AS pairs, lines * awards <= 500000 AS allowed FROM l JOIN a USING (fiscal_year)"))

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from purselake.functions import exprs as X
-from purselake.operators import aggs, joins, windows
+from purselake.operators import aggs, joins, linking, windows
 from purselake.plans.bindings import Lake, with_sql
 from purselake.plans.registry import query
 from purselake.plans.relational import CANDIDATES_SQL, HHI_SQL, RANGE_SQL, candidates, money, range_rules
@@ -504,21 +504,20 @@ def m32(spark, sf):
     return kept.join(retired, ["award_type", "transaction_key"])
 
 
-_GRADE = [("award_id % 17 = 0", "withdrawn", None), ("award_id % 13 = 0 AND confidence = 'high'", "refuted_by_sample", "low"), ("award_id % 11 = 0 AND confidence = 'high'", "review_rejected", "low"), ("award_id % 7 = 0 AND confidence = 'high'", "unadjudicated", "medium")]
-_GRADE_SQL = "CASE " + " ".join(f"WHEN {c} THEN '{r}'" for c, r, _ in _GRADE) + " END"
-
-
-@query("M34_audit_link_grading", with_sql("lk", f", g AS (SELECT *, {_GRADE_SQL} AS demotion_reason FROM lk) SELECT pe_bli, award_id, confidence, demotion_reason, CASE demotion_reason WHEN 'withdrawn' THEN NULL WHEN 'refuted_by_sample' THEN 'low' WHEN 'review_rejected' THEN 'low' WHEN 'unadjudicated' THEN 'medium' ELSE confidence END AS final_tier FROM g"))
+@query("M34_audit_link_grading", with_sql("al", """, b AS (SELECT *, coalesce(record_kind = 'precision_sample', FALSE) AS sampled, coalesce(reviewer_verdict IN ('weak', 'wrong'), FALSE) AS rejects, coalesce(adversarial_verdict = 'refuted', FALSE) AS refutes, trim(coalesce(article_id, '')) = '' OR coalesce(cites_article, TRUE) AS binds FROM rev),
+v AS (SELECT pe_bli, award_id, exhibit, fiscal_year, TRUE AS reviewed, coalesce(bool_or(reviewer_verdict = 'link' AND adversarial_verdict = 'upheld'), FALSE) AS upheld, bool_or(refutes AND binds) AS rf, bool_or(rejects AND binds) AS rj, bool_or(refutes) AS anf, bool_or(rejects) AS anj FROM b WHERE NOT sampled GROUP BY ALL),
+s AS (SELECT DISTINCT pe_bli, award_id, TRUE AS sr FROM b WHERE sampled AND (refutes OR rejects)), w AS (SELECT DISTINCT pe_bli, award_id, TRUE AS wd FROM rul WHERE ruling = 'withdraw'),
+o AS (SELECT al.*, al.confidence AS crosswalk, coalesce(adjudicated_confidence, al.confidence) AS ov, basis IS NOT NULL AS adj, award_verdict, pair_reason, basis, coalesce(award_verdict = 'pinned' AND pair_reason = 'pinned-here' AND lenses_passed = 2, FALSE) AS two, coalesce(reviewed, FALSE) AS reviewed, coalesce(upheld, FALSE) AS upheld, coalesce(rf, FALSE) AS rf, coalesce(rj, FALSE) AS rj, coalesce(anf, FALSE) AS anf, coalesce(anj, FALSE) AS anj, coalesce(sr, FALSE) AS sr, coalesce(wd, FALSE) AS wd
+  FROM al LEFT JOIN adj USING (pe_bli, award_id) LEFT JOIN v USING (pe_bli, award_id, exhibit, fiscal_year) LEFT JOIN s USING (pe_bli, award_id) LEFT JOIN w USING (pe_bli, award_id)),
+q AS (SELECT *, CASE WHEN ov NOT IN ('high', 'medium') THEN NULL WHEN wd THEN CASE WHEN sr THEN 'precision_sample_refuted' ELSE 'line_activity_mismatch' END WHEN method = 'account+subagency' AND NOT two THEN 'account_subagency_not_pinned' WHEN NOT adj AND method = 'account+tokens' AND crosswalk = 'high' THEN 'account_tokens_unadjudicated'
+  WHEN NOT adj AND method = 'announcement+lexicon' AND ov = 'high' AND NOT (upheld AND NOT rf AND NOT rj AND NOT sr) THEN CASE WHEN rf THEN 'announcement_review_refuted' WHEN rj THEN 'announcement_reviewer_rejected' WHEN upheld THEN 'precision_sample_refuted' WHEN anf THEN 'announcement_review_refuted' WHEN anj THEN 'announcement_reviewer_rejected' WHEN reviewed THEN 'announcement_review_incomplete' ELSE 'announcement_review_unrecorded' END
+  WHEN NOT adj AND ov = 'high' AND sr THEN 'precision_sample_refuted' END AS demotion_reason FROM o)
+SELECT pe_bli, award_id, exhibit, fiscal_year, organization, recipient_id, method, account, CASE WHEN demotion_reason IS NULL THEN ov WHEN wd OR demotion_reason = 'account_subagency_not_pinned' THEN 'low' ELSE 'medium' END AS confidence, crosswalk AS crosswalk_confidence,
+CASE WHEN adj THEN 'adjudicated' ELSE 'mechanical' END AS confidence_source, demotion_reason, award_verdict, pair_reason, basis AS adjudication_basis FROM q"""))
 def m34(spark, sf):
-    """Verdict tables joined to links; the first matching rule demotes."""
+    """Adjudications, reviews, sample refutations and rulings laid over the links."""
     lake = Lake(spark, sf)
-    verdicts = lake.orders.select(F.col("o_orderkey").alias("award_id"), *[(F.col("o_orderkey") % n == 0).alias(f"v{n}") for n in (17, 13, 11, 7)])
-    j = lake.links().join(verdicts, "award_id", "left")
-    flag = lambda n: F.coalesce(F.col(f"v{n}"), F.lit(False))
-    high = F.col("confidence") == "high"
-    why = F.when(flag(17), "withdrawn").when(flag(13) & high, "refuted_by_sample").when(flag(11) & high, "review_rejected").when(flag(7) & high, "unadjudicated")
-    tier = F.when(why == "withdrawn", None).when(why.isin("refuted_by_sample", "review_rejected"), "low").when(why == "unadjudicated", "medium").otherwise(F.col("confidence"))
-    return j.select("pe_bli", "award_id", "confidence", why.alias("demotion_reason"), tier.alias("final_tier"))
+    return linking.overlay_grades(lake.award_links(), *lake.link_decisions(), ["pe_bli", "award_id"], ["exhibit", "fiscal_year"])
 
 
 @query("M35_stg_mts_outlays", "SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS record_date, o_orderpriority AS classification, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS outlay FROM orders GROUP BY 1, 2")
