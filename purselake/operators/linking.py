@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from purselake.functions.exprs import normalize_title, title_jaccard
 from purselake.operators.windows import pick_first
 
 
@@ -158,3 +159,46 @@ def grade_links(lines: DataFrame, transactions: DataFrame, aliases: DataFrame, a
     j = j.withColumn("method", first_true(rules, "account")).withColumn("overlap", shared)
     grade = first_true([(F.col("method") == "account+tokens", "high"), (F.col("method") == "account+subagency", "medium")], "low")
     return j.select("code", "account", "organization", "year", "award", grade.alias("confidence"), "method", "overlap", "matched_obligation")
+
+
+#: Sums under this many thousands count as continuous whatever they are.
+CONTINUITY_FLOOR = 1000
+
+
+def continuity(amounts: DataFrame, ident: list[str]) -> DataFrame:
+    """(``ident``, passed, total): years in which both an enacted sum and the actuals of that
+    year are known, and those in which they are of one sign and within a factor of two, or
+    both small. ``amounts``: ident, fy, kind ('enacted' or 'actuals'), amount."""
+    y = amounts.groupBy(*ident, "fy").agg(*[F.sum(F.when(F.col("kind") == k, F.col("amount"))).alias(k) for k in ("enacted", "actuals")])
+    y = y.filter("enacted IS NOT NULL AND actuals IS NOT NULL")
+    high, low = F.greatest(F.abs("enacted"), F.abs("actuals")), F.least(F.abs("enacted"), F.abs("actuals"))
+    good = (high < CONTINUITY_FLOOR) | ((low * 2 >= high) & ((F.col("enacted") >= 0) == (F.col("actuals") >= 0)))
+    return y.groupBy(*ident).agg(F.count_if(good).alias("passed"), F.count(F.lit(1)).alias("total"))
+
+
+def classify_era_keys(era: DataFrame, modern: DataFrame, amounts: DataFrame, resolution_codes: list[str], alike: float = 0.5) -> DataFrame:
+    """``era`` (edition, account, code, title) with its ``class`` against ``modern`` (same columns).
+
+    CR: a continuing resolution's code. An identity (account, code) that modern editions
+    have is R3 where its edition filed the code under several accounts, unless modern ones
+    do so too; A1 by a title of theirs; A2 by an alike title and amounts that go on in two
+    thirds of the years; else R1. A code that they have under another account only is R2,
+    one that they lack H. The title nearest to the key is taken, and two titles of an
+    identity never make two rows."""
+    ident = ["account", "code"]
+    titles = modern.groupBy(*ident).agg(F.collect_set(normalize_title(F.col("title"))).alias("__titles"))
+    several = lambda df, by, name: df.groupBy(*by).agg((F.countDistinct("account") > 1).alias(name))
+    j = era.join(titles, ident, "left").join(continuity(amounts, ident), ident, "left")
+    j = j.join(several(era, ["edition", "code"], "__split_then"), ["edition", "code"]).join(several(modern, ["code"], "__split_now"), "code", "left")
+    best = F.coalesce(F.array_max(F.transform("__titles", lambda t: title_jaccard(F.col("title"), t))), F.lit(0.0))
+    known = F.col("__titles").isNotNull()
+    goes_on = F.coalesce((F.col("total") > 0) & (F.col("passed") * 3 >= F.col("total") * 2), F.lit(False))
+    rules = [
+        (F.col("code").isin(resolution_codes), "CR"),
+        (known & F.col("__split_then") & ~F.col("__split_now"), "R3"),
+        (known & F.array_contains("__titles", normalize_title(F.col("title"))), "A1"),
+        (known & (best >= alike) & goes_on, "A2"),
+        (known, "R1"),
+        (F.col("__split_now").isNotNull(), "R2"),
+    ]
+    return j.select(*era.columns, first_true(rules, "H").alias("class"))

@@ -109,6 +109,10 @@ class Lake:
         rulings = o.filter("o_orderpriority = '3-MEDIUM' AND o_totalprice < 250000").select("pe_bli", "award_id", F.expr("CASE o_orderstatus WHEN 'F' THEN 'withdraw' WHEN 'P' THEN 'hold' ELSE 'allow' END").alias("ruling"))
         return adjudications, reviews, rulings
 
+    def announcements(self) -> DataFrame:
+        """Announcement pages, one an order."""
+        return self.orders.select(F.col("o_orderkey").alias("page_id"), F.expr(ANNOUNCEMENT).alias("html"))
+
     def filings(self) -> DataFrame:
         """Filings: registrant, quarter, type and string amounts from orders."""
         o = self.orders
@@ -170,6 +174,15 @@ def _passage(template: str) -> str:
 PASSAGE = "CASE CAST(doc_id % 10 AS INT) " + " ".join(f"WHEN {i} THEN {_passage(t)}" for i, t in enumerate(_PASSAGES)) + " ELSE '' END"
 
 
+def _number(prefix: str, key: str) -> str:
+    return f"concat('{prefix}', lpad(CAST({key} % 100000 AS STRING), 5, '0'), '-', lpad(CAST(o_custkey % 100 AS STRING), 2, '0'), '-C-', lpad(CAST({key} % 10000 AS STRING), 4, '0'))"
+
+
+_CENTS = "CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS STRING)"
+ANNOUNCEMENT = f"""concat('<html><title>Contracts For ', substr('JanFebMarAprMayJunJulAugSepOctNovDec', CAST(3 * month(o_orderdate) - 2 AS INT), 3), '. ', CAST(day(o_orderdate) AS STRING), ', ', CAST(year(o_orderdate) AS STRING),
+ '</title><p>ARMY</p><p class="x"><b>Supplier ', CAST(o_custkey AS STRING), ' Inc.,</b> Springfield, was awarded a $', {_CENTS}, ' contract (', {_number('W', 'o_orderkey')}, ') for widgets.</p><p></p><P>*Customer, Dayton, won a $', CAST(o_custkey AS STRING), '.25 million modification to contract ',
+ {_number('FA', 'o_custkey')}, ' and ', {_number('N', 'o_orderkey')}, ', of $1,250,000, $2 billion, $', CAST(o_orderkey AS STRING), ' and $7.</P><p>No number here, $5 million.</p><p>', CASE WHEN o_orderstatus = 'F' THEN 'U.S. Transportation Command.' ELSE 'The army of words' END,
+ ' **</p><p>Depot ', o_orderpriority, ' took ', {_number('SP', 'o_orderkey')}, '.</p></html>')"""
 LINK_COLUMNS = {
     "exhibit": "CASE WHEN max(p_size) >= 25 THEN 'R-1' ELSE 'P-1' END",
     "fiscal_year": "CAST(min(year(l_shipdate)) AS INT)",
@@ -201,6 +214,7 @@ SQL = {
 adj AS (SELECT pe_bli, award_id, {', '.join(f'{e} AS {c}' for c, e in ADJUDICATION_COLUMNS.items())} FROM al JOIN orders ON award_id = o_orderkey WHERE {ADJUDICATED}),
 rev AS (SELECT r.*, exhibit, fiscal_year FROM (SELECT p_brand AS pe_bli, l_orderkey AS award_id, {', '.join(f'{e} AS {c}' for c, e in REVIEW_COLUMNS.items())} FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber >= 4) r JOIN al USING (pe_bli, award_id)),
 rul AS (SELECT pe_bli, award_id, CASE o_orderstatus WHEN 'F' THEN 'withdraw' WHEN 'P' THEN 'hold' ELSE 'allow' END AS ruling FROM al JOIN orders ON award_id = o_orderkey WHERE o_orderpriority = '3-MEDIUM' AND o_totalprice < 250000)""",
+    "an": f"""an AS (SELECT o_orderkey AS page_id, {ANNOUNCEMENT} AS html FROM orders)""",
     "nv": f"""nv AS (
   SELECT doc_id AS narrative_id, {NARRATIVE_CODES['own']} AS pe_code, CAST(2017 + doc_id % 9 AS INTEGER) AS fiscal_year, concat(coalesce(text, ''), '. ', {PASSAGE}) AS body
   FROM documents)""",

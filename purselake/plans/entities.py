@@ -194,15 +194,29 @@ def e16(spark, sf):
     return s.select("pe_bli", linking.first_true([(F.col("a") == F.col("n"), "ACCOUNT"), (F.col("o") == F.col("n"), "ORGANIZATION")], "UNRESOLVED").alias("split_by"))
 
 
-@query("E17_classify_era_keys", with_sql("ln", """, t AS (SELECT pe_bli, account, edition_year, sum(amount_thousands) AS v, min(title) AS title FROM ln GROUP BY 1, 2, 3), p AS (SELECT *, lead(edition_year) OVER w AS ny, lead(v) OVER w AS nv, lead(title) OVER w AS nt FROM t WINDOW w AS (PARTITION BY pe_bli, account ORDER BY edition_year))
-SELECT pe_bli, account, edition_year, CASE WHEN ny IS NULL THEN 'H' WHEN title = nt AND ny = edition_year + 1 THEN 'A1' WHEN title = nt THEN 'A2' WHEN v <= 2 * nv AND nv <= 2 * v THEN 'R1' ELSE 'CR' END AS class FROM p"""))
+# Keys of books: a code of brand, initial and size class; some titles are told at length.
+_KEY_CODE = "concat(substr(p_brand, 7), substr(p_name, 1, 1), CAST(CAST(floor(p_size / 10) AS INT) AS STRING))"
+_KEY_TITLE = "concat(p_name, CASE WHEN p_size % 3 = 0 THEN ' improved (MOD)' WHEN p_size % 3 = 1 THEN ' (MEMO)' ELSE '' END)"
+_RESOLUTIONS = ["10s1", "7c2", "13b0"]
+_NT = "trim(regexp_replace(regexp_replace(lower({}), '\\((?:mod|memo|adv|lrip)\\)', ' ', 'g'), '\\s+', ' ', 'g'))"
+
+
+@query("E17_classify_era_keys", f"""WITH k AS (SELECT CAST(p_size % 10 + 2017 AS INTEGER) AS edition, p_type AS account, {_KEY_CODE} AS code, {_KEY_TITLE} AS title, p_partkey % 3 AS kind, CAST(p_retailprice AS DECIMAL(18,2)) AS v FROM part),
+er AS (SELECT DISTINCT edition, account, code, title FROM k WHERE edition < 2024), mo AS (SELECT DISTINCT edition, account, code, title FROM k WHERE edition >= 2024),
+ti AS (SELECT account, code, list(DISTINCT {_NT.format('title')}) AS ts FROM mo GROUP BY 1, 2),
+yr AS (SELECT account, code, CASE kind WHEN 0 THEN edition - 2 ELSE edition - 1 END AS fy, sum(v) FILTER (WHERE kind = 1) AS e, sum(v) FILTER (WHERE kind = 0) AS a FROM k WHERE kind < 2 GROUP BY 1, 2, 3),
+co AS (SELECT account, code, count(*) AS total, count(*) FILTER (WHERE greatest(abs(e), abs(a)) < 1000 OR (least(abs(e), abs(a)) * 2 >= greatest(abs(e), abs(a)) AND (e >= 0) = (a >= 0))) AS passed FROM yr WHERE e IS NOT NULL AND a IS NOT NULL GROUP BY 1, 2),
+st AS (SELECT edition, code, count(DISTINCT account) > 1 AS sp FROM er GROUP BY 1, 2), sn AS (SELECT code, count(DISTINCT account) > 1 AS sp FROM mo GROUP BY 1),
+j AS (SELECT er.*, ts, passed, total, st.sp AS st, sn.sp AS sn, string_split({_NT.format('title')}, ' ') AS own FROM er LEFT JOIN ti USING (account, code) LEFT JOIN co USING (account, code) JOIN st USING (edition, code) LEFT JOIN sn USING (code))
+SELECT edition, account, code, title, CASE WHEN code IN ({', '.join(f"'{c}'" for c in _RESOLUTIONS)}) THEN 'CR' WHEN ts IS NULL THEN CASE WHEN sn IS NOT NULL THEN 'R2' ELSE 'H' END WHEN st AND NOT sn THEN 'R3' WHEN list_contains(ts, {_NT.format('title')}) THEN 'A1'
+ WHEN list_max([len(list_intersect(list_distinct(own), string_split(t, ' '))) / len(list_distinct(list_concat(own, string_split(t, ' ')))) FOR t IN ts]) >= 0.5 AND total > 0 AND passed * 3 >= total * 2 THEN 'A2' ELSE 'R1' END AS class FROM j""")
 def e17(spark, sf):
-    t = Lake(spark, sf).lines().groupBy("pe_bli", "account", "edition_year").agg(F.sum("amount_thousands").alias("v"), F.min("title").alias("title"))
-    w = Window.partitionBy("pe_bli", "account").orderBy("edition_year")
-    p = t.select("*", *[F.lead(c).over(w).alias(f"n_{c}") for c in ("edition_year", "v", "title")])
-    same = F.col("title") == F.col("n_title")
-    rules = [(F.col("n_edition_year").isNull(), "H"), (same & (F.col("n_edition_year") == F.col("edition_year") + 1), "A1"), (same, "A2"), ((F.col("v") <= 2 * F.col("n_v")) & (F.col("n_v") <= 2 * F.col("v")), "R1")]
-    return p.select("pe_bli", "account", "edition_year", linking.first_true(rules, "CR").alias("class"))
+    p = Lake(spark, sf).part
+    k = p.select((F.col("p_size") % 10 + 2017).cast("int").alias("edition"), F.col("p_type").alias("account"), F.expr(_KEY_CODE).alias("code"), F.expr(_KEY_TITLE).alias("title"), (F.col("p_partkey") % 3).alias("kind"), F.col("p_retailprice").cast("decimal(18,2)").alias("amount"))
+    keys = k.select("edition", "account", "code", "title").distinct()
+    fy = F.when(F.col("kind") == 0, F.col("edition") - 2).otherwise(F.col("edition") - 1)
+    amounts = k.filter("kind < 2").select("account", "code", fy.alias("fy"), F.when(F.col("kind") == 0, "actuals").otherwise("enacted").alias("kind"), "amount")
+    return linking.classify_era_keys(keys.filter("edition < 2024"), keys.filter("edition >= 2024"), amounts, _RESOLUTIONS)
 
 
 @query("E18_group_chains", with_sql("ln", "SELECT pe_bli, account, string_agg(DISTINCT title, ',' ORDER BY title) AS titles, CAST(sum(amount_thousands) FILTER (WHERE amount_type LIKE '%actuals') AS DOUBLE) AS actuals, sha256(string_agg(concat_ws('|', edition_year, title, line_id), chr(10) ORDER BY concat_ws('|', edition_year, title, line_id))) AS digest FROM ln GROUP BY 1, 2"))

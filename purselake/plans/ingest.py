@@ -143,11 +143,20 @@ def s14(spark, sf):
     return io.current_facts(facts, docs, "document_id", ["tags"])
 
 
-@query("S15_announcement_records", """WITH p AS (SELECT page_id, u.k - 1 AS pos, u.c AS part FROM (SELECT page_id, unnest(list_zip(range(1, 100000)[1:len(x)], x), recursive := false) AS z FROM (SELECT page_id, string_split(regexp_replace(html, '(<p\\b|<h1\\b)', chr(1) || '\\1', 'gi'), chr(1)) AS x FROM pages)) t, LATERAL (SELECT z[1] AS k, z[2] AS c) u),
-t AS (SELECT page_id, pos, regexp_matches(part, '(?i)^<h1\\b') AS is_heading, trim(regexp_replace(regexp_replace(part, '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')) AS body FROM p), h AS (SELECT *, last_value(CASE WHEN is_heading THEN body END IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS heading FROM t)
-SELECT page_id, pos, heading, body, len(regexp_extract_all(body, '[0-9]+')) AS n_numbers FROM h WHERE NOT is_heading AND body <> '' AND heading IS NOT NULL""")
+_HEADS = "|".join(x.replace(".", "\\.") for x in io.SERVICES)
+_BEFORE = "lower(right(z[i], 30))"
+
+
+@query("S15_announcement_records", with_sql("an", f""", p AS (SELECT page_id, unnest(ps) AS raw, CAST(generate_subscripts(ps, 1) - 1 AS INTEGER) AS pos, m, d, y FROM (SELECT page_id, regexp_extract_all(html, '(?is)<p(?:\\s[^>]*)?>(.*?)</p>', 1) AS ps, lower(regexp_extract(html, '{io.DATED_TITLE}', 1)) AS m, regexp_extract(html, '{io.DATED_TITLE}', 2) AS d, regexp_extract(html, '{io.DATED_TITLE}', 3) AS y FROM an)),
+b AS (SELECT page_id, pos, CASE WHEN y <> '' AND strpos('{io.MONTHS}', m) > 0 THEN concat(y, '-', lpad(CAST((strpos('{io.MONTHS}', m) + 2) // 3 AS VARCHAR), 2, '0'), '-', lpad(d, 2, '0')) END AS date, trim(regexp_replace(regexp_replace(raw, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')) AS body FROM p),
+h AS (SELECT *, upper(regexp_replace(body, '[ *]+$', '')) AS nm FROM b), g AS (SELECT *, length(nm) < 60 AND regexp_matches(nm, '^(?:{_HEADS})') AND NOT contains(body, '$') AS head FROM h),
+s AS (SELECT *, last_value(CASE WHEN head THEN regexp_replace(nm, '\\.+$', '') END IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS service FROM g),
+n AS (SELECT *, regexp_extract_all(body, '{io.CONTRACT_NUMBER}') AS ns, string_split_regex(body, '{io.CONTRACT_NUMBER}') AS z, regexp_extract_all(body, '{io.MONEY}', 1) AS am, regexp_extract_all(body, '{io.MONEY}', 2) AS un FROM s WHERE NOT head)
+SELECT page_id, pos, date, service, left(regexp_replace(split_part(body, ',', 1), '^[ *]+|[ *]+$', '', 'g'), 120) AS contractor,
+ array_to_string([concat(CASE WHEN contains(right({_BEFORE}, 12), 'contract ') OR contains({_BEFORE}, 'to contract') THEN 'referenced:' ELSE 'award:' END, regexp_replace(ns[i], '[- ]', '', 'g')) FOR i IN range(1, len(ns) + 1)], ',') AS contract_numbers,
+ array_to_string(list_slice([CAST(CAST(round(CAST(replace(am[i], ',', '') AS DECIMAL(20,4)) * CASE lower(un[i]) WHEN 'million' THEN 1000000 WHEN 'billion' THEN 1000000000 ELSE 1 END) AS BIGINT) AS VARCHAR) FOR i IN range(1, len(am) + 1)], 1, 4), ',') AS amounts, body FROM n WHERE len(ns) > 0"""))
 def s15(spark, sf):
-    return io.announcement_records(Lake(spark, sf).pages, "page_id", "html")
+    return io.announcement_records(Lake(spark, sf).announcements(), "page_id", "html")
 
 
 @query("S16_filing_dollar_normalize", "SELECT o_orderkey, CASE WHEN o_orderkey % 9 = 0 THEN '' ELSE CAST(CAST(floor(CAST(o_totalprice AS DECIMAL(18,2)) + 0.5) AS BIGINT) AS VARCHAR) END AS usd FROM orders")

@@ -148,15 +148,46 @@ def current_facts(facts: DataFrame, documents: DataFrame, key: str, lists: list[
     return out.select(*[F.concat_ws(",", c).alias(c) if c in lists else F.col(c) for c in out.columns])
 
 
+# The shape of a contract number, of a money figure and of an announcement's
+# title; names with which a service's heading begins.
+CONTRACT_NUMBER = r"\b[A-Z][A-Z0-9]{4,5}[- ]?[0-9]{2}[- ]?[A-Z][- ]?[A-Z0-9]{4}\b"
+MONEY = r"(?i)\$([0-9,]+(?:\.[0-9]+)?)(?:\s*(million|billion))?"
+DATED_TITLE = r"Contracts?\s+[Ff]or\s+([A-Z][a-z]{2})[a-z]*\.?\s+([0-9]{1,2}),?\s+([0-9]{4})"
+SERVICES = (
+    "ARMY", "NAVY", "AIR FORCE", "SPACE FORCE", "DEFENSE LOGISTICS AGENCY", "MISSILE DEFENSE AGENCY", "SPECIAL OPERATIONS", "DEFENSE ADVANCED RESEARCH", "U.S.",
+    "WASHINGTON HEADQUARTERS", "DEFENSE", "MARINE CORPS",
+)
+MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
+
+
 def announcement_records(pages: DataFrame, id_: str, html: str) -> DataFrame:
-    """Paragraphs of a page in order, each with the last heading before it, its link numbers
-    and money figures."""
-    parts = pages.select(id_, F.posexplode(F.split(html, r"(?i)(?=<(?:p|h1)\b)")))
-    clean = F.trim(F.regexp_replace(F.regexp_replace("col", "<[^>]*>", " "), r"\s+", " "))
-    t = parts.select(id_, "pos", F.col("col").rlike(r"(?i)^<h1\b").alias("is_heading"), clean.alias("body"))
+    """Paragraphs of an announcement that name a contract: the service of the last heading
+    before, the contractor (what stands before the first comma), contract numbers without
+    separators and with their role (a number after the word contract is referred to, any
+    other awarded), and the first four money figures in whole dollars."""
+    paragraphs = F.regexp_extract_all(html, F.lit(r"(?is)<p(?:\s[^>]*)?>(.*?)</p>"), F.lit(1))
+    found = lambda g: F.regexp_extract(html, DATED_TITLE, g)
+    month = F.position(F.lower(found(1)), F.lit(MONTHS))
+    two = lambda c: F.lpad(c.cast("string"), 2, "0")
+    date = F.when((found(3) != "") & (month > 0), F.concat_ws("-", found(3), two(((month + 2) / 3).cast("int")), two(found(2))))
+    parts = pages.select(id_, date.alias("date"), F.posexplode(paragraphs))
+    t = parts.select(id_, "date", "pos", F.trim(F.regexp_replace(F.regexp_replace("col", "<[^>]+>", " "), r"\s+", " ")).alias("body"))
+    name = F.upper(F.regexp_replace("body", "[ *]+$", ""))
+    heads = "|".join(s.replace(".", r"\.") for s in SERVICES)
+    is_heading = (F.length(name) < 60) & name.rlike(f"^(?:{heads})") & ~F.contains("body", F.lit("$"))
     w = Window.partitionBy(id_).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    t = t.withColumn("heading", F.last(F.when(F.col("is_heading"), F.col("body")), ignorenulls=True).over(w))
-    return t.filter(~F.col("is_heading") & (F.col("body") != "") & F.col("heading").isNotNull()).select(id_, "pos", "heading", "body", F.size(F.regexp_extract_all("body", F.lit("[0-9]+"), F.lit(0))).alias("n_numbers"))
+    t = t.withColumn("service", F.last(F.when(is_heading, F.regexp_replace(name, r"\.+$", "")), ignorenulls=True).over(w)).filter(~is_heading)
+    t = t.withColumn("numbers", F.regexp_extract_all("body", F.lit(CONTRACT_NUMBER), F.lit(0))).filter(F.size("numbers") > 0)
+    between = F.transform(F.split("body", CONTRACT_NUMBER), lambda x: F.lower(F.right(x, F.lit(30))))
+    t = t.withColumn("before", between)
+    referred = lambda x: F.contains(F.right(x, F.lit(12)), F.lit("contract ")) | F.contains(x, F.lit("to contract"))
+    numbers = F.transform("numbers", lambda x, i: F.concat(F.when(referred(F.get("before", i)), "referenced:").otherwise("award:"), F.regexp_replace(x, "[- ]", "")))
+    figures, units = (F.regexp_extract_all("body", F.lit(MONEY), F.lit(g)) for g in (1, 2))
+    scale = lambda u: F.when(F.lower(u) == "million", 1_000_000).when(F.lower(u) == "billion", 1_000_000_000).otherwise(1)
+    dollars = F.zip_with(figures, units, lambda v, u: F.round(F.replace(v, F.lit(",")).try_cast("decimal(20,4)") * scale(u)).try_cast("decimal(20,0)").cast("string"))
+    dollars = F.slice(F.filter(dollars, lambda x: x.isNotNull()), 1, 4)
+    contractor = F.substring(F.regexp_replace(F.split_part("body", F.lit(","), F.lit(1)), r"^[ *]+|[ *]+$", ""), 1, 120)
+    return t.select(id_, "pos", "date", "service", contractor.alias("contractor"), F.array_join(numbers, ",").alias("contract_numbers"), F.array_join(dollars, ",").alias("amounts"), "body")
 
 
 def whole_dollars(c: Column) -> Column:
