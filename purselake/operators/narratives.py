@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from purselake.operators.windows import pick_first
@@ -36,6 +36,11 @@ CONTINUATIONS = ("continuation of", "continues under", "previously funded under"
 CODE_SIGNS = "[A-Z0-9]{5,}"
 ACCOUNT_PREFIX = "^[0-9]{4}(?=[A-Z])"
 
+ACRONYM = r"\b[A-Z][A-Za-z0-9&/.-]*(?:[ -][A-Z0-9][A-Za-z0-9&/.-]*){1,7}\s+\([A-Z]{2,10}[0-9]{0,3}\)"
+DESIGNATOR = r"\b(?:AN/[A-Z]{3}-[0-9]{1,3}[A-Z]?|[A-Z]{1,4}-[0-9]{1,4}[A-Z]?|(?:DDG|CVN|SSN|SSBN|LPD|LHA|LCS|FFG|T-AO)\s?[0-9]{2,4})\b"
+TITLE_JUNK = r"(?i)^(?:accomplishments|plans|title|description|articulat|congressional|program change|other program funding|acquisition strategy|performance metrics|n/a|none)\b"
+SYNTHETIC = "-L[0-9]+$"
+
 #: What stands before the last "moved to <code>" of a clause; its own codes are subjects.
 BEFORE_LAST_TO = rf"(?is)^(.*)(?:transferred?|realign\w*)\s+to\s+(?:pe|program element)\s+[0-9]"
 SUBJECT = rf"(?i)(?:(?:to|from)\s+)?{NAMED_CODE}"
@@ -119,6 +124,41 @@ def clause_candidates(narratives: DataFrame, id_: str, body: str) -> DataFrame:
     return c.select("clause_id", id_, "clause_no", clause.alias("clause"), near("before"), near("after"), F.array_join("codes", ",").alias("codes"))
 
 
+def occurrences(text: Column, pattern: str) -> Column:
+    """Matches of a pattern: (place, found), places in characters from 0. Letters beyond ASCII
+    count as gaps."""
+    plain = F.regexp_replace(text, r"[^\x00-\x7F]", " ")
+    found, between = F.regexp_extract_all(plain, F.lit(pattern), F.lit(0)), F.split(plain, pattern)
+    length = lambda a: F.aggregate(a, F.lit(0), lambda n, x: n + F.length(x))
+    return F.transform(found, lambda x, i: F.struct((length(F.slice(between, F.lit(1), i + 1)) + length(F.slice(found, F.lit(1), i))).alias("place"), x.alias("found")))
+
+
+def lexicon_candidates(narratives: DataFrame, key: str, id_: str, title: str, body: str, quotes: int = 3) -> DataFrame:
+    """(key, name, source, n, quote, id_): names that a program goes by, each with its first
+    ``quotes`` quotations: titles, acronyms and what they stand for, and designators of
+    titles and bodies. Titles that name a section of the book and synthetic keys are left
+    out, and so are names under 3 and over 90 characters."""
+    b, t = F.coalesce(F.col(body), F.lit("")), F.trim(F.coalesce(F.col(title), F.lit("")))
+    entry = lambda name, source, quote: F.struct(name.alias("name"), F.lit(source).alias("source"), quote.alias("quote"))
+
+    def around(o: Column, reach: int) -> Column:
+        start = F.greatest(o["place"] - reach, F.lit(0))
+        return F.substring(b, start + 1, o["place"] + F.length(o["found"]) + reach - start)
+
+    good = (t != "") & ~t.rlike(TITLE_JUNK)
+    none = F.array().cast("array<struct<name:string,source:string,quote:string>>")
+    of_title = F.when(good, F.concat(F.array(entry(t, "title", t)), F.transform(occurrences(t, DESIGNATOR), lambda o: entry(o["found"], "designator-title", t)))).otherwise(none)
+    acronyms = occurrences(b, ACRONYM)
+    short = lambda o: F.regexp_extract(o["found"], r"\(([A-Z0-9]+)\)$", 1)
+    of_acronyms = F.flatten(F.transform(acronyms, lambda o: F.array(entry(o["found"], "acronym-def", around(o, 60)), entry(short(o), "acronym", around(o, 60)))))
+    of_body = F.transform(occurrences(b, DESIGNATOR), lambda o: entry(o["found"], "designator-body", around(o, 90)))
+    rows = narratives.filter(F.col(key).isNotNull() & ~F.col(key).rlike(SYNTHETIC)).select(key, id_, F.posexplode(F.concat(of_title, of_acronyms, of_body))).select(key, id_, "pos", "col.*")
+    rows = rows.withColumn("name", F.trim(F.regexp_replace("name", r"\s+", " "))).filter(F.length("name").between(3, 90))
+    order = Window.partitionBy(key, F.lower("name")).orderBy(id_, "pos")
+    rows = rows.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= quotes)
+    return rows.select(key, "name", "source", "n", F.substring("quote", 1, 220).alias("quote"), id_)
+
+
 def code_forms(codes: DataFrame, code: str) -> DataFrame:
     """``codes`` once for each form (``token``, ``form``): as filed, and without the
     account's four digits where at least five signs stay."""

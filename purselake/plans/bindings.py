@@ -132,7 +132,7 @@ class Lake:
         codes = {c: F.expr(e) for c, e in NARRATIVE_CODES.items()}
         d = self.documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *[e.alias(c) for c, e in codes.items()])
         year = (2017 + F.col("doc_id") % 9).cast("int")
-        return d.select(F.col("doc_id").alias("narrative_id"), F.col("own").alias("pe_code"), year.alias("fiscal_year"), F.concat("text", F.lit(". "), F.expr(PASSAGE)).alias("body"))
+        return d.select(F.col("doc_id").alias("narrative_id"), F.col("own").alias("pe_code"), year.alias("fiscal_year"), F.concat("text", F.lit(". "), F.expr(PASSAGE)).alias("body"), F.expr(TITLE).alias("title"), F.expr(LEXICON_KEY).alias("lexicon_key"))
 
     def items(self) -> DataFrame:
         """Line items: a code as filed, some with their account's four digits before it."""
@@ -154,10 +154,10 @@ _PASSAGES = [
     "Efforts were realigned to program element {one}: see the summary. It is a continuation of {short0} now {item2}.",
     "This work was previously funded under PE {one} at $1.5 million and {item0} was previously funded in {item1} and {item2}.",
     "Formerly PE {one}. The line {item0} continues under {item40} or {item1}.",
-    "In PE {one} F-phase, efforts were transferred to PE {two} for $12.5 million. Nothing else.",
+    "In PE {one} F-phase, efforts were transferred to PE {two} for $12.5 million. The Joint Strike Program (JSP2) buys F-35A and DDG 51 spares.",
     "Funds were erroneously transferred to PE {one}. Line {item0} is listed beside {item1}.",
     "Funds were transferred to PE {one}. The transfer to {one} was rescinded in FY 2021. {short0} previously reflected in {item1}.",
-    "Funds were transferred to PE {one}. Another award was rescinded.",
+    "Funds were transferred to PE {one}. Another award was rescinded. Sea Based Radar Suite  (SBRS) with AN/TPY-2 and é-22 F-22.",
     "Work transferred from PE {one} and transferred to PE {two}. It moved; {item0} is a continuation of {item40}.",
     "Previously budgeted in PE {one}, it was realigned to PE {two}. Merged with 0601234 and split.",
 ]
@@ -175,7 +175,8 @@ PASSAGE = "CASE CAST(doc_id % 10 AS INT) " + " ".join(f"WHEN {i} THEN {_passage(
 
 
 def _number(prefix: str, key: str) -> str:
-    return f"concat('{prefix}', lpad(CAST({key} % 100000 AS STRING), 5, '0'), '-', lpad(CAST(o_custkey % 100 AS STRING), 2, '0'), '-C-', lpad(CAST({key} % 10000 AS STRING), 4, '0'))"
+    digits = 6 - len(prefix)
+    return f"concat('{prefix}', lpad(CAST({key} % {10**digits} AS STRING), {digits}, '0'), '-', lpad(CAST(o_custkey % 100 AS STRING), 2, '0'), '-C-', lpad(CAST({key} % 10000 AS STRING), 4, '0'))"
 
 
 _CENTS = "CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS STRING)"
@@ -209,6 +210,8 @@ ADJUDICATION_COLUMNS = {
 }
 
 
+TITLE = "CASE CAST(doc_id % 5 AS INT) WHEN 0 THEN 'Program Change Summary' WHEN 1 THEN 'n/a' WHEN 2 THEN concat('Advanced Radar AN/SPY-', CAST(doc_id % 30 + 1 AS STRING)) WHEN 3 THEN concat('  Mission   System ', CAST(doc_id % 40 AS STRING)) END"
+LEXICON_KEY = f"CASE WHEN doc_id % 13 = 0 THEN concat('ARMY-A-L', CAST(doc_id AS STRING)) ELSE {_code('CAST(floor(doc_id / 40) AS INT)')} END"
 SQL = {
     "al": f"""al AS (SELECT p_brand AS pe_bli, l_orderkey AS award_id, {', '.join(f'{e} AS {c}' for c, e in LINK_COLUMNS.items())} FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2),
 adj AS (SELECT pe_bli, award_id, {', '.join(f'{e} AS {c}' for c, e in ADJUDICATION_COLUMNS.items())} FROM al JOIN orders ON award_id = o_orderkey WHERE {ADJUDICATED}),
@@ -216,7 +219,7 @@ rev AS (SELECT r.*, exhibit, fiscal_year FROM (SELECT p_brand AS pe_bli, l_order
 rul AS (SELECT pe_bli, award_id, CASE o_orderstatus WHEN 'F' THEN 'withdraw' WHEN 'P' THEN 'hold' ELSE 'allow' END AS ruling FROM al JOIN orders ON award_id = o_orderkey WHERE o_orderpriority = '3-MEDIUM' AND o_totalprice < 250000)""",
     "an": f"""an AS (SELECT o_orderkey AS page_id, {ANNOUNCEMENT} AS html FROM orders)""",
     "nv": f"""nv AS (
-  SELECT doc_id AS narrative_id, {NARRATIVE_CODES['own']} AS pe_code, CAST(2017 + doc_id % 9 AS INTEGER) AS fiscal_year, concat(coalesce(text, ''), '. ', {PASSAGE}) AS body
+  SELECT doc_id AS narrative_id, {NARRATIVE_CODES['own']} AS pe_code, CAST(2017 + doc_id % 9 AS INTEGER) AS fiscal_year, concat(coalesce(text, ''), '. ', {PASSAGE}) AS body, {TITLE} AS title, {LEXICON_KEY} AS lexicon_key
   FROM documents)""",
     "it": f"""it AS (SELECT {ITEM_CODE.format('p_partkey')} AS code, p_type AS account, CAST(p_size % 10 + 2017 AS INTEGER) AS edition_year FROM part)""",
     # Clauses: inner points of numbers are hidden while the body is split.

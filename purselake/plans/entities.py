@@ -194,10 +194,10 @@ def e16(spark, sf):
     return s.select("pe_bli", linking.first_true([(F.col("a") == F.col("n"), "ACCOUNT"), (F.col("o") == F.col("n"), "ORGANIZATION")], "UNRESOLVED").alias("split_by"))
 
 
-# Keys of books: a code of brand, initial and size class; some titles are told at length.
-_KEY_CODE = "concat(substr(p_brand, 7), substr(p_name, 1, 1), CAST(CAST(floor(p_size / 10) AS INT) AS STRING))"
+# Keys of books: a code of brand and initial; some titles are told at length.
+_KEY_CODE = "concat(substr(p_brand, 7), substr(p_name, 1, 1))"
 _KEY_TITLE = "concat(p_name, CASE WHEN p_size % 3 = 0 THEN ' improved (MOD)' WHEN p_size % 3 = 1 THEN ' (MEMO)' ELSE '' END)"
-_RESOLUTIONS = ["10s1", "7c2", "13b0"]
+_RESOLUTIONS = ["10s", "7c"]
 _NT = "trim(regexp_replace(regexp_replace(lower({}), '\\((?:mod|memo|adv|lrip)\\)', ' ', 'g'), '\\s+', ' ', 'g'))"
 
 

@@ -192,12 +192,29 @@ def t03(spark, sf):
     return ws.select("doc_id", F.explode(F.array_distinct(grams)).alias("name")).join(small(names), "name", "left_semi").select("doc_id", "name")
 
 
-@query("T04_lexicon_candidates", f"""WITH {_CLAUSE_SQL}, c AS (SELECT doc_id, clause_no, clause, regexp_extract(clause, '(?:^|[^A-Za-z0-9_])([A-Z]{{3,8}})(?:$|[^A-Za-z0-9_])', 1) AS candidate FROM cl), q AS (SELECT *, row_number() OVER (PARTITION BY candidate ORDER BY doc_id, clause_no) AS n FROM c WHERE candidate <> '')
-SELECT candidate, doc_id, clause_no, n FROM q WHERE n <= 3""")
+def _places_sql(text: str, rx: str, alias: str) -> str:
+    """Matches ``alias``_f and the texts between them ``alias``_b of the plain text."""
+    plain = f"regexp_replace({text}, '[^\\x00-\\x7F]', ' ', 'g')"
+    return f"regexp_extract_all({plain}, '{rx}') AS {alias}_f, string_split_regex({plain}, '{rx}') AS {alias}_b"
+
+
+_AT = "CAST(coalesce(list_sum([length(x) FOR x IN list_slice({0}_b, 1, i)]), 0) + coalesce(list_sum([length(x) FOR x IN list_slice({0}_f, 1, i - 1)]), 0) AS BIGINT)"
+_AROUND = "substr(body, CAST(greatest(place - {1}, 0) AS BIGINT) + 1, CAST(place + length(f) + {1} - greatest(place - {1}, 0) AS BIGINT))"
+
+
+@query("T04_lexicon_candidates", with_sql("nv", f""", d AS (SELECT narrative_id, lexicon_key, body, trim(coalesce(title, '')) AS t, {_places_sql("trim(coalesce(title, ''))", narratives.DESIGNATOR, 'dt')}, {_places_sql('body', narratives.ACRONYM, 'ac')}, {_places_sql('body', narratives.DESIGNATOR, 'db')} FROM nv WHERE lexicon_key IS NOT NULL AND NOT regexp_matches(lexicon_key, '{narratives.SYNTHETIC}')),
+g AS (SELECT * FROM d WHERE t <> '' AND NOT regexp_matches(t, '{narratives.TITLE_JUNK}')),
+a AS (SELECT narrative_id, lexicon_key, body, i, ac_f[i] AS f, {_AT.format('ac')} AS place FROM (SELECT *, unnest(range(1, len(ac_f) + 1)) AS i FROM d)),
+b AS (SELECT narrative_id, lexicon_key, body, i, db_f[i] AS f, {_AT.format('db')} AS place FROM (SELECT *, unnest(range(1, len(db_f) + 1)) AS i FROM d)),
+c AS (SELECT narrative_id, lexicon_key, t AS name, 'title' AS source, t AS quote, 0 AS pos FROM g
+ UNION ALL SELECT narrative_id, lexicon_key, dt_f[i], 'designator-title', t, i FROM (SELECT *, unnest(range(1, len(dt_f) + 1)) AS i FROM g)
+ UNION ALL SELECT narrative_id, lexicon_key, f, 'acronym-def', {_AROUND.format(0, 60)}, 100000 + 2 * i FROM a UNION ALL SELECT narrative_id, lexicon_key, regexp_extract(f, '\\(([A-Z0-9]+)\\)$', 1), 'acronym', {_AROUND.format(0, 60)}, 100001 + 2 * i FROM a
+ UNION ALL SELECT narrative_id, lexicon_key, f, 'designator-body', {_AROUND.format(0, 90)}, 10000000 + i FROM b),
+n AS (SELECT narrative_id, lexicon_key, trim(regexp_replace(name, '\\s+', ' ', 'g')) AS name, source, quote, pos FROM c),
+r AS (SELECT *, row_number() OVER (PARTITION BY lexicon_key, lower(name) ORDER BY narrative_id, pos) AS n FROM n WHERE length(name) BETWEEN 3 AND 90)
+SELECT lexicon_key, name, source, CAST(n AS INTEGER) AS n, left(quote, 220) AS quote, narrative_id FROM r WHERE n <= 3"""))
 def t04(spark, sf):
-    c = clauses(Lake(spark, sf)).withColumn("candidate", F.regexp_extract("clause", r"(?:^|[^A-Za-z0-9_])([A-Z]{3,8})(?:$|[^A-Za-z0-9_])", 1)).filter("candidate <> ''")
-    n = F.row_number().over(Window.partitionBy("candidate").orderBy("doc_id", "clause_no"))
-    return c.select("candidate", "doc_id", "clause_no", n.alias("n")).filter("n <= 3")
+    return narratives.lexicon_candidates(Lake(spark, sf).narratives(), "lexicon_key", "narrative_id", "title", "body")
 
 
 _HEAD_SQL = "array_to_string(" + _WORDS_SQL + ", ' ')"
