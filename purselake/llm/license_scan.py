@@ -2,9 +2,9 @@
 
 A rule is a regex over a text's words, written from a license family (its name
 and short id) and a form ("licensed under the ...", "SPDX-License-Identifier:
-..."). Families times forms make some three hundred ordered rules. Only texts
-with a gate substring are scanned; of those, a family's rules run only where its
-keyword occurs as a word. Of overlapping detections the longer interval
+..."). Families times forms make some three hundred ordered rules. A rule runs only in
+texts that hold one of its own keywords as a word, and every text that the rule matches
+holds one. Of overlapping detections the longer interval
 suppresses what it contains, and otherwise the rule of higher priority stays.
 
 Long texts are scanned in blocks of ``BLOCK`` characters that see ``REACH`` more on both
@@ -32,11 +32,11 @@ NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BASE_PHRASE = "(?<= )(?:mit|apache|general public) license(?= )"
 BLOCK, REACH = 2000, 300
-GATE = ("licen", "spdx", "copyleft", "public domain")
 
-# Label, keyword that gates the family, name, short id.
+# Label, words of which each text of the name holds one, name, short id (whose
+# first word gates the forms with it).
 FAMILIES = [
-    ("mit", "mit", "(?:mit|expat) licen[cs]e", "mit"),
+    ("mit", "mit|expat", "(?:mit|expat) licen[cs]e", "mit"),
     ("mit-0", "mit", "mit no attribution(?: licen[cs]e)?", "mit 0"),
     ("apache-1.1", "apache", "apache (?:software )?licen[cs]e (?:version |v ?)?1 1", "apache 1 1"),
     ("apache-2.0", "apache", "apache (?:software )?licen[cs]e(?: version| v)? ?2(?: 0)?", "apache 2 0"),
@@ -45,13 +45,13 @@ FAMILIES = [
     ("gpl-2.0", "general", "(?:gnu )?general public licen[cs]e(?: version| v)? ?2(?: 0)?", "gpl 2 0(?: only| or later)?"),
     ("gpl-3.0", "general", "(?:gnu )?general public licen[cs]e(?: version| v)? ?3(?: 0)?", "gpl 3 0(?: only| or later)?"),
     ("gpl", "general", "(?:gnu )?general public licen[cs]e", "gpl"),
-    ("gpl-short", "gpl", "(?:gnu )?gpl ?v?[123](?: 0)?(?: licen[cs]e)?", "gpl"),
+    ("gpl-short", "gpl|gpl1|gpl2|gpl3|gplv1|gplv2|gplv3", "(?:gnu )?gpl ?v?[123](?: 0)?(?: licen[cs]e)?", "gpl"),
     ("lgpl-2.1", "lesser", "(?:gnu )?lesser general public licen[cs]e(?: version| v)? ?2 1", "lgpl 2 1(?: only| or later)?"),
     ("lgpl-3.0", "lesser", "(?:gnu )?lesser general public licen[cs]e(?: version| v)? ?3(?: 0)?", "lgpl 3 0(?: only| or later)?"),
     ("lgpl", "lesser", "(?:gnu )?lesser general public licen[cs]e", "lgpl"),
     ("agpl-3.0", "affero", "(?:gnu )?affero general public licen[cs]e(?:(?: version| v)? ?3(?: 0)?)?", "agpl 3 0(?: only| or later)?"),
     ("gfdl", "documentation", "(?:gnu )?free documentation licen[cs]e", "gfdl 1 [123]"),
-    ("bsd-2-clause", "bsd", "(?:simplified bsd|freebsd|bsd 2 clause|2 clause bsd)(?: licen[cs]e)?", "bsd 2 clause"),
+    ("bsd-2-clause", "bsd|freebsd", "(?:simplified bsd|freebsd|bsd 2 clause|2 clause bsd)(?: licen[cs]e)?", "bsd 2 clause"),
     ("bsd-3-clause", "bsd", "(?:new bsd|modified bsd|revised bsd|bsd 3 clause|3 clause bsd)(?: licen[cs]e)?", "bsd 3 clause"),
     ("bsd-4-clause", "bsd", "(?:original bsd|bsd 4 clause|4 clause bsd)(?: licen[cs]e)?", "bsd 4 clause"),
     ("bsd", "bsd", "bsd(?: style)? licen[cs]e", "bsd"),
@@ -62,7 +62,7 @@ FAMILIES = [
     ("mpl", "mozilla", "mozilla public licen[cs]e", "mpl"),
     ("epl-1.0", "eclipse", "eclipse public licen[cs]e(?: version| v)? ?1(?: 0)?", "epl 1 0"),
     ("epl-2.0", "eclipse", "eclipse public licen[cs]e(?: version| v)? ?2(?: 0)?", "epl 2 0"),
-    ("cddl-1.0", "cddl", "(?:common development and distribution licen[cs]e|cddl)(?: 1 0)?", "cddl 1 0"),
+    ("cddl-1.0", "cddl|distribution", "(?:common development and distribution licen[cs]e|cddl)(?: 1 0)?", "cddl 1 0"),
     ("eupl-1.2", "european", "european union public licen[cs]e(?:(?: version| v)? ?1 2)?", "eupl 1 2"),
     ("cecill-2.1", "cecill", "cecill(?: free software)?(?: licen[cs]e)?(?: agreement)?", "cecill 2 1"),
     ("artistic-2.0", "artistic", "artistic licen[cs]e(?:(?: version| v)? ?2(?: 0)?)?", "artistic 2 0"),
@@ -102,20 +102,21 @@ FORMS = [
 ]
 
 
-def signature_rules() -> list[tuple[int, str, str, str, float]]:
-    """(rank, label, keyword, regex over ' words '), in order of priority."""
+def signature_rules() -> list[tuple[int, str, list[str], str, float]]:
+    """(rank, label, keywords, regex over ' words ', weight), in order of priority."""
     out = []
     for priority, weight, form in FORMS:
-        for label, keyword, name, short in FAMILIES:
+        for label, keywords, name, short in FAMILIES:
             regex = form.replace("{name}", name).replace("{id}", short)
-            out.append((priority, label, keyword, f"(?<= )(?:{regex})(?= )", weight))
+            gate = keywords.split("|") * ("{name}" in form) + [short.split(" ")[0].split("(")[0]] * ("{id}" in form)
+            out.append((priority, label, sorted(set(gate)), f"(?<= )(?:{regex})(?= )", weight))
     return [(rank, label.removesuffix("-short"), k, r, w) for rank, (_, label, k, r, w) in enumerate(out)]
 
 
 def rule_table() -> Column:
     """The rules as one constant array of structs."""
-    names = ("rank", "label", "keyword", "regex", "weight")
-    return F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, rule)]) for rule in signature_rules()])
+    names = ("rank", "label", "keywords", "regex", "weight")
+    return F.array(*[F.struct(*[(F.array(*map(F.lit, v)) if isinstance(v, list) else F.lit(v)).alias(n) for n, v in zip(names, rule)]) for rule in signature_rules()])
 
 
 def spaces(c: Column) -> Column:
@@ -126,7 +127,7 @@ def spaces(c: Column) -> Column:
 # second part is a match.
 _INTERVALS = r"""
 flatten(transform(
-  filter(rules, r -> array_contains(present, r.keyword)),
+  filter(rules, r -> arrays_overlap(present, r.keywords)),
   r -> aggregate(
     split(regexp_replace(block.text, r.regex, '\u0001$0\u0002'), '[\u0001\u0002]'),
     named_struct('at', 0, 'k', 0, 'found', cast(array() as array<struct<start:int,stop:int,rank:int,label:string,weight:double>>)),
@@ -162,21 +163,11 @@ def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, base counts and places, labels, score, and ``detections``:
     (start, stop, rank, label, weight) by character of the text's joined words."""
     low = documents_only(docs).select("doc_id", F.translate("text", UPPER, LOWER).alias("low"))
-    gate = F.lit(False)
-    for g in GATE:
-        gate = gate | F.contains("low", F.lit(g))
-    gated = low.select(
-        "doc_id",
-        F.regexp_count("low", F.lit(WORD)).cast("long").alias("n_words"),
-        F.when(gate, F.concat(F.lit(" "), F.trim(F.regexp_replace("low", NOT_WORD, " ")), F.lit(" "))).alias("words"),
-    )
-    keywords = F.array(*[F.lit(k) for k in sorted({f[1] for f in FAMILIES})])
-    parts = gated.select(
-        "*",
-        F.split("words", BASE_PHRASE, -1).alias("parts"),
-        F.array_intersect(F.split("words", " "), keywords).alias("present"),
-        F.when(F.col("words").isNotNull(), rule_table()).alias("rules"),
-    )
+    spaced = low.select("doc_id", F.concat(F.lit(" "), F.trim(F.regexp_replace("low", NOT_WORD, " ")), F.lit(" ")).alias("words"))
+    keywords = F.array(*[F.lit(k) for k in sorted({k for r in signature_rules() for k in r[2]})])
+    present = F.array_intersect(F.split("words", " "), keywords)
+    gated = spaced.select("doc_id", F.when(F.col("words") == "  ", F.lit(0)).otherwise(spaces(F.col("words")) - 1).cast("long").alias("n_words"), "words", present.alias("present"))
+    parts = gated.select("*", F.split("words", BASE_PHRASE, -1).alias("parts"), F.when(F.size("present") > 0, rule_table()).alias("rules"))
     found = parts.select("*", F.when(F.size("present") > 0, F.expr(_DETECTIONS)).alias("found")).drop("rules")
     last = F.element_at("parts", -1)
     before_last = F.col("n_words") - (spaces(last) - 1)

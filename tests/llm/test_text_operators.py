@@ -227,7 +227,7 @@ def test_rules_are_many_ordered_and_suppress(spark):
 def brute_detections(text):
     """All rules over the whole text, then suppression of each by all others."""
     words = " " + " ".join(re.findall(license_scan.WORD, text.lower())) + " "
-    found = [(m.start(), m.end(), rank, label) for rank, label, keyword, regex, _ in license_scan.signature_rules() if f" {keyword} " in words for m in re.finditer(regex, words)]
+    found = [(m.start(), m.end(), rank, label) for rank, label, _, regex, _ in license_scan.signature_rules() for m in re.finditer(regex, words)]
 
     def beaten(d, e):
         contained = e[0] <= d[0] and e[1] >= d[1] and (e[1] - e[0] > d[1] - d[0] or e[2] < d[2])
@@ -396,3 +396,63 @@ def test_likeness_orders_texts():
     assert fingerprints.likeness(f, f) == 1.0
     assert fingerprints.likeness(f, fingerprints.fingerprint(near)) > 0.9 > 0.3 > fingerprints.likeness(f, fingerprints.fingerprint(far))
     assert fingerprints.likeness(f, fingerprints.fingerprint("")) == 0.0
+
+
+def every_text(regex):
+    """All texts that a regex of groups, choices, classes and question marks matches."""
+    parser = re._parser
+
+    def grow(tree):
+        out = [""]
+        for op, value in tree:
+            name = str(op)
+            if name == "LITERAL":
+                more = [chr(value)]
+            elif name == "IN":
+                more = [chr(v) for _, v in value]
+            elif name == "SUBPATTERN":
+                more = grow(value[3])
+            elif name == "BRANCH":
+                more = [x for branch in value[1] for x in grow(branch)]
+            elif name == "MAX_REPEAT" and value[:2] == (0, 1):
+                more = ["", *grow(value[2])]
+            else:
+                raise AssertionError(name)
+            out = [a + b for a in out for b in more]
+        return out
+
+    return grow(parser.parse(regex))
+
+
+def test_every_text_of_a_rule_holds_one_of_its_keywords():
+    for _, label, keywords, regex, _ in license_scan.signature_rules():
+        inner = regex.removeprefix("(?<= )").removesuffix("(?= )")
+        for text in every_text(inner):
+            assert set(keywords) & set(text.split(" ")), (label, text, keywords)
+
+
+@pytest.mark.parametrize(
+    ("text", "labels"),
+    [
+        ("Released under the GPL v3.", "gpl"), ("Distributed under CC BY 4.0", "cc-by"), ("WTFPL", "wtfpl"), ("use GPLv2 here", "gpl"), ("CC0 1.0 universal", "cc0-1.0"), ("Provided under the 2 clause BSD terms", "bsd-2-clause"),
+        ("SPDX-License-Identifier: GPL-2.0", "gpl-2.0"), ("the Expat license", "mit"), ("FreeBSD", "bsd-2-clause"), ("SPDX-License-Identifier: 0BSD", "0bsd"), ("general words of law", ""),
+    ],
+)
+def test_texts_without_the_word_license(spark, text, labels):
+    found = license_scan.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert labels in found["labels"].split(",") and (found.score > 0) == (labels != "")
+
+
+def test_long_class_lists_hide_nothing():
+    weights = html_text.Weights({}, {})
+    classes = " ".join(f"u{i}" for i in range(30))
+    page = f"<div class='{classes}'><article><p>One two three four.</p><aside class='advert'>Buy now cheap</aside><nav>menu</nav><p>Five six seven.</p></article></div>"
+    assert html_text.main_text(page, weights) == "One two three four.\nFive six seven."
+    deep = "<div class=a><b id=x>" * 30000 + "word <nav>menu</nav> end"
+    assert html_text.main_text(deep, weights) == "word\nend"
+    assert html_text.page_counts(deep)[0][0] in ("word", "<div")
+
+
+def test_characters_that_change_length_in_lower_case_hide_no_local_part():
+    text = "İ Mail Ann.B@home.org or ANN.B today"
+    assert [text[a:b] for a, b in pii.nodes_of(text)] == ["Ann.B@home.org", "ANN.B"]
