@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from purselake.llm.common import table
 
 SAMPLE = 1000
-CHAIN = 12
+FIT_CHAIN = 64
 RIDGE, STEPS = 3e-3, 400
 TAG_COST, OUTSIDE_COST = -0.02, -0.05
 TOP = 3.0
@@ -94,12 +94,26 @@ def keys_of(name: str, attributes: str) -> list[str]:
     return out
 
 
+class Open:
+    """An open element: the keys that it adds to those of the elements around it, and the
+    running sum of the keys' weights once that is asked for."""
+
+    __slots__ = ("outer", "keys", "total", "chain")
+
+    def __init__(self, outer: Open | None, keys: tuple[str, ...]):
+        self.outer, self.keys, self.total = outer, keys, None
+        before = outer.chain if outer else ()
+        #: All keys, outermost first, for the fit; None for more than ``FIT_CHAIN``.
+        self.chain = None if before is None or len(before) + len(keys) > FIT_CHAIN else before + keys if keys else before
+
+
 def tokens(page: str):
-    """(kind, value, chain, in_article) of a page in order; kind is 'tag', 'break' (a
-    block boundary) or 'text' (a decoded run of text). A chain is the sorted keys of the
-    open elements, of which the outermost ``CHAIN`` and the innermost count."""
+    """(kind, value, open element, in_article) of a page in order; kind is 'tag', 'break' (a
+    block boundary) or 'text' (a decoded run of text). The keys of all open elements count,
+    each once."""
     names: list[str] = []
-    chains: list[tuple[str, ...]] = [()]
+    chains: list[Open] = [Open(None, ())]
+    held: dict[str, int] = {}
     blocks: list[int] = []  # places of the open block elements
     count: dict[str, int] = {}
     at, end = 0, len(page)
@@ -107,7 +121,8 @@ def tokens(page: str):
     def close_to(depth: int) -> None:
         while len(names) > depth:
             count[names.pop()] -= 1
-            chains.pop()
+            for k in chains.pop().keys:
+                held[k] -= 1
         while blocks and blocks[-1] >= depth:
             blocks.pop()
 
@@ -145,24 +160,30 @@ def tokens(page: str):
             blocks.append(len(names))
         names.append(name)
         count[name] = count.get(name, 0) + 1
-        outer, own = chains[-1], keys_of(name, attributes)
-        fresh = [k for k in own if k not in outer] if own else own
-        chains.append((outer + tuple(fresh))[:CHAIN] if fresh and len(outer) < CHAIN else outer)
+        fresh = tuple(k for k in dict.fromkeys(keys_of(name, attributes)) if not held.get(k))
+        for k in fresh:
+            held[k] = 1
+        chains.append(Open(chains[-1], fresh))
 
 
 class Weights:
     """Scores of words by chain and of tags by name."""
 
     def __init__(self, words: dict[str, float], tags: dict[str, float]):
-        self.words, self.tags, self.known = words, tags, {}
-
-    def word(self, chain: tuple[str, ...]) -> float:
-        if chain not in self.known:
-            if len(self.known) > 20_000:
-                self.known.clear()
-            total = sum(self.words.get(k, prior_weight(k)) for k in ("*", *chain))
-            self.known[chain] = max(-TOP, min(TOP, total))
-        return self.known[chain]
+        self.words, self.tags = words, tags
+
+    def word(self, at: Open) -> float:
+        """The weights of ``*`` and of all keys around a word, within bounds."""
+        unknown = []
+        while at is not None and at.total is None:
+            unknown.append(at)
+            at = at.outer
+        total = at.total if at is not None else self.words.get("*", prior_weight("*"))
+        for element in reversed(unknown):
+            for k in element.keys:
+                total += self.words.get(k, prior_weight(k))
+            element.total = total
+        return max(-TOP, min(TOP, total))
 
     def tag(self, name: str) -> float:
         return self.tags.get(name, TAG_COST)
@@ -193,10 +214,13 @@ def fitted_weights(words: list[tuple[tuple[str, ...], bool, int]], tags: list[tu
 
 
 def page_counts(page: str) -> list[tuple[str, list[str], bool, int]]:
-    """('word' or tag name, chain, in the article, number) of one page."""
+    """('word' or tag name, chain, in the article, number) of one page. Words under more than
+    ``FIT_CHAIN`` keys are left out of the fit (not out of extraction)."""
     found: dict[tuple, int] = {}
-    for kind, value, chain, inside in tokens(page):
-        key, n = (("word", chain, inside), len(value.split())) if kind == "text" else ((f"<{value}", (), inside), 1)
+    for kind, value, at, inside in tokens(page):
+        if kind == "text" and at.chain is None:
+            continue
+        key, n = (("word", at.chain, inside), len(value.split())) if kind == "text" else ((f"<{value}", (), inside), 1)
         if n and value not in MARKS:
             found[key] = found.get(key, 0) + n
     return [(kind, list(chain), inside, n) for (kind, chain, inside), n in found.items()]
@@ -206,9 +230,9 @@ def main_text(page: str | None, weights: Weights) -> str:
     if not page:
         return ""
     sequence: list[tuple[float, str | None]] = []
-    for kind, value, chain, _ in tokens(page):
+    for kind, value, at, _ in tokens(page):
         if kind == "text":
-            score, n = weights.word(chain), len(value.split())
+            score, n = weights.word(at), len(value.split())
             sequence.append((score * n, value) if score > 0 else (RUN_COST * score * min(n, 1), None))
         else:
             sequence.append((weights.tag(value), "\n" if kind == "break" else None))
