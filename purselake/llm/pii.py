@@ -97,8 +97,16 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out, key=lambda x: (x[0], x[2]))
 
 
+_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
+
+
+def lowered(text: str) -> str:
+    """A-Z as a-z; no other character changes, so places stay the same."""
+    return text.translate(_LOWER)
+
+
 def local_part(token: str) -> str:
-    return token.rpartition("@")[0].lower()
+    return lowered(token.rpartition("@")[0])
 
 
 def nodes_of(text: str) -> list[tuple[int, int]]:
@@ -116,7 +124,7 @@ def nodes_of(text: str) -> list[tuple[int, int]]:
             out.append((m.start() + a, m.start() + b))
     locals_ = {local_part(text[a:b]) for a, b in out if "@" in text[a:b]}
     if any(len(x) >= 4 for x in locals_):
-        low, taken, at = text.lower(), out, 0
+        low, taken, at = lowered(text), out, 0
         words = []
         for m in _WORD.finditer(low):
             if m[0].rstrip(".-") not in locals_ and m[0] not in locals_:
@@ -124,7 +132,7 @@ def nodes_of(text: str) -> list[tuple[int, int]]:
             while at < len(taken) and taken[at][1] <= m.start():
                 at += 1
             end = m.end() if m[0] in locals_ else m.start() + len(m[0].rstrip(".-"))
-            if len(low) == len(text) and (at == len(taken) or taken[at][0] >= end):
+            if at == len(taken) or taken[at][0] >= end:
                 words.append((m.start(), end))
         out = sorted(out + words)
     return out
@@ -167,10 +175,10 @@ def keys_of(token: str) -> list[str]:
     """What tokens have in common that are alike: digits or their last seven, an address
     or its local part."""
     if "@" in token:
-        return [x for x in (token.lower(), local_part(token)) if len(x) >= 4]
+        return [x for x in (lowered(token), local_part(token)) if len(x) >= 4]
     d = digits_of(token)
     out = [d[-7:]] if len(d) >= 4 else []
-    return out + [token.lower()] if any(c.isalpha() for c in token) else out
+    return out + [lowered(token)] if any(c.isalpha() for c in token) else out
 
 
 def edges_of(text: str, nodes: list[tuple[int, int]]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
