@@ -13,9 +13,9 @@ Equal texts have equal fingerprints. Lanes wrap at 2**16, so likeness, not equal
 loses meaning for a text that repeats one word triple over 32,000 times.
 
 The edited text needs the next document in order of doc_id. Rows are dealt to ranges
-of doc_id; each range also gets the first row of the next non-empty range (a row a
-range, found by an aggregate), so every task streams its sorted rows once and no text
-moves twice.
+of doc_id; each range also gets the first row of the next non-empty range (found by an
+aggregate and joined by range), so every task streams its sorted rows once and of each
+range only the first text moves twice.
 
 Cases: a null text is the empty text, with the zero fingerprint; likeness of two
 empty texts is 1, of an empty and another 0. Rows of equal doc_id follow one another
@@ -40,6 +40,7 @@ IDENTITY = 8
 LANES = 256
 ROWS_PER_RANGE = 4000
 MAX_RANGES = 1 << 16
+IDS_PER_RANGE = 64
 _START = np.uint64(0x1B873593)
 _M = np.uint64(0x9E3779B97F4A7C15)
 
@@ -108,7 +109,9 @@ def with_next(docs: DataFrame) -> DataFrame:
     rows = documents_only(docs).select(F.col("doc_id").cast("long"), "text")
     n = rows.count()
     ranges = min(max(1, n // ROWS_PER_RANGE), MAX_RANGES)
-    cuts = sorted(set(rows.approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 0.2 / ranges))) if ranges > 1 else []
+    # Only the ranges' borders come from some of the ids; every row is dealt to a range.
+    some = rows.select("doc_id").filter(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, n // (IDS_PER_RANGE * ranges)))) == 0)
+    cuts = sorted(set(some.approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 0.2 / ranges))) if ranges > 1 else []
     shared = docs.sparkSession.sparkContext.broadcast(np.array(cuts, dtype=np.int64))  # 512 KB at most
 
     @F.pandas_udf("int")
@@ -118,10 +121,12 @@ def with_next(docs: DataFrame) -> DataFrame:
     bucket = F.when(F.col("doc_id").isNull(), F.lit(len(cuts))).otherwise(place(F.coalesce("doc_id", F.lit(0).cast("long"))) if cuts else F.lit(0))
     dealt = rows.withColumn("bucket", bucket)
     heads = dealt.groupBy("bucket").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text")).alias("head"))
+    # The ranges in order: numbers alone, ``MAX_RANGES`` at most. Texts are joined to them.
     order = Window.orderBy("bucket")
     everything = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    first = F.coalesce(F.lead("head").over(order), F.first("head").over(everything))
-    follow = heads.select("bucket", first.alias("head")).select("bucket", F.lit(True).alias("extra"), "head.no_id", "head.doc_id", "head.text")
+    after = F.coalesce(F.lead("bucket").over(order), F.first("bucket").over(everything))
+    numbers = dealt.select("bucket").distinct().select("bucket", after.alias("after"))
+    follow = numbers.join(heads.withColumnRenamed("bucket", "after"), "after").select("bucket", F.lit(True).alias("extra"), "head.no_id", "head.doc_id", "head.text")
     return dealt.select("bucket", F.lit(False).alias("extra"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "text").unionByName(follow)
 
 

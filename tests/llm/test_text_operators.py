@@ -380,6 +380,23 @@ def test_fingerprints(request, docs, monkeypatch):
     assert sorted(got, key=repr) == sorted(want, key=repr)
 
 
+def test_many_ranges_of_long_texts(spark, monkeypatch):
+    """Ranges from a few ids, some empty or uneven: each row still meets the next one."""
+    monkeypatch.setattr(fingerprints, "ROWS_PER_RANGE", 3)
+    monkeypatch.setattr(fingerprints, "IDS_PER_RANGE", 1)
+    texts = {i * i: f"text {i} " * 2000 for i in range(120)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    ids = sorted(texts)
+    got = {r.doc_id: r.edited_sha256 for r in fingerprints.document_fingerprints(docs).collect()}
+    for d, after in zip(ids, ids[1:] + ids[:1]):
+        half = len(texts[d]) // 2
+        edited = texts[d][: len(texts[d]) - half] + texts[after][:half]
+        assert got[d] == hashlib.sha256(edited.encode()).hexdigest()
+    ordered = fingerprints.with_next(docs)._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in ordered.splitlines() if "windowspecdefinition" in line and "Window [" in line]
+    assert windows and not any("text" in w or "head" in w for w in windows)
+
+
 def test_order_insertion_and_deletion():
     f = fingerprints.fingerprint("a b c d\ne f g")
     same = lambda x, y: (x[0] == y[0]).all() and (x[1] == y[1]).all()
