@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from purselake.llm.common import documents_only, table, with_long_ids
+from purselake.llm.common import documents_only, staged, table, with_long_ids
 
 IDENTITY = 8
 LANES = 256
@@ -120,12 +120,12 @@ def with_next(docs: DataFrame) -> DataFrame:
 
     bucket = F.when(F.col("doc_id").isNull(), F.lit(len(cuts))).otherwise(place(F.coalesce("doc_id", F.lit(0).cast("long"))) if cuts else F.lit(0))
     dealt = rows.withColumn("bucket", bucket)
-    heads = dealt.groupBy("bucket").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text")).alias("head"))
+    heads = staged(dealt.groupBy("bucket").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text")).alias("head")), "heads")
     # The ranges in order: numbers alone, ``MAX_RANGES`` at most. Texts are joined to them.
     order = Window.orderBy("bucket")
     everything = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     after = F.coalesce(F.lead("bucket").over(order), F.first("bucket").over(everything))
-    numbers = dealt.select("bucket").distinct().select("bucket", after.alias("after"))
+    numbers = heads.select("bucket", after.alias("after"))
     follow = numbers.join(heads.withColumnRenamed("bucket", "after"), "after").select("bucket", F.lit(True).alias("extra"), "head.no_id", "head.doc_id", "head.text")
     return dealt.select("bucket", F.lit(False).alias("extra"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "text").unionByName(follow)
 
