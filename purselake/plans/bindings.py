@@ -24,12 +24,16 @@ class Lake:
         setattr(self, name, table)  # its schema is read once
         return table
 
-    def transactions(self) -> DataFrame:
-        """Award transactions: lineitem with its order's date-free columns."""
-        li, o = self.lineitem, self.orders
+    def transactions(self, with_order: bool = True) -> DataFrame:
+        """Award transactions: lineitem with its order's date-free columns. Each line item
+        has its one order, so jobs that need none of its columns leave the join out."""
         money = F.col("l_extendedprice").cast("decimal(18,2)") * (1 - F.col("l_discount")).cast("decimal(4,2)")
         signed = F.when(F.col("l_returnflag") == "R", -money).otherwise(money).cast("decimal(24,4)")
-        return li.join(o, li.l_orderkey == o.o_orderkey).select(
+        rows, of_order = self.lineitem, []
+        if with_order:
+            rows = rows.join(self.orders, F.col("l_orderkey") == F.col("o_orderkey"))
+            of_order = [F.col("o_custkey").alias("customer_id"), F.col("o_orderpriority").alias("sub_agency")]
+        return rows.select(
             F.concat_ws("-", "l_orderkey", "l_linenumber").alias("transaction_key"),
             F.when(F.col("l_linestatus") == "O", "contract").otherwise("assistance").alias("award_type"),
             F.col("l_shipdate").cast("date").alias("action_date"),
@@ -38,8 +42,7 @@ class Lake:
             F.col("l_orderkey").alias("award_id"),
             F.col("l_suppkey").alias("recipient_id"),
             F.col("l_partkey").alias("part_id"),
-            F.col("o_custkey").alias("customer_id"),
-            F.col("o_orderpriority").alias("sub_agency"),
+            *of_order,
             F.col("l_quantity").alias("quantity"),
         )
 
@@ -64,8 +67,8 @@ class Lake:
     def located(self) -> DataFrame:
         return self.transactions().join(self.places(), "customer_id")
 
-    def family_transactions(self) -> DataFrame:
-        return self.transactions().join(self.recipients(), "recipient_id", "left")
+    def family_transactions(self, with_order: bool = True) -> DataFrame:
+        return self.transactions(with_order).join(self.recipients(), "recipient_id", "left")
 
     def lines(self) -> DataFrame:
         """Budget lines: code, account, organization, edition, amount type, amount."""

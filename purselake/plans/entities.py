@@ -53,7 +53,7 @@ def e04(spark, sf):
     lake = Lake(spark, sf)
     pairs = lake.transactions().select("recipient_id", (F.col("customer_id") % 4).alias("parent_id")).distinct()
     curated = lake.supplier.filter("s_suppkey % 9 = 0").select(F.col("s_suppkey").alias("recipient_id"), F.lit(1).cast("long").alias("parent_id"))
-    absent = curated.join(pairs, ["recipient_id", "parent_id"], "left_anti").join(lake.transactions(), "recipient_id", "left_semi")
+    absent = curated.join(pairs, ["recipient_id", "parent_id"], "left_anti").join(lake.transactions(with_order=False), "recipient_id", "left_semi")
     if absent.count() == curated.count() and not curated.isEmpty():
         raise ValueError("no curated exclusion bites")
     return pairs.join(curated, ["recipient_id", "parent_id"], "left_anti")
@@ -62,7 +62,7 @@ def e04(spark, sf):
 @query("E05_label_margin", with_sql("tx xw", """, s AS (SELECT family_key, recipient_name, sum(greatest(obligation, 0)) AS v FROM tx JOIN xw USING (recipient_id) GROUP BY 1, 2), r AS (SELECT *, lead(v) OVER w AS nxt, row_number() OVER w AS n FROM s WINDOW w AS (PARTITION BY family_key ORDER BY v DESC, recipient_name))
 SELECT family_key, recipient_name, CAST((v - coalesce(nxt, 0)) * 100 AS DOUBLE) / CAST(v AS DOUBLE) < 15 AS close FROM r WHERE n = 1 AND v > 0"""))
 def e05(spark, sf):
-    s = Lake(spark, sf).family_transactions().filter("family_key IS NOT NULL").groupBy("family_key", "recipient_name").agg(F.sum(X.positive_part(F.col("obligation"))).alias("v"))
+    s = Lake(spark, sf).family_transactions(with_order=False).filter("family_key IS NOT NULL").groupBy("family_key", "recipient_name").agg(F.sum(X.positive_part(F.col("obligation"))).alias("v"))
     w = Window.partitionBy("family_key").orderBy(F.col("v").desc(), "recipient_name")
     r = s.select("*", F.lead("v").over(w).alias("next"), F.row_number().over(w).alias("n")).filter("n = 1 AND v > 0")
     share = ((F.col("v") - F.coalesce("next", F.lit(0))) * 100).cast("double") / F.col("v").cast("double")
@@ -141,7 +141,7 @@ def e08(spark, sf):
 def e09(spark, sf):
     """Pairs are projected from counts; none is built."""
     lake = Lake(spark, sf)
-    a = lake.transactions().groupBy("fiscal_year", "award_type").agg(F.countDistinct("award_id").alias("awards"))
+    a = lake.transactions(with_order=False).groupBy("fiscal_year", "award_type").agg(F.countDistinct("award_id").alias("awards"))
     n = lake.lines().groupBy((F.col("edition_year") - 20).alias("fiscal_year")).agg(n_rows().alias("lines"))
     return n.join(a, "fiscal_year").withColumn("pairs", F.col("lines") * F.col("awards")).withColumn("allowed", F.col("pairs") <= 500_000)
 
@@ -164,7 +164,7 @@ def e12(spark, sf):
 
 @query("E13_pick_recipient", with_sql("tx", ", s AS (SELECT award_id, recipient_id, sum(obligation) AS v FROM tx GROUP BY 1, 2) SELECT award_id, recipient_id FROM (SELECT *, row_number() OVER (PARTITION BY award_id ORDER BY v DESC, recipient_id) AS n FROM s) WHERE n = 1"))
 def e13(spark, sf):
-    s = Lake(spark, sf).transactions().groupBy("award_id", "recipient_id").agg(F.sum("obligation").alias("v"))
+    s = Lake(spark, sf).transactions(with_order=False).groupBy("award_id", "recipient_id").agg(F.sum("obligation").alias("v"))
     return windows.pick_first(s, ["award_id"], [F.col("v").desc(), F.col("recipient_id")]).select("award_id", "recipient_id")
 
 
@@ -276,7 +276,7 @@ def e24(spark, sf):
 @query("E25_family_history", with_sql("tx xw", """, y AS (SELECT family_key, fiscal_year, sum(obligation) AS v FROM tx JOIN xw USING (recipient_id) GROUP BY 1, 2), c AS (SELECT family_key, max(fiscal_year) - min(fiscal_year) + 1 = count(*) AS complete FROM y GROUP BY 1)
 SELECT family_key, fiscal_year, CAST(v AS DOUBLE) AS v, CASE WHEN complete THEN CAST(sum(v) OVER (PARTITION BY family_key ORDER BY fiscal_year ROWS UNBOUNDED PRECEDING) AS DOUBLE) END AS cumulative FROM y JOIN c USING (family_key)"""))
 def e25(spark, sf):
-    y = Lake(spark, sf).family_transactions().filter("family_key IS NOT NULL").groupBy("family_key", "fiscal_year").agg(F.sum("obligation").alias("v"))
+    y = Lake(spark, sf).family_transactions(with_order=False).filter("family_key IS NOT NULL").groupBy("family_key", "fiscal_year").agg(F.sum("obligation").alias("v"))
     part = Window.partitionBy("family_key")
     complete = F.max("fiscal_year").over(part) - F.min("fiscal_year").over(part) + 1 == F.count(F.lit(1)).over(part)
     running = F.sum("v").over(part.orderBy("fiscal_year").rowsBetween(Window.unboundedPreceding, 0))

@@ -23,7 +23,7 @@ def tier_rank(c):
 
 def crosswalk(lake):
     """Recipients with totals, method and confidence."""
-    totals = lake.transactions().groupBy("recipient_id").agg(F.sum("obligation").alias("total_obligation"))
+    totals = lake.transactions(with_order=False).groupBy("recipient_id").agg(F.sum("obligation").alias("total_obligation"))
     tier = F.when(F.col("balance") >= 5000, "high").when(F.col("balance") >= 0, "medium").otherwise("low")
     return lake.recipients().join(totals, "recipient_id", "left").withColumn("confidence", tier)
 
@@ -98,7 +98,7 @@ def programs(lake):
 @query("M06_dim_recipients", with_sql("tx xw", "SELECT recipient_id, recipient_name, parent_name, CAST(sum(obligation) AS DOUBLE) AS total_obligation, count(*) AS transaction_count, min(fiscal_year) AS first_fiscal_year, max(fiscal_year) AS last_fiscal_year FROM tx JOIN xw USING (recipient_id) GROUP BY 1, 2, 3"))
 def m06(spark, sf):
     lake = Lake(spark, sf)
-    t = lake.transactions().groupBy("recipient_id").agg(money(F.sum("obligation"), "total_obligation"), n_rows().alias("transaction_count"), F.min("fiscal_year").alias("first_fiscal_year"), F.max("fiscal_year").alias("last_fiscal_year"))
+    t = lake.transactions(with_order=False).groupBy("recipient_id").agg(money(F.sum("obligation"), "total_obligation"), n_rows().alias("transaction_count"), F.min("fiscal_year").alias("first_fiscal_year"), F.max("fiscal_year").alias("last_fiscal_year"))
     return t.join(lake.recipients().select("recipient_id", "recipient_name", "parent_name"), "recipient_id")
 
 
@@ -116,7 +116,7 @@ def m08(spark, sf):
 @query("M09_award_transactions", with_sql("tx", "SELECT award_type, transaction_key, part_id, fiscal_year, CAST(obligation AS DOUBLE) AS obligation FROM tx WHERE award_type = 'contract' UNION ALL SELECT award_type, transaction_key, part_id, fiscal_year, CAST(obligation AS DOUBLE) FROM tx WHERE award_type = 'assistance'"))
 def m09(spark, sf):
     # Both archives lie in one table here: the union of its two filters is the scan itself.
-    return Lake(spark, sf).transactions().filter(F.col("award_type").isin("contract", "assistance")).select("award_type", "transaction_key", "part_id", "fiscal_year", money(F.col("obligation"), "obligation"))
+    return Lake(spark, sf).transactions(with_order=False).filter(F.col("award_type").isin("contract", "assistance")).select("award_type", "transaction_key", "part_id", "fiscal_year", money(F.col("obligation"), "obligation"))
 
 
 # Editions -------------------------------------------------------------------------
@@ -308,7 +308,7 @@ def m17(spark, sf):
 
 @query("M18_family_obligations_by_year", with_sql("tx xw", "SELECT family_key, fiscal_year, CAST(sum(obligation) AS DOUBLE) AS total_obligation, count(*) AS transaction_count, count(DISTINCT recipient_id) AS uei_count FROM tx JOIN xw USING (recipient_id) GROUP BY 1, 2"))
 def m18(spark, sf):
-    return Lake(spark, sf).family_transactions().filter("family_key IS NOT NULL").groupBy("family_key", "fiscal_year").agg(money(F.sum("obligation"), "total_obligation"), n_rows().alias("transaction_count"), F.countDistinct("recipient_id").alias("uei_count"))
+    return Lake(spark, sf).family_transactions(with_order=False).filter("family_key IS NOT NULL").groupBy("family_key", "fiscal_year").agg(money(F.sum("obligation"), "total_obligation"), n_rows().alias("transaction_count"), F.countDistinct("recipient_id").alias("uei_count"))
 
 
 _EVENT_COLS = ["event_type", "key", "headline_value", "comparison_value", "pct_change", "fiscal_year", "units"]
@@ -337,7 +337,7 @@ def m19(spark, sf):
     h = s.groupBy("sub_agency", "fiscal_year").agg(F.sum(F.col("share") * F.col("share")).alias("hhi"), F.sum("p").alias("dollars")).filter("dollars >= 5000").drop("dollars")
     before = h.select("sub_agency", (F.col("fiscal_year") + 1).alias("fiscal_year"), F.col("hhi").alias("was"))
     con = event(h.join(before, ["sub_agency", "fiscal_year"]), "concentration_shift", F.col("sub_agency"), F.col("hhi"), F.col("was"), F.round((F.col("hhi") - F.col("was")) * 100 / F.col("was"), 2), F.col("fiscal_year"), "hhi")
-    new = lake.family_transactions().groupBy("family_key").agg(F.min("fiscal_year").alias("y"), F.sum("obligation").alias("s")).filter("y >= 1995 AND s >= 1000 AND family_key IS NOT NULL")
+    new = lake.family_transactions(with_order=False).groupBy("family_key").agg(F.min("fiscal_year").alias("y"), F.sum("obligation").alias("s")).filter("y >= 1995 AND s >= 1000 AND family_key IS NOT NULL")
     new = new.orderBy(F.col("y").desc(), F.col("s").desc(), "family_key").limit(25)
     return yoy.unionByName(zero).unionByName(con).unionByName(event(new, "new_entrant", F.col("family_key"), F.col("s"), none, none, F.col("y"), "usd"))
 
@@ -389,7 +389,7 @@ def m21(spark, sf):
     lake = Lake(spark, sf)
     counted = resolved_filings(lake).filter(F.col("resolution").isin("registration", "original", "amendment_counted"))
     a = counted.groupBy((F.col("registrant") % 100).alias("family"), "filing_year").agg(n_rows().alias("filings_count"), money(F.sum(F.col("income_usd").try_cast("decimal(20,2)")), "lobbying_income_usd"))
-    o = lake.transactions().groupBy(F.col("recipient_id").alias("family")).agg(money(F.sum("obligation"), "family_obligations_usd"))
+    o = lake.transactions(with_order=False).groupBy(F.col("recipient_id").alias("family")).agg(money(F.sum("obligation"), "family_obligations_usd"))
     return a.join(o, "family", "left")
 
 
@@ -399,7 +399,7 @@ f AS (SELECT pe_bli, basis, family, CAST(sum(p) AS DOUBLE) AS p, count(DISTINCT
 SELECT pe_bli, basis, CASE WHEN sum(p) = 0 THEN 0 ELSE sum(p * p) * 10000 / (sum(p) * sum(p)) END AS hhi, arg_max(family, p) AS top_family, count(*) AS family_count, count(*) FILTER (WHERE p > 0) AS positive_family_count, award_count, sum(p) AS program_dollars FROM f JOIN n USING (pe_bli, basis) GROUP BY pe_bli, basis, award_count HAVING award_count >= 3 AND count(*) FILTER (WHERE p > 0) >= 2 AND sum(p) > 0"""))
 def m22(spark, sf):
     lake = Lake(spark, sf)
-    t = lake.family_transactions().withColumn("family", F.coalesce("family_key", F.col("recipient_id").cast("string")))
+    t = lake.family_transactions(with_order=False).withColumn("family", F.coalesce("family_key", F.col("recipient_id").cast("string")))
     award = t.groupBy("award_id", "family").agg(F.sum(X.positive_part(F.col("obligation"))).alias("p"))
     # An award of several families counts once, with the first of them.
     counts = F.row_number().over(Window.partitionBy("award_id").orderBy("family")) == 1
@@ -471,7 +471,7 @@ def m28(spark, sf):
 SELECT award_id, recipient_id, n_awards, n_awards = 1 OR recipient_id = award_id % 100 AS named FROM slots JOIN n USING (award_id)"""))
 def m29(spark, sf):
     lake = Lake(spark, sf)
-    slots = lake.transactions().join(published(lake), "award_id", "left_semi").select("award_id", "recipient_id").distinct()
+    slots = lake.transactions(with_order=False).join(published(lake), "award_id", "left_semi").select("award_id", "recipient_id").distinct()
     return slots.withColumn("n_awards", F.count(F.lit(1)).over(Window.partitionBy("award_id"))).withColumn("named", (F.col("n_awards") == 1) | (F.col("recipient_id") == F.col("award_id") % 100))
 
 
@@ -484,7 +484,7 @@ def duplicate_copies(lake):
     """One window over each key's rows; two copies differ where their least and greatest do."""
     w = Window.partitionBy("award_type", "transaction_key")
     differ = lambda c: (F.min(c).over(w) != F.max(c).over(w)).cast("int") + 1
-    t = lake.transactions().select("award_type", "transaction_key", "fiscal_year", "action_date", "part_id")
+    t = lake.transactions(with_order=False).select("award_type", "transaction_key", "fiscal_year", "action_date", "part_id")
     t = t.withColumn("copies", F.count(F.lit(1)).over(w)).withColumn("fiscal_years", differ("fiscal_year")).withColumn("dated", F.count("action_date").over(w))
     c = t.withColumn("dates", differ("action_date")).withColumn("newest", F.max("action_date").over(w)).filter("copies > 1")
     why = F.when(F.col("copies") != 2, "more than two copies").when(F.col("fiscal_years") != 2, "both copies sit in one fiscal year").when(F.col("dated") != 2, "a copy has no date").when(F.col("dates") != 2, "both copies carry the same date")

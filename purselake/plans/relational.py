@@ -22,7 +22,7 @@ def money(c, name):
 
 @query("J01_left_enrichment", with_sql("tx xw", "SELECT family_key, count(*) AS n, CAST(sum(obligation) AS DOUBLE) AS total FROM tx LEFT JOIN xw USING (recipient_id) GROUP BY 1"))
 def j01(spark, sf):
-    return Lake(spark, sf).family_transactions().groupBy("family_key").agg(F.count(F.lit(1)).alias("n"), money(F.sum("obligation"), "total"))
+    return Lake(spark, sf).family_transactions(with_order=False).groupBy("family_key").agg(F.count(F.lit(1)).alias("n"), money(F.sum("obligation"), "total"))
 
 
 _NULLABLE = "SELECT p_partkey, p_brand, nullif(p_type, 'PROMO') AS kind FROM part"
@@ -37,7 +37,7 @@ def j02(spark, sf):
 @query("J03_semi", with_sql("tx lk", "SELECT transaction_key, part_id FROM tx WHERE award_id IN (SELECT award_id FROM lk WHERE confidence = 'high')"))
 def j03(spark, sf):
     lake = Lake(spark, sf)
-    return lake.transactions().join(lake.links().filter("confidence = 'high'"), "award_id", "left_semi").select("transaction_key", "part_id")
+    return lake.transactions(with_order=False).join(lake.links().filter("confidence = 'high'"), "award_id", "left_semi").select("transaction_key", "part_id")
 
 
 @query("J04_anti_several", "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem l WHERE NOT EXISTS (SELECT 1 FROM lineitem m WHERE m.l_returnflag = 'R' AND m.l_orderkey = l.l_orderkey AND m.l_linenumber = l.l_linenumber AND m.l_suppkey = l.l_suppkey)")
@@ -197,7 +197,7 @@ def j19(spark, sf):
 
 @query("A01_profile_group", with_sql("tx", "SELECT recipient_id, CAST(sum(obligation) AS DOUBLE) AS total, count(*) AS n, min(fiscal_year) AS first_year, max(fiscal_year) AS last_year FROM tx GROUP BY 1"))
 def a01(spark, sf):
-    return Lake(spark, sf).transactions().groupBy("recipient_id").agg(money(F.sum("obligation"), "total"), F.count(F.lit(1)).alias("n"), F.min("fiscal_year").alias("first_year"), F.max("fiscal_year").alias("last_year"))
+    return Lake(spark, sf).transactions(with_order=False).groupBy("recipient_id").agg(money(F.sum("obligation"), "total"), F.count(F.lit(1)).alias("n"), F.min("fiscal_year").alias("first_year"), F.max("fiscal_year").alias("last_year"))
 
 
 @query("A02_distinct_counts", with_sql("tx pl", "SELECT pop_state, pop_district, count(DISTINCT transaction_key) AS transactions, count(DISTINCT award_id) AS awards, count(DISTINCT recipient_id) AS recipients FROM tx JOIN pl USING (customer_id) GROUP BY 1, 2"))
@@ -246,7 +246,7 @@ def a08(spark, sf):
 @query("A09_hhi_window", with_sql("tx", """, e AS (SELECT fiscal_year, recipient_id, CAST(sum(greatest(obligation, 0)) AS DOUBLE) AS p FROM tx GROUP BY 1, 2), s AS (SELECT fiscal_year, p, 100 * p / sum(p) OVER (PARTITION BY fiscal_year) AS share FROM e WHERE p > 0)
 SELECT fiscal_year, sum(share * share) AS hhi FROM s GROUP BY 1 HAVING sum(p) >= 1000000"""))
 def a09(spark, sf):
-    e = Lake(spark, sf).transactions().groupBy("fiscal_year", "recipient_id").agg(F.sum(X.positive_part(F.col("obligation"))).cast(D).alias("p")).filter("p > 0")
+    e = Lake(spark, sf).transactions(with_order=False).groupBy("fiscal_year", "recipient_id").agg(F.sum(X.positive_part(F.col("obligation"))).cast(D).alias("p")).filter("p > 0")
     s = e.withColumn("share", windows.share_of_total("p", ["fiscal_year"]))
     return s.groupBy("fiscal_year").agg(F.sum(F.col("share") * F.col("share")).alias("hhi"), F.sum("p").alias("p")).filter("p >= 1000000").drop("p")
 
@@ -258,7 +258,7 @@ def a10(spark, sf):
 
 @query("A11_all_present", with_sql("tx", "SELECT award_id, count(*) AS n FROM tx GROUP BY 1 HAVING count(DISTINCT award_type) = 2"))
 def a11(spark, sf):
-    return Lake(spark, sf).transactions().groupBy("award_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("award_type").alias("k")).filter("k = 2").drop("k")
+    return Lake(spark, sf).transactions(with_order=False).groupBy("award_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("award_type").alias("k")).filter("k = 2").drop("k")
 
 
 @query("A12_ordered_string_agg", with_sql("ln", "SELECT pe_bli, string_agg(DISTINCT account, ',' ORDER BY account) AS accounts FROM ln GROUP BY 1"))
@@ -441,7 +441,7 @@ def o03(spark, sf):
 
 @query("O04_top_families", with_sql("tx xw", "SELECT family_key, CAST(sum(obligation) AS DOUBLE) AS total FROM tx JOIN xw USING (recipient_id) GROUP BY 1 ORDER BY sum(obligation) DESC, 1 LIMIT 10"))
 def o04(spark, sf):
-    t = Lake(spark, sf).family_transactions().groupBy("family_key").agg(F.sum("obligation").alias("s"))
+    t = Lake(spark, sf).family_transactions(with_order=False).groupBy("family_key").agg(F.sum("obligation").alias("s"))
     return t.orderBy(F.col("s").desc(), "family_key").limit(10).select("family_key", money(F.col("s"), "total"))
 
 

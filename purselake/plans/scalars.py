@@ -186,7 +186,7 @@ def p25(spark, sf):
 
 @query("P26_positive_part", with_sql("tx", "SELECT transaction_key, part_id, CAST(greatest(coalesce(obligation, 0), 0) AS DOUBLE) AS positive FROM tx"))
 def p26(spark, sf):
-    return Lake(spark, sf).transactions().select("transaction_key", "part_id", X.positive_part(F.col("obligation")).cast("double").alias("positive"))
+    return Lake(spark, sf).transactions(with_order=False).select("transaction_key", "part_id", X.positive_part(F.col("obligation")).cast("double").alias("positive"))
 
 
 @query("P27_pct_change", "SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN b <> 0 THEN CAST(round((a - b) * 100 / b, 2) AS DOUBLE) END AS pct FROM (SELECT *, CAST(l_quantity AS DOUBLE) AS a, CASE WHEN l_tax = 0.04 THEN 0 WHEN l_tax <> 0.02 THEN 64.0 END AS b FROM lineitem)")
