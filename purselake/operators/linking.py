@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from purselake.functions.exprs import normalize_title, title_jaccard
+from purselake.functions.exprs import RESIDUE_WORDS, normalize_name, normalize_title, title_jaccard
+from purselake.operators.narratives import contiguous_pairs
 from purselake.operators.windows import pick_first
 
 
@@ -37,6 +38,49 @@ def entity_crosswalk(df: DataFrame, recipient: str, name: str, parent_id: str, p
     return x.withColumn("family_key", family).withColumn("method", method)
 
 
+#: How a client's name is matched with a family, best first.
+CLIENT_TIERS = ("exact_family", "curated_alias", "normalized", "family_raw_name", "suffix_residue")
+
+
+def client_matches(clients: DataFrame, name: str, families: DataFrame, aliases: DataFrame, raw_names: DataFrame) -> DataFrame:
+    """(name, family_key, tier): every pair of a filed name and a family that match, by their
+    best tier: the normalized name is the family's key; an alias of it; holds it as whole words
+    in a row; is a name of one of its members; equals it without words that say nothing. The
+    third and fifth ask for two words or four letters.
+
+    ``families`` holds family_key, ``aliases`` and ``raw_names`` family_key and name as written.
+    Names are matched once, however many clients file under them; empty names match nothing."""
+    filed = clients.select(name).distinct().withColumn("clean", normalize_name(F.col(name))).filter("clean <> ''")
+    c = filed.select("clean").distinct().withColumn("words", F.split("clean", " "))
+    f = families.select("family_key").filter("family_key <> ''").distinct().withColumn("words", F.split("family_key", " "))
+    telling = lambda words: (F.size(words) >= 2) | (F.length(F.get(words, 0)) >= 4)
+    known = lambda df: df.select("family_key", normalize_name(F.col("name")).alias("clean")).distinct()
+    inside = contiguous_pairs(c, f.filter(telling("words")), []).select(F.col("h_clean").alias("clean"), F.col("n_family_key").alias("family_key"))
+
+    def core(df, key):
+        left = df.select(key, F.filter("words", lambda w: ~w.isin(*RESIDUE_WORDS)).alias("core"))
+        return left.filter(F.size("core") > 0).filter(telling("core"))
+
+    found = [
+        c.join(f.select("family_key"), F.col("clean") == F.col("family_key")),
+        c.join(known(aliases), "clean"),
+        inside,
+        c.join(known(raw_names), "clean"),
+        core(c, "clean").join(core(f, "family_key"), "core"),
+    ]
+    ranked = [df.select("clean", "family_key", F.lit(i).alias("rank")) for i, df in enumerate(found)]
+    best = reduce(DataFrame.unionByName, ranked).groupBy("clean", "family_key").agg(F.min("rank").alias("rank"))
+    tier = F.element_at(F.array(*map(F.lit, CLIENT_TIERS)), F.col("rank") + 1)
+    return filed.join(best, "clean").select(name, "family_key", "rank", tier.alias("tier"))
+
+
+def best_client_match(clients: DataFrame, name: str, matches: DataFrame) -> DataFrame:
+    """``clients`` with the family and tier of their name's best match, of equal ones the
+    family first in order; tier 'none' without any."""
+    best = matches.groupBy(name).agg(F.min(F.struct("rank", "family_key", "tier")).alias("b")).select(name, "b.family_key", "b.tier")
+    return clients.join(best, name, "left").withColumn("tier", F.coalesce("tier", F.lit("none")))
+
+
 def cross_parent_downgrade(xwalk: DataFrame, family: str, parent: str, tier: str) -> DataFrame:
     """A family reached from more than one parent is at most medium."""
     many = xwalk.groupBy(family).agg(F.countDistinct(parent).alias("__k"))

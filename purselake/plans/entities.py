@@ -69,36 +69,26 @@ def e05(spark, sf):
     return r.select("family_key", "recipient_name", (share < 15).alias("close"))
 
 
-# Clients as filers write them: with an article and a suffix, by an alias, inside a longer
-# name, by the raw name, run together, or not at all.
-_CLIENT = ("concat('The Supplier ', n, ', Inc.')", "concat('SUP ', n)", "concat('Friends of Supplier ', n, ' Group')", "concat('Supplier#', lpad(n, 9, '0'))", "concat('Supplier', n)", "concat('Customer ', n)")
-_CASES = " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(_CLIENT))
+# Clients as filers write them: those of a market segment name the supplier of their nation's
+# number in the segment's own way, those in debt file under their own name.
+_FILED = """CASE WHEN c_acctbal < 0 THEN c_name WHEN c_mktsegment = 'MACHINERY' THEN concat('The Supplier ', n, ', Inc.') WHEN c_mktsegment = 'BUILDING' THEN concat('SUP ', n)
+ WHEN c_mktsegment = 'AUTOMOBILE' THEN concat('Friends of Supplier ', n, ' Group') WHEN c_mktsegment = 'FURNITURE' THEN concat('Supplier Holdings ', n, ' International') ELSE concat('Supplier#', lpad(n, 9, '0')) END"""
 _NORM = "trim(regexp_replace(regexp_replace(trim(regexp_replace(upper({}), '[^A-Z0-9 ]+', ' ', 'g')), ' +', ' ', 'g'), '^THE | (INC|LLC)$', '', 'g'))"
-_TIER_SQL = f"""WITH c AS (SELECT c_custkey, raw, {_NORM.format('raw')} AS clean FROM (SELECT c_custkey, CASE c_custkey % 6 {_CASES} END AS raw FROM (SELECT c_custkey, CAST(c_custkey % 150 AS VARCHAR) AS n FROM customer))),
-f AS (SELECT upper(s_name) AS raw, concat('SUPPLIER ', s_suppkey) AS family, concat('SUP ', s_suppkey) AS alias FROM supplier)
-SELECT c_custkey, CASE WHEN clean IN (SELECT family FROM f) THEN 'exact' WHEN clean IN (SELECT alias FROM f) THEN 'alias'
- WHEN EXISTS (SELECT 1 FROM f WHERE contains(concat(' ', c.clean, ' '), concat(' ', family, ' '))) THEN 'contiguous'
- WHEN upper(c.raw) IN (SELECT raw FROM f) THEN 'raw_name' WHEN replace(clean, ' ', '') IN (SELECT replace(family, ' ', '') FROM f) THEN 'residue' ELSE 'none' END AS tier FROM c"""
+_CORE = "trim(regexp_replace(regexp_replace({}, '\\b(HOLDINGS?|GROUP|INTERNATIONAL)\\b', ' ', 'g'), ' +', ' ', 'g'))"
+_TIER_SQL = f"""WITH c AS (SELECT c_custkey, {_NORM.format('raw')} AS clean FROM (SELECT c_custkey, {_FILED} AS raw FROM (SELECT *, CAST(c_nationkey AS VARCHAR) AS n FROM customer))),
+f AS (SELECT {_NORM.format('s_name')} AS raw, concat('SUPPLIER ', s_suppkey) AS family_key, concat('SUP ', s_suppkey) AS alias FROM supplier),
+p AS (SELECT c_custkey, family_key, CASE WHEN clean = family_key THEN 1 WHEN clean = alias THEN 2 WHEN contains(concat(' ', clean, ' '), concat(' ', family_key, ' ')) THEN 3 WHEN clean = f.raw THEN 4 WHEN {_CORE.format('clean')} = family_key THEN 5 END AS r FROM c, f),
+b AS (SELECT c_custkey, min(r) AS r, arg_min(family_key, (r, family_key)) AS family_key FROM p WHERE r IS NOT NULL GROUP BY 1)
+SELECT c_custkey, b.family_key, CASE r WHEN 1 THEN 'exact_family' WHEN 2 THEN 'curated_alias' WHEN 3 THEN 'normalized' WHEN 4 THEN 'family_raw_name' WHEN 5 THEN 'suffix_residue' ELSE 'none' END AS tier FROM c LEFT JOIN b USING (c_custkey)"""
 
 
 def client_tiers(lake):
-    """Tier of each client by set joins on its normalized name: a family's name, its alias,
-    its name as contiguous words, its raw name, its name run together."""
-    n = (F.col("c_custkey") % 150).cast("string")
-    kind = F.expr(f"CASE c_custkey % 6 {_CASES} END")
-    raw = lake.customer.select("c_custkey", n.alias("n")).select("c_custkey", kind.alias("raw"))
-    c = raw.select("c_custkey", F.upper("raw").alias("raw"), X.normalize_name(F.col("raw")).alias("clean")).withColumn("words", F.split("clean", " "))
-    family = F.concat(F.lit("SUPPLIER "), F.col("s_suppkey").cast("string"))
-    f = lake.supplier.select(F.upper("s_name").alias("raw"), family.alias("family"), F.concat(F.lit("SUP "), F.col("s_suppkey").cast("string")).alias("alias"))
-    inside = narratives.contiguous_pairs(c.select("c_custkey", "words"), f.select(F.split("family", " ").alias("words")).distinct(), [])
-    held = inside.select(F.col("h_c_custkey").alias("c_custkey"), F.lit(True).alias("contiguous")).distinct()
-    known = lambda col, name: f.select(F.col(col).alias(name), F.lit(True).alias(f"in_{name}")).distinct()
-    squeezed = f.select(F.replace("family", F.lit(" "), F.lit("")).alias("run"), F.lit(True).alias("in_run")).distinct()
-    j = c.withColumn("run", F.replace("clean", F.lit(" "), F.lit("")))
-    j = j.join(known("family", "exact"), F.col("clean") == F.col("exact"), "left").join(known("alias", "alias"), F.col("clean") == F.col("alias"), "left")
-    j = j.join(held, "c_custkey", "left").join(known("raw", "raw"), "raw", "left").join(squeezed, "run", "left")
-    rules = [(F.col("in_exact"), "exact"), (F.col("in_alias"), "alias"), (F.col("contiguous"), "contiguous"), (F.col("in_raw"), "raw_name"), (F.col("in_run"), "residue")]
-    return j.select("c_custkey", linking.first_true([(F.coalesce(r, F.lit(False)), label) for r, label in rules], "none").alias("tier"))
+    """Family and tier of each client by its name as filed."""
+    filed = lake.customer.withColumn("n", F.col("c_nationkey").cast("string")).select("c_custkey", F.expr(_FILED).alias("client_name"))
+    number = F.col("s_suppkey").cast("string")
+    f = lake.supplier.select(F.concat(F.lit("SUPPLIER "), number).alias("family_key"), F.concat(F.lit("SUP "), number).alias("alias"), "s_name")
+    pairs = linking.client_matches(filed, "client_name", f, f.withColumnRenamed("alias", "name"), f.withColumnRenamed("s_name", "name"))
+    return linking.best_client_match(filed, "client_name", pairs).select("c_custkey", "family_key", "tier")
 
 
 @query("E06_client_match_tier", _TIER_SQL)
@@ -106,12 +96,15 @@ def e06(spark, sf):
     return client_tiers(Lake(spark, sf))
 
 
-@query("E07_restamp_matches", f"WITH t AS ({_TIER_SQL}) SELECT o_orderkey, tier AS new_tier, CASE WHEN o_orderkey % 5 = 0 THEN 'none' ELSE tier END IS DISTINCT FROM tier AS changed FROM orders JOIN t ON o_custkey = c_custkey")
+# A filing keeps the tier of its day: those of before 1995 were matched by key and alias only.
+_STORED = "CASE WHEN year(o_orderdate) >= 1995 OR tier IN ('exact_family', 'curated_alias') THEN tier ELSE 'none' END"
+
+
+@query("E07_restamp_matches", f"WITH t AS ({_TIER_SQL}) SELECT o_orderkey, tier AS new_tier, {_STORED} IS DISTINCT FROM tier AS changed FROM orders JOIN t ON o_custkey = c_custkey")
 def e07(spark, sf):
     lake = Lake(spark, sf)
     j = lake.orders.join(client_tiers(lake), F.col("o_custkey") == F.col("c_custkey"))
-    stored = F.when(F.col("o_orderkey") % 5 == 0, "none").otherwise(F.col("tier"))
-    return j.select("o_orderkey", F.col("tier").alias("new_tier"), (~stored.eqNullSafe(F.col("tier"))).alias("changed"))
+    return j.select("o_orderkey", F.col("tier").alias("new_tier"), (~F.expr(_STORED).eqNullSafe(F.col("tier"))).alias("changed"))
 
 
 #: Names by which sub-agencies go, for each organization.

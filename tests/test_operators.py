@@ -131,3 +131,39 @@ def test_entry_has_a_query_for_every_key():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_client_matches_by_tier(spark):
+    names = [
+        "The Acme Dynamics, Inc.", "ACME DYNAMICS LAND UNIT", "Jamestown BPU", "BP", "Dynamics of Acme", "Rocket Group", "Rocket Holdings USA", "Old Name LLC", "A.D.", "USA Group", None, "", "Orbit Lab West", "My rocket",
+    ]
+    clients = spark.createDataFrame([(i, n) for i, n in enumerate([*names, names[0]])], "id int, client string")
+    families = spark.createDataFrame([("ACME DYNAMICS",), ("BP",), ("ROCKET",), ("USA GROUP",), ("LAB",), (None,), ("ACME DYNAMICS",)], "family_key string")
+    aliases = spark.createDataFrame([("ACME DYNAMICS", "A.D."), ("ROCKET", "acme dynamics"), ("BP", None)], "family_key string, name string")
+    members = spark.createDataFrame([("BP", "Old Name Inc"), ("ROCKET", "Old Name Inc"), ("ROCKET", "The Rocket")], "family_key string, name string")
+    pairs = linking.client_matches(clients, "client", families, aliases, members)
+    got = {(r.client, r.family_key): r.tier for r in pairs.collect()}
+    want = {
+        (names[0], "ACME DYNAMICS"): "exact_family",
+        (names[0], "ROCKET"): "curated_alias",
+        (names[1], "ACME DYNAMICS"): "normalized",
+        ("BP", "BP"): "exact_family",  # one short word is no part of a longer name
+        ("Rocket Group", "ROCKET"): "normalized",
+        ("Rocket Holdings USA", "ROCKET"): "normalized",
+        ("Old Name LLC", "BP"): "family_raw_name",
+        ("Old Name LLC", "ROCKET"): "family_raw_name",
+        ("A.D.", "ACME DYNAMICS"): "curated_alias",
+        ("USA Group", "USA GROUP"): "exact_family",
+        ("My rocket", "ROCKET"): "normalized",
+    }
+    assert got == want
+    best = {(r.id, r.family_key, r.tier) for r in linking.best_client_match(clients, "client", pairs).collect()}
+    assert {(0, "ACME DYNAMICS", "exact_family"), (14, "ACME DYNAMICS", "exact_family"), (7, "BP", "family_raw_name"), (10, None, "none"), (12, None, "none")} <= best and len(best) == 15
+
+
+def test_client_residue_keeps_words_that_tell(spark):
+    clients = spark.createDataFrame([("Acme Holdings Land",), ("Zed Group International",), ("Acme Land",)], "client string")
+    families = spark.createDataFrame([("ACME LAND GROUP",), ("ZED HOLDINGS",)], "family_key string")
+    none = spark.createDataFrame([], "family_key string, name string")
+    got = {(r.client, r.family_key, r.tier) for r in linking.client_matches(clients, "client", families, none, none).collect()}
+    assert got == {("Acme Holdings Land", "ACME LAND GROUP", "suffix_residue"), ("Acme Land", "ACME LAND GROUP", "suffix_residue")}
