@@ -119,6 +119,12 @@ def contiguous_tokens(hay: Column, needle: Column) -> Column:
     return (F.length(alnum_words(needle)) > 0) & F.contains(pad(hay), pad(needle))
 
 
+def holds_family(clean: Column, family: Column) -> Column:
+    """Whether a normalized name holds a family's key as whole words in a row; a key of one
+    word needs four letters."""
+    return F.coalesce(contiguous_tokens(clean, family) & (F.contains(F.trim(family), F.lit(" ")) | (F.length(F.trim(family)) >= 4)), F.lit(False))
+
+
 def word_boundary_match(text: Column, term: str) -> Column:
     import re
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from purselake.functions.exprs import RESIDUE_WORDS, normalize_name, normalize_title, title_jaccard
+from purselake.functions.exprs import RESIDUE_WORDS, holds_family, normalize_name, normalize_title, title_jaccard
 from purselake.operators.narratives import contiguous_pairs
 from purselake.operators.windows import pick_first
 
@@ -81,6 +81,20 @@ def best_client_match(clients: DataFrame, name: str, matches: DataFrame) -> Data
     return clients.join(best, name, "left").withColumn("tier", F.coalesce("tier", F.lit("none")))
 
 
+def match_gate(families: DataFrame, total: str, filings: DataFrame, name: str, top: int = 50, floor: float = 0.85) -> DataFrame:
+    """One row: of the ``top`` families by ``total``, how many some filing is matched with, how
+    many stored matches of tier 'normalized' no longer hold, and whether the gate is passed
+    (a share of at least ``floor`` and no such match). ``filings``: ``name``, family_key, tier."""
+    matched = filings.filter("tier <> 'none' AND family_key <> ''").select("family_key", F.lit(1).alias("hit")).distinct()
+    best = families.orderBy(F.col(total).desc_nulls_last(), "family_key").limit(top)
+    counts = best.join(matched, "family_key", "left").agg(F.count(F.lit(1)).alias("top_n"), F.count("hit").alias("matched_count"))
+    stored = filings.filter("tier = 'normalized'").select(name, "family_key").distinct()
+    bad = stored.filter(~holds_family(normalize_name(F.col(name)), F.col("family_key"))).agg(F.count(F.lit(1)).alias("bad_normalized"))
+    share = F.coalesce(F.col("matched_count") / F.nullif("top_n", F.lit(0)), F.lit(0.0))
+    both = counts.crossJoin(bad)  # one row each
+    return both.select("top_n", "matched_count", F.round(share, 4).alias("matched_fraction"), "bad_normalized", ((share >= floor) & (F.col("bad_normalized") == 0)).alias("ok"))
+
+
 def cross_parent_downgrade(xwalk: DataFrame, family: str, parent: str, tier: str) -> DataFrame:
     """A family reached from more than one parent is at most medium."""
     many = xwalk.groupBy(family).agg(F.countDistinct(parent).alias("__k"))

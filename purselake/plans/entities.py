@@ -83,17 +83,17 @@ SELECT c_custkey, b.family_key, CASE r WHEN 1 THEN 'exact_family' WHEN 2 THEN 'c
 
 
 def client_tiers(lake):
-    """Family and tier of each client by its name as filed."""
+    """Name as filed, family and tier of each client."""
     filed = lake.customer.withColumn("n", F.col("c_nationkey").cast("string")).select("c_custkey", F.expr(_FILED).alias("client_name"))
     number = F.col("s_suppkey").cast("string")
     f = lake.supplier.select(F.concat(F.lit("SUPPLIER "), number).alias("family_key"), F.concat(F.lit("SUP "), number).alias("alias"), "s_name")
     pairs = linking.client_matches(filed, "client_name", f, f.withColumnRenamed("alias", "name"), f.withColumnRenamed("s_name", "name"))
-    return linking.best_client_match(filed, "client_name", pairs).select("c_custkey", "family_key", "tier")
+    return linking.best_client_match(filed, "client_name", pairs).select("c_custkey", "client_name", "family_key", "tier")
 
 
 @query("E06_client_match_tier", _TIER_SQL)
 def e06(spark, sf):
-    return client_tiers(Lake(spark, sf))
+    return client_tiers(Lake(spark, sf)).drop("client_name")
 
 
 # A filing keeps the tier of its day: those of before 1995 were matched by key and alias only.

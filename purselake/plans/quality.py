@@ -134,11 +134,13 @@ def v08(spark, sf):
     return g.agg(n_rows().alias("pairs"))
 
 
-@query("V09_match_rate", f"WITH t AS ({entities._TIER_SQL}) SELECT count(*) AS top, count(*) FILTER (WHERE tier <> 'none') AS matched FROM (SELECT c_custkey FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 50) JOIN t USING (c_custkey)")
+@query("V09_match_rate", with_sql("tx", f""", t AS ({entities._TIER_SQL}), top AS (SELECT concat('SUPPLIER ', recipient_id) AS family_key FROM tx GROUP BY 1 ORDER BY sum(obligation) DESC, 1 LIMIT 50),
+m AS (SELECT count(*) AS top_n, count(*) FILTER (WHERE family_key IN (SELECT family_key FROM t WHERE tier <> 'none')) AS matched_count FROM top)
+SELECT top_n, matched_count, round(matched_count / top_n, 4) AS matched_fraction, (SELECT count(*) FROM t WHERE tier = 'normalized' AND family_key NOT LIKE 'SUPPLIER _%') AS bad_normalized, matched_count / top_n >= 0.85 AS ok FROM m"""))
 def v09(spark, sf):
     lake = Lake(spark, sf)
-    top = lake.customer.orderBy(F.col("c_acctbal").desc(), "c_custkey").limit(50).select("c_custkey")
-    return top.join(entities.client_tiers(lake), "c_custkey").agg(n_rows().alias("top"), F.count_if(F.col("tier") != "none").alias("matched"))
+    families = lake.transactions(with_order=False).groupBy(F.concat(F.lit("SUPPLIER "), F.col("recipient_id").cast("string")).alias("family_key")).agg(F.sum("obligation").alias("total"))
+    return linking.match_gate(families, "total", entities.client_tiers(lake), "client_name")
 
 
 @query("V10_mention_integrity", "SELECT count(*) AS mentions, count(DISTINCT l_partkey) AS codes, count(*) FILTER (WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size < 49)) AS orphans FROM lineitem")

@@ -167,3 +167,36 @@ def test_client_residue_keeps_words_that_tell(spark):
     none = spark.createDataFrame([], "family_key string, name string")
     got = {(r.client, r.family_key, r.tier) for r in linking.client_matches(clients, "client", families, none, none).collect()}
     assert got == {("Acme Holdings Land", "ACME LAND GROUP", "suffix_residue"), ("Acme Land", "ACME LAND GROUP", "suffix_residue")}
+
+
+def test_match_gate_refuses_stale_and_few_matches(spark):
+    families = spark.createDataFrame([("ACME LAND", 9), ("ROCKET", 8), ("BP", 7), ("LAST ONE", 1), ("NO SUM", None)], "family_key string, total int")
+    rows = [("Acme Land Unit", "ACME LAND", "normalized"), ("Acme Landing", "ACME LAND", "normalized"), ("Jamestown BP", "BP", "normalized"), ("Jamestown BP", "BP", "normalized"), ("x", "ROCKET", "none"), (None, None, "none")]
+    filings = spark.createDataFrame(rows, "client string, family_key string, tier string")
+    gate = lambda f, **more: tuple(linking.match_gate(families, "total", f, "client", **more).first())
+    assert gate(filings, top=3) == (3, 2, 0.6667, 2, False)  # "Landing" is another word, "BP" too short
+    assert gate(filings.limit(1), top=1) == (1, 1, 1.0, 0, True)
+    assert gate(filings.limit(1), top=2) == (2, 1, 0.5, 0, False)
+    assert tuple(linking.match_gate(families.limit(0), "total", filings, "client").first()) == (0, 0, 0.0, 2, False)
+
+
+@pytest.mark.parametrize(
+    ("rule", "text", "out"),
+    [
+        (X.is_synthetic_key, "0400D-A-L12", True),
+        (X.is_synthetic_key, "0400D-A-L", False),
+        (X.is_synthetic_key, "0400D-A-12", False),
+        (X.is_synthetic_key, "x 0400D-A-L12", False),
+        (X.is_synthetic_key, "0604123F", False),
+        (X.is_synthetic_key, None, None),
+        (X.normalize_award_number, "W58RGZ-19 - C-0001", "W58RGZ19C0001"),
+        (X.normalize_award_number, "", ""),
+        (X.normalize_award_number, None, None),
+        (X.normalize_service_heading, " *.AIR&nbsp;&#160; FORCE .* ", "AIR FORCE"),
+        (X.normalize_service_heading, "*. *", ""),
+        (X.normalize_service_heading, "A.I*R", "A.I*R"),
+        (X.normalize_service_heading, None, None),
+    ],
+)
+def test_keys_numbers_and_headings(spark, rule, text, out):
+    assert one(spark, rule(F.col("v")), text) == out
