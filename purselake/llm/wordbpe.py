@@ -3,11 +3,11 @@
 A file that lower-cases, drops white space and ends words with a sign never merges
 across white space, so a text's ids are those of its white-space-separated words in
 order. The file's settings are read when it is loaded; with any others, whole texts go
-to the library. Words recur;
-each worker keeps the ids of those it has met (two generations, bounded; a full one
-becomes the older one) and
-asks the library only for new ones. Of a new word that is plain letters and then
-plain punctuation, the parts are looked up apart, as the file splits there too.
+to the library. Arrow splits a batch of texts and numbers its distinct words. Of a word
+that is plain letters and then plain punctuation, the parts are looked up apart, as the
+file splits there too; other words are looked up whole. Parts recur; each worker keeps
+the ids of those it has met (bounded; a full cache is emptied) and asks the library only
+for new ones. A text's ids are gathered from them.
 Only the ASCII white-space characters separate words here; any other white space
 stays inside a word and is left to the library.
 """
@@ -16,15 +16,13 @@ from __future__ import annotations
 
 import json
 import os
-import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-CACHE_WORDS = 240_000
-CACHE_PARTS = 400_000
-_SPACES = "\t\n\v\f\r"
-_ENDS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-_SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:-@\[-`{-~]*)\Z")
+CACHE_WORDS = 600_000
+_SIMPLE = r"\A(?P<letters>[A-Za-zÀ-ÖØ-öø-ÿ]*)(?P<signs>[!-&(-/:-@\[-`{-~]*)\z"
 
 
 def splits_at_white_space(settings: dict) -> bool:
@@ -54,9 +52,13 @@ class WordEncoder:
         self.dtype = np.dtype(f"<u{self.width}")
         self.ends_word = np.zeros(1 << 8 * self.width if self.width == 2 else self.tokenizer.get_vocab_size(), dtype=bool)
         self.ends_word[[i for piece, i in self.tokenizer.get_vocab().items() if piece.endswith("</w>")]] = True
-        self.words: dict[str, bytes] = {"": b""}
-        self.older: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {"": b""}
+        self._empty()
+
+    def _empty(self) -> None:
+        """Forget all parts but the empty one. Part ``k`` has ``length[k]`` ids from ``start[k]`` on."""
+        self.rows: dict[str, int] = {"": 0}
+        self.ids = np.zeros(0, dtype=self.dtype)
+        self.start = self.length = np.zeros(1, dtype=np.int64)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
@@ -77,30 +79,31 @@ class WordEncoder:
             out += [raw[a:b] for a, b in zip([0, *cuts], cuts)]
         return out
 
-    def _learn(self, new: set[str]) -> None:
-        known, parts, simple = self.words, self.parts, _SIMPLE.match
-        whole, later, need = [], [], set()
-        for w in new:
-            a = w.rstrip(_ENDS)
-            if a.isalpha() and a.isascii():
-                a, b = a.lower(), w[len(a) :]
-            else:
-                m = simple(w)
-                if m is None:
-                    whole.append(w)
-                    continue
-                a, b = m.groups()
-                a = a.lower()
-            if a in parts and b in parts:
-                known[w] = parts[a] + parts[b]
-            else:
-                later.append((w, a, b))
-                need.update((a, b))
-        need = list(need.difference(parts))
-        parts.update(zip(need, self._encode_parts(need)))
-        for w, a, b in later:
-            known[w] = parts[a] + parts[b]
-        known.update(zip(whole, self._encode(whole)))
+    def _rows(self, parts: pa.Array, encode) -> np.ndarray:
+        """Rows of parts; ``encode`` gives the ids of new ones."""
+        numbered = parts.dictionary_encode()
+        names, rows = numbered.dictionary.to_pylist(), self.rows
+        new = [x for x in names if x not in rows]
+        if new:
+            found = encode(new)
+            length = np.fromiter(map(len, found), dtype=np.int64, count=len(new)) // self.width
+            self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(length) - length])
+            self.length = np.concatenate([self.length, length])
+            self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(found), dtype=self.dtype)])
+            rows.update(zip(new, range(len(rows), len(rows) + len(new))))
+        return np.fromiter(map(rows.__getitem__, names), dtype=np.int64, count=len(names))[numbered.indices.to_numpy()]
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of all words, one after another, each word's first place, its number of ids)."""
+        split = pc.extract_regex(words, _SIMPLE)
+        simple = split.is_valid()
+        letters, signs = split.filter(simple).flatten()
+        at, rows = simple.to_numpy(zero_copy_only=False), np.zeros((len(words), 2), dtype=np.int64)
+        rows[at, 0] = self._rows(pc.utf8_lower(letters), self._encode_parts)
+        rows[at, 1] = self._rows(signs, self._encode_parts)
+        rows[~at, 0] = self._rows(words.filter(pc.invert(simple)), self._encode)
+        length = self.length[rows].sum(axis=1)
+        return gather(self.ids, self.start[rows].ravel(), self.length[rows].ravel()), np.cumsum(length) - length, length
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
@@ -110,23 +113,22 @@ class WordEncoder:
         """The ids of each text, as the bytes of an array of ``dtype``."""
         if not self.by_words:
             return self._encode(texts)
-        if len(self.words) > CACHE_WORDS:
-            self.older, self.words = self.words, {"": b""}
-        if len(self.parts) > CACHE_PARTS:
-            self.parts = {"": b""}
-        split = []
-        for t in texts:
-            for c in _SPACES:
-                if c in t:
-                    t = t.replace(c, " ")
-            split.append(t.split(" "))
-        new = set().union(*split).difference(self.words)
-        if new:
-            again = new.intersection(self.older)
-            self.words.update(zip(again, map(self.older.__getitem__, again)))
-            self._learn(new - again)
-        get = self.words.__getitem__
-        return [b"".join(map(get, s)) for s in split]
+        if len(self.rows) > CACHE_WORDS:
+            self._empty()
+        split = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
+        words = split.values.dictionary_encode()
+        ids, start, length = self._words(words.dictionary)
+        at = words.indices.to_numpy()
+        raw = gather(ids, start[at], length[at]).tobytes()
+        ends = np.concatenate([[0], np.cumsum(length[at])]) * self.width
+        cuts = ends[split.offsets.to_numpy()].tolist()
+        return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
+
+
+def gather(values: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Stretches of ``values``, one after another."""
+    ends = np.cumsum(length)
+    return values[np.arange(length.sum()) + np.repeat(start - ends + length, length)]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}

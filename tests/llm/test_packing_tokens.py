@@ -37,6 +37,21 @@ def test_cache_overflow_changes_nothing(word_file, monkeypatch):
         assert [x.tolist() for x in e.encode(["a b c d e", "f g a"])] == brute_ids(word_file, ["a b c d e", "f g a"])
 
 
+def test_forms_of_a_word_take_no_room_of_their_own(word_file):
+    e = WordEncoder(word_file)
+    texts = ["abc Abc ABC, abc. abc,", "É é. é, É."]
+    assert [x.tolist() for x in e.encode(texts)] == brute_ids(word_file, texts)
+    assert sum(len(x) for x in vars(e).values() if isinstance(x, dict)) == 5  # "", abc, é, comma, full stop
+
+
+def test_odd_white_space_encodes_like_the_library(word_file):
+    odd = ["a\x0bb\x0cc\x00d", "a\u00a0b,\u2028c.\x85D \u3000", "x.\r\n\r\n,y", "\x1ca \x1f", "'s 't's a's, l'a ''", "a.b,c .a ,b", "ÀÉ, ß. ÿ÷×", "  ", "\t", "e\u0301, A\u030a."]
+    e = WordEncoder(word_file)
+    for some in ([t] for t in [*odd, *odd]):
+        assert [x.tolist() for x in e.encode(some)] == brute_ids(word_file, some)
+    assert [x.tolist() for x in e.encode(odd)] == brute_ids(word_file, odd) and e.encode([]) == []
+
+
 @pytest.mark.parametrize("docs", ["odd_docs", "no_docs", "sample"])
 def test_packing(request, docs, word_file):
     docs = request.getfixturevalue(docs)
