@@ -1,6 +1,7 @@
 """op2, op3, op6, op7 and op10 against brute force and held-out accuracy."""
 
 import hashlib
+import random
 import re
 import zlib
 
@@ -314,6 +315,35 @@ def test_document_features_match_the_definition(machine, monkeypatch):
     assert np.allclose(toxicity.Reader(machine).features(texts), want, atol=1e-3)
 
 
+def test_a_window_is_compared_once_in_whatever_words(machine, monkeypatch):
+    texts = ["The worthless, (worthless) worthless. worthless! Worthless", "worthlessness? worthlessly; \"worthless\"\nworthless"]
+    seen, of = [], toxicity.Kernel.of
+    monkeypatch.setattr(toxicity.Kernel, "of", lambda self, keys, weights: (seen.append(len(keys)), of(self, keys, weights))[1])
+    reader = toxicity.Reader(machine)
+    got = np.array([reader.features([t])[0] for t in texts])
+    assert sum(seen) == len({u for t in texts for s in toxicity.sentences_of(t) for w in s for u in toxicity.windows_of(w)})
+    assert np.allclose(got, [naive_features(machine, t) for t in texts], atol=1e-3)
+
+
+def test_more_windows_than_a_cache_holds(machine, monkeypatch):
+    rng = random.Random(3)
+    texts = [" ".join("".join(rng.choice("abcdei. ") for _ in range(rng.randint(1, 60))) for _ in range(30)) for _ in range(4)] + ["x" * 300 + "idiot" * 40]
+    monkeypatch.setattr(toxicity, "CACHE_WINDOWS", 50)
+    monkeypatch.setattr(toxicity, "STRETCH", 20)
+    reader = toxicity.Reader(machine)
+    want = np.array([naive_features(machine, t) for t in texts])
+    for _ in range(2):
+        assert np.allclose(reader.features(texts), want, atol=1e-3)
+
+
+def test_quick_searches_find_what_the_full_ones_find():
+    rng = random.Random(4)
+    for _ in range(20_000):
+        text = "".join(rng.choice("ab é.-_ \n\u00a0") for _ in range(rng.randint(0, 14)))
+        assert bool(toxicity._A_RUN.search(" " + text)) == bool(toxicity._RUNS.search(text))
+        assert toxicity._A_DOT.search(text) or not toxicity._DOTTED.search(text)
+
+
 def test_gapped_and_inserted_insults_score_above_clean(machine):
     clean = toxicity.score_texts(machine, "t", ["the quick brown fox reads a book", "thing that is there and other", ""])
     bad = toxicity.score_texts(machine, "t", ["you idiot", "what a stuupid thing", "the cl-own ran", "i d i o t", "trassh here", "i.d.i.o.t"])
