@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN_DIRS: dict[str, str] = {}
+_KEPT: dict[tuple, object] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +43,20 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def kept(key: tuple, make):
+    """What this Python worker keeps under ``key`` from task to task, made by ``make`` if it is
+    not there: one thing at a time, as a worker goes on to the tasks of other operators."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def keep_nothing() -> None:
+    """Give up what an earlier operator's tasks left in this Python worker."""
+    _KEPT.clear()
+
+
 def documents_only(docs: DataFrame) -> DataFrame:
     """(doc_id, text) with a null text read as the empty text; any further
     column of the input, whatever its name, is left out."""

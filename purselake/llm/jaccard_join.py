@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from purselake.llm.common import hot_aware_join, likely_in, staged, table, with_long_ids, with_text_ids
+from purselake.llm.common import hot_aware_join, keep_nothing, likely_in, staged, table, with_long_ids, with_text_ids
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -90,7 +90,8 @@ def with_sets(docs: DataFrame) -> DataFrame:
     nodes = mix(np.arange(1, RUNS + 1, dtype=np.uint64)).view(np.int64)
 
     def build(frames):
-        for frame in frames:
+        keep_nothing()
+        for frame in (x.iloc[at : at + 1000] for x in frames for at in range(0, len(x), 1000)):
             rows = []
             for doc_id, text in zip(frame["doc_id"], frame["text"]):
                 s = shingle_set(text)
@@ -128,6 +129,7 @@ def descend(rows: DataFrame) -> DataFrame:
     """(bucket, set) one level below the buckets of ``rows`` (bucket, set, sketch)."""
 
     def split(frames):
+        keep_nothing()
         for frame in frames:
             sets, sketches = frame["set"].to_numpy(np.int64), _sketches(frame["sketch"])
             row, child = child_buckets(sketches, frame["bucket"].to_numpy(np.int64))
@@ -172,6 +174,7 @@ def small_buckets(rows: DataFrame, limit: int = BUCKET, depth: int = DEPTH) -> D
 def by_bucket(frames, work, columns):
     """Call ``work`` on each bucket's rows; batches are sorted by bucket and may cut one."""
     held = None
+    keep_nothing()
     for frame in frames:
         frame = frame if held is None else pd.concat([held, frame], ignore_index=True)
         keys = frame["bucket"].to_numpy(np.int64)

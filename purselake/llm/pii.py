@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from purselake.llm.common import documents_only, table
+from purselake.llm.common import documents_only, keep_nothing, table
 
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE = 4000
@@ -333,6 +333,7 @@ def training_nodes(docs: DataFrame, limit: int = SAMPLE) -> list[tuple[list[int]
         rows = rows.filter(F.pmod("h", F.lit(total)) < 2 * limit)
 
     def nodes(frames):
+        keep_nothing()
         for frame in frames:
             yield pd.DataFrame([r for text in frame["text"] for r in node_rows(text)], columns=["found", "around", "label"])
 
@@ -381,6 +382,7 @@ def redacted(docs: DataFrame, field: Field | None) -> DataFrame:
 
     @F.pandas_udf("string")
     def clean(texts: pd.Series) -> pd.Series:
+        keep_nothing()
         return texts.map(redact, na_action="ignore")
 
     out = docs.withColumn("text", clean("text"))

@@ -36,6 +36,7 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
+from array import array
 from dataclasses import dataclass
 from itertools import chain
 
@@ -46,7 +47,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from purselake.llm.common import crc_mod, documents_only, table
+from purselake.llm.common import crc_mod, documents_only, kept, table
 from purselake.llm.wordbpe import batches, gather
 
 SAMPLE = 3000
@@ -57,6 +58,8 @@ SENTENCE_WORDS = 20
 FOLDS = 5
 CACHE_WORDS, CACHE_WINDOWS = 200_000, 200_000
 STRETCH = 50_000
+PART = 10_000
+BATCH_CHARS = 500_000
 CODES = 64
 RATE = 300.0
 DOCUMENT_COST, SENTENCE_COST = 0.02, 10.0
@@ -106,13 +109,8 @@ def encode_windows(windows: list[str]) -> np.ndarray:
     return np.where(letter, points - 96, np.where(digit, points - 21, np.where(points == 0, 0, other))).astype(np.int32)
 
 
-def triple_features(codes: np.ndarray, rows: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
-    """(triple of each place, its weight over the window's norm; 0 at padding)."""
-    if len(codes) > rows:  # in parts, so that what is built on the way stays small
-        parts = [triple_features(codes[at : at + rows], rows) for at in range(0, len(codes), rows)]
-        return np.concatenate([k for k, _ in parts]), np.concatenate([w for _, w in parts])
-    keys = (codes[:, _I] * CODES + codes[:, _J]) * CODES + codes[:, _K]
-    weights = np.where(codes[:, _K] > 0, _WEIGHT, np.float32(0))
+def norms(keys: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Norm of each window by the triples of its places and their weights."""
     order = np.argsort(keys, axis=1, kind="stable")
     sorted_keys, running = np.take_along_axis(keys, order, 1), np.cumsum(np.take_along_axis(weights, order, 1), axis=1)
     last = np.ones(keys.shape, dtype=bool)
@@ -121,7 +119,99 @@ def triple_features(codes: np.ndarray, rows: int = 20_000) -> tuple[np.ndarray,
     ends = running[row, place]
     before = np.concatenate([[0], ends[:-1]]) * np.concatenate([[False], row[1:] == row[:-1]])[: len(row)]
     norm = np.sqrt(np.bincount(row, (ends - before) ** 2, minlength=len(keys)))
-    return keys, (weights / np.maximum(norm, DECAY**3)[:, None]).astype(np.float32)
+    return np.maximum(norm, DECAY**3)
+
+
+def triple_features(codes: np.ndarray, norm: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(triple of each place, its weight over the window's norm; 0 at padding)."""
+    codes = codes.astype(np.int32, copy=False)
+    keys = (codes[:, _I] * CODES + codes[:, _J]) * CODES + codes[:, _K]
+    weights = np.where(codes[:, _K] > 0, _WEIGHT, np.float32(0))
+    if norm is None:
+        norm = norms(keys, weights)
+    return keys, (weights / norm[:, None]).astype(np.float32)
+
+
+class Sample:
+    """The sentences of the training documents. Of a distinct window only codes and norm are
+    kept and its triples made anew, and of a place its window: what is built on the way
+    covers ``PART`` windows, or one document, at a time."""
+
+    def __init__(self, texts: list[str]):
+        vocabulary: dict[str, int] = {}
+        windows, size, owner = array("i"), array("i"), array("i")
+        for n, text in enumerate(texts):
+            for words in sentences_of(text):
+                known = len(windows)
+                windows.extend(vocabulary.setdefault(u, len(vocabulary)) for w in words for u in windows_of(w))
+                size.append(len(windows) - known)
+                owner.append(n)
+        self.n_docs = len(texts)
+        self.windows, self.size, self.owner = (np.array(x, dtype=np.int32) for x in (windows, size, owner))
+        self.names = list(vocabulary)
+        self.codes, self.norm = np.empty((len(self.names), WIDTH), dtype=np.uint8), np.empty(len(self.names))
+        for rows in self.slices():
+            self.codes[rows] = encode_windows(self.names[rows])
+            self.norm[rows] = norms(*triple_features(self.codes[rows], np.ones(1)))
+        self.first = np.concatenate([[0], np.cumsum(np.bincount(self.owner, minlength=self.n_docs))])
+        self.start = np.concatenate([[0], np.cumsum(self.size, dtype=np.int64)])
+
+    def slices(self) -> list[slice]:
+        return [slice(at, at + PART) for at in range(0, len(self.names), PART)]
+
+    def triples(self, rows) -> tuple[np.ndarray, np.ndarray]:
+        return triple_features(self.codes[rows], self.norm[rows])
+
+    def documents(self):
+        """(documents, their sentences, windows of their places, sentence of each place and
+        document of each place, both from 0) of each part."""
+        before = self.start[self.first[:-1]] // PART
+        edges = [*np.flatnonzero(np.diff(before, prepend=-1)), self.n_docs]
+        for at, end in zip(edges, edges[1:]):
+            own = slice(self.first[at], self.first[end])
+            sentence = np.repeat(np.arange(own.stop - own.start), self.size[own])
+            yield slice(at, end), own, self.windows[self.start[own.start] : self.start[own.stop]], sentence, self.owner[own][sentence] - at
+
+    def length(self) -> np.ndarray:
+        """Number of windows of each document."""
+        return np.diff(self.start[self.first])
+
+    def by_window(self, weight: np.ndarray) -> np.ndarray:
+        """Sum of a weight of documents over each window's places."""
+        out = np.zeros(len(self.names))
+        for documents, _, windows, _, document in self.documents():
+            np.add.at(out, windows.astype(np.intp), weight[documents][document])
+        return out
+
+    def by_triple(self, weight: np.ndarray) -> np.ndarray:
+        """Sum of a weight of windows over each triple's places."""
+        out = np.zeros(CODES**3)
+        for rows in self.slices():
+            keys, own = self.triples(rows)
+            np.add.at(out, keys.ravel().astype(np.intp), (own * weight[rows, None]).ravel())
+        return out
+
+    def pulls(self, by_triple: np.ndarray) -> np.ndarray:
+        """Sum of a weight of triples over each window's places."""
+        out = np.empty(len(self.names), dtype=np.float32)
+        for rows in self.slices():
+            keys, own = self.triples(rows)
+            out[rows] = (by_triple[keys] * own).sum(axis=1)
+        return out
+
+    def kernel_sums(self, landmarks: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Sums of the kernels with landmarks over each sentence's and each document's windows."""
+        kernel = Kernel([self.names[i] for i in landmarks])
+        values = np.empty((len(self.names), len(landmarks)), dtype=np.float32)
+        for rows in self.slices():
+            values[rows] = kernel.of(*self.triples(rows))
+        sentences, documents = (np.empty((n, len(landmarks)), dtype=np.float32) for n in (len(self.owner), self.n_docs))
+        for some, own, windows, sentence, document in self.documents():
+            for z in range(len(landmarks)):
+                value = values[windows, z]
+                sentences[own, z] = np.bincount(sentence, value, minlength=own.stop - own.start)
+                documents[some, z] = np.bincount(document, value, minlength=some.stop - some.start)
+        return sentences, documents
 
 
 class Kernel:
@@ -148,18 +238,20 @@ class Kernel:
         return out**POWER
 
 
-def linear_svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 40) -> tuple[np.ndarray, float]:
-    """Squared-hinge SVM (y is -1 or 1) by Newton steps on the rows inside the margin."""
+def linear_svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, seen: np.ndarray | None = None, rounds: int = 40) -> tuple[np.ndarray, float]:
+    """Squared-hinge SVM (y is -1 or 1) on the ``seen`` rows, by Newton steps on those inside the margin."""
     n = x.shape[1]
     w, ridge = np.zeros(n + 1), np.r_[np.ones(n), 1e-6]
+    rows = np.arange(len(x)) if seen is None else np.flatnonzero(seen)
     for _ in range(rounds):
         gram, pull = np.diag(ridge), np.zeros(n + 1)
-        for at in range(0, len(x), 8192):
-            some = np.c_[x[at : at + 8192].astype(float), np.ones(len(x[at : at + 8192]))]
-            inside = y[at : at + 8192] * (some @ w) < 1
-            some, c = some[inside], cost[at : at + 8192][inside]
+        for at in range(0, len(rows), 8192):
+            own = rows[at : at + 8192]
+            some = np.c_[x[own].astype(float), np.ones(len(own))]
+            inside = y[own] * (some @ w) < 1
+            some, c = some[inside], cost[own][inside]
             gram += (some * c[:, None]).T @ some
-            pull += some.T @ (c * y[at : at + 8192][inside])
+            pull += some.T @ (c * y[own][inside])
         new = np.linalg.solve(gram, pull)
         if np.abs(new - w).max() < 1e-5:
             break
@@ -167,6 +259,10 @@ def linear_svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 40)
     return w[:-1], float(w[-1])
 
 
+def margins(x: np.ndarray, rows: np.ndarray, w: np.ndarray, bias: float) -> np.ndarray:
+    return np.concatenate([np.zeros(0), *(x[rows[at : at + 8192]] @ w + bias for at in range(0, len(rows), 8192))])
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
@@ -248,44 +344,27 @@ def train(texts: list[str], toxic: list[int]) -> Machine:
     kept = distinct_documents(texts, toxic)
     labels = np.array([toxic[n] for n in kept], dtype=int)
     n_docs = len(labels)
-    vocabulary: dict[str, int] = {}
-    windows, sentence, owner = [], [], []
-    for n, at in enumerate(kept):
-        for words in sentences_of(texts[at]):
-            own = [vocabulary.setdefault(u, len(vocabulary)) for w in words for u in windows_of(w)]
-            windows.append(np.array(own, dtype=np.int32))
-            sentence.append(np.full(len(own), len(owner), dtype=np.int32))
-            owner.append(n)
-    if not vocabulary or labels.min() == labels.max():
+    sample = Sample([texts[at] for at in kept])
+    if not sample.names or labels.min() == labels.max():
         return nothing(prior)
-    names, owner = list(vocabulary), np.array(owner)
-    windows, sentence = np.concatenate(windows), np.concatenate(sentence)
-    document = owner[sentence]
-    length = np.maximum(np.bincount(document, minlength=n_docs), 1)
-    keys, weights = triple_features(encode_windows(names))
+    owner = sample.owner
+    length = np.maximum(sample.length(), 1)
     share = np.minimum(1 / length, 0.05)
 
-    def sums(x: np.ndarray, group: np.ndarray, n: int) -> np.ndarray:
-        out = np.empty((n, x.shape[1]), dtype=np.float32)
-        for z in range(x.shape[1]):
-            out[:, z] = np.bincount(group, x[windows, z], minlength=n)
-        return out
-
     def over_represented(residual: np.ndarray) -> np.ndarray:
         """Each window's kernel with the difference of unexplained toxic and other documents."""
         pull = np.where(residual > 0, residual / max(residual[residual > 0].sum(), 1e-9), residual / -min(residual[residual < 0].sum(), -1e-9))
-        by_window = [np.bincount(windows, (p * share)[document], minlength=len(names)) for p in (pull, np.abs(pull))]
-        difference, spread = (np.bincount(keys.ravel(), (weights * w[:, None]).ravel(), minlength=CODES**3) for w in by_window)
-        return ((difference / np.sqrt(spread + 1e-4)).astype(np.float32)[keys] * weights).sum(axis=1)
+        difference, spread = (sample.by_triple(sample.by_window(p * share)) for p in (pull, np.abs(pull)))
+        return sample.pulls((difference / np.sqrt(spread + 1e-4)).astype(np.float32))
 
     landmarks: list[int] = []
     residual = labels - labels.mean()
-    values = np.zeros((len(names), ROUNDS * PER_ROUND), dtype=np.float32)
+    mapped = np.zeros((len(owner), ROUNDS * PER_ROUND), dtype=np.float32)
     means = np.zeros((n_docs, 0))
     for turn in range(ROUNDS):
         pull = residual if turn % 2 else labels - labels.mean()
         candidates = np.argsort(-over_represented(pull), kind="stable")[: 40 * PER_ROUND]
-        near = Kernel([names[i] for i in [*candidates, *landmarks]]).of(keys[candidates], weights[candidates]) ** (1 / POWER)
+        near = Kernel([sample.names[i] for i in [*candidates, *landmarks]]).of(*sample.triples(candidates)) ** (1 / POWER)
         nearest = near[:, len(candidates) :].max(axis=1) if landmarks else np.zeros(len(candidates))
         new = []
         for i in range(len(candidates)):
@@ -294,26 +373,23 @@ def train(texts: list[str], toxic: list[int]) -> Machine:
                 nearest = np.maximum(nearest, near[:, i])
         if not new:
             break
-        added = Kernel([names[i] for i in new]).of(keys, weights)
-        values[:, len(landmarks) : len(landmarks) + len(new)] = added
+        mapped[:, len(landmarks) : len(landmarks) + len(new)], by_document = sample.kernel_sums(new)
         landmarks += new
-        means = np.hstack([means, sums(added, document, n_docs) / length[:, None]])
+        means = np.hstack([means, by_document / length[:, None]])
         features = np.log1p(RATE * means)
         features = (features - features.mean(axis=0)) / (features.std(axis=0) + 1e-6)
         residual = labels - sigmoid(np.c_[features, np.ones(n_docs)] @ logistic(features, labels, 10.0))
 
-    kernel = Kernel([names[i] for i in landmarks])
-    del keys, weights
-    values = values[:, : len(landmarks)]
-    gram = values[landmarks].astype(float)
+    kernel = Kernel([sample.names[i] for i in landmarks])
+    gram = kernel.of(*sample.triples(landmarks)).astype(float)
     eigen, vectors = np.linalg.eigh((gram + gram.T) / 2)
     good = eigen > 1e-4 * eigen.max()
     project = vectors[:, good] / np.sqrt(eigen[good])
     n_sentences = len(owner)
-    size = np.maximum(np.bincount(sentence, minlength=n_sentences), 1)
-    mapped = sums(values, sentence, n_sentences)
+    size = np.maximum(sample.size, 1)
+    del sample
     for at in range(0, n_sentences, 8192):
-        mapped[at : at + 8192, : project.shape[1]] = mapped[at : at + 8192] @ project / size[at : at + 8192, None]
+        mapped[at : at + 8192, : project.shape[1]] = mapped[at : at + 8192, : len(landmarks)] @ project / size[at : at + 8192, None]
     mapped = mapped[:, : project.shape[1]]
     y = np.where(labels == 1, 1.0, -1.0)
     # Each class weighs alike, and so does each of its documents.
@@ -323,8 +399,8 @@ def train(texts: list[str], toxic: list[int]) -> Machine:
     for k in range(FOLDS):
         seen = fold[owner] != k
         if labels[fold != k].min() < labels[fold != k].max():
-            w, b = linear_svm(mapped[seen], y[owner][seen], cost[seen])
-            margin[~seen] = mapped[~seen] @ w + b
+            w, b = linear_svm(mapped, y[owner], cost, seen)
+            margin[~seen] = margins(mapped, np.flatnonzero(~seen), w, b)
     w, sentence_bias = linear_svm(mapped, y[owner], cost)
     features = document_features(means, *sentence_statistics(margin, owner, n_docs))
     centre, scale = features.mean(axis=0), features.std(axis=0) + 1e-6
@@ -434,17 +510,11 @@ class Reader:
         return document_features(total / np.maximum(windows, 1)[:, None], worst, share)
 
 
-_READERS: dict[str, Reader] = {}
-
-
 def score_texts(machine: Machine, key: str, texts: list[str]) -> np.ndarray:
     """Scores of texts; ``key`` names the machine in this worker's word cache."""
     if machine.kernel is None:
         return np.full(len(texts), machine.prior)
-    if key not in _READERS:
-        _READERS.clear()  # an earlier machine's words are of no more use
-        _READERS[key] = Reader(machine)
-    return machine.score(_READERS[key].features(texts))
+    return machine.score(kept(("toxicity", key), lambda: Reader(machine)).features(texts))
 
 
 def score_documents(docs: DataFrame, machine: Machine) -> DataFrame:
@@ -453,7 +523,7 @@ def score_documents(docs: DataFrame, machine: Machine) -> DataFrame:
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
-        return pd.Series([float(x) for some in batches(texts.fillna("").tolist()) for x in score_texts(shared.value, key, some)], dtype="float64")
+        return pd.Series([float(x) for some in batches(texts.fillna("").tolist(), BATCH_CHARS) for x in score_texts(shared.value, key, some)], dtype="float64")
 
     columns = [F.col(c) for c in docs.columns if c not in ("score", "predicted")]
     return docs.select(*columns, score("text").alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

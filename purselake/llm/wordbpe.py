@@ -21,6 +21,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from purselake.llm.common import kept
+
 CACHE_WORDS = 600_000
 _SIMPLE = r"\A(?P<letters>[A-Za-zÀ-ÖØ-öø-ÿ]*)(?P<signs>[!-&(-/:-@\[-`{-~]*)\z"
 
@@ -131,14 +133,9 @@ def gather(values: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndar
     return values[np.arange(length.sum()) + np.repeat(start - ends + length, length)]
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
-
-
 def encoder(path: str) -> WordEncoder:
     """One encoder a worker process and file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+    return kept(("words", path), lambda: WordEncoder(path))
 
 
 def batches(texts, max_chars: int = 2_000_000):

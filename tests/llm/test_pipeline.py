@@ -57,3 +57,27 @@ def test_stages_take_odd_rows(spark, odd_docs, no_docs):
         for name, f in corpus_pipeline.STAGES:
             docs = staged(f(spark, docs, "/root/testdata/sf0.001"), name)
         docs.count()
+
+
+def test_a_worker_keeps_one_stages_caches(spark, monkeypatch, word_file):
+    """A worker goes from stage to stage; what an earlier one kept must not stay."""
+    import gc
+
+    from purselake.llm import common, jaccard_join, toxicity, wordbpe
+
+    def readers():
+        gc.collect()
+        return sum(isinstance(x, (toxicity.Reader, wordbpe.WordEncoder)) for x in gc.get_objects())
+
+    common.keep_nothing()
+    before = readers()
+    machine = toxicity.train(["you idiot there", "a fine day"] * 3, [1, 0] * 3)
+    toxicity.score_texts(machine, "a", ["one two"])
+    assert readers() == before + 1
+    first = wordbpe.encoder(word_file)
+    assert wordbpe.encoder(word_file) is first and readers() == before + 1
+    del first
+    toxicity.score_texts(machine, "b", ["one two"])
+    assert readers() == before + 1
+    list(jaccard_join.by_bucket(iter([]), None, []))
+    assert readers() == before

@@ -294,6 +294,41 @@ def test_kernel_matches_the_definition():
     assert np.allclose(got, [[naive_kernel(a, b) for b in marks] for a in words], atol=1e-5)
 
 
+def test_training_holds_no_triples_of_all_windows(spark, monkeypatch):
+    """Traced peak of training; 109 MB when every distinct window's triples and kernels were held."""
+    import tracemalloc
+
+    folder = "/root/testdata/sf0.1"
+    texts, toxic = toxicity.training_sample(*(spark.read.parquet(f"{folder}/{name}.parquet") for name in ("labels", "documents")), limit=800)
+    tracemalloc.start()
+    try:
+        whole = toxicity.train(texts, toxic)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 70e6
+    monkeypatch.setattr(toxicity, "PART", 333)
+    parts = toxicity.train(texts, toxic)
+    assert parts.kernel.landmarks == whole.kernel.landmarks
+    assert np.array_equal(parts.weights, whole.weights) and np.array_equal(parts.sentence, whole.sentence)
+
+
+def test_sums_over_the_sample_match_plain_ones(monkeypatch):
+    texts = ["you idiot. no more of this", "", "... !!", "a fine idiot" * 9, "word word words", ""]
+    monkeypatch.setattr(toxicity, "PART", 4)
+    sample = toxicity.Sample(texts)
+    split = [[[u for w in s for u in toxicity.windows_of(w)] for s in toxicity.sentences_of(t)] for t in texts]
+    flat = [(n, u) for n, t in enumerate(split) for s in t for u in s]
+    weight = np.arange(1.0, 7.0)
+    assert list(sample.length()) == [sum(map(len, t)) for t in split]
+    assert list(sample.by_window(weight)) == [sum(weight[n] for n, v in flat if v == u) for u in sample.names]
+    kernel = {u: k for u, k in zip(sample.names, toxicity.Kernel(sample.names[:2]).of(*toxicity.triple_features(toxicity.encode_windows(sample.names))))}
+    sentences, documents = sample.kernel_sums([0, 1])
+    zero = np.zeros(2)
+    assert np.allclose(sentences, [sum((kernel[u] for u in s), zero) for t in split for s in t], atol=1e-5)
+    assert np.allclose(documents, [sum((kernel[u] for s in t for u in s), zero) for t in split], atol=1e-5)
+
+
 def naive_features(machine, text):
     means, margins, n = 0, [], 0
     for sentence in toxicity.sentences_of(text):
