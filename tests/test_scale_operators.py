@@ -131,6 +131,17 @@ def test_grading_of_links(spark):
     assert got == {1: ("high", "account+tokens", 2, 5), 2: ("medium", "account+subagency", 1, None), 3: ("low", "account", 0, 2)}
 
 
+def test_awards_of_a_kind_are_graded_once(spark):
+    words = lambda start: f"transform(sequence({start}, {start} + 399), x -> concat('w', x)) AS words"
+    lines = spark.range(300).selectExpr("concat('c', id) AS code", "'A' AS account", "'o' AS organization", "2020 AS year", words("399 + id"))
+    t = spark.range(8_000).selectExpr("id AS award", "2020 AS year", "array('A') AS accounts", words("1"), "'Air Force East' AS sub_agency", "1 AS obligation")
+    alias = spark.createDataFrame([("o", "air force")], "organization string, alias string")
+    began = time.time()
+    got = linking.grade_links(lines, t, alias).groupBy("confidence", "method", "overlap").agg(F.count(F.lit(1)).alias("n"), F.sum("matched_obligation").alias("m")).collect()
+    assert sorted(map(tuple, got)) == [("high", "account+tokens", 2, 8_000, 8_000), ("medium", "account+subagency", 0, 298 * 8_000, 298 * 8_000), ("medium", "account+subagency", 1, 8_000, 8_000)]
+    assert time.time() - began < 30
+
+
 def test_era_classes(spark):
     ddl = "edition int, account string, code string, title string"
     era = spark.createDataFrame(
