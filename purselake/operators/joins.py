@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import struct
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -40,15 +42,67 @@ def asof_join(left: DataFrame, right: DataFrame, eq: list[str], left_t: str, rig
     return carried.filter("__side = 1").drop("__side")
 
 
-def tolerance_match(left: DataFrame, right: DataFrame, keys: list[str], a: str, b: str, tol: float, part: list[str], order: list[Column]) -> DataFrame:
-    """For each left row (``part``), the first right row by ``order`` with |a - b| < tol.
+def tolerance_match(left: DataFrame, right: DataFrame, keys: list[str], a: str, b: str, tol: float, id_: str, other: str) -> DataFrame:
+    """(``id_``, ``other``): for each left id the least ``other`` but itself of the right rows
+    of equal keys with |a - b| < tol, in doubles. Ids without any are left out.
 
-    Values are banded by the tolerance, and a left row meets its own band and the two
-    beside it, so a key costs its near rows and not their product."""
-    band = lambda c: F.floor(F.col(c).cast("double") / tol)
-    l = left.withColumn("__band", F.explode(F.array(*[band(a) + i for i in (-1, 0, 1)])))  # noqa: E741
-    near = l.join(right.withColumn("__band", band(b)), [*keys, "__band"]).drop("__band").filter(F.abs(F.col(a) - F.col(b)) < tol)
-    return near.withColumn("__n", F.row_number().over(Window.partitionBy(*part).orderBy(*order))).filter("__n = 1").drop("__n")
+    No pairs are built. The two least ``other`` of each distinct right value run through blocks
+    of 1.5 times the tolerance, upwards and downwards: what a left value reaches ends in one
+    block, begins in another and holds at most one between, so three rows answer it.
+    """
+    size, below = 1.5 * tol, math.nextafter(tol, 0)
+    # |a - b| rounds to less than tol as long as it does not pass the middle of tol and the
+    # double below it; the middle itself rounds to the even one of the two.
+    half, even = (tol - below) / 2, struct.unpack("<q", struct.pack("<d", below))[0] % 2 == 0
+    full = lambda df: df.filter(reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in df.columns]))
+    known = lambda df, value, c: full(df.select(*keys, (F.col(value).cast("double") + 0.0).alias("__v"), c)).filter(F.abs("__v") < float("inf"))
+    block = lambda v: F.rint(v / size) + 0.0
+    none = F.lit(None).cast(right.schema[other].dataType)
+
+    def two_least(df):
+        ranked = df.withColumn("__n", F.dense_rank().over(Window.partitionBy(*keys, "__v").orderBy(other))).filter("__n <= 2")
+        return ranked.groupBy(*keys, "__v").agg(F.min(other).alias("__1"), F.max(F.when(F.col("__n") == 2, F.col(other))).alias("__2"))
+
+    def reach(df, sign, name):
+        """The end of what sign * v reaches, sign * v + tol - half, as a sum of two doubles
+        (``name``, ``name``_low) without any rounding."""
+        df = df.withColumn("__x", sign * F.col("__v")).withColumn("__s", F.col("__x") + tol).withColumn("__z", F.col("__s") - F.col("__x"))
+        df = df.withColumn("__e", (F.col("__x") - (F.col("__s") - F.col("__z"))) + (tol - F.col("__z")) - half)
+        df = df.withColumn(name, F.col("__s") + F.col("__e")).withColumn("__z", F.col(name) - F.col("__s"))
+        low = (F.col("__s") - (F.col(name) - F.col("__z"))) + (F.col("__e") - F.col("__z"))
+        return df.withColumn(f"{name}_low", low + 0.0).withColumn(name, F.col(name) + 0.0).drop("__x", "__s", "__z", "__e")
+
+    def running(sign, asked):
+        """The two least of a block's values up to each place asked for."""
+        place = lambda at, pos, low, turn, v: [*keys, at.alias("__block"), pos.alias("__pos"), low.alias("__low"), F.lit(turn).alias("__turn"), v.alias("__v")]
+        zero, v = F.lit(0.0), F.col("__v")
+        rows = values.select(*place(block(v), sign * v + 0.0, zero, 1, F.lit(None).cast("double")), "__1", "__2")
+        for at, pos, low in asked:
+            rows = rows.unionByName(near.select(*place(at, pos, low, 2 if even else 0, v), none.alias("__1"), none.alias("__2")).filter("__block IS NOT NULL"))
+        w = Window.partitionBy(*keys, "__block").orderBy("__pos", "__low", "__turn")
+        so_far, first = w.rowsBetween(Window.unboundedPreceding, 0), F.col("__1")
+        rows = rows.withColumn("__old", F.min("__1").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+        # Of a new least and the old one the greater is second, or a value's own second is.
+        rows = rows.withColumn("__2", F.least("__2", F.when(first != F.col("__old"), F.greatest(first, F.col("__old")))))
+        rows = rows.select(*keys, "__v", F.min("__1").over(so_far).alias("__1"), F.min("__2").over(so_far).alias("__2"))
+        return rows.filter("__v IS NOT NULL")
+
+    l = known(left, a, id_)  # noqa: E741
+    values = two_least(known(right, b, other))
+    ends = reach(reach(l.select(*keys, "__v").distinct(), 1, "__hi"), -1, "__lo").withColumn("__last", block(F.col("__hi"))).withColumn("__first", block(-F.col("__lo")))
+    # Beyond 2**45 blocks from zero, a block holds but a few hundred doubles: there they are met.
+    is_near = F.abs(F.col("__v") / size) < 2.0**45
+    near, far = ends.filter(is_near), ends.filter(~is_near)
+    inner = F.when(F.col("__last") - F.col("__first") > 1, F.col("__first") + 1)
+    up = running(1, [(F.col("__last"), F.col("__hi"), F.col("__hi_low")), (inner, F.lit(float("inf")), F.lit(0.0))])
+    down = running(-1, [(F.col("__first"), F.col("__lo"), F.col("__lo_low"))])
+    beside = far.select(*keys, "__v", F.explode(F.array_distinct(F.array("__first", F.col("__first") + 1, "__last"))).alias("__block"))
+    met = beside.join(values.select(*keys, block(F.col("__v")).alias("__block"), F.col("__v").alias("__w"), "__1", "__2"), [*keys, "__block"])
+    met = met.filter(F.abs(F.col("__v") - F.col("__w")) < tol).select(*keys, "__v", "__1", "__2")
+    found = reduce(DataFrame.unionByName, [up, down, met]).select(*keys, "__v", F.explode(F.array("__1", "__2")).alias(other))
+    best = two_least(full(found))
+    hit = F.when(F.col("__1") != F.col(id_), F.col("__1")).otherwise(F.col("__2"))
+    return l.join(best, [*keys, "__v"]).groupBy(id_).agg(F.min(hit).alias(other)).filter(F.col(other).isNotNull())
 
 
 def bridge_join(facts: DataFrame, links: DataFrame, keys: list[str]) -> DataFrame:

@@ -110,8 +110,7 @@ def j10(spark, sf):
     p = Lake(spark, sf).part
     a = p.select("p_partkey", "p_brand", "p_type", F.col("p_retailprice").alias("a"))
     b = p.select(F.col("p_partkey").alias("other"), "p_brand", "p_type", F.col("p_retailprice").alias("b"))
-    pairs = joins.tolerance_match(a, b.filter("other is not null"), ["p_brand", "p_type"], "a", "b", 25.00001, ["p_partkey"], [F.col("p_partkey") == F.col("other"), F.col("other")])
-    return pairs.filter("p_partkey <> other").select("p_partkey", "other")
+    return joins.tolerance_match(a, b, ["p_brand", "p_type"], "a", "b", 25.00001, "p_partkey", "other")
 
 
 _LISTS = "SELECT o_orderkey, concat(o_custkey % 50, ';', o_custkey % 37, ';', o_custkey % 29) AS accounts FROM orders"

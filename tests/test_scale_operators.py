@@ -1,6 +1,7 @@
 """Indexes, sweeps, row numbers, digests, overlays and bucketed merges on literals."""
 
 import hashlib
+import math
 import random
 import time
 from collections import Counter
@@ -8,7 +9,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from purselake.operators import aggs, joins, linking, text_index, windows
-from purselake.plans import graph_text
+from purselake.plans import graph_text, registry
 from purselake.schedule import jobs as schedule
 from purselake.sources import lake
 from purselake.streaming.jobs import BucketTable
@@ -53,6 +54,34 @@ def test_a_key_of_disjoint_ranges_costs_no_product(spark):
     assert time.time() - began < 60
 
 
+def test_tolerance_matches_equal_brute_force(spark):
+    rng, inf = random.Random(9), float("inf")
+    for tol in (1.0, 0.1, 0.3, 25.00001, 2.5):
+        near = lambda: rng.choice([0.0, -0.0, tol, -tol, rng.randrange(-30, 30) * tol / 4, rng.randrange(-30, 30) / 10, rng.uniform(-3 * tol, 3 * tol)])  # noqa: E731, B023
+        steps = [x for v in (near() for _ in range(60)) for x in (v, v + tol, math.nextafter(v + tol, inf), math.nextafter(v + tol, -inf), math.nextafter(v - tol, inf))]
+        huge = [s * 2.0**e * tol + k * 2.0 ** (e - 52) * tol for s in (1, -1) for e in (44, 46, 50, 52, 53, 54, 60) for k in range(-6, 7)]
+        odd = [inf, -inf, inf, float("nan"), None, 1e300, -1e300, 1.7e308, -1.7e308, 5e-324, -5e-324, 1e-18]
+        rows = [(rng.choice([i, i, i, i - 1, None]), rng.choice(["x", "x", "x", "y", None]), v) for i, v in enumerate(rng.sample(steps, len(steps)) + [*odd, *odd, *huge])]
+        df = spark.createDataFrame(rows, "id long, k string, v double")
+        found = joins.tolerance_match(df.withColumnRenamed("v", "a"), df.selectExpr("id AS other", "k", "v AS b"), ["k"], "a", "b", tol, "id", "other").collect()
+        sound = [r for r in rows if None not in r]
+        want = {}
+        for i, k, v in sound:
+            for j, m, w in sound:
+                if k == m and i != j and abs(v - w) < tol:
+                    want[i] = min(want.get(i, j), j)
+        assert len(found) == len(want) and {r.id: r.other for r in found} == want
+
+
+def test_a_key_of_near_values_costs_no_product(spark, tmp_path):
+    rows = spark.range(100_000).selectExpr("id AS p_partkey", "'b' AS p_brand", "'t' AS p_type", "900 + pmod(id * 7919, 2000) / 100.0D AS p_retailprice")
+    rows.write.parquet(f"{tmp_path}/part.parquet")
+    began = time.time()
+    got = registry.QUERIES["J10_tolerance_match"](spark, str(tmp_path)).groupBy("other").count().collect()
+    assert sorted(map(tuple, got)) == [(0, 99_999), (1, 1)]
+    assert time.time() - began < 60
+
+
 def test_row_numbers_over_ranges(spark):
     rows = [(None if i % 50 == 0 else "hot" if i % 3 else "cold", (i * 7919) % 5000) for i in range(5000)]
     df = spark.createDataFrame(rows, "p string, v int").repartition(7)
