@@ -40,20 +40,17 @@ def b01(spark, sf):
 _MATCH_SQL = "mt AS (SELECT event_id, target_id, class_date FROM sl JOIN tg USING (studio, location) WHERE (want_minutes IS NULL OR want_minutes = minutes) AND CASE WHEN want_date IS NOT NULL THEN want_date = class_date ELSE want_dow = dow END)"
 
 
-def matches(lake):
-    return jobs.target_slot_match(slots(lake), targets(lake)).select("event_id", "target_id", "class_date")
-
-
 @query("B02_target_slot_match", f"WITH {_SLOT_SQL}, {_TARGET_SQL}, {_MATCH_SQL} SELECT event_id, target_id FROM mt")
 def b02(spark, sf):
-    return matches(Lake(spark, sf)).select("event_id", "target_id")
+    lake = Lake(spark, sf)
+    return jobs.target_slot_match(slots(lake), targets(lake)).select("event_id", "target_id")
 
 
 @query("B03_suppress_existing_jobs", f"WITH {_SLOT_SQL}, {_TARGET_SQL}, {_MATCH_SQL} SELECT event_id, target_id FROM mt WHERE NOT EXISTS (SELECT 1 FROM events e WHERE e.event_type = 'purchase' AND e.user_id = target_id AND CAST(e.ts AS DATE) = class_date)")
 def b03(spark, sf):
     lake = Lake(spark, sf)
     live = lake.events.filter("event_type = 'purchase'").select(F.col("user_id").alias("target_id"), F.to_date("ts").alias("class_date"))
-    return matches(lake).join(live, ["target_id", "class_date"], "left_anti").select("event_id", "target_id")
+    return jobs.target_slot_match(slots(lake), targets(lake), live).select("event_id", "target_id")
 
 
 @query("B04_complete_one_time_targets", f"WITH {_TARGET_SQL} SELECT target_id FROM tg WHERE want_date IS NOT NULL AND target_id IN (SELECT user_id FROM events WHERE event_type IN ('purchase', 'error'))")

@@ -116,6 +116,31 @@ def test_targets_of_all_four_shapes(spark):
     assert sorted((r.target, r.event) for r in schedule.target_slot_match(slots, targets).collect()) == [(10, 2), (11, 2), (12, 1), (13, 1), (13, 3)]
 
 
+def test_taken_days_go_before_slots_are_met(spark, tmp_path):
+    rng = random.Random(6)
+    day = lambda: rng.choice(["2024-01-15", "2024-01-16", "2024-01-22", None])
+    slots = [(i, rng.choice("st"), "l", day(), rng.choice([1, 2, None]), rng.choice([7, 9, None])) for i in range(80)]
+    targets = [(rng.choice([i, i, 5, None]), rng.choice(["s", "t", None]), "l", rng.choice([7, 9, None]), rng.choice([1, 2, None]), day()) for i in range(60)]
+    taken = [(rng.choice([rng.randrange(60), 5, None]), day()) for _ in range(60)]
+    frames = [spark.createDataFrame(rows, ddl) for rows, ddl in (
+        (slots, "event long, studio string, location string, class_date string, dow int, minutes int"),
+        (targets, "target long, studio string, location string, want_minutes int, want_dow int, want_date string"),
+        (taken, "target long, class_date string"),
+    )]
+    got = Counter((r.target, r.event) for r in schedule.target_slot_match(*frames).collect())
+    gone = {t for t in taken if None not in t}
+    want = Counter(
+        (t[0], s[0]) for s in slots for t in targets
+        if s[1:3] == t[1:3] and (t[3] is None or t[3] == s[5]) and (t[5] == s[3] if t[5] is not None else t[4] is not None and t[4] == s[4]) and (t[0], s[3]) not in gone
+    )
+    assert got == want and len(want) > 100
+    kind = "array('click', 'purchase')[id % 2] AS event_type"
+    spark.range(1000).selectExpr("id AS event_id", "id % 7 AS user_id", kind, "timestamp'2024-01-01' + make_interval(0, 0, 0, 0, cast(id AS int)) AS ts").write.parquet(f"{tmp_path}/events.parquet")
+    plan = registry.QUERIES["B03_suppress_existing_jobs"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    joins_of = [line.split("Join ")[1].split(",")[0].split(" ")[0] for line in plan.splitlines() if "Join " in line]
+    assert joins_of[0] == "Inner" and joins_of.count("LeftAnti") == 4  # matches are not joined again
+
+
 def reviewed(spark, method, confidence, adjudication=None, reviews=(), ruling=None):
     links = spark.createDataFrame([("p", 1, "R-1", 2020, method, confidence)], "pe string, award int, exhibit string, year int, method string, confidence string")
     adj = spark.createDataFrame([("p", 1, *adjudication)] if adjudication else [], "pe string, award int, adjudicated_confidence string, award_verdict string, pair_reason string, basis string, lenses_passed int")
